@@ -10,7 +10,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch handed to Python; whole documents are long.
@@ -42,23 +41,6 @@ def alnum_words(raw: bytes | None) -> list[bytes]:
     return raw.translate(_ALNUM_OR_HIGH).split() if raw else []
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; forgets everything when it has grown to its bound."""
-
-    def __init__(self, bound: int = 400_000) -> None:
-        super().__init__()
-        self.bound = bound
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -71,6 +53,78 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SPACE = np.array([b in b" \t\n\v\f\r" for b in range(256)])
+#: A 64-bit number for each byte, and an odd base with its inverse modulo 2**64.
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLD)
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+class _Powers:
+    """Powers of the base and of its inverse, grown as far as they are needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= n:
+            size = max(n + 1, 1 << 16)
+            factors = np.full(size, _BASE, np.uint64)
+            factors[0] = 1
+            self.up = np.cumprod(factors, dtype=np.uint64)
+            factors[1:] = np.uint64(_INVERSE)
+            self.down = np.cumprod(factors, dtype=np.uint64)
+        return self.up, self.down
+
+
+_powers = _Powers()
+_LONGEST_RUN = 1 << 21
+
+
+def hash_words(raws: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the white-space separated words of all texts, and the number by text.
+
+    A word's hash is a polynomial over numbers of its bytes, finished with mix64; it
+    depends on the word alone.
+    """
+    hashes, counts = [], []
+    run: list[bytes] = []
+    size = 0
+    for raw in raws:
+        if run and size + len(raw or b"") > _LONGEST_RUN:
+            h, c = _hash_run(run, lower)
+            hashes.append(h)
+            counts.append(c)
+            run, size = [], 0
+        run.append(raw or b"")
+        size += len(raw or b"") + 1
+    if run:
+        h, c = _hash_run(run, lower)
+        hashes.append(h)
+        counts.append(c)
+    if not counts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def _hash_run(run: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    joined = b" ".join(run) + b" "
+    if lower:
+        joined = joined.translate(_UPPER_TO_LOWER)
+    data = np.frombuffer(joined, np.uint8)
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    begin, end = edges[::2], edges[1::2]
+    up, down = _powers.upto(len(data))
+    total = np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)
+    before = np.where(begin > 0, total[begin - 1], np.uint64(0))
+    h = mix64((total[end - 1] - before) * down[begin])
+    ends = np.cumsum([len(r) + 1 for r in run])
+    return h, np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of all n-word windows, in order; empty when too short."""
     m = len(words) - n + 1

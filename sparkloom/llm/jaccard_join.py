@@ -24,18 +24,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import build_bloom
 from .common import (
-    WordHashes,
     as_long,
     binary_column,
     column,
     gram_hashes,
-    lower_words,
+    hash_words,
     materialize,
     mix64,
     prepare,
@@ -45,7 +43,7 @@ from .components import Forest, connected_components
 #: Counters of the sketch; 16 slices.
 SKETCH = 1 << 20
 _SLICE = SKETCH // 16
-#: 64-bit words of a parity bitmap.
+#: 64-bit words of the smallest parity bitmap.
 BITMAP = 8
 #: Shingles of all sets of a block that meet in one task (8 bytes each).
 BLOCK_KEYS = 4_000_000
@@ -53,25 +51,55 @@ BLOCK_KEYS = 4_000_000
 _SEEN = 500_000
 
 
-def shingles(words: list[bytes], n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; short sequences are one shingle."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.array(words)
-    if len(h) < n:
-        return mix64(gram_hashes(h, len(h)) ^ np.uint64(len(h)))
-    return np.unique(gram_hashes(h, n))
+def shingle_sets(texts: list[bytes | None], n: int) -> Iterator[np.ndarray]:
+    """By text the hashes of its n-word shingles, with repeats and in no fixed order.
+
+    A sequence of fewer words is one shingle; a text without words has none.
+    """
+    words, counts = hash_words(texts, lower=True)
+    grams = gram_hashes(words, n)
+    at = 0
+    for count in counts.tolist():
+        if count >= n:
+            yield grams[at : at + count - n + 1]
+        elif count:
+            short = gram_hashes(words[at : at + count], count)
+            yield mix64(short ^ np.uint64(count))
+        else:
+            yield grams[:0]
+        at += count
 
 
 def set_id(own: np.ndarray) -> int:
-    return int(np.array(xxhash.xxh3_64_intdigest(own.tobytes()), np.uint64).view(np.int64))
+    """A hash of the set from its distinct shingles, in whatever order."""
+    own = mix64((own >> np.uint64(8)) + np.uint64(0x632BE59BD9B4E019))
+    total = np.array([own.sum(dtype=np.uint64) ^ np.uint64(len(own))], np.uint64)
+    return int(mix64(total).view(np.int64)[0])
+
+
+def bitmap_words(n: int) -> int:
+    """64-bit words of the parity bitmap of a set of n: half a bit a shingle at least."""
+    words = BITMAP
+    while 128 * words < n:
+        words *= 2
+    return words
 
 
 def parity_bitmap(own: np.ndarray) -> np.ndarray:
-    """Bit i is the parity of the shingles that fall on i: |A - B| + |B - A| >= Hamming."""
-    bits = 64 * BITMAP
-    counts = np.bincount((own >> np.uint64(7)).astype(np.int64) % bits, minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8))
+    """Bit i is the parity of the shingles that fall on i: |A - B| + |B - A| >= Hamming.
+
+    Halves laid on each other by xor give the bitmap of half the size.
+    """
+    bits = 64 * bitmap_words(len(own))
+    counts = np.bincount((own >> np.uint64(8)).astype(np.int64) % bits, minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(bitmap: np.ndarray, words: int) -> np.ndarray:
+    while len(bitmap) > words:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -82,10 +110,13 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - least_overlap(n, num, den) + 1
 
 
-def order_keys(own: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Ascending keys: the shingle's class of frequency, then its hash."""
-    rank = sketch[(own % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64)
-    return np.sort((rank << np.uint64(56)) | (own >> np.uint64(8)))
+def order_keys(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Distinct ascending keys: the shingle's class of frequency, then its hash.
+
+    Their last 56 bits are the first 56 of the hash, so set_id(key << 8) is the set's id.
+    """
+    rank = sketch[(grams >> np.uint64(8)) & np.uint64(SKETCH - 1)].astype(np.uint64)
+    return np.unique((rank << np.uint64(56)) | (grams >> np.uint64(8)))
 
 
 class TrieJoin:
@@ -186,15 +217,17 @@ def _scan_sets(docs: DataFrame, n: int) -> DataFrame:
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(SKETCH, np.uint32)
+        counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            sizes, sids, bitmaps = [], [], []
-            for text in binary_column(batch, "text"):
-                own = shingles(lower_words(text), n, hashes)
+            sizes, sids, bitmaps, buckets = [], [], [], []
+            for grams in shingle_sets(binary_column(batch, "text"), n):
+                own = np.unique(grams)
                 sizes.append(len(own))
                 sids.append(set_id(own) if len(own) else None)
                 bitmaps.append(parity_bitmap(own).tobytes() if len(own) else None)
-                np.add.at(counts, (own % np.uint64(SKETCH)).astype(np.int64), 1)
+                buckets.append(((own >> np.uint64(8)) & np.uint64(SKETCH - 1)).astype(np.uint32))
+            if buckets:
+                np.add.at(counts, np.concatenate(buckets), np.uint32(1))
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
@@ -244,17 +277,17 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, n: int, num: int, den: int) -
     schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("n", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         for batch in batches:
             tokens, sids, sizes = [], [], []
-            for text in binary_column(batch, "text"):
-                own = shingles(lower_words(text), n, hashes)
-                if not len(own) or (sid := set_id(own)) in seen:
+            for grams in shingle_sets(binary_column(batch, "text"), n):
+                own = order_keys(grams, shared.value)
+                if not len(own) or (sid := set_id(own << np.uint64(8))) in seen:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(sid)
-                first = order_keys(own, shared.value)[: prefix_size(len(own), num, den)]
+                first = own[: prefix_size(len(own), num, den)]
                 tokens.append(first)
                 sids.append(np.full(len(first), sid, np.int64))
                 sizes.append(np.full(len(first), len(own), np.int32))
@@ -314,31 +347,45 @@ def _without_lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield from table.take(pa.array(keep)).to_batches()
 
 
-def _near(bits: np.ndarray, n: np.ndarray, i, j, num: int, den: int) -> np.ndarray:
-    """Whether i and j may link: by their sizes and the Hamming distance of their bitmaps."""
-    a, b = n[i].astype(np.int64), n[j].astype(np.int64)
-    overlap = -(-num * (a + b) // (num + den))
-    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64)
-    return (overlap <= np.minimum(a, b)) & (apart <= a + b - 2 * overlap)
-
-
-def _forest(sid: np.ndarray, n: np.ndarray, bits: np.ndarray, num: int, den: int) -> list[tuple]:
-    """Edges that span the components of one group's candidate pairs, breadth first."""
-    out, rest = [], np.arange(len(sid))
-    while len(rest) > 1:
-        front, rest = rest[:1], rest[1:]
-        while len(front) and len(rest):
-            found = np.full(len(rest), -1, np.int64)
-            for f in front:
-                open_ = np.flatnonzero(found < 0)
-                if not len(open_):
-                    break
-                near = _near(bits, n, f, rest[open_], num, den)
-                found[open_[near]] = f
-            new = found >= 0
-            out += zip(sid[found[new]].tolist(), sid[rest[new]].tolist(), strict=True)
-            front, rest = rest[new], rest[~new]
-    return out
+class Members:
+    """Sets in rows: sizes and parity bitmaps, to tell which pairs may link."""
+
+    def __init__(self, n: np.ndarray, bitmaps: list[bytes], num: int, den: int) -> None:
+        self.n, self.num, self.den = n.astype(np.int64), num, den
+        self.whole = [np.frombuffer(b, np.uint64) for b in bitmaps]
+        self.short = np.stack([fold(b, BITMAP) for b in self.whole])
+        self.long = np.array([len(b) > BITMAP for b in self.whole])
+
+    def near(self, i, j) -> np.ndarray:
+        """Whether the pairs may link, by their sizes and the distance of their bitmaps."""
+        a, b = self.n[i], self.n[j]
+        overlap = -(-self.num * (a + b) // (self.num + self.den))
+        apart = np.bitwise_count(self.short[i] ^ self.short[j]).sum(axis=-1, dtype=np.int64)
+        most = a + b - 2 * overlap
+        ok = (overlap <= np.minimum(a, b)) & (apart <= most)
+        i, j, most = np.broadcast_to(i, ok.shape), np.broadcast_to(j, ok.shape), np.broadcast_to(most, ok.shape)
+        for k in np.flatnonzero(ok & self.long[i] & self.long[j]):
+            x, y = self.whole[i[k]], self.whole[j[k]]
+            words = min(len(x), len(y))
+            ok[k] = np.bitwise_count(fold(x, words) ^ fold(y, words)).sum() <= most[k]
+        return ok
+
+    def forest(self, rest: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs that span the components of the rows' candidate pairs, breadth first."""
+        out = []
+        while len(rest) > 1:
+            front, rest = rest[:1], rest[1:]
+            while len(front) and len(rest):
+                found = np.full(len(rest), -1, np.int64)
+                for f in front:
+                    open_ = np.flatnonzero(found < 0)
+                    if not len(open_):
+                        break
+                    found[open_[self.near(f, rest[open_])]] = f
+                new = found >= 0
+                out += zip(found[new].tolist(), rest[new].tolist(), strict=True)
+                front, rest = rest[new], rest[~new]
+        return out
 
 
 def _candidates(num: int, den: int) -> Callable:
@@ -347,23 +394,21 @@ def _candidates(num: int, den: int) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for table in by_run(batches, "token"):
-            token, sid, n = (table[c].to_numpy() for c in ("token", "sid", "n"))
-            raw = b"".join(table["bitmap"].to_pylist())
-            bits = np.frombuffer(raw, np.uint64).reshape(-1, BITMAP)
+            token, sid = table["token"].to_numpy(), table["sid"].to_numpy()
+            members = Members(table["n"].to_numpy(), table["bitmap"].to_pylist(), num, den)
             starts = _runs(token)
             sizes = np.diff(starts)
             small = np.repeat(sizes <= 8, sizes)
             for lag in range(1, 8):
-                i = np.flatnonzero((token[lag:] == token[:-lag]) & small[lag:]) if len(token) > lag else []
+                i = np.flatnonzero((token[lag:] == token[:-lag]) & small[lag:])
                 if not len(i):
                     break
-                i = i[_near(bits, n, i, i + lag, num, den)]
+                i = i[members.near(i, i + lag)]
                 for a, b in zip(sid[i].tolist(), sid[i + lag].tolist(), strict=True):
                     forest.union(a, b)
             for k in np.flatnonzero(sizes > 8):
-                own = slice(starts[k], starts[k + 1])
-                for a, b in _forest(sid[own], n[own], bits[own], num, den):
-                    forest.union(a, b)
+                for a, b in members.forest(np.arange(starts[k], starts[k + 1])):
+                    forest.union(int(sid[a]), int(sid[b]))
         stars = forest.stars()
         yield pa.RecordBatch.from_arrays(
             [pa.array([a for a, _ in stars], pa.int64()), pa.array([b for _, b in stars], pa.int64())],
@@ -379,21 +424,22 @@ def _whole_sets(docs: DataFrame, wanted, sketch: np.ndarray, n: int) -> DataFram
     schema = pa.schema([("sid", pa.int64()), ("keys", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         wanted, sketch = shared.value
         for batch in batches:
             ids = np.array([-1 if x is None else x for x in column(batch, "doc_id")], np.int64)
             sids, keys = [], []
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
-            for k in np.flatnonzero(wanted.may_hold(ids)):
-                own = shingles(lower_words(texts[k].as_py()), n, hashes)
-                if not len(own) or (sid := set_id(own)) in seen:
+            texts = [texts[k].as_py() for k in np.flatnonzero(wanted.may_hold(ids))]
+            for grams in shingle_sets(texts, n):
+                own = order_keys(grams, sketch)
+                if not len(own) or (sid := set_id(own << np.uint64(8))) in seen:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(sid)
                 sids.append(sid)
-                keys.append(order_keys(own, sketch).tobytes())
+                keys.append(own.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sids, pa.int64()), pa.array(keys, pa.binary())], schema=schema
             )

@@ -8,14 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join
+from . import chat, decontaminate, jaccard_join, language_id, mixing, token_output
 from .common import prepare
 
+#: The conversation that the chat query adds: both turns say the same control strings.
+ADDED_CONVERSATION = -7
+ADDED_TEXT = r"\### Assistant: </turn> ok"
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Where the public byte-level BPE vocabulary lies; it is not part of this package."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     return decontaminate.report(docs, items, window=13, share=20).drop("row_id")
@@ -26,9 +37,102 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(docs, n=4, num=85, den=100)
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_read(spark, sf_dir, "documents"), seed=0)
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = [(ADDED_CONVERSATION, 0, "user", ADDED_TEXT), (ADDED_CONVERSATION, 1, "assistant", ADDED_TEXT)]
+    return chat.report(chats.unionByName(spark.createDataFrame(rows, chats.schema)))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_read(spark, sf_dir, "documents"))
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.report(_read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op6_source_mixing": op6_source_mixing,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_language_id": op9_language_id,
+    "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_MIXING_SQL = r"""
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
+  from documents
+), sums as (
+  select source, sum(size)::bigint as s,
+         [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::bigint as w
+  from sized group by source
+), level as (
+  select *, sum(s) over () as total,
+         coalesce(sum(2 * s) over (order by s / w, source nulls last
+                                   rows between unbounded preceding and 1 preceding), 0) as used,
+         sum(w) over () - coalesce(sum(w) over (order by s / w, source nulls last
+                                   rows between unbounded preceding and 1 preceding), 0) as free
+  from sums
+), stopped as (
+  select *, (2 * s * free * 2 <= (total * 3 - used * 2) * w) as stops from level
+), shared as (
+  select *, coalesce(sum(case when stops then 2 * s end) over (), 0) as capped,
+         coalesce(sum(case when not stops then w end) over (), 0) as open
+  from stopped
+), targets as (
+  select source, s as source_size,
+         case when stops then (2 * s)::double
+              else ((total * 3 - capped * 2) * w)::double / (open * 2)::double end as target
+  from shared
+), rated as (
+  select *, case when source_size > 0 then target / source_size else 0.0::double end as rate from targets
+)
+select d.doc_id, d.size, r.source_size, r.target,
+       (floor(r.rate) + case when ('0x' || substr(md5('0:' || coalesce(d.doc_id::varchar, 'null')), 1, 13))::bigint
+             / 4503599627370496.0::double < r.rate - floor(r.rate) then 1 else 0 end)::bigint as copies,
+       d.size * (floor(r.rate) + case when ('0x' || substr(md5('0:' || coalesce(d.doc_id::varchar, 'null')), 1, 13))::bigint
+             / 4503599627370496.0::double < r.rate - floor(r.rate) then 1 else 0 end)::bigint as taken
+from sized d join rated r on d.source is not distinct from r.source
+"""
+
+_CHAT_SQL = r"""
+with rows_ as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), escaped as (
+  select *, length(replace(replace(replace(text, '\', '\b'), '</turn>', '\t'), '###', '\h')) as body,
+         case when role in ('system', 'user', 'assistant') then length(role)
+              else 5 + length(replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\t'), '###', '\h'), ':', '\c'))
+         end as name,
+         lag(role) over (partition by conv_id order by turn nulls last, role, text) as before
+  from rows_
+), judged as (
+  select *, case when before is null then role in ('system', 'user')
+                 when before = 'system' then role = 'user'
+                 when before = 'user' then role = 'assistant'
+                 when before = 'assistant' then role = 'user'
+                 else false end as moves,
+         row_number() over (partition by conv_id order by turn desc nulls first, role desc, text desc) as from_end
+  from escaped
+)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, role, text)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls last, role, text)
+                       filter (role = 'assistant'), '')) as loss_sha256,
+       sum(4 + name + 2 + body + 8)::bigint as formatted_chars,
+       bool_and(moves) and bool_or(from_end = 1 and role in ('user', 'assistant')) as valid
+from judged group by conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_source_mixing": _MIXING_SQL,
+    "op8_chat_formatting": _CHAT_SQL,
+}
