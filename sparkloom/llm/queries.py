@@ -8,7 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard_join, language_id, mixing, token_output
+from . import (
+    chat,
+    decontaminate,
+    embedding_dedup,
+    jaccard_join,
+    language_id,
+    license_scan,
+    mixing,
+    substring_dedup,
+    suffix_dedup,
+    token_output,
+)
 from .common import prepare
 
 #: The conversation that the chat query adds: both turns say the same control strings.
@@ -27,6 +38,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     return decontaminate.report(docs, items, window=13, share=20).drop("row_id")
@@ -37,10 +52,22 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(docs, n=4, num=85, den=100)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_read(spark, sf_dir, "documents"), window=50)
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_read(spark, sf_dir, "documents"), seed=0)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_read(spark, sf_dir, "documents"), window=50)
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = [(ADDED_CONVERSATION, 0, "user", ADDED_TEXT), (ADDED_CONVERSATION, 1, "assistant", ADDED_TEXT)]
@@ -56,12 +83,19 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_benchmark_decontamination": op2_benchmark_decontamination,
-    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
-    "op6_source_mixing": op6_source_mixing,
-    "op8_chat_formatting": op8_chat_formatting,
-    "op9_language_id": op9_language_id,
-    "op10_token_output": op10_token_output,
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_benchmark_decontamination,
+        op3_ngram_jaccard_join,
+        op4_suffix_array_dedup,
+        op5_embedding_near_dedup,
+        op6_source_mixing,
+        op7_substring_dedup,
+        op8_chat_formatting,
+        op9_language_id,
+        op10_token_output,
+    )
 }
 
 _MIXING_SQL = r"""
@@ -133,6 +167,7 @@ from judged group by conv_id
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle_sql(),
     "op6_source_mixing": _MIXING_SQL,
     "op8_chat_formatting": _CHAT_SQL,
 }
