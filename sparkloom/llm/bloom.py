@@ -85,3 +85,25 @@ def build_bloom(keys: DataFrame, count: int) -> Bloom:
             bytes(row["bits"]), np.uint8
         )
     return Bloom(bits, packed)
+
+
+def split_by(rows: DataFrame, bloom: Bloom, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not in the filter, the others); nulls are not in it.
+
+    Both read the rows where they are, so that only the others need a join.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(bloom)
+
+    def held(batch: pa.RecordBatch) -> np.ndarray:
+        keys = batch.column(batch.schema.get_field_index(name)).cast(pa.int64())
+        return sent.value.may_hold(keys.fill_null(0).to_numpy(zero_copy_only=False)) & ~np.asarray(keys.is_null())
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~held(batch)))
+
+    def into(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held(batch)))
+
+    return rows.mapInArrow(out, rows.schema), rows.mapInArrow(into, rows.schema)

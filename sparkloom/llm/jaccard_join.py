@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import build_bloom
+from .bloom import build_bloom, split_by
 from .common import (
     as_long,
     binary_column,
@@ -330,21 +330,28 @@ def by_run(
         yield pa.Table.from_batches(held)
 
 
-def _without_lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token and sid: one for each pair, of tokens in two sets at least."""
-    for table in by_run(batches, "token"):
-        table = table.combine_chunks()
-        token, sid = table["token"].to_numpy(), table["sid"].to_numpy()
-        first = np.ones(len(token), bool)
-        first[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-        token = token[first]
-        same = token[1:] == token[:-1]
-        shared = np.zeros(len(token), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        keep = np.flatnonzero(first)[shared]
-        if len(keep):
-            yield from table.take(pa.array(keep)).to_batches()
+def _without_lone(num: int, den: int) -> Callable:
+    """Rows sorted by token, n and sid: those whose token is in another set of like size.
+
+    If the nearest sizes of a token's sets are too far apart to link, all others are.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_run(batches, "token"):
+            table = table.combine_chunks()
+            token, sid = table["token"].to_numpy(), table["sid"].to_numpy()
+            first = np.ones(len(token), bool)
+            first[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
+            token, n = token[first], table["n"].to_numpy()[first].astype(np.int64)
+            meet = (token[1:] == token[:-1]) & (den * n[:-1] >= num * n[1:])
+            keep = np.zeros(len(token), bool)
+            keep[1:] |= meet
+            keep[:-1] |= meet
+            at = np.flatnonzero(first)[keep]
+            if len(at):
+                yield from table.take(pa.array(at)).to_batches()
+
+    return scan
 
 
 class Members:
@@ -489,8 +496,8 @@ def linked_sets(
     rows = found.filter("slice is null").select("doc_id", "n", "sid")
     sketch = _sketch(found)
     first = _prefixes(docs, sketch, n, num, den)
-    parts = first.repartition("token").sortWithinPartitions("token", "sid")
-    met = parts.mapInArrow(_without_lone, "token long, sid long, n int")
+    parts = first.repartition("token").sortWithinPartitions("token", "n", "sid")
+    met = parts.mapInArrow(_without_lone(num, den), "token long, sid long, n int")
     maps = found.filter("sid is not null").groupBy("sid").agg(F.min("bitmap").alias("bitmap"))
     groups = met.join(maps, "sid").repartition("token").sortWithinPartitions("token", "sid")
     edges = materialize(groups.mapInArrow(_candidates(num, den), "u long, v long").distinct(), "candidates")
@@ -545,7 +552,9 @@ def keep_one_per_component(
 
     Of several rows with that same doc_id one stays. Texts without shingles stay.
     """
-    found = jaccard_components(documents, n, num, den)
+    found = materialize(jaccard_components(documents, n, num, den), "jaccard")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    return kept
+    bloom = build_bloom(gone, gone.count())
+    stay, may_go = split_by(documents, bloom, "doc_id")
+    kept = may_go.join(gone, may_go["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    return stay.unionByName(kept)
