@@ -128,7 +128,8 @@ def clean_helpdesk(text: Column) -> Column:
 
 def typographic(text: Column) -> Column:
     """Curly quotes, dashes and hard spaces made plain; control characters dropped."""
-    out = F.translate(F.coalesce(text, F.lit("")), "’‘“”–— ", "''\"\"-- ")
+    curly, plain = "\u2019\u2018\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- "
+    out = F.translate(F.coalesce(text, F.lit("")), curly, plain)
     return collapse(F.regexp_replace(out, CONTROL, ""))
 
 
@@ -193,7 +194,11 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """"December 31, 2017" or "19-Feb-18" as a timestamp, else null."""
-    return F.coalesce(
-        F.try_to_timestamp(text, F.lit("MMMM d, yyyy")), F.try_to_timestamp(text, F.lit("d-MMM-yy"))
-    )
+    """"December 31, 2017" or "19-Feb-18" as a timestamp, else null.
+
+    Two-digit years from 69 on are of the last century.
+    """
+    long = F.try_to_timestamp(text, F.lit("MMMM d, yyyy"))
+    short = F.try_to_timestamp(text, F.lit("d-MMM-yy"))
+    short = F.when(F.year(short) >= 2069, short - F.expr("interval 100 years")).otherwise(short)
+    return F.coalesce(long, short)
