@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ def load_csv(
             return df
         except AnalysisException as e:
             raise MissingFileError(f"nothing to read at {path}") from e
-        except PySparkException as e:
+        except (PySparkException, Py4JJavaError) as e:
             error = e
     raise MalformedFileError(f"{path}: {str(error)[:200]}") from error
 
