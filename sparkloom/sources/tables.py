@@ -91,7 +91,7 @@ def load_csv(
                 raise SchemaError(f"{path}: missing columns {', '.join(dict.fromkeys(missing))}")
             shape = T.StructType([T.StructField(h, kinds.get(n, T.StringType())) for h, n in zip(header, names, strict=True)])
             df = spark.read.schema(shape).options(**options, encoding=encoding).csv(path).toDF(*names)
-            if df.isEmpty():
+            if not df.limit(1).collect():  # all columns of a row, so that bad cells show
                 raise SchemaError(f"{path}: no rows")
             return df
         except AnalysisException as e:
