@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, column, mix64, prepare
+from .common import binary_column, column, mix64, prepare, tidy
 
 MOST_BITS = 1 << 28
 _SLICE = 1 << 20  # bits
@@ -76,9 +76,9 @@ def build_bloom(keys: DataFrame, count: int) -> Bloom:
         yield _rows(held)
 
     shape = "slice long, bits binary"
-    parts = keys.select(F.col(name).cast("long")).mapInArrow(fill, shape)
+    parts = keys.select(F.col(name).cast("long")).mapInArrow(tidy(fill), shape)
     slices = bits // _SLICE
-    merged = parts.repartition(max(1, min(slices, 256)), "slice").mapInArrow(_merge, shape)
+    merged = parts.repartition(max(1, min(slices, 256)), "slice").mapInArrow(tidy(_merge), shape)
     packed = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():
         packed[row["slice"] * _SLICE // 8 : (row["slice"] + 1) * _SLICE // 8] = np.frombuffer(
@@ -106,4 +106,4 @@ def split_by(rows: DataFrame, bloom: Bloom, name: str) -> tuple[DataFrame, DataF
         for batch in batches:
             yield batch.filter(pa.array(held(batch)))
 
-    return rows.mapInArrow(out, rows.schema), rows.mapInArrow(into, rows.schema)
+    return rows.mapInArrow(tidy(out), rows.schema), rows.mapInArrow(tidy(into), rows.schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
+import atexit
+import ctypes
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -78,7 +81,7 @@ class _Powers:
 
 
 _powers = _Powers()
-_LONGEST_RUN = 1 << 21
+_LONGEST_RUN = 1 << 20
 
 
 def hash_words(raws: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +151,23 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def digest_of_words(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def _trim() -> None:
+    """Hand freed memory back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that leaves its worker small at the end of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        _trim()
+
+    return run
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -165,6 +183,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 _own_dir: str | None = None
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -174,18 +193,35 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    return _own_dir
+        _own_dir = tempfile.mkdtemp(prefix="sparkloom-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
+    return f"file://{_own_dir}"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/sparkloom/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the program ends."""
+    path = f"{shared_dir(spark)}/sparkloom/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clean)
+    _written.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in _written:
+        if spark.sparkContext._jsc is not None:  # not stopped
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back.
 
-    The copy survives the loss of executors; the folder's owner removes it.
+    The copy survives the loss of executors.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
@@ -195,14 +231,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def drop_materialized(df: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/sparkloom/" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def renamed_for_join(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the columns an operator needs: extra columns cannot clash."""
-    return df.select(*keep)
+            _delete(df.sparkSession, parent)

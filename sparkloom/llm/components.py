@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, drop_materialized, materialize, prepare
+from .common import column, drop_materialized, materialize, prepare, tidy
 
 
 class Forest:
@@ -86,7 +86,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     prepare(edges.sparkSession)
     clean = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     clean = clean.filter("u is not null and v is not null and u <> v")
-    now = materialize(clean.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    now = materialize(clean.mapInArrow(tidy(_contract), "u long, v long").distinct(), "edges")
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

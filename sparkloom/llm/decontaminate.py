@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, binary_column, column, materialize, prepare
+from .common import alnum_words, binary_column, column, materialize, prepare, tidy
 
 #: Text of benchmark items in one broadcast block.
 BLOCK_BYTES = 16 << 20
 #: Words of documents in one shard's suffix array.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 #: Suffixes that share fewer leading words with every window are left out.
 LEAD = 4
 
@@ -235,7 +235,7 @@ def _scan(docs: DataFrame, tests: TestSuffixes) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.mapInArrow(scan, _OUT)
+    return docs.mapInArrow(tidy(scan), _OUT)
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
@@ -272,23 +272,28 @@ def find_matches(
 ) -> DataFrame:
     """One row per row of documents: the hit word spans, items, and the longest match.
 
-    Columns: row_id (as given, else null), doc_id, n_words, hits (disjoint spans of
-    word places), items (ids as strings, sorted), longest, longest_item, longest_at
-    (the longest verbatim match of a test suffix that holds a window).
+    Columns: doc_id, n_words, hits (disjoint spans of word places), items (ids as
+    strings, sorted), longest, longest_item, longest_at (the longest verbatim match of a
+    test suffix that holds a window).
 
     Null and empty texts have no words and no hits; repeated rows each get a row; an
-    empty benchmark hits nothing; other columns are not looked at.
+    empty benchmark hits nothing; other columns are not looked at; items with equal ids
+    count as one.
     """
-    spark = prepare(documents.sparkSession)
-    keyed = "row_id" in documents.columns
-    row = F.col("row_id") if keyed else F.lit(None)
-    docs = documents.select(row.cast("long").alias("row_id"), F.col("doc_id").cast("long"), "text")
+    prepare(documents.sparkSession)
+    docs = documents.select(F.lit(None).cast("long").alias("row_id"), F.col("doc_id").cast("long"), "text")
+    return _matches(docs, benchmark, window, block_bytes).drop("row_id")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """docs: row_id, doc_id, text. row_id is kept where it is not null."""
     blocks = _read_benchmark(benchmark, block_bytes)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return _scan(docs, TestSuffixes(first, window))
-    if not keyed:  # several passes need a key that stays the same
-        docs = materialize(docs.withColumn("row_id", F.monotonically_increasing_id()), "decontaminate")
+    # several passes need a key that stays the same
+    row = F.coalesce("row_id", F.monotonically_increasing_id())
+    docs = materialize(docs.withColumn("row_id", row), "decontaminate")
     parts = [materialize(_scan(docs, TestSuffixes(b, window)), "block") for b in (first, second)]
     parts += [materialize(_scan(docs, TestSuffixes(b, window)), "block") for b in blocks]
     union = parts[0]
@@ -302,9 +307,10 @@ def find_matches(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         best.alias("best"),
     )
+    spans = "array<struct<start: bigint, stop: bigint>>"
     joined = F.aggregate(
         "hits",
-        F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)"),
+        F.expr(f"cast(array() as {spans})"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["stop"]),
             F.concat(
@@ -335,10 +341,14 @@ def report(
 
     A document is contaminated when it has a hit and share * n_hit >= n_words.
     """
-    found = find_matches(documents, benchmark, window, block_bytes)
+    return _judged(find_matches(documents, benchmark, window, block_bytes), share)
+
+
+def _judged(found: DataFrame, share: int) -> DataFrame:
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
+    row = ["row_id"] if "row_id" in found.columns else []
     return found.select(
-        "row_id",
+        *row,
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
@@ -365,11 +375,10 @@ def remove_contaminated(
     blocks = _read_benchmark(benchmark, block_bytes)
     first, second = next(blocks), next(blocks, None)
     if second is not None:
-        keyed = materialize(
-            documents.withColumn("row_id", F.monotonically_increasing_id()), "remove"
-        )
-        bad = report(keyed, benchmark, window, share, block_bytes).filter("contaminated")
-        return keyed.join(bad.select("row_id"), "row_id", "left_anti").drop("row_id")
+        keyed = materialize(documents.withColumn("_row", F.monotonically_increasing_id()), "remove")
+        docs = keyed.select(F.col("_row").alias("row_id"), F.col("doc_id").cast("long"), "text")
+        bad = _judged(_matches(docs, benchmark, window, block_bytes), share).filter("contaminated")
+        return keyed.join(bad.select(F.col("row_id").alias("_row")), "_row", "left_anti").drop("_row")
     shared = documents.sparkSession.sparkContext.broadcast(TestSuffixes(first, window))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,4 +407,4 @@ def remove_contaminated(
         if held:
             yield from flush(held, docs)
 
-    return documents.mapInArrow(scan, documents.schema)
+    return documents.mapInArrow(tidy(scan), documents.schema)

@@ -37,6 +37,7 @@ from .common import (
     materialize,
     mix64,
     prepare,
+    tidy,
 )
 from .components import Forest, connected_components
 
@@ -48,7 +49,7 @@ BITMAP = 8
 #: Shingles of all sets of a block that meet in one task (8 bytes each).
 BLOCK_KEYS = 4_000_000
 #: Set ids a task remembers so as not to emit the same set again.
-_SEEN = 500_000
+_SEEN = 200_000
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> Iterator[np.ndarray]:
@@ -244,7 +245,7 @@ def _scan_sets(docs: DataFrame, n: int) -> DataFrame:
             )
 
     shape = "doc_id long, n long, sid long, bitmap binary, slice int, counts binary"
-    return docs.mapInArrow(scan, shape)
+    return docs.mapInArrow(tidy(scan), shape)
 
 
 def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +265,9 @@ def _sketch(found: DataFrame) -> np.ndarray:
     """Classes of frequency, one byte for each counter: as large at any input."""
     shape = "slice int, counts binary"
     parts = found.filter("slice is not null").select("slice", "counts")
-    spread = parts.repartition(64, "slice", F.substring(F.md5("counts"), 1, 1)).mapInArrow(_add_slices, shape)
+    spread = parts.repartition(64, "slice", F.substring(F.md5("counts"), 1, 1)).mapInArrow(tidy(_add_slices), shape)
     total = np.zeros(SKETCH, np.uint32)
-    for row in spread.repartition(16, "slice").mapInArrow(_add_slices, shape).toLocalIterator():
+    for row in spread.repartition(16, "slice").mapInArrow(tidy(_add_slices), shape).toLocalIterator():
         at = row["slice"] * _SLICE
         total[at : at + _SLICE] = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.uint32)
     return np.minimum(255, np.round(4 * np.log2(1.0 + total))).astype(np.uint8)
@@ -297,7 +298,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, n: int, num: int, den: int) -
                      pa.array(np.concatenate(sizes))], schema=schema
                 )
 
-    return docs.mapInArrow(scan, "token long, sid long, n int")
+    return docs.mapInArrow(tidy(scan), "token long, sid long, n int")
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -451,7 +452,7 @@ def _whole_sets(docs: DataFrame, wanted, sketch: np.ndarray, n: int) -> DataFram
                 [pa.array(sids, pa.int64()), pa.array(keys, pa.binary())], schema=schema
             )
 
-    return docs.mapInArrow(scan, "sid long, keys binary")
+    return docs.mapInArrow(tidy(scan), "sid long, keys binary")
 
 
 def _join_blocks(num: int, den: int) -> Callable:
@@ -497,10 +498,10 @@ def linked_sets(
     sketch = _sketch(found)
     first = _prefixes(docs, sketch, n, num, den)
     parts = first.repartition("token").sortWithinPartitions("token", "n", "sid")
-    met = parts.mapInArrow(_without_lone(num, den), "token long, sid long, n int")
+    met = parts.mapInArrow(tidy(_without_lone(num, den)), "token long, sid long, n int")
     maps = found.filter("sid is not null").groupBy("sid").agg(F.min("bitmap").alias("bitmap"))
     groups = met.join(maps, "sid").repartition("token").sortWithinPartitions("token", "sid")
-    edges = materialize(groups.mapInArrow(_candidates(num, den), "u long, v long").distinct(), "candidates")
+    edges = materialize(groups.mapInArrow(tidy(_candidates(num, den)), "u long, v long").distinct(), "candidates")
     blocks = materialize(connected_components(edges), "blocks")
     sizes = rows.filter("sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
     members = materialize(blocks.join(sizes, blocks["id"] == sizes["sid"]).select("sid", "root", "n", "doc_id"), "members")
@@ -516,7 +517,7 @@ def linked_sets(
     placed = placed.select("sid", F.col("root").alias("block"), part.alias("part"))
     whole = _whole_sets(docs, wanted, sketch, n).join(placed, "sid").select("block", "part", "sid", "keys")
     whole = whole.repartition("block", "part").sortWithinPartitions("block", "part", "sid")
-    return rows, materialize(whole.mapInArrow(_join_blocks(num, den), "u long, v long").distinct(), "links")
+    return rows, materialize(whole.mapInArrow(tidy(_join_blocks(num, den)), "u long, v long").distinct(), "links")
 
 
 def jaccard_components(

@@ -44,7 +44,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
-    return decontaminate.report(docs, items, window=13, share=20).drop("row_id")
+    return decontaminate.report(docs, items, window=13, share=20)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

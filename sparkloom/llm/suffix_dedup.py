@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column
+from .common import column, tidy
 from .repeats import GRAM, Segments, cleaned, covered, repeated_spans
 
 WINDOW = 50
@@ -93,7 +93,7 @@ def report(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     shape = "doc_id long, start long, stop long, n_words long, first_doc_id long"
-    return find_repeats(documents, window).mapInArrow(flat, shape)
+    return find_repeats(documents, window).mapInArrow(tidy(flat), shape)
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
