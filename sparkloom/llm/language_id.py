@@ -22,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, prepare
+from .common import column, materialize, prepare, tidy
 
 DOCS, WINDOWS, WIDTH = 150, 8, 32
+#: Chosen documents (ids and languages, some 30 bytes a row) up to which they are
+#: broadcast to the scan of the texts; beyond, which takes very many languages, joined.
+BROADCAST_DOCS = 100_000
 #: Words of one chain at prediction; a text is cut into such chains.
 CHAIN = 64
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -110,7 +113,7 @@ class Field:
             flat += [x for f in word_features(w) if (x := get(f)) is not None] or [none]
         return np.array(flat, np.int64), np.array(begins, np.int64)
 
-    def word_scores(self, words: list[str], bound: int = 300_000) -> np.ndarray:
+    def word_scores(self, words: list[str], bound: int = 150_000) -> np.ndarray:
         """Emission scores; those of words seen before come from a bounded table."""
         known = self._known
         new = [w for w in dict.fromkeys(words) if w not in known]
@@ -247,6 +250,9 @@ def sample_windows(
         .select(F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang"))
         .distinct()
     )
+    chosen = materialize(chosen, "language-sample")
+    if chosen.count() <= BROADCAST_DOCS:
+        chosen = F.broadcast(chosen)
     texts = may.select("doc_id", "lang", "text").filter("text is not null")
     texts = texts.join(chosen, (texts["doc_id"] == chosen["_doc"]) & (texts["lang"] == chosen["_lang"]))
 
@@ -262,7 +268,7 @@ def sample_windows(
             schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string()))])
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    rows = texts.select("lang", "text").mapInArrow(cut, "lang string, words array<string>")
+    rows = texts.select("lang", "text").mapInArrow(tidy(cut), "lang string, words array<string>")
     return [(r["lang"], list(r["words"])) for r in rows.toLocalIterator()]
 
 
@@ -290,7 +296,7 @@ def predict(documents: DataFrame, field: Field) -> DataFrame:
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text"
     )
-    return docs.mapInArrow(scan, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(tidy(scan), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(documents: DataFrame) -> DataFrame:
@@ -311,4 +317,4 @@ def keep_identified(documents: DataFrame, least: float = 0.35) -> DataFrame:
             found = shared.value.predict(column(batch, "text"))
             yield batch.filter(pa.array([a != "und" and b >= least for a, b in found], pa.bool_()))
 
-    return documents.mapInArrow(scan, documents.schema)
+    return documents.mapInArrow(tidy(scan), documents.schema)
