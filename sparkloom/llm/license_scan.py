@@ -22,20 +22,19 @@ STEPS: tuple[tuple[str, str], ...] = (
     ("[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f «»‐-‧‰-⁞]+", " "),
 )
 
-#: Spellings that count as one, as whole words of the normal text.
+#: Spellings that count as one, where a word of the normal text begins.
 SPELLINGS: tuple[tuple[str, str], ...] = (
-    (r"\blicence", "license"),
-    (r"\bsub license", "sublicense"),
-    (r"\bnon commercial\b", "noncommercial"),
-    (r"\bcopyright owner", "copyright holder"),
-    (r"\borganisation", "organization"),
-    (r"\bredistribution and use in source and binary forms? with or without modifications?\b",
-     "redistribution and use in source and binary forms with or without modification"),
-    (r"\bper cent\b", "percent"),
-    (r"\bwhilst\b", "while"),
-    (r"\bv(ersion|er)? ?([0-9])", "version $2"),
-    (r"\bhttps?\b", "http"),
-)
+    ("(^| |sub)licence", "$1license"),
+    ("(^| )sub license", "$1sublicense"),
+    ("(^| )non commercial", "$1noncommercial"),
+    ("(^| )copyright owner", "$1copyright holder"),
+    ("(^| )organisation", "$1organization"),
+    ("(^| )source and binary forms? with or without modifications?", "$1source and binary forms with or without modification"),
+    ("(^| )per cent", "$1percent"),
+    ("(^| )whilst", "$1while"),
+    ("(^| )v(ersion|er)? ?([0-9])", "$1version $3"),
+    ("(^| )https", "$1http"),
+)
 
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
