@@ -155,12 +155,12 @@ class Field:
             np.add.at(out, np.array(owner[c : c + 4096]), post.sum(axis=1))
         return out / np.maximum(sizes, 1)[:, None]
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score); und with score 0 for texts without a letter."""
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        """(language, score, words); und with score 0 for texts without a letter."""
         split = [words_of(t) for t in texts]
         shares = self.shares(split)
         return [
-            (self.labels[int(np.argmax(s))], float(min(1.0, s.max()))) if w and len(s) else ("und", 0.0)
+            (self.labels[int(np.argmax(s))], float(min(1.0, s.max())), len(w)) if w and len(s) else ("und", 0.0, len(w))
             for w, s in zip(split, shares, strict=True)
         ]
 
@@ -289,8 +289,8 @@ def predict(documents: DataFrame, field: Field) -> DataFrame:
         for batch in batches:
             found = shared.value.predict(column(batch, "text"))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["held_out"], pa.array([a for a, _ in found], pa.string()),
-                 pa.array([b for _, b in found], pa.float64())], schema=schema
+                [batch["doc_id"], batch["held_out"], pa.array([a for a, *_ in found], pa.string()),
+                 pa.array([b for _, b, _ in found], pa.float64())], schema=schema
             )
 
     docs = documents.select(
@@ -304,10 +304,11 @@ def identify(documents: DataFrame) -> DataFrame:
     return predict(documents, fit(sample_windows(documents)))
 
 
-def keep_identified(documents: DataFrame, least: float = 0.35) -> DataFrame:
-    """documents without those whose language is und or has less than the least share.
+def keep_identified(documents: DataFrame, least: float = 0.35, short: int = 20) -> DataFrame:
+    """documents without those whose language is und, or has less than the least share.
 
-    Rows are judged where they are read; all columns stay.
+    Texts of less than short words are too short to be called mixed; of them only und
+    goes. Rows are judged where they are read; all columns stay.
     """
     spark = prepare(documents.sparkSession)
     shared = spark.sparkContext.broadcast(fit(sample_windows(documents)))
@@ -315,6 +316,7 @@ def keep_identified(documents: DataFrame, least: float = 0.35) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value.predict(column(batch, "text"))
-            yield batch.filter(pa.array([a != "und" and b >= least for a, b in found], pa.bool_()))
+            keep = [lang != "und" and (score >= least or n < short) for lang, score, n in found]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(tidy(scan), documents.schema)
