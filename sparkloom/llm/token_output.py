@@ -18,6 +18,7 @@ import json
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary_column, column, prepare, shared_path
+from .common import binary_column, column, prepare, shared_path, tidy
 
 MAGIC, VERSION = b"SLPB", 1
 BLOCK = 1 << 15
@@ -84,19 +85,24 @@ class Encoder:
     versions of Unicode tables differ), go to the library whole.
     """
 
-    _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    _UNSAFE = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u024f\\u2010-\\u2027]")
+    #: The safe ranges: ASCII, and letters, digits and signs up to U+024F and in U+2010-2027.
+    _UNSAFE = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f\u2010-\u2027]")
+    _LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+    _DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+    #: The byte-level split pattern on safe characters, the most common pieces first.
+    _PIECE = re.compile(
+        rf" ?[{_LETTERS}]+| ?[{_DIGITS}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+"
+    )
+    _SPACED = re.compile(rf" [{_LETTERS}]+")
     _loaded: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, known: int = 400_000) -> None:
+    def __init__(self, path: str, known: int = 340_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known, self.table = known, {}
-        self.find = regex.compile(self._PIECE).findall
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
         self.by_piece = (
@@ -115,7 +121,30 @@ class Encoder:
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids by piece. Pieces of a space and letters can stand side by side in one text."""
+        matches = self._SPACED.fullmatch
+        spaced = [p for p in pieces if matches(p)]
+        out = {}
+        for i in range(0, len(spaced), 256):
+            own = spaced[i : i + 256]
+            found = self.tokenizer.encode("".join(own), add_special_tokens=False)
+            words = np.array(found.word_ids, np.int64)
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(words[1:] != words[:-1]) + 1
+            if len(cuts) + 1 != len(own):
+                out.update(zip(own, self._whole(own), strict=True))
+                continue
+            raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
+            begin = 0
+            for p, end in zip(own, ends, strict=True):
+                out[p] = raw[begin:end]
+                begin = end
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, self._whole(rest), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, by text."""
@@ -125,25 +154,19 @@ class Encoder:
         odd = [k for k, t in enumerate(texts) if self._UNSAFE.search(t)]
         for k, ids in zip(odd, self._whole([texts[k] for k in odd]), strict=True):
             out[k] = ids
-        table, split = self.table, {}
-        for k, t in enumerate(texts):
-            if out[k] is None:
-                split[k] = self.find(t)
+        table, find = self.table, self._PIECE.findall
+        split = {k: find(t) for k, t in enumerate(texts) if out[k] is None}
         unseen: set[str] = set()
         for pieces in split.values():
             unseen.update(pieces)
         new = list(unseen.difference(table))
-        if len(table) + len(new) > self.known:
-            own = dict(zip(new, self._whole(new), strict=True))
-            if len(table) < self.known // 2:
-                table.update(own)
-            for k, pieces in split.items():
-                out[k] = b"".join([table.get(p) or own[p] for p in pieces])
-            return out
-        if new:
-            table.update(zip(new, self._whole(new), strict=True))
+        full = len(table) + len(new) > self.known
+        table.update(self._pieces(new))
         for k, pieces in split.items():
             out[k] = b"".join(map(table.__getitem__, pieces))
+        if full:  # what came last is least likely to come again
+            for p in new:
+                del table[p]
         return out
 
 
@@ -191,7 +214,7 @@ def write_token_files(
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = ordered.mapInArrow(encode, _SHAPE)
+    rows = ordered.mapInArrow(tidy(encode), _SHAPE)
     rows.write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(path)
 
 
@@ -218,7 +241,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     shape = "shard int, chunk int, doc_id long, begin long, ids binary"
-    return prepare(spark).read.schema(_SHAPE).parquet(path).mapInArrow(decode, shape)
+    return prepare(spark).read.schema(_SHAPE).parquet(path).mapInArrow(tidy(decode), shape)
 
 
 def chunk_starts(spark: SparkSession, path: str) -> DataFrame:
