@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, column, materialize, prepare
+from .common import binary_column, column, materialize, prepare, tidy
 from .components import connected_components
 
 SAMPLE = 20_000
-RECALL = 0.9999
+RECALL = 0.999
 #: Vectors of one cell that one task holds; larger cells are dealt out in parts.
 CELL = 4_096
+#: Cells with parts (some 24 bytes each) up to which their table is broadcast; beyond, joined.
+BROADCAST_CELLS = 100_000
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -137,6 +139,27 @@ def _vectors(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return x, scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _cell_sizes(nodes: DataFrame, index: dict[int, MultiIndex]) -> DataFrame:
+    """Vectors by label, dimension and cell; counted before the shuffle."""
+    shared = nodes.sparkSession.sparkContext.broadcast(index)
+    schema = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("one", pa.int32()), ("two", pa.int32())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(batch.schema.get_field_index("dim")).to_numpy()
+            for dim in np.unique(dims):
+                own = batch.filter(pa.array(dims == dim))
+                at = shared.value.get(int(dim))
+                label = own.column(own.schema.get_field_index("label"))
+                cells = at.cells(_vectors(own, "embedding")[1]) if at else [np.zeros(own.num_rows)] * 2
+                one, two = (pa.array(c.astype(np.int32)) for c in cells)
+                many = pa.array(np.full(own.num_rows, dim, np.int32))
+                yield pa.RecordBatch.from_arrays([label, many, one, two], schema=schema)
+
+    cells = nodes.select("label", "dim", "embedding").mapInArrow(tidy(scan), "label long, dim int, one int, two int")
+    return cells.groupBy("label", "dim", "one", "two").count()
+
+
 def _visit_rows(nodes: DataFrame, index: dict[int, MultiIndex]) -> DataFrame:
     """Rows of nodes at the cells they visit; in their own they are also stored."""
     shared = nodes.sparkSession.sparkContext.broadcast(index)
@@ -151,7 +174,8 @@ def _visit_rows(nodes: DataFrame, index: dict[int, MultiIndex]) -> DataFrame:
             for dim in np.unique(dims):
                 own = batch.filter(pa.array(dims == dim))
                 x, unit = _vectors(own, "embedding")
-                raw = [v.tobytes() for v in x]
+                single = x.astype(np.float32)  # half the bytes where nothing is lost
+                raw = [v.tobytes() for v in (single if (single == x).all() else x)]
                 node, label, copies = (own.column(own.schema.get_field_index(c)).to_numpy() for c in ("node", "label", "copies"))
                 at = shared.value.get(int(dim))
                 if at is None:  # a dimension the sample had none of: one cell
@@ -169,14 +193,18 @@ def _visit_rows(nodes: DataFrame, index: dict[int, MultiIndex]) -> DataFrame:
                 )
 
     shape = "node long, label long, dim int, one int, two int, stored boolean, copies long, vector binary"
-    return nodes.mapInArrow(scan, shape)
+    return nodes.mapInArrow(tidy(scan), shape)
+
+
+def _numbers(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float64 if len(raw) == 8 * dim else np.float32).astype(np.float64)
 
 
 class CellPart:
     """Stored vectors of one part of a cell; what visitors link with."""
 
-    def __init__(self, cosine: float) -> None:
-        self.cosine = cosine
+    def __init__(self, cosine: float, dim: int) -> None:
+        self.cosine, self.dim = cosine, dim
         self.names: list[int] = []
         self.copies: list[int] = []
         self.vectors: list[bytes] = []
@@ -196,12 +224,12 @@ class CellPart:
         if not self.names or not visitors:
             return []
         if not self.ready:
-            self.x = np.stack([np.frombuffer(v, np.float64) for v in self.vectors])
+            self.x = np.stack([_numbers(v, self.dim) for v in self.vectors])
             self.norm = np.linalg.norm(self.x, axis=1)
             self.node, self.weight = np.array(self.names), np.array(self.copies)
             self.comp = np.arange(len(self.x))
             self.vectors, self.ready = [], True
-        q = np.stack([np.frombuffer(v, np.float64) for _, v in visitors])
+        q = np.stack([_numbers(v, self.dim) for _, v in visitors])
         near = q @ self.x.T >= self.cosine * np.linalg.norm(q, axis=1)[:, None] * self.norm
         out = []
         for (node, _), row in zip(visitors, near, strict=True):
@@ -227,7 +255,7 @@ def _verify(cosine: float, together: int = 512) -> Callable:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, part, visitors = None, CellPart(cosine), []
+        now, part, visitors = None, CellPart(cosine, 0), []
         for batch in batches:
             keys = zip(*(column(batch, c) for c in cell), strict=True)
             own = (column(batch, c) for c in ("stored", "node", "copies"))
@@ -236,7 +264,7 @@ def _verify(cosine: float, together: int = 512) -> Callable:
                     yield rows_of(part.visit(visitors))
                     visitors = []
                 if key != now:
-                    now, part = key, CellPart(cosine)
+                    now, part = key, CellPart(cosine, key[1])
                 if stored:
                     part.store(node, copies, vector)
                 else:
@@ -290,18 +318,22 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.98, recall: float =
     )
     count = nodes.count()
     index = fit_index(nodes, cosine, recall, count)
-    placed = materialize(_visit_rows(nodes, index), "visits")
     cell = ["label", "dim", "one", "two"]
-    sizes = placed.filter("stored").groupBy(*cell).count()
-    parts = sizes.filter(F.col("count") > CELL).select(*cell, F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
-    spread = placed.join(parts, cell, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    parts = _cell_sizes(nodes, index).filter(F.col("count") > CELL)
+    parts = materialize(parts.select(*cell, F.ceil(F.col("count") / CELL).cast("int").alias("parts")), "cells")
+    placed, n_large = _visit_rows(nodes, index), parts.count()
+    if n_large:
+        placed = placed.join(F.broadcast(parts) if n_large <= BROADCAST_CELLS else parts, cell, "left")
+    else:
+        placed = placed.withColumn("parts", F.lit(1))
+    spread = placed.withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
-    kept = spread.filter("stored").withColumn("part", own)
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    visiting = spread.withColumn("stored", F.lit(False)).withColumn("part", every)
-    dealt = kept.unionByName(visiting).drop("parts")
+    visits = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.lit(False).alias("stored"), p.alias("part")))
+    stays = F.when(F.col("stored"), F.array(F.struct(F.lit(True).alias("stored"), own.alias("part"))))
+    rows_at = F.concat(F.coalesce(stays, F.array().cast("array<struct<stored: boolean, part: int>>")), visits)
+    dealt = spread.withColumn("at", F.explode(rows_at)).select("node", *cell, "copies", "vector", "at.stored", "at.part")
     dealt = dealt.repartition(*cell, "part").sortWithinPartitions(*cell, "part", F.desc("stored"), "node")
-    found = materialize(dealt.mapInArrow(_verify(cosine), "node long, links long, other long"), "links")
+    found = materialize(dealt.mapInArrow(tidy(_verify(cosine)), "node long, links long, other long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
     named = nodes.select("node", "copies", "least").join(roots, nodes["node"] == roots["id"], "left")
