@@ -27,6 +27,7 @@ from .common import (
     materialize,
     plain_words,
     prepare,
+    tidy,
 )
 
 #: Words of an anchor's n-gram.
@@ -88,19 +89,24 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             words, counts = hash_words(binary_column(batch, "text"))
             h, text, *_ = anchors(words, counts, window)
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(ids[text])], schema=schema)
+            once = np.unique(np.stack([as_long(h), ids[text]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "anchor long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(scan), "anchor long, doc_id long")
 
 
 _SEGMENT = pa.schema(
     [("anchor", pa.int64()), ("doc_id", pa.int64()), ("tid", pa.int64()), ("place", pa.int64()),
-     ("first", pa.int64()), ("last", pa.int64()), ("words", pa.binary())]
+     ("first", pa.int64()), ("last", pa.int64()), ("words", pa.binary()), ("again", pa.list_(pa.int64()))]
 )
 
 
 def _segments(docs: DataFrame, shared: Bloom, window: int) -> DataFrame:
-    """The words around each occurrence of a shared anchor."""
+    """The words around each occurrence of a shared anchor.
+
+    Occurrences of one document with the same words around them, as in a text that
+    repeats a few words over and over, share a row; again has their further places.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(shared)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,21 +115,35 @@ def _segments(docs: DataFrame, shared: Bloom, window: int) -> DataFrame:
             words, counts = hash_words(raws)
             h, text, place, first, last = anchors(words, counts, window)
             keep = np.flatnonzero(sent.value.may_hold(as_long(h))) if len(h) else np.empty(0, np.int64)
-            cut, at, own = [], -1, []
-            for k in keep:
+            rows: list[int] = []
+            cut: list[bytes] = []
+            again: list[list[int]] = []
+            at, own, seen = -1, [], {}
+            for k in keep.tolist():
                 if text[k] != at:
-                    at, own = text[k], plain_words(raws[text[k]])
-                cut.append(b" ".join(own[first[k] : last[k] + window]))
+                    at, own, seen = text[k], plain_words(raws[text[k]]), {}
+                around = b" ".join(own[first[k] : last[k] + window])
+                same = seen.setdefault((h[k], place[k] - first[k], around), len(rows))
+                if same < len(rows):
+                    again[same].append(int(first[k]))
+                    continue
+                rows.append(k)
+                cut.append(around)
+                again.append([])
+            keep = np.array(rows, np.int64)
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()
             tids = batch.column(batch.schema.get_field_index("tid")).to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(as_long(h[keep])), pa.array(ids[text[keep]]), pa.array(tids[text[keep]]),
-                 pa.array(place[keep]), pa.array(first[keep]), pa.array(last[keep]), pa.array(cut, pa.binary())],
+                 pa.array(place[keep]), pa.array(first[keep]), pa.array(last[keep]), pa.array(cut, pa.binary()),
+                 pa.array(again, pa.list_(pa.int64()))],
                 schema=_SEGMENT,
             )
 
-    shape = "anchor long, doc_id long, tid long, place long, first long, last long, words binary"
-    return docs.mapInArrow(scan, shape)
+    shape = (
+        "anchor long, doc_id long, tid long, place long, first long, last long, words binary, again array<long>"
+    )
+    return docs.mapInArrow(tidy(scan), shape)
 
 
 class Segments:
@@ -146,6 +166,17 @@ class Segments:
         return row, self.first[row] + inner
 
 
+def _everywhere(start: int, stop: int, shifts: list[int]) -> list[tuple[int, int]]:
+    """A run of places and its shifted copies, those that touch joined."""
+    out = [[start, stop]]
+    for shift in sorted(shifts):
+        if start + shift <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], stop + shift)
+        else:
+            out.append([start + shift, stop + shift])
+    return [(a, b) for a, b in out]
+
+
 #: Given segments: for every window (as Segments.windows has them) the smallest doc_id
 #: in which its word sequence starts.
 Finder = Callable[[Segments], np.ndarray]
@@ -210,10 +241,13 @@ def _spans(window: int, finder: Finder) -> Callable:
             new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (least[1:] != least[:-1])
             begin = np.flatnonzero(new)
             end = np.append(begin[1:], len(at)) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own.doc_id[row[begin]]), pa.array(own.tid[row[begin]]), pa.array(start[begin]),
-                 pa.array(start[end] + window), pa.array(least[begin])], schema=schema
-            )
+            again = table["again"].to_pylist()
+            out = []
+            for i, j in zip(begin.tolist(), end.tolist(), strict=True):
+                r, a, b = row[i], int(start[i]), int(start[j]) + window
+                for x, y in _everywhere(a, b, [p - int(own.first[r]) for p in again[r]]):
+                    out.append((own.doc_id[r], own.tid[r], x, y, least[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
 
     return scan
 
@@ -232,7 +266,7 @@ def repeated_spans(documents: DataFrame, window: int, finder: Finder, label: str
     bloom = build_bloom(shared, shared.count())
     groups = _segments(docs, bloom, window).repartition("anchor").sortWithinPartitions("anchor", "doc_id")
     shape = "doc_id long, tid long, start long, stop long, first_doc_id long"
-    spans = groups.mapInArrow(_spans(window, finder), shape)
+    spans = groups.mapInArrow(tidy(_spans(window, finder)), shape)
     whole = F.sort_array(F.collect_set(F.struct("start", "stop", "first_doc_id")))
     return materialize(spans.groupBy("doc_id", "tid").agg(whole.alias("spans")), f"{label}-spans")
 
@@ -299,10 +333,10 @@ def cleaned(documents: DataFrame, spans: DataFrame) -> DataFrame:
             yield finish(batch, column(batch, "spans"))
 
     shape = "doc_id long, n_words long, n_removed long, kept_text binary"
-    rest = docs.mapInArrow(candidates, docs.schema)
+    rest = docs.mapInArrow(tidy(candidates), docs.schema)
     same = rest["doc_id"].eqNullSafe(spans["doc_id"]) & (rest["tid"] == spans["tid"])
     met = rest.join(spans, same, "left").select(rest["doc_id"], "text", "spans")
-    return docs.mapInArrow(untouched, shape).unionByName(met.mapInArrow(touched, shape))
+    return docs.mapInArrow(tidy(untouched), shape).unionByName(met.mapInArrow(tidy(touched), shape))
 
 
 def digest(kept: bytes) -> str:
