@@ -7,8 +7,8 @@ what it meets there is verified by cosine in double precision. Equal vectors of
 label are one node, so copies are not expanded; cells with very many vectors are dealt
 out in parts, each of which sees every visitor.
 
-The codebooks are fitted on a bounded sample (``SAMPLE`` vectors); all vectors are
-indexed. The reach of the traversal is calibrated on the sample: neighbours at exactly
+The codebooks are fitted on a bounded sample (``SAMPLE`` vectors, ``SAMPLE_NUMBERS``
+components); all vectors are indexed. The reach of the traversal is calibrated on the sample: neighbours at exactly
 the threshold are drawn in random directions, and the reach is the quantile of their
 cells' distance bounds at the target recall.
 """
@@ -27,6 +27,8 @@ from .common import binary_column, column, materialize, prepare, tidy
 from .components import connected_components
 
 SAMPLE = 20_000
+#: Components of all vectors in the sample and in the calibration (8 bytes each).
+SAMPLE_NUMBERS = 4_000_000
 RECALL = 0.999
 #: Vectors of one cell that one task holds; larger cells are dealt out in parts.
 CELL = 4_096
@@ -66,7 +68,7 @@ class MultiIndex:
             self.reach = most + 1e-9
             return
         rng = np.random.default_rng(11)
-        x = sample[rng.integers(0, len(sample), 20_000)]
+        x = sample[rng.integers(0, len(sample), max(1, min(SAMPLE, SAMPLE_NUMBERS // sample.shape[1])))]
         y = rng.normal(size=x.shape)
         y -= (y * x).sum(axis=1, keepdims=True) * x
         norm = np.linalg.norm(y, axis=1, keepdims=True)
@@ -274,10 +276,11 @@ def _verify(cosine: float, together: int = 512) -> Callable:
     return scan
 
 
-def fit_index(nodes: DataFrame, cosine: float, recall: float, count: int) -> dict[int, MultiIndex]:
-    """An index for each dimension in a sample of at most SAMPLE vectors, taken by hash."""
+def fit_index(nodes: DataFrame, cosine: float, recall: float, count: int, widest: int) -> dict[int, MultiIndex]:
+    """An index for each dimension in a sample of vectors, taken by hash: at most SAMPLE
+    of them, and at most SAMPLE_NUMBERS components."""
     k = 1 << max(2, min(8, round(np.log2(max(1.0, count / 50)) / 2)))
-    rows = nodes.select("dim", "embedding").orderBy(F.xxhash64("node"), "node").limit(SAMPLE)
+    rows = nodes.select("dim", "embedding").orderBy(F.xxhash64("node"), "node").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // max(1, widest))))
     by_dim: dict[int, list] = {}
     for row in rows.toLocalIterator():
         by_dim.setdefault(row["dim"], []).append(row["embedding"])
@@ -316,8 +319,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.98, recall: float =
         .withColumn("dim", F.size("embedding")),
         "vectors",
     )
-    count = nodes.count()
-    index = fit_index(nodes, cosine, recall, count)
+    size = nodes.agg(F.count("*").alias("n"), F.max("dim").alias("widest")).first()
+    index = fit_index(nodes, cosine, recall, size["n"], size["widest"] or 1)
     cell = ["label", "dim", "one", "two"]
     parts = _cell_sizes(nodes, index).filter(F.col("count") > CELL)
     parts = materialize(parts.select(*cell, F.ceil(F.col("count") / CELL).cast("int").alias("parts")), "cells")
