@@ -1,0 +1,71 @@
+"""Windows of anchors that very many documents share.
+
+A group of one anchor lies in one task. For an anchor in more documents than a task
+should see, the prefix that deals out its suffixes is made as long as the window itself:
+a group is then one window, of which only the smallest document matters. That is a
+minimum combined before the shuffle, so a hot window costs a row for each task, and
+windows that are in one document only, as at the ends of a common passage, are spread
+over all tasks. The join back is on the window; a hot one is a skewed key of a plain
+join, which the adaptive plan splits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .bloom import Bloom
+from .common import as_long, binary_column, gram_hashes, hash_words, mix64, tidy
+
+_OTHER = np.uint64(0xA0761D6478BD642F)
+
+
+def window_spans(docs: DataFrame, hot: Bloom, window: int, anchors: Callable) -> DataFrame:
+    """docs: doc_id, tid, text. Spans (doc_id, tid, start, stop, first_doc_id) of windows
+    of hot anchors that also start in a document with a smaller doc_id.
+
+    A window is known by two 64-bit hashes of its words.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    schema = pa.schema(
+        [("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("tid", pa.int64()), ("starts", pa.list_(pa.int64()))]
+    )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, counts = hash_words(binary_column(batch, "text"))
+            h, text, _, first, last = anchors(words, counts, window)
+            keep = np.flatnonzero(sent.value.may_hold(as_long(h))) if len(h) else np.empty(0, np.int64)
+            if not len(keep):
+                continue
+            begin = (np.cumsum(counts) - counts)[text[keep]]
+            sizes = last[keep] - first[keep] + 1
+            row = np.repeat(np.arange(len(keep)), sizes)
+            start = first[keep][row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            a = gram_hashes(words, window)[begin[row] + start]
+            b = gram_hashes(mix64(words ^ _OTHER), window)[begin[row] + start]
+            own = text[keep][row]
+            order = np.lexsort((start, b, a, own))  # equal windows of a document side by side
+            own, a, b, start = own[order], a[order], b[order], start[order]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            at = np.flatnonzero(new)
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()[own[at]]
+            tids = batch.column(batch.schema.get_field_index("tid")).to_numpy()[own[at]]
+            starts = pa.ListArray.from_arrays(pa.array(np.append(at, len(start)), pa.int32()), pa.array(start))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(as_long(a[at])), pa.array(as_long(b[at])), pa.array(ids), pa.array(tids), starts], schema=schema
+            )
+
+    rows = docs.mapInArrow(tidy(scan), "a long, b long, doc_id long, tid long, starts array<long>")
+    least = rows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    least = least.filter("low < high").drop("high")
+    found = rows.join(least, ["a", "b"]).filter("doc_id > low")
+    start = F.explode("starts").alias("start")
+    return found.select("doc_id", "tid", start, "low").select(
+        "doc_id", "tid", "start", (F.col("start") + window).alias("stop"), F.col("low").alias("first_doc_id")
+    )

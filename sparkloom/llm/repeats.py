@@ -29,9 +29,12 @@ from .common import (
     prepare,
     tidy,
 )
+from .hot_windows import window_spans
 
 #: Words of an anchor's n-gram.
 GRAM = 8
+#: Documents of one anchor from which on its windows are dealt out one by one.
+HOT = 50_000
 #: Rows (anchor occurrences) that a group task looks at together.
 TOGETHER = 8_192
 #: Rows of one anchor that are looked at together before the next of them come.
@@ -101,20 +104,22 @@ _SEGMENT = pa.schema(
 )
 
 
-def _segments(docs: DataFrame, shared: Bloom, window: int) -> DataFrame:
-    """The words around each occurrence of a shared anchor.
+def _segments(docs: DataFrame, shared: Bloom, hot: Bloom | None, window: int) -> DataFrame:
+    """The words around each occurrence of a shared anchor that is not hot.
 
     Occurrences of one document with the same words around them, as in a text that
     repeats a few words over and over, share a row; again has their further places.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(shared)
+    sent = docs.sparkSession.sparkContext.broadcast((shared, hot))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, hot = sent.value
         for batch in batches:
             raws = binary_column(batch, "text")
             words, counts = hash_words(raws)
             h, text, place, first, last = anchors(words, counts, window)
-            keep = np.flatnonzero(sent.value.may_hold(as_long(h))) if len(h) else np.empty(0, np.int64)
+            follow = shared.may_hold(as_long(h)) & (True if hot is None else ~hot.may_hold(as_long(h)))
+            keep = np.flatnonzero(follow)
             rows: list[int] = []
             cut: list[bytes] = []
             again: list[list[int]] = []
@@ -252,21 +257,28 @@ def _spans(window: int, finder: Finder) -> Callable:
     return scan
 
 
-def repeated_spans(documents: DataFrame, window: int, finder: Finder, label: str) -> DataFrame:
+def repeated_spans(
+    documents: DataFrame, window: int, finder: Finder, label: str, hot_from: int | None = None
+) -> DataFrame:
     """Per document with any: doc_id, tid (xxhash64 of the text), spans.
 
     spans: start, stop (word places) and first_doc_id of runs of windows whose word
     sequence also starts in a document with a smaller doc_id.
     """
     prepare(documents.sparkSession)
+    hot_from = HOT if hot_from is None else hot_from
     docs = _numbered(documents)
     occurrences = _anchor_rows(docs, window).groupBy("anchor")
-    ends = occurrences.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = materialize(ends.filter("low < high").select("anchor"), f"{label}-anchors")
-    bloom = build_bloom(shared, shared.count())
-    groups = _segments(docs, bloom, window).repartition("anchor").sortWithinPartitions("anchor", "doc_id")
+    ends = occurrences.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+    shared = materialize(ends.filter("low < high").select("anchor", "n"), f"{label}-anchors")
+    most = shared.agg(F.count("*").alias("n"), F.count_if(F.col("n") >= hot_from).alias("hot")).first()
+    bloom = build_bloom(shared.select("anchor"), most["n"])
+    hot = build_bloom(shared.filter(F.col("n") >= hot_from).select("anchor"), most["hot"]) if most["hot"] else None
+    groups = _segments(docs, bloom, hot, window).repartition("anchor").sortWithinPartitions("anchor", "doc_id")
     shape = "doc_id long, tid long, start long, stop long, first_doc_id long"
     spans = groups.mapInArrow(tidy(_spans(window, finder)), shape)
+    if hot is not None:
+        spans = spans.unionByName(window_spans(docs, hot, window, anchors))
     whole = F.sort_array(F.collect_set(F.struct("start", "stop", "first_doc_id")))
     return materialize(spans.groupBy("doc_id", "tid").agg(whole.alias("spans")), f"{label}-spans")
 
