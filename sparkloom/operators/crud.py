@@ -64,3 +64,20 @@ def upsert(df: DataFrame, rows: DataFrame, key: str, unique: str | None = None)
         clash = (F.lower(F.trim(F.col(unique))) == F.col("_u")) & (F.col(key) != F.col("_k"))
         rows = rows.join(taken, clash, "left_anti")
     return df.join(rows.select(key), key, "left_anti").unionByName(rows)
+
+
+def update_by_position(df: DataFrame, order: list[str], position: int, changes: Mapping[str, Column]) -> DataFrame:
+    """The columns of the row at a place (from 1) of a total order set."""
+    kinds = dict(df.dtypes)
+    placed = df.withColumn("_nth", F.row_number().over(Window.orderBy(*order)))
+    hit = F.col("_nth") == position
+    known = {c: F.when(hit, v.cast(kinds[c])).otherwise(F.col(c)) for c, v in changes.items() if c in kinds}
+    return placed.withColumns(known).drop("_nth")
+
+
+def insert_validated(df: DataFrame, rows: DataFrame, key: str, errors: Column) -> tuple[DataFrame, DataFrame]:
+    """(df with the rows that have no errors, each under a new short random id; the others
+    with their errors). Nothing is added when every row is refused."""
+    judged = rows.withColumn("errors", errors)
+    good = judged.filter(F.size("errors") == 0).drop("errors").withColumn(key, F.substring(F.expr("uuid()"), 1, 8))
+    return df.unionByName(good, allowMissingColumns=True), judged.filter(F.size("errors") > 0)

@@ -39,3 +39,28 @@ def norms(triples: DataFrame, key: str) -> DataFrame:
     """Per item the length of its vector and whether it is unit length."""
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
     return triples.groupBy(key).agg(length.alias("norm")).withColumn("is_unit", F.abs(F.col("norm") - 1) <= 1e-3)
+
+
+def largest_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: entries of either table, and the largest difference of their weights."""
+    x = a.select(key, "term", F.col("weight").alias("x"))
+    y = b.select(key, "term", F.col("weight").alias("y"))
+    joined = x.join(y, [key, "term"], "full_outer")
+    gap = F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))
+    return joined.agg(F.count("*").alias("entries"), F.coalesce(F.max(gap), F.lit(0.0)).alias("largest"))
+
+
+def content_documents(items: DataFrame, tags: DataFrame, key: str, title: Column, genres: Column) -> DataFrame:
+    """Per item: content (title, genre and tag words), num_genres, num_tags.
+
+    tags has one row for each tagged item: key, tags (joined), num_tags; items without
+    any have none. The pseudo genre counts as no genre.
+    """
+    joined = items.join(tags, key, "left")
+    none = F.array_contains(genres, "(none)")
+    words = F.array(title, F.when(~none, F.array_join(genres, " ")), F.coalesce("tags", F.lit("")))
+    kept = F.filter(words, lambda w: F.coalesce(F.trim(w), F.lit("")) != "")
+    return joined.select(
+        key, F.array_join(kept, " ").alias("content"), F.when(none, 0).otherwise(F.size(genres)).alias("num_genres"),
+        F.coalesce("num_tags", F.lit(0)).alias("num_tags"),
+    )

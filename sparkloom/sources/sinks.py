@@ -56,3 +56,22 @@ def read_history(spark: SparkSession, path: str, by: list[str], limit: int = 50)
 def as_json(*columns: str | Column) -> Column:
     """One JSON record for each row."""
     return F.to_json(F.struct(*columns))
+
+
+def with_header(df: DataFrame) -> DataFrame:
+    """JSON lines: the first has the names of the columns, the others one record each."""
+    names = F.to_json(F.struct(F.array(*[F.lit(c) for c in df.columns]).alias("headers")))
+    head = df.sparkSession.range(1).select(F.lit(0).alias("_n"), names.alias("value"))
+    lines = df.select(F.lit(1).alias("_n"), as_json(*df.columns).alias("value"))
+    return head.unionByName(lines)
+
+
+def write_text(df: DataFrame, path: str, line: Column) -> None:
+    """One formatted line for each row."""
+    df.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def refreshed(spark: SparkSession, path: str) -> DataFrame:
+    """A table read anew after its files have changed."""
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.text import normal_tokens
+from sparkloom.functions.validate import errors, number_error
 from sparkloom.operators import crud, metrics, models, search, similarity
 from sparkloom.operators.tfidf import norms, tfidf
 from sparkloom.sources import sinks, tables
@@ -116,3 +117,20 @@ def test_running_counts(spark, tmp_path):
     job.processAllAvailable()
     job.stop()
     assert {tuple(r) for r in spark.table("counts").collect()} == {("a", 2, 1.0), ("b", 2, 3.0)}
+
+
+def test_insert_refuses_what_is_wrong(spark):
+    df = spark.createDataFrame([("aaaaaaaa", "50")], "Record_ID string, Attendance string")
+    rows = spark.createDataFrame([("40",), ("140",)], "Attendance string")
+    found, refused = crud.insert_validated(df, rows, "Record_ID", errors(number_error(F.col("Attendance"), "Attendance", 0, 100)))
+    assert sorted(r["Attendance"] for r in found.collect()) == ["40", "50"]
+    assert [r["errors"] for r in refused.collect()] == [["Attendance: above 100"]]
+    assert all(len(r["Record_ID"]) == 8 for r in found.collect())
+
+
+def test_text_and_refresh(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "id int, t string")
+    sinks.write_text(df, str(tmp_path / "t"), F.format_string("%d: %s", "id", "t"))
+    assert spark.read.text(str(tmp_path / "t")).first()[0] == "1: a"
+    df.write.parquet(str(tmp_path / "p"))
+    assert sinks.refreshed(spark, str(tmp_path / "p")).count() == 1
