@@ -11,8 +11,11 @@
 4. The whole sets of one block meet in one task, in a radix trie over their globally
    ordered shingles. A set is looked up by one traversal, which shares the overlap of
    common paths and leaves out subtrees by their bounds on size and rest; subtrees
-   that belong to its component already are left out too. A block beyond
-   ``BLOCK_KEYS`` is dealt out as a grid of pairs of parts.
+   that belong to its component already are left out too.
+5. A block beyond ``BLOCK_KEYS`` is dealt out in parts, each with the same few pivots of
+   the block. Near copies link with pivots, so nearly all of them end in one component.
+   What does not meets every part in a second round, in which sets of one component
+   count as linked; a pair of which neither is left over is in that component already.
 
 The result holds exactly the components of all pairs with Jaccard >= num / den.
 """
@@ -24,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import build_bloom, split_by
@@ -48,6 +51,8 @@ _SLICE = SKETCH // 16
 BITMAP = 8
 #: Shingles of all sets of a block that meet in one task (8 bytes each).
 BLOCK_KEYS = 4_000_000
+#: Sets of a large block that go to all of its parts in the first round.
+PIVOTS = 64
 #: Set ids a task remembers so as not to emit the same set again.
 _SEEN = 200_000
 
@@ -145,11 +150,14 @@ class TrieJoin:
     def linked(self, overlap: int, n: int, m: int) -> bool:
         return self.den * overlap >= self.num * (n + m - overlap)
 
-    def add(self, keys: np.ndarray) -> int:
-        """keys: ascending. Links the set with all that came before, then stores it."""
+    def add(self, keys: np.ndarray, linked_with: int | None = None) -> int:
+        """keys: ascending. Links the set with all that came before, then stores it.
+
+        linked_with: the number of an earlier set that is known to be in its component.
+        """
         own = keys[::-1]
         i = len(self.parent)
-        self.parent.append(i)
+        self.parent.append(i if linked_with is None else self.find(linked_with))
         self.sizes.append(len(keys))
         if len(keys):
             self._traverse(i, keys)
@@ -459,10 +467,13 @@ def _join_blocks(num: int, den: int) -> Callable:
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(block: dict[int, np.ndarray]) -> pa.RecordBatch:
-            trie, sids = TrieJoin(num, den), sorted(block, key=lambda s: (len(block[s]), s))
+        def finish(block: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            trie, sids = TrieJoin(num, den), sorted(block, key=lambda s: (len(block[s][1]), s))
+            first: dict[int, int] = {}
             for s in sids:
-                trie.add(block[s])
+                comp, keys = block[s]
+                i = trie.add(keys, first.get(comp))
+                first.setdefault(comp, i)
             pairs = [(s, sids[trie.find(i)]) for i, s in enumerate(sids)]
             pairs = [(a, b) for a, b in pairs if a != b]
             return pa.RecordBatch.from_arrays(
@@ -473,12 +484,13 @@ def _join_blocks(num: int, den: int) -> Callable:
         now, block = None, {}
         for batch in batches:
             groups = zip(column(batch, "block"), column(batch, "part"), strict=True)
-            for key, sid, raw in zip(groups, column(batch, "sid"), binary_column(batch, "keys"), strict=True):
+            rows = zip(groups, column(batch, "sid"), column(batch, "comp"), binary_column(batch, "keys"), strict=True)
+            for key, sid, comp, raw in rows:
                 if key != now:
                     if len(block) > 1:
                         yield finish(block)
                     now, block = key, {}
-                block[sid] = np.frombuffer(raw, np.uint64)
+                block[sid] = comp, np.frombuffer(raw, np.uint64)
         if len(block) > 1:
             yield finish(block)
 
@@ -506,18 +518,37 @@ def linked_sets(
     sizes = rows.filter("sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
     members = materialize(blocks.join(sizes, blocks["id"] == sizes["sid"]).select("sid", "root", "n", "doc_id"), "members")
     wanted = build_bloom(members.select(F.coalesce("doc_id", F.lit(-1))), members.count())
+    whole = _whole_sets(docs, wanted, sketch, n)
+
+    def joined(placed: DataFrame) -> DataFrame:
+        """placed: sid, block, part, comp. Links of the sets that meet in a part."""
+        dealt = whole.join(placed, "sid").select("block", "part", "sid", "comp", "keys")
+        dealt = dealt.repartition("block", "part").sortWithinPartitions("block", "part", "sid")
+        found = dealt.mapInArrow(tidy(_join_blocks(num, den)), "u long, v long")
+        return materialize(found.distinct(), "links")
+
     weight = members.groupBy("root").agg(F.sum("n").alias("w"))
-    split = F.ceil(F.col("w") / F.lit(block_keys)).cast("int")
-    weight = weight.select("root", F.when(F.col("w") > block_keys, split * 2).otherwise(1).alias("k"))
-    own = F.pmod(F.xxhash64("sid"), F.col("k").cast("long")).cast("int")
-    placed = members.join(weight, "root").withColumn("own", own)
-    other = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1)))
-    placed = placed.withColumn("other", other)
-    part = F.least("own", "other").cast("long") * F.col("k") + F.greatest("own", "other")
-    placed = placed.select("sid", F.col("root").alias("block"), part.alias("part"))
-    whole = _whole_sets(docs, wanted, sketch, n).join(placed, "sid").select("block", "part", "sid", "keys")
-    whole = whole.repartition("block", "part").sortWithinPartitions("block", "part", "sid")
-    return rows, materialize(whole.mapInArrow(tidy(_join_blocks(num, den)), "u long, v long").distinct(), "links")
+    parts = F.when(F.col("w") > block_keys, F.ceil(F.col("w") / F.lit(block_keys)) + 1).otherwise(1)
+    placed = members.join(weight.select("root", parts.cast("long").alias("k")), "root")
+    own = F.pmod(F.xxhash64("sid"), F.col("k"))
+    placed = materialize(placed.select("sid", F.col("root").alias("block"), own.alias("part"), "k"), "placed")
+    alone = F.col("sid").alias("comp")
+    large = placed.filter("k > 1")
+    if not large.limit(1).count():
+        return rows, joined(placed.select("sid", "block", "part", alone))
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("part")
+    nth = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("sid", F.lit(1)), "sid"))
+    pivots = large.withColumn("_nth", nth).filter(F.col("_nth") <= PIVOTS).select("sid", "block", everywhere)
+    first_round = placed.select("sid", "block", "part").unionByName(pivots).distinct()
+    links = joined(first_round.select("sid", "block", "part", alone))
+    named = large.join(connected_components(links), large["sid"] == F.col("id"), "left")
+    named = named.select("sid", "block", "part", "k", F.coalesce("root", "sid").alias("comp"))
+    named = materialize(named, "named")
+    sizes = named.groupBy("block", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("block").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    left_over = named.join(main, "block").filter("comp <> main").select("sid", "block", everywhere, "comp")
+    second_round = named.select("sid", "block", "part", "comp").unionByName(left_over).distinct()
+    return rows, links.unionByName(joined(second_round))
 
 
 def jaccard_components(

@@ -76,6 +76,29 @@ def test_long_texts_and_parts(spark):
         assert got == want
 
 
+def test_a_block_of_several_clusters_in_parts(spark, monkeypatch):
+    """Near copies around three texts that are near each other, dealt out in many parts."""
+    monkeypatch.setattr(J, "PIVOTS", 3)
+    rng = random.Random(11)
+    base = sentence(rng, 160, 5000).split()
+    rows = []
+    for c in range(3):
+        own = list(base)
+        for p in range(5 * c):
+            own[p * 7] = f"c{c}.{p}"
+        for i in range(25):
+            words = list(own)
+            for _ in range(rng.randrange(0, 5)):
+                words[rng.randrange(len(words))] = f"z{rng.randrange(10**6)}"
+            rows.append((100 * c + i, " ".join(words), "en", "s"))
+    docs = frame(spark, rows)
+    want = brute(rows, 4, 85, 100)
+    assert 1 < len({w[2] for w in want}) < len(rows)
+    for block in (1000, 4000):
+        got = sorted((tuple(r) for r in J.jaccard_components(docs, 4, 85, 100, block).collect()), key=repr)
+        assert got == want
+
+
 def test_keep_one(docs, rows):
     kept = J.keep_one_per_component(docs, 5, 80, 100)
     assert kept.columns == docs.columns
