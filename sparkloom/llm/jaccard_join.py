@@ -226,7 +226,7 @@ def _scan_sets(docs: DataFrame, n: int) -> DataFrame:
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.uint32)
+        counts = np.zeros(SKETCH, np.uint64)
         for batch in batches:
             sizes, sids, bitmaps, buckets = [], [], [], []
             for grams in shingle_sets(binary_column(batch, "text"), n):
@@ -236,7 +236,7 @@ def _scan_sets(docs: DataFrame, n: int) -> DataFrame:
                 bitmaps.append(parity_bitmap(own).tobytes() if len(own) else None)
                 buckets.append(((own >> np.uint64(8)) & np.uint64(SKETCH - 1)).astype(np.uint32))
             if buckets:
-                np.add.at(counts, np.concatenate(buckets), np.uint32(1))
+                np.add.at(counts, np.concatenate(buckets), np.uint64(1))
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
@@ -260,7 +260,7 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(column(batch, "slice"), binary_column(batch, "counts"), strict=True):
-            part = np.frombuffer(zlib.decompress(raw), np.uint32)
+            part = np.frombuffer(zlib.decompress(raw), np.uint64)
             held[k] = held[k] + part if k in held else part
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(held), pa.int32()),
@@ -274,10 +274,10 @@ def _sketch(found: DataFrame) -> np.ndarray:
     shape = "slice int, counts binary"
     parts = found.filter("slice is not null").select("slice", "counts")
     spread = parts.repartition(64, "slice", F.substring(F.md5("counts"), 1, 1)).mapInArrow(tidy(_add_slices), shape)
-    total = np.zeros(SKETCH, np.uint32)
+    total = np.zeros(SKETCH, np.uint64)
     for row in spread.repartition(16, "slice").mapInArrow(tidy(_add_slices), shape).toLocalIterator():
         at = row["slice"] * _SLICE
-        total[at : at + _SLICE] = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.uint32)
+        total[at : at + _SLICE] = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.uint64)
     return np.minimum(255, np.round(4 * np.log2(1.0 + total))).astype(np.uint8)
 
 
