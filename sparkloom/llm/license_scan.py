@@ -131,14 +131,28 @@ NOTICES: tuple[tuple[str, str], ...] = (
 KNOWN = TEXTS + NOTICES
 
 
-def normal_text(text: Column) -> Column:
-    """The normal form of a text; null stays null."""
+#: What every text holds in which one of the spellings applies: one look instead of ten.
+_ANY_SPELLING = "licence|sub licen|non commercial|copyright owner|organisation|binary form|per cent|whilst|v(ersion|er)? ?[0-9]|https"
+
+
+def _folded(text: Column) -> Column:
+    """Lower case, without copyright lines and punctuation; null stays null."""
     out = F.translate(text, _UPPER, _LOWER)
     for pattern, to in STEPS:
         out = F.regexp_replace(out, pattern, to.replace(r"\n", "\n"))
+    return out
+
+
+def _one_spelling(folded: Column) -> Column:
+    out = folded
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    return F.trim(F.when(folded.rlike(_ANY_SPELLING), out).otherwise(folded))
+
+
+def normal_text(text: Column) -> Column:
+    """The normal form of a text; null stays null."""
+    return _one_spelling(_folded(text))
 
 
 def _spelled(text: Column) -> Column:
@@ -168,7 +182,8 @@ def scan_licenses(documents: DataFrame, known: tuple[tuple[str, str], ...] = KNO
     lookup = F.map_from_entries(F.array(*[F.struct(F.lit(r["_known"]), F.lit(r["license_id"])) for r in table.collect()]))
     lines = F.filter(F.split("text", "\n"), lambda x: _spelled(x))
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, F.md5(normal_text(x)))), lambda x: x.isNotNull())
-    digests = documents.select("doc_id", F.md5(normal_text(F.col("text"))).alias("digest"), found.alias("_found"))
+    folded = documents.select("doc_id", _folded(F.col("text")).alias("_folded"), F.when(_spelled(F.col("text")), found).alias("_found"))
+    digests = folded.select("doc_id", F.md5(_one_spelling(F.col("_folded"))).alias("digest"), "_found")
     joined = digests.join(F.broadcast(table), digests["digest"] == table["_known"], "left")
     none = F.array().cast("array<string>")
     return joined.select(
