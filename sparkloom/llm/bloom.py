@@ -80,7 +80,7 @@ def build_bloom(keys: DataFrame, count: int) -> Bloom:
     slices = bits // _SLICE
     merged = parts.repartition(max(1, min(slices, 256)), "slice").mapInArrow(tidy(_merge), shape)
     packed = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # at most MOST_BITS, 32 MB
         packed[row["slice"] * _SLICE // 8 : (row["slice"] + 1) * _SLICE // 8] = np.frombuffer(
             bytes(row["bits"]), np.uint8
         )

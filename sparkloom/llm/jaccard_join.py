@@ -273,9 +273,9 @@ def _sketch(found: DataFrame) -> np.ndarray:
     """Classes of frequency, one byte for each counter: as large at any input."""
     shape = "slice int, counts binary"
     parts = found.filter("slice is not null").select("slice", "counts")
-    spread = parts.repartition(64, "slice", F.substring(F.md5("counts"), 1, 1)).mapInArrow(tidy(_add_slices), shape)
+    spread = parts.repartition("slice", F.substring(F.md5("counts"), 1, 1)).mapInArrow(tidy(_add_slices), shape)
     total = np.zeros(SKETCH, np.uint64)
-    for row in spread.repartition(16, "slice").mapInArrow(tidy(_add_slices), shape).toLocalIterator():
+    for row in spread.repartition(4, "slice").mapInArrow(tidy(_add_slices), shape).collect():  # 16 rows, 8 MB
         at = row["slice"] * _SLICE
         total[at : at + _SLICE] = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.uint64)
     return np.minimum(255, np.round(4 * np.log2(1.0 + total))).astype(np.uint8)
