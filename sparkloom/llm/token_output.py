@@ -18,6 +18,7 @@ import json
 import os
 import re
 import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -52,7 +53,7 @@ def from_planes(planes: list[bytes], n: int, kind: int) -> np.ndarray:
     return np.ascontiguousarray(rows.T).view("<u4").ravel()
 
 
-def pack(ids: np.ndarray, kind: int = 8, block: int = BLOCK, level: int = 3) -> bytes:
+def pack(ids: np.ndarray, kind: int = 8, block: int = BLOCK, level: int = 1) -> bytes:
     """One chunk of ids as bytes."""
     squeeze = zstandard.ZstdCompressor(level=level)
     planes = [squeeze.compress(p) for i in range(0, len(ids), block) for p in to_planes(ids[i : i + block], kind)]
@@ -244,6 +245,34 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return prepare(spark).read.schema(_SHAPE).parquet(path).mapInArrow(tidy(decode), shape)
 
 
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """Per document: shard, chunk, doc_id, begin (in its chunk), n_tokens, ids_crc32; the
+    ids are read and digested where the chunk is, and go no further."""
+    schema = pa.schema(
+        [("shard", pa.int32()), ("chunk", pa.int32()), ("doc_id", pa.int64()), ("begin", pa.int64()),
+         ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+    )
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in enumerate(binary_column(batch, "data")):
+                raw = memoryview(unpack(data)).cast("B")
+                lengths = np.array(batch["lengths"][k].as_py(), np.int64)
+                ends = np.cumsum(lengths)
+                n = len(lengths)
+                cuts = zip((4 * (ends - lengths)).tolist(), (4 * ends).tolist(), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch["shard"][k].as_py()] * n, pa.int32()),
+                     pa.array([batch["chunk"][k].as_py()] * n, pa.int32()),
+                     pa.array(batch["doc_ids"][k].as_py(), pa.int64()), pa.array(ends - lengths), pa.array(lengths),
+                     pa.array([zlib.crc32(raw[b:e]) for b, e in cuts], pa.int64())],
+                    schema=schema,
+                )
+
+    shape = "shard int, chunk int, doc_id long, begin long, n_tokens long, ids_crc32 long"
+    return prepare(spark).read.schema(_SHAPE).parquet(path).mapInArrow(tidy(decode), shape)
+
+
 def chunk_starts(spark: SparkSession, path: str) -> DataFrame:
     """Per chunk (shard, chunk): ids of all chunks before it. Reads the index columns only."""
     index = spark.read.schema(_SHAPE).parquet(path).select("shard", "chunk", "n_ids")
@@ -262,11 +291,7 @@ def report(documents: DataFrame, tokenizer: str, end_id: int = 2, kind: int = 8)
     spark = documents.sparkSession
     path = shared_path(spark, "token-ids")
     write_token_files(documents, path, tokenizer, end_id, kind)
-    read = read_documents(spark, path).select(
-        "shard", "chunk", "doc_id", "begin",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"),
-    )
+    read = read_digests(spark, path)
     return read.join(chunk_starts(spark, path), ["shard", "chunk"]).select(
         "doc_id", (F.col("chunk_start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -308,6 +308,18 @@ def test_tokens(docs, rows, no_docs):
     assert token_output.report(no_docs, queries.tokenizer_path()).count() == 0
 
 
+def test_files_give_back_the_ids(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/ids"
+    token_output.write_token_files(docs, path, queries.tokenizer_path(), chunk=500)
+    got = Counter((r["doc_id"], bytes(r["ids"])) for r in token_output.read_documents(spark, path).collect())
+    encoder = token_output.Encoder(queries.tokenizer_path())
+    stop = np.array([2], "<u4").tobytes()
+    texts = docs.select("doc_id", "text").collect()
+    assert got == Counter((r["doc_id"], encoder.encode([r["text"] or ""])[0] + stop) for r in texts)
+    starts = [r["chunk_start"] for r in token_output.chunk_starts(spark, path).orderBy("shard", "chunk").collect()]
+    assert starts[0] == 0 and starts == sorted(starts) and len(starts) > 3
+
+
 @pytest.mark.parametrize("kind", [8, 1])
 @pytest.mark.parametrize("n", [0, 1, 7, 100, 101, 1000])
 def test_planes_round_trip(kind, n):
