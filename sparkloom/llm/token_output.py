@@ -97,7 +97,7 @@ class Encoder:
     _SPACED = re.compile(rf" [{_LETTERS}]+")
     _loaded: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, known: int = 340_000) -> None:
+    def __init__(self, path: str, known: int = 440_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
