@@ -16,18 +16,19 @@ def terms(df: DataFrame, key: str, tokens: Column, sizes: tuple[int, ...] = (1,
 
 def tfidf(
     df: DataFrame, key: str, tokens: Column, sizes: tuple[int, ...] = (1, 2), min_df: int = 2, max_df: float = 0.9,
-    max_features: int = 20_000, sublinear: bool = True,
+    max_features: int | None = 20_000, sublinear: bool = True,
 ) -> DataFrame:
     """(key, term, weight): sublinear tf times ln((1 + N) / (1 + df)) + 1, of unit length.
 
     Terms in too few or too many documents are left out; of more than max_features the
-    most counted stay, ties by term.
+    most counted stay, ties by term; None keeps every term.
     """
     tf = terms(df, key, tokens, sizes)
     n = df.agg(F.count_distinct(key).alias("n_docs"))
     stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     kept = stats.crossJoin(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n_docs") * max_df))
-    kept = kept.orderBy(F.desc("total"), "term").limit(max_features)
+    if max_features is not None:
+        kept = kept.orderBy(F.desc("total"), "term").limit(max_features)
     idf = (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf")
     scaled = 1.0 + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
     raw = tf.join(kept.select("term", idf), "term").select(key, "term", (scaled * F.col("idf")).alias("w"))

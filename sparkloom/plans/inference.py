@@ -142,7 +142,7 @@ def tfidf_configs(t: Tables) -> DataFrame:
     out = None
     for name, stop, low, high, sub in _CONFIGS:
         tokens = normal_tokens(F.col("t"))
-        triples = tfidf(docs, "p_partkey", remove_stopwords(tokens) if stop else tokens, (1,), low, high, 1_000_000, sub)
+        triples = tfidf(docs, "p_partkey", remove_stopwords(tokens) if stop else tokens, (1,), low, high, None, sub)
         one = triples.agg(F.lit(name).alias("config"), F.count("*").alias("entries"), F.count_distinct("term").alias("terms"), F.round(F.sum("weight"), 3).alias("total"))
         out = one if out is None else out.unionByName(one)
     return out

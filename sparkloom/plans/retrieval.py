@@ -148,7 +148,7 @@ _CONV = r"""d as (select conv_id, turn, role, conv_id * 1000 + turn as id, regex
 def _question_scores(t: Tables) -> DataFrame:
     """Cosine of the questions of every hundredth conversation with all answers."""
     c = t.conversations.filter("text is not null").select("conv_id", "role", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    triples = tfidf(c, "id", normal_tokens(F.col("text")), sizes=(1,))
+    triples = tfidf(c, "id", normal_tokens(F.col("text")), sizes=(1,), max_features=None)
     named = triples.join(c.select("id", "conv_id", "role"), "id")
     asked = named.filter("role = 'user' and conv_id % 100 = 0").select(F.col("id").alias("q"), "term", "weight")
     answers = named.filter("role = 'assistant'").select(F.col("id").alias("a"), "term", "weight")
