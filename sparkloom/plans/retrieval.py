@@ -145,6 +145,13 @@ _CONV = r"""d as (select conv_id, turn, role, conv_id * 1000 + turn as id, regex
   sc as (select q, a, any_value(q.conv_id) as qc, any_value(a.conv_id) as ac, round(sum(q.weight * a.weight), 6) as score from q join a using (term) group by 1, 2)"""
 
 
+def _questions(t: Tables) -> DataFrame:
+    """The stated query set, with or without text: q and its group of conversations."""
+    asked = t.conversations.filter("role = 'user' and conv_id % 100 = 0 and turn is not null")
+    q = (F.col("conv_id") * 1000 + F.col("turn")).alias("q")
+    return asked.select(q).distinct().withColumn("g", F.expr("floor(q / 1000) % 5"))
+
+
 def _question_scores(t: Tables) -> DataFrame:
     """Cosine of the questions of every hundredth conversation with all answers."""
     c = t.conversations.filter("text is not null").select("conv_id", "role", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
@@ -158,16 +165,25 @@ def _question_scores(t: Tables) -> DataFrame:
 
 @query(f"with {_CONV} select q as question_id, max(score) as relevance, max(score) < 0.40 as out_of_domain from sc group by 1")
 def query_relevance(t: Tables) -> DataFrame:
-    best = F.max("score")
-    return _question_scores(t).groupBy(F.col("q").alias("question_id")).agg(best.alias("relevance"), (best < 0.40).alias("out_of_domain"))
+    """Questions that share no term with any answer have relevance 0."""
+    best = _question_scores(t).groupBy("q").agg(F.max("score").alias("best"))
+    relevance = F.coalesce("best", F.lit(0.0))
+    return _questions(t).join(best, "q", "left").select(F.col("q").alias("question_id"), relevance.alias("relevance"), (relevance < 0.40).alias("out_of_domain"))
 
 
 @query(f"with {_CONV} select q as question_id, a as answer_id, score from (select q, a, score, row_number() over (partition by q order by score desc, a) as r from sc where qc % 5 = ac % 5) where r = 1")
 def best_answer(t: Tables) -> DataFrame:
-    """The best answer of the question's own group of conversations."""
+    """The best answer of the question's own group of conversations.
+
+    Where no term is shared it is the group's first answer, with score 0; null in a group without answers.
+    """
     scored = _question_scores(t).filter("floor(q / 1000) % 5 = floor(a / 1000) % 5")
     best = F.max_by(F.struct("a", "score"), F.struct("score", -F.col("a")))
-    return scored.groupBy(F.col("q").alias("question_id")).agg(best.alias("b")).select("question_id", F.col("b.a").alias("answer_id"), "b.score")
+    scored = scored.groupBy("q").agg(best.alias("b"))
+    answers = t.conversations.filter("role = 'assistant' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("a"))
+    first = answers.groupBy(F.expr("floor(a / 1000) % 5").alias("g")).agg(F.min("a").alias("first"))
+    every = _questions(t).join(F.broadcast(first), "g", "left").join(scored, "q", "left")
+    return every.select(F.col("q").alias("question_id"), F.coalesce("b.a", "first").alias("answer_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
 @query("""with q as (select vec_id as query_id, embedding::double[] as e from embeddings where vec_id % 100 = 0),

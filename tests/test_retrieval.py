@@ -19,3 +19,11 @@ def test_terms_beyond_the_20000_most_counted_are_searched(spark, tmp_path):
     rows += [(10_000, 1, "assistant", "zebra"), (100, 0, "user", "zebra")]
     relevance, best = answers(spark, tmp_path, rows)
     assert relevance == {100_000: (1.0, False)} and best == {100_000: (10_000_001, 1.0)}
+
+
+def test_questions_without_a_shared_term_stay(spark, tmp_path):
+    rows = [(5, 1, "assistant", "red car"), (10, 1, "assistant", "blue car"), (100, 0, "user", "blue car"), (200, 0, "user", "unheard")]
+    rows += [(300, 0, "user", ""), (400, 0, "user", None), (1, 1, "assistant", "pear"), (500, 0, "user", "pear"), (6, 1, "assistant", None)]
+    relevance, best = answers(spark, tmp_path, rows)
+    assert relevance == {100_000: (1.0, False), 200_000: (0.0, True), 300_000: (0.0, True), 400_000: (0.0, True), 500_000: (1.0, False)}
+    assert best == {100_000: (10_001, 1.0), 200_000: (5001, 0.0), 300_000: (5001, 0.0), 400_000: (5001, 0.0), 500_000: (5001, 0.0)}
