@@ -30,11 +30,13 @@ DOCS, WINDOWS, WIDTH = 150, 8, 32
 BROADCAST_DOCS = 100_000
 #: Words of one chain at prediction; a text is cut into such chains.
 CHAIN = 64
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Letters of one word; longer runs, as of scripts without spaces, are read as consecutive words of so many.
+LONGEST = 40
+_WORDS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters; none where no character is a letter."""
+    """Lower-cased runs of letters, long ones in pieces; none where no character is a letter."""
     if not text:
         return []
     found = _WORDS.findall(text.lower())
@@ -45,8 +47,7 @@ def words_of(text: str | None) -> list[str]:
 
 def word_features(word: str) -> list[str]:
     """Affixes, n-grams and the word itself, each with its kind in front."""
-    w = word[:40]  # an affix model needs no more of a run of letters
-    n = len(w)
+    w, n = word, len(word)
     out = ["=" + w, "<" + w[:1], ">" + w[-1:]]
     if n > 1:
         out += ["<" + w[:2], ">" + w[-2:]]

@@ -270,6 +270,15 @@ def test_words_of_switched_text(polyglot):
     assert labels == ["aa"] * 3 + ["bb"] * 3
 
 
+def test_long_runs_are_read_to_their_end(polyglot):
+    field = language_id.fit(language_id.sample_windows(polyglot))
+    a, b = "abcde" * 8, "xyzéw" * 100
+    assert language_id.words_of("".join([a, b])) == [a] + [b[i : i + 40] for i in range(0, 500, 40)]
+    assert [lang for _, lang, _ in field.label_words(a + b)] == ["aa"] + ["bb"] * 13
+    ((lang, score, words),) = field.predict([a + b])
+    assert (lang, words) == ("bb", 14) and score > 0.8
+
+
 def test_nothing_to_learn(polyglot):
     blank = polyglot.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.identify(blank).collect()} == {"und"}
