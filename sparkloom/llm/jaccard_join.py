@@ -221,7 +221,7 @@ class TrieJoin:
 def _scan_sets(docs: DataFrame, n: int) -> DataFrame:
     """A row per document, and per task the slices of its sketch."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bitmap", pa.binary()),
+        [("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bitmap", pa.binary()),
          ("slice", pa.int32()), ("counts", pa.binary())]
     )
 
@@ -240,6 +240,7 @@ def _scan_sets(docs: DataFrame, n: int) -> DataFrame:
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
+                 batch.column(own_at) if (own_at := batch.schema.get_field_index("_own")) >= 0 else pa.nulls(k, pa.int64()),
                  pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(bitmaps, pa.binary()),
                  pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema
             )
@@ -247,12 +248,12 @@ def _scan_sets(docs: DataFrame, n: int) -> DataFrame:
             parts = [zlib.compress(counts[i : i + _SLICE].tobytes(), 1) for i in range(0, SKETCH, _SLICE)]
             k = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
                  pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())],
                 schema=schema,
             )
 
-    shape = "doc_id long, n long, sid long, bitmap binary, slice int, counts binary"
+    shape = "doc_id long, own long, n long, sid long, bitmap binary, slice int, counts binary"
     return docs.mapInArrow(tidy(scan), shape)
 
 
@@ -500,13 +501,15 @@ def _join_blocks(num: int, den: int) -> Callable:
 def linked_sets(
     docs: DataFrame, n: int, num: int, den: int, block_keys: int = BLOCK_KEYS
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n, sid; links: u, v between set ids).
+    """(documents: doc_id, own, n, sid; links: u, v between set ids).
 
-    The links span each component of the sets; sid is null without shingles.
+    The links span each component of the sets; sid is null without shingles, own is the
+    column _own where docs have one.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(_scan_sets(docs, n), "sets")
-    rows = found.filter("slice is null").select("doc_id", "n", "sid")
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    found = materialize(_scan_sets(docs.select(doc_id, "text", *(["_own"] if "_own" in docs.columns else [])), n), "sets")
+    docs = docs.select(doc_id, "text")
+    rows = found.filter("slice is null").select("doc_id", "own", "n", "sid")
     sketch = _sketch(found)
     first = _prefixes(docs, sketch, n, num, den)
     parts = first.repartition("token").sortWithinPartitions("token", "n", "sid")
@@ -580,13 +583,31 @@ def jaccard_components(
 def keep_one_per_component(
     documents: DataFrame, n: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
-    """documents with the smallest doc_id of each component only; all columns stay.
+    """documents with one document of each component only; all columns stay.
 
-    Of several rows with that same doc_id one stays. Texts without shingles stay.
+    A document is a doc_id with its text. The smallest doc_id stays, null last, and of its
+    texts the one with the smallest hash. Rows that repeat a doc_id and its text stay
+    together; of rows with a null doc_id and the same text one stays. Texts without
+    shingles stay.
     """
-    found = materialize(jaccard_components(documents, n, num, den), "jaccard")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    bloom = build_bloom(gone, gone.count())
-    stay, may_go = split_by(documents, bloom, "doc_id")
-    kept = may_go.join(gone, may_go["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    return stay.unionByName(kept)
+    prepare(documents.sparkSession)
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    rows, links = linked_sets(documents.withColumn("_own", own), n, num, den)
+    rows = rows.filter("sid is not null")
+    roots = connected_components(links)
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", F.col("own").alias("h"))
+    first = rows.groupBy("sid").agg(F.min(order).alias("first"))
+    first = first.join(roots, first["sid"] == roots["id"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
+    best = first.groupBy("root").agg(F.min("first").alias("best"))
+    named = first.join(best, "root").select("sid", F.col("best.h").alias("best"))
+    judged = materialize(rows.join(named, "sid").select("doc_id", "own", "best"), "jaccard")
+    gone = judged.filter("own <> best").select(F.col("own").alias("_gone")).distinct()
+    spare = judged.filter("own = best and doc_id is null").groupBy("own").agg(F.count("*").alias("n")).filter("n > 1")
+    spare = spare.select(F.col("own").alias("_gone"))
+    listed = materialize(gone.withColumn("_all", F.lit(True)).unionByName(spare.withColumn("_all", F.lit(False))), "gone")
+    bloom = build_bloom(listed.select("_gone"), listed.count())
+    stay, may_go = split_by(documents.withColumn("_own", own), bloom, "_own")
+    met = may_go.join(listed, may_go["_own"] == listed["_gone"], "left")
+    kept = met.filter("_all is null").select(stay.columns)
+    one = met.filter("not _all").select(stay.columns).dropDuplicates(["_own"])
+    return stay.unionByName(kept).unionByName(one).drop("_own")

@@ -106,6 +106,16 @@ def test_keep_one(docs, rows):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d = (sentence(rng, 80) for _ in range(4))
+    rows = [(1, a), (None, a), (2, a), (2, b), (None, c), (None, c), (3, d), (3, d + " end"), (None, None), (None, None)]
+    kept = J.keep_one_per_component(frame(spark, [(i, t, "en", "s") for i, t in rows]), 5, 80, 100).collect()
+    got = sorted(((r["doc_id"], r["text"]) for r in kept if r["doc_id"] != 3), key=repr)
+    assert got == sorted([(1, a), (2, b), (None, c), (None, None), (None, None)], key=repr)
+    assert [r["text"] in (d, d + " end") for r in kept if r["doc_id"] == 3] == [True]
+
+
 def test_empty(no_docs):
     assert J.jaccard_components(no_docs).count() == 0
 
