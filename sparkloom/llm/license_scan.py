@@ -9,6 +9,8 @@ it is one pass of built-in functions without a shuffle.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,6 +132,37 @@ NOTICES: tuple[tuple[str, str], ...] = (
 
 KNOWN = TEXTS + NOTICES
 
+#: Titles under which the texts above are usual, besides none.
+TITLES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("MIT", ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)")),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License")),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License")),
+    ("ISC", ("ISC License", "The ISC License", "ISC License (ISC)")),
+    ("0BSD", ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License")),
+    ("Zlib", ("zlib License", "The zlib License", "zlib/libpng License")),
+)
+
+#: Where the texts of the longer licences end when they come without their appendix.
+_APPENDICES = ("APPENDIX: How to apply", "How to Apply These Terms", "Exhibit A - Source Code Form License Notice")
+
+
+def usual_forms() -> tuple[tuple[str, str], ...]:
+    """The texts with and without titles, list numbers and appendices; the longer ones lie in licenses/."""
+    out = []
+    for license_id, titles in TITLES:
+        body = dict(TEXTS)[license_id].removeprefix("MIT License ")
+        bodies = [body]
+        if license_id.startswith("BSD"):
+            bodies.append(body.replace("met: 1. ", "met: ").replace(" 2. ", " ").replace(" 3. ", " "))
+        if license_id == "ISC":
+            bodies.append(body.replace("and/or distribute", "and distribute"))
+        out += [(license_id, f"{title} {text}") for text in bodies for title in ("", *titles)]
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text("utf-8")
+        ends = [at for x in _APPENDICES if (at := text.rfind(x)) > 0]
+        out += [(path.stem, text[:end]) for end in (len(text), *ends)]
+    return tuple(out)
+
 
 #: What every text holds in which one of the spellings applies: one look instead of ten.
 _ANY_SPELLING = "licence|sub licen|non commercial|copyright owner|organisation|binary form|per cent|whilst|v(ersion|er)? ?[0-9]|https"
@@ -168,17 +201,17 @@ def known_digests(spark, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFram
     return digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(documents: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def scan_licenses(documents: DataFrame, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """Per row: doc_id, license_id (of the whole text, else null), digest, notices
     (licence ids of its lines, sorted, comma-joined), n_notices (such lines).
 
     Null texts have a null digest and no licence; texts without a word outside their
     copyright lines match nothing. Repeated rows get equal results; other columns are
-    not looked at; an empty table gives no rows. The known texts are a fixed table, so
-    their digests are broadcast.
+    not looked at; an empty table gives no rows. The known texts are a fixed table (KNOWN
+    and its usual forms where none is given), so their digests are broadcast.
     """
     spark = documents.sparkSession
-    table = known_digests(spark, known).select(F.col("digest").alias("_known"), "license_id")
+    table = known_digests(spark, KNOWN + usual_forms() if known is None else known).select(F.col("digest").alias("_known"), "license_id")
     lookup = F.map_from_entries(F.array(*[F.struct(F.lit(r["_known"]), F.lit(r["license_id"])) for r in table.collect()]))
     lines = F.filter(F.split("text", "\n"), lambda x: _spelled(x))
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, F.md5(normal_text(x)))), lambda x: x.isNotNull())

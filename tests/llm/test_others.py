@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -364,6 +365,36 @@ def test_licenses(spark, no_docs):
     assert license_scan.scan_licenses(no_docs).count() == 0
 
 
+def test_whole_texts_in_usual_forms(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+    given, texts = dict(license_scan.TEXTS), [("MIT", mit), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2014 A B\n\n" + mit)]
+    for license_id, title in (("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("ISC", "ISC License")):
+        texts.append((license_id, f"{title}\n\nCopyright (c) 2014, A B\nAll rights reserved.\n\n{given[license_id]}"))
+    folder = Path(license_scan.__file__).parent / "licenses"
+    long = {p.stem: p.read_text("utf-8") for p in folder.glob("*.txt")}
+    assert set(long) == {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense"}
+    texts += [*long.items(), ("Apache-2.0", long["Apache-2.0"].split("   APPENDIX:")[0]), (None, long["Apache-2.0"][:5000])]
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan_licenses(table).collect()}
+    assert got == {i: license_id for i, (license_id, _) in enumerate(texts)}
+
+
 def test_every_notice_can_be_looked_up(spark):
     known = spark.createDataFrame(list(license_scan.NOTICES), "license_id string, text string")
     assert known.select(license_scan._spelled(F.col("text")).alias("x")).filter("not x").count() == 0
