@@ -8,11 +8,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch handed to Python; whole documents are long.
@@ -57,38 +59,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _SPACE = np.array([b in b" \t\n\v\f\r" for b in range(256)])
-#: A 64-bit number for each byte, and an odd base with its inverse modulo 2**64.
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLD)
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-class _Powers:
-    """Powers of the base and of its inverse, grown as far as they are needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = max(n + 1, 1 << 16)
-            factors = np.full(size, _BASE, np.uint64)
-            factors[0] = 1
-            self.up = np.cumprod(factors, dtype=np.uint64)
-            factors[1:] = np.uint64(_INVERSE)
-            self.down = np.cumprod(factors, dtype=np.uint64)
-        return self.up, self.down
-
-
-_powers = _Powers()
+#: By number of bytes left in a word, the bits of its next eight bytes that count.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one, so that no pass is made for each eight of their bytes.
+_LONG_WORD = 64
 _LONGEST_RUN = 1 << 20
 
 
 def hash_words(raws: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the white-space separated words of all texts, and the number by text.
 
-    A word's hash is a polynomial over numbers of its bytes, finished with mix64; it
-    depends on the word alone.
+    A word's hash depends on the word alone. Its bytes go eight at a time through a
+    finaliser that is not linear, so no pattern of bytes cancels out; words of eight
+    bytes or less with the same length never share a hash.
     """
     hashes, counts = [], []
     run: list[bytes] = []
@@ -111,21 +94,36 @@ def hash_words(raws: list[bytes | None], lower: bool = False) -> tuple[np.ndarra
 
 
 def _hash_run(run: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    joined = b" ".join(run) + b" "
+    joined = b" ".join(run) + b" " * 9
     if lower:
         joined = joined.translate(_UPPER_TO_LOWER)
-    data = np.frombuffer(joined, np.uint8)
-    space = _SPACE[data]
+    space = _SPACE[np.frombuffer(joined, np.uint8)]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edges = np.concatenate([[0], edges])
     begin, end = edges[::2], edges[1::2]
-    up, down = _powers.upto(len(data))
-    total = np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)
-    before = np.where(begin > 0, total[begin - 1], np.uint64(0))
-    h = mix64((total[end - 1] - before) * down[begin])
     ends = np.cumsum([len(r) + 1 for r in run])
-    return h, np.diff(np.searchsorted(begin, ends), prepend=0)
+    return _word_hashes(joined, begin, end), np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
+def _word_hashes(joined: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words at the places given; eight bytes at least follow the last."""
+    eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+    size = end - begin
+    h = size.astype(np.uint64) * _GOLD
+    long = size > _LONG_WORD
+    live, at, left = slice(None), begin, np.where(long, 0, size)
+    while True:
+        own = (eight[at] & _MASK[np.minimum(left, 8)]) ^ h[live]
+        h[live] = mix64(own * _MIX2 + _GOLD)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(long).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(joined[begin[k] : end[k]])
+    return h
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -170,15 +168,39 @@ def tidy(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
+def package_archive() -> str:
+    """This library as an archive for machines that do not see the driver's checkout."""
+    root = Path(__file__).resolve().parents[2]
+    out = Path(tempfile.mkdtemp(prefix="sparkloom-code-")) / "sparkloom.zip"
+    atexit.register(shutil.rmtree, out.parent, ignore_errors=True)
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted((root / "sparkloom").rglob("*")):
+            if path.suffix in (".py", ".txt"):
+                archive.write(path, path.relative_to(root))
+    return str(out)
+
+
+_shipped: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, since texts are long, and this package for the workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    root = str(Path(__file__).resolve().parents[2])
-    environment = spark.sparkContext.environment
-    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(
-            filter(None, [environment.get("PYTHONPATH"), root])
-        )
+    """Small Arrow batches, since texts are long, and this package for the workers.
+
+    The batch size is set where it is the default or larger; a smaller one stays. Workers on
+    this machine read the checkout; on a cluster they are sent an archive of it.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS or int(spark.conf.get(rows)) <= 0:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        root = str(Path(__file__).resolve().parents[2])
+        environment = context.environment
+        if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+            environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), root]))
+    elif context.applicationId not in _shipped:
+        context.addPyFile(package_archive())
+        _shipped.add(context.applicationId)
     return spark
 
 
@@ -187,11 +209,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset and all
+    executors are on this machine."""
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="sparkloom-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)

@@ -7,11 +7,12 @@ lineage stays short and lost executors cost one round at most.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import column, drop_materialized, materialize, prepare, tidy
 
@@ -20,9 +21,9 @@ class Forest:
     """Union-find whose roots are the smallest members."""
 
     def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
+        self.parent: dict = {}
 
-    def find(self, x: int) -> int:
+    def find(self, x):
         parent = self.parent
         root = x
         while (up := parent.get(root, root)) != root:
@@ -31,7 +32,7 @@ class Forest:
             parent[x], x = root, parent.get(x, x)
         return root
 
-    def union(self, a: int, b: int) -> bool:
+    def union(self, a, b) -> bool:
         a, b = self.find(a), self.find(b)
         if a == b:
             return False
@@ -41,32 +42,33 @@ class Forest:
         self.parent.setdefault(a, a)
         return True
 
-    def stars(self) -> list[tuple[int, int]]:
+    def stars(self) -> list[tuple]:
         """(member, root) for every member but the roots."""
         return [(x, r) for x in list(self.parent) if (r := self.find(x)) != x]
 
 
-_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 #: Members after which a task hands on what it has merged so far.
 _HELD = 1_000_000
 
 
-def _edges(stars: list[tuple[int, int]]) -> pa.RecordBatch:
+def edge_rows(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([a for a, _ in stars], pa.int64()), pa.array([b for _, b in stars], pa.int64())],
-        schema=_EDGE,
+        [pa.array([a for a, _ in pairs], kind), pa.array([b for _, b in pairs], kind)], names=["u", "v"]
     )
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forest = Forest()
-    for batch in batches:
-        for a, b in zip(column(batch, "u"), column(batch, "v"), strict=True):
-            forest.union(a, b)
-        if len(forest.parent) > _HELD:
-            yield _edges(forest.stars())
-            forest = Forest()
-    yield _edges(forest.stars())
+def _contract(kind: pa.DataType) -> Callable:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in batches:
+            for a, b in zip(column(batch, "u"), column(batch, "v"), strict=True):
+                forest.union(a, b)
+            if len(forest.parent) > _HELD:
+                yield edge_rows(forest.stars(), kind)
+                forest = Forest()
+        yield edge_rows(forest.stars(), kind)
+
+    return scan
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -78,15 +80,16 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges (u long, v long) -> (id long, root long): every node's smallest node.
+    """edges (u, v) -> (id, root): every node's smallest node. Nodes are longs or binary names.
 
     Edges with a null end are ignored; loops and repeats are allowed; no edges give no
     rows. Only nodes with an edge to another node get a row.
     """
     prepare(edges.sparkSession)
-    clean = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    kind, node = ("binary", pa.binary()) if edges.schema["u"].dataType == BinaryType() else ("long", pa.int64())
+    clean = edges.select(F.col("u").cast(kind).alias("u"), F.col("v").cast(kind).alias("v"))
     clean = clean.filter("u is not null and v is not null and u <> v")
-    now = materialize(clean.mapInArrow(tidy(_contract), "u long, v long").distinct(), "edges")
+    now = materialize(clean.mapInArrow(tidy(_contract(node)), f"u {kind}, v {kind}").distinct(), "edges")
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -7,7 +7,8 @@
    shingles) meet. Prefix shingles are grouped; lone ones, nearly all, go at once.
 3. Sets that meet are compared by parity bitmaps, which bound the size of their
    difference from below. What passes joins sets to blocks; only a spanning forest of
-   each group is written, never its pairs.
+   each group is written, never its pairs. The sets of a shingle that more than
+   ``HOT_TOKEN`` sets share are one block as they are, so no task holds them all.
 4. The whole sets of one block meet in one task, in a radix trie over their globally
    ordered shingles. A set is looked up by one traversal, which shares the overlap of
    common paths and leaves out subtrees by their bounds on size and rest; subtrees
@@ -42,7 +43,7 @@ from .common import (
     prepare,
     tidy,
 )
-from .components import Forest, connected_components
+from .components import Forest, connected_components, edge_rows
 
 #: Counters of the sketch; 16 slices.
 SKETCH = 1 << 20
@@ -53,8 +54,14 @@ BITMAP = 8
 BLOCK_KEYS = 4_000_000
 #: Sets of a large block that go to all of its parts in the first round.
 PIVOTS = 64
+#: Sets of one prefix shingle that one task compares; those of a more frequent one form a block without that.
+HOT_TOKEN = 20_000
+#: Such shingles (8 bytes each) up to which they are broadcast; beyond, joined.
+BROADCAST_TOKENS = 100_000
 #: Set ids a task remembers so as not to emit the same set again.
 _SEEN = 200_000
+#: Sets of candidate pairs after which a task hands on what it has joined so far.
+_HELD = 500_000
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> Iterator[np.ndarray]:
@@ -76,11 +83,18 @@ def shingle_sets(texts: list[bytes | None], n: int) -> Iterator[np.ndarray]:
         at += count
 
 
-def set_id(own: np.ndarray) -> int:
-    """A hash of the set from its distinct shingles, in whatever order."""
-    own = mix64((own >> np.uint64(8)) + np.uint64(0x632BE59BD9B4E019))
-    total = np.array([own.sum(dtype=np.uint64) ^ np.uint64(len(own))], np.uint64)
-    return int(mix64(total).view(np.int64)[0])
+_SET_SALTS = (np.uint64(0x632BE59BD9B4E019), np.uint64(0xA0761D6478BD642F))
+
+
+def set_id(own: np.ndarray) -> bytes:
+    """A 128-bit name of the set from its distinct shingles, in whatever order."""
+    parts = [mix64(own ^ salt).sum(dtype=np.uint64) ^ np.uint64(len(own)) for salt in _SET_SALTS]
+    return mix64(np.array(parts, np.uint64)).tobytes()
+
+
+def half_of(sid: bytes) -> int:
+    """The first 64 bits of a name, by which sets are known where they also share a shingle."""
+    return int.from_bytes(sid[:8], "little", signed=True)
 
 
 def bitmap_words(n: int) -> int:
@@ -116,13 +130,10 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - least_overlap(n, num, den) + 1
 
 
-def order_keys(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Distinct ascending keys: the shingle's class of frequency, then its hash.
-
-    Their last 56 bits are the first 56 of the hash, so set_id(key << 8) is the set's id.
-    """
-    rank = sketch[(grams >> np.uint64(8)) & np.uint64(SKETCH - 1)].astype(np.uint64)
-    return np.unique((rank << np.uint64(56)) | (grams >> np.uint64(8)))
+def order_keys(own: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Ascending keys of distinct shingles: the class of frequency, then 56 bits of the hash."""
+    rank = sketch[(own >> np.uint64(8)) & np.uint64(SKETCH - 1)].astype(np.uint64)
+    return np.unique((rank << np.uint64(56)) | (own >> np.uint64(8)))
 
 
 class TrieJoin:
@@ -221,8 +232,8 @@ class TrieJoin:
 def _scan_sets(docs: DataFrame, n: int) -> DataFrame:
     """A row per document, and per task the slices of its sketch."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bitmap", pa.binary()),
-         ("slice", pa.int32()), ("counts", pa.binary())]
+        [("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("half", pa.int64()),
+         ("bitmap", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,19 +252,20 @@ def _scan_sets(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
                  batch.column(own_at) if (own_at := batch.schema.get_field_index("_own")) >= 0 else pa.nulls(k, pa.int64()),
-                 pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(bitmaps, pa.binary()),
+                 pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()),
+                 pa.array([None if x is None else half_of(x) for x in sids], pa.int64()), pa.array(bitmaps, pa.binary()),
                  pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema
             )
         if counts.any():
             parts = [zlib.compress(counts[i : i + _SLICE].tobytes(), 1) for i in range(0, SKETCH, _SLICE)]
             k = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                 pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())],
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
+                 pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())],
                 schema=schema,
             )
 
-    shape = "doc_id long, own long, n long, sid long, bitmap binary, slice int, counts binary"
+    shape = "doc_id long, own long, n long, sid binary, half long, bitmap binary, slice int, counts binary"
     return docs.mapInArrow(tidy(scan), shape)
 
 
@@ -284,30 +296,31 @@ def _sketch(found: DataFrame) -> np.ndarray:
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("token", pa.int64()), ("half", pa.int64()), ("n", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            tokens, sids, sizes = [], [], []
+            tokens, halves, sizes = [], [], []
             for grams in shingle_sets(binary_column(batch, "text"), n):
-                own = order_keys(grams, shared.value)
-                if not len(own) or (sid := set_id(own << np.uint64(8))) in seen:
+                own = np.unique(grams)
+                if not len(own) or (sid := set_id(own)) in seen:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(sid)
-                first = own[: prefix_size(len(own), num, den)]
+                keys = order_keys(own, shared.value)
+                first = keys[: prefix_size(len(keys), num, den)]
                 tokens.append(first)
-                sids.append(np.full(len(first), sid, np.int64))
-                sizes.append(np.full(len(first), len(own), np.int32))
+                halves.append(np.full(len(first), half_of(sid), np.int64))
+                sizes.append(np.full(len(first), len(keys), np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(np.concatenate(tokens))), pa.array(np.concatenate(sids)),
+                    [pa.array(as_long(np.concatenate(tokens))), pa.array(np.concatenate(halves)),
                      pa.array(np.concatenate(sizes))], schema=schema
                 )
 
-    return docs.mapInArrow(tidy(scan), "token long, sid long, n int")
+    return docs.mapInArrow(tidy(scan), "token long, half long, n int")
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -341,25 +354,34 @@ def by_run(
 
 
 def _without_lone(num: int, den: int) -> Callable:
-    """Rows sorted by token, n and sid: those whose token is in another set of like size.
+    """Rows sorted by token, n and half: those whose token is in another set of like size.
 
-    If the nearest sizes of a token's sets are too far apart to link, all others are.
+    If the nearest sizes of a token's sets are too far apart to link, all others are. Only
+    the last row of a batch waits for the next batch, however many rows a token has.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_run(batches, "token"):
-            table = table.combine_chunks()
-            token, sid = table["token"].to_numpy(), table["sid"].to_numpy()
+        waits: pa.RecordBatch | None = None
+        met = False  # whether the row that waits has met the one before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if waits is None else [waits, batch]).combine_chunks()
+            token, half = table["token"].to_numpy(), table["half"].to_numpy()
             first = np.ones(len(token), bool)
-            first[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-            token, n = token[first], table["n"].to_numpy()[first].astype(np.int64)
+            first[1:] = (token[1:] != token[:-1]) | (half[1:] != half[:-1])
+            at = np.flatnonzero(first)
+            token, n = token[at], table["n"].to_numpy()[at].astype(np.int64)
             meet = (token[1:] == token[:-1]) & (den * n[:-1] >= num * n[1:])
             keep = np.zeros(len(token), bool)
             keep[1:] |= meet
             keep[:-1] |= meet
-            at = np.flatnonzero(first)[keep]
-            if len(at):
-                yield from table.take(pa.array(at)).to_batches()
+            keep[0] |= met
+            waits, met = table.take(pa.array(at[-1:])).to_batches()[0], bool(keep[-1])
+            if keep[:-1].any():
+                yield from table.take(pa.array(at[:-1][keep[:-1]])).to_batches()
+        if waits is not None and met:
+            yield waits
 
     return scan
 
@@ -406,12 +428,10 @@ class Members:
 
 
 def _candidates(num: int, den: int) -> Callable:
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for table in by_run(batches, "token"):
-            token, sid = table["token"].to_numpy(), table["sid"].to_numpy()
+            token, sid = table["token"].to_numpy(), table["sid"].to_pylist()
             members = Members(table["n"].to_numpy(), table["bitmap"].to_pylist(), num, den)
             starts = _runs(token)
             sizes = np.diff(starts)
@@ -421,16 +441,15 @@ def _candidates(num: int, den: int) -> Callable:
                 if not len(i):
                     break
                 i = i[members.near(i, i + lag)]
-                for a, b in zip(sid[i].tolist(), sid[i + lag].tolist(), strict=True):
-                    forest.union(a, b)
+                for k in i.tolist():
+                    forest.union(sid[k], sid[k + lag])
             for k in np.flatnonzero(sizes > 8):
                 for a, b in members.forest(np.arange(starts[k], starts[k + 1])):
-                    forest.union(int(sid[a]), int(sid[b]))
-        stars = forest.stars()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in stars], pa.int64()), pa.array([b for _, b in stars], pa.int64())],
-            schema=schema,
-        )
+                    forest.union(sid[a], sid[b])
+            if len(forest.parent) > _HELD:
+                yield edge_rows(forest.stars(), pa.binary())
+                forest = Forest()
+        yield edge_rows(forest.stars(), pa.binary())
 
     return scan
 
@@ -438,10 +457,10 @@ def _candidates(num: int, den: int) -> Callable:
 def _whole_sets(docs: DataFrame, wanted, sketch: np.ndarray, n: int) -> DataFrame:
     """(sid, keys) of the documents whose set may be in a block."""
     shared = docs.sparkSession.sparkContext.broadcast((wanted, sketch))
-    schema = pa.schema([("sid", pa.int64()), ("keys", pa.binary())])
+    schema = pa.schema([("sid", pa.binary()), ("keys", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         wanted, sketch = shared.value
         for batch in batches:
             ids = np.array([-1 if x is None else x for x in column(batch, "doc_id")], np.int64)
@@ -449,38 +468,32 @@ def _whole_sets(docs: DataFrame, wanted, sketch: np.ndarray, n: int) -> DataFram
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
             texts = [texts[k].as_py() for k in np.flatnonzero(wanted.may_hold(ids))]
             for grams in shingle_sets(texts, n):
-                own = order_keys(grams, sketch)
-                if not len(own) or (sid := set_id(own << np.uint64(8))) in seen:
+                own = np.unique(grams)
+                if not len(own) or (sid := set_id(own)) in seen:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(sid)
                 sids.append(sid)
-                keys.append(own.tobytes())
+                keys.append(order_keys(own, sketch).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sids, pa.int64()), pa.array(keys, pa.binary())], schema=schema
+                [pa.array(sids, pa.binary()), pa.array(keys, pa.binary())], schema=schema
             )
 
-    return docs.mapInArrow(tidy(scan), "sid long, keys binary")
+    return docs.mapInArrow(tidy(scan), "sid binary, keys binary")
 
 
 def _join_blocks(num: int, den: int) -> Callable:
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(block: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        def finish(block: dict[bytes, tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
             trie, sids = TrieJoin(num, den), sorted(block, key=lambda s: (len(block[s][1]), s))
-            first: dict[int, int] = {}
+            first: dict[bytes, int] = {}
             for s in sids:
                 comp, keys = block[s]
                 i = trie.add(keys, first.get(comp))
                 first.setdefault(comp, i)
             pairs = [(s, sids[trie.find(i)]) for i, s in enumerate(sids)]
-            pairs = [(a, b) for a, b in pairs if a != b]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())],
-                schema=schema,
-            )
+            return edge_rows([(a, b) for a, b in pairs if a != b], pa.binary())
 
         now, block = None, {}
         for batch in batches:
@@ -499,24 +512,35 @@ def _join_blocks(num: int, den: int) -> Callable:
 
 
 def linked_sets(
-    docs: DataFrame, n: int, num: int, den: int, block_keys: int = BLOCK_KEYS
+    docs: DataFrame, n: int, num: int, den: int, block_keys: int = BLOCK_KEYS, hot_token: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, own, n, sid; links: u, v between set ids).
 
     The links span each component of the sets; sid is null without shingles, own is the
     column _own where docs have one.
     """
+    hot_token = HOT_TOKEN if hot_token is None else hot_token
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     found = materialize(_scan_sets(docs.select(doc_id, "text", *(["_own"] if "_own" in docs.columns else [])), n), "sets")
     docs = docs.select(doc_id, "text")
     rows = found.filter("slice is null").select("doc_id", "own", "n", "sid")
     sketch = _sketch(found)
     first = _prefixes(docs, sketch, n, num, den)
-    parts = first.repartition("token").sortWithinPartitions("token", "n", "sid")
-    met = parts.mapInArrow(tidy(_without_lone(num, den)), "token long, sid long, n int")
-    maps = found.filter("sid is not null").groupBy("sid").agg(F.min("bitmap").alias("bitmap"))
-    groups = met.join(maps, "sid").repartition("token").sortWithinPartitions("token", "sid")
-    edges = materialize(groups.mapInArrow(tidy(_candidates(num, den)), "u long, v long").distinct(), "candidates")
+    parts = first.repartition("token").sortWithinPartitions("token", "n", "half")
+    met = materialize(parts.mapInArrow(tidy(_without_lone(num, den)), "token long, half long, n int"), "met")
+    maps = found.filter("sid is not null").groupBy("sid").agg(F.min("half").alias("half"), F.min("bitmap").alias("bitmap"))
+    groups = met.join(maps, "half").select("token", "sid", "n", "bitmap")
+    hot = materialize(met.groupBy("token").count().filter(F.col("count") > hot_token).select("token"), "hot-tokens")
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_TOKENS else hot
+        many, groups = groups.join(hot, "token", "left_semi"), groups.join(hot, "token", "left_anti")
+    dealt = groups.repartition("token").sortWithinPartitions("token", "sid")
+    edges = dealt.mapInArrow(tidy(_candidates(num, den)), "u binary, v binary")
+    if n_hot:
+        centre = many.groupBy("token").agg(F.min("sid").alias("v"))
+        edges = edges.unionByName(many.join(centre, "token").select(F.col("sid").alias("u"), "v").filter("u <> v"))
+    edges = materialize(edges.distinct(), "candidates")
     blocks = materialize(connected_components(edges), "blocks")
     sizes = rows.filter("sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
     members = materialize(blocks.join(sizes, blocks["id"] == sizes["sid"]).select("sid", "root", "n", "doc_id"), "members")
@@ -527,7 +551,7 @@ def linked_sets(
         """placed: sid, block, part, comp. Links of the sets that meet in a part."""
         dealt = whole.join(placed, "sid").select("block", "part", "sid", "comp", "keys")
         dealt = dealt.repartition("block", "part").sortWithinPartitions("block", "part", "sid")
-        found = dealt.mapInArrow(tidy(_join_blocks(num, den)), "u long, v long")
+        found = dealt.mapInArrow(tidy(_join_blocks(num, den)), "u binary, v binary")
         return materialize(found.distinct(), "links")
 
     weight = members.groupBy("root").agg(F.sum("n").alias("w"))
@@ -586,9 +610,8 @@ def keep_one_per_component(
     """documents with one document of each component only; all columns stay.
 
     A document is a doc_id with its text. The smallest doc_id stays, null last, and of its
-    texts the one with the smallest hash. Rows that repeat a doc_id and its text stay
-    together; of rows with a null doc_id and the same text one stays. Texts without
-    shingles stay.
+    texts the one with the smallest hash. Of rows that repeat a doc_id (or null) and its
+    text one stays. Texts without shingles stay.
     """
     prepare(documents.sparkSession)
     own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
@@ -602,7 +625,7 @@ def keep_one_per_component(
     named = first.join(best, "root").select("sid", F.col("best.h").alias("best"))
     judged = materialize(rows.join(named, "sid").select("doc_id", "own", "best"), "jaccard")
     gone = judged.filter("own <> best").select(F.col("own").alias("_gone")).distinct()
-    spare = judged.filter("own = best and doc_id is null").groupBy("own").agg(F.count("*").alias("n")).filter("n > 1")
+    spare = judged.filter("own = best").groupBy("own").agg(F.count("*").alias("n")).filter("n > 1")
     spare = spare.select(F.col("own").alias("_gone"))
     listed = materialize(gone.withColumn("_all", F.lit(True)).unionByName(spare.withColumn("_all", F.lit(False))), "gone")
     bloom = build_bloom(listed.select("_gone"), listed.count())

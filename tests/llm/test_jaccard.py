@@ -102,7 +102,7 @@ def test_a_block_of_several_clusters_in_parts(spark, monkeypatch):
 def test_keep_one(docs, rows):
     kept = J.keep_one_per_component(docs, 5, 80, 100)
     assert kept.columns == docs.columns
-    want = [d for d, _, c in brute(rows, 5, 80, 100) if d == c]
+    want = {d for d, _, c in brute(rows, 5, 80, 100) if d == c}  # of the repeated rows one
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(want, key=repr)
 
 
@@ -149,3 +149,47 @@ def test_bitmaps_bound_the_difference(a, change):
     x, y = J.parity_bitmap(spread(a)), J.parity_bitmap(spread(b))
     words = min(len(x), len(y))
     assert np.bitwise_count(J.fold(x, words) ^ J.fold(y, words)).sum() <= len(a ^ b)
+
+
+def swap_sequence(letters: str, n: int) -> str:
+    """The Thue-Morse word: it and its complement agree in every low-order linear sum."""
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_long_words_that_linear_sums_confuse(spark):
+    a, b = swap_sequence("ab", 1024), swap_sequence("ba", 1024)
+    rows = [(1, f"p q r {a} p q r {b}", "en", "s"), (2, f"p q r {a}", "en", "s"), (3, f"p q r {b}", "en", "s")]
+    got = sorted(tuple(r) for r in J.jaccard_components(frame(spark, rows), 4, 85, 100).collect())
+    assert got == brute(rows, 4, 85, 100) == [(1, 5, 1), (2, 1, 2), (3, 1, 3)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abAB z\n"), max_size=90), max_size=6))
+def test_word_hashes_tell_words_apart(texts):
+    words, counts = J.hash_words([t.encode() for t in texts], lower=True)
+    split = [WORD.findall(lower(t)) for t in texts]
+    assert counts.tolist() == [len(w) for w in split]
+    seen: dict[str, int] = {}
+    for word, h in zip((w for ws in split for w in ws), words.tolist(), strict=True):
+        assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_hot_shingles_form_blocks(docs, rows, monkeypatch):
+    monkeypatch.setattr(J, "HOT_TOKEN", 3)
+    got = sorted((tuple(r) for r in J.jaccard_components(docs, 4, 85, 100).collect()), key=repr)
+    assert got == brute(rows, 4, 85, 100)
+
+
+def test_lone_rows_across_batches():
+    """Sorted rows dealt in batches of any size give the same rows as in one."""
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(12), (10, 10, 11, 40, 90)[h % 5], h) for h in (rng.randrange(30) for _ in range(120)))
+    table = J.pa.table({"token": [r[0] for r in rows], "half": [r[2] for r in rows], "n": J.pa.array([r[1] for r in rows], J.pa.int32())})
+    want = None
+    for size in (1000, 7, 1):
+        got = [tuple(r.values()) for b in J._without_lone(85, 100)(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        want = got if want is None else want
+        assert got == want
+    brute_ = {(t, h, n) for t, n, h in rows if any(t == t2 and h != h2 and 100 * min(n, n2) >= 85 * max(n, n2) for t2, n2, h2 in rows)}
+    assert {(t, h, n) for t, h, n in want} == brute_
