@@ -137,6 +137,14 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def grams_at(words: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-word windows at some places only."""
+    h = words[places].copy()
+    for i in range(1, n):
+        h = mix64(h * _GOLD + words[places + i])
+    return h
+
+
 def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

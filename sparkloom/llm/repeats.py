@@ -1,10 +1,18 @@
 """Where word windows of documents repeat: what the two substring operators share.
 
-A window of ``window`` words contains window - gram + 1 word n-grams. The one with the
-smallest hash (the leftmost of equals) is its anchor, so equal windows have the same
-anchor at the same offset. Anchors are a few hundredths of all places. Only those that
-occur in two documents are followed: around each occurrence the words of the windows it
-anchors, and no others, go to the group of the anchor.
+1. Suffixes are retained at anchors: the n-gram with the smallest hash (the leftmost of
+   equals) in the first ``reach_of(window)`` places of a window. Equal windows have the
+   same anchor at the same offset, and from it on a prefix in common that is known to
+   be window - reach + 1 words long.
+2. Prefixes are counted by documents; suffixes whose prefix is in one document only go.
+   Of the others the words of the windows that they anchor travel, once for each
+   distinct context: copies of a passage are one row, combined before the shuffle.
+3. Contexts are dealt out by prefix. A prefix with more than ``GROUP`` contexts is made
+   longer: its windows are told apart by their offset to the anchor, which leaves more
+   words that all windows of a part share, at last the whole window. So no task holds
+   more than ``GROUP`` contexts of one prefix, however many documents share it.
+4. Each group is solved by the operator's own structure, which finds for every window
+   the first document and place it starts at; contexts lead back to their documents.
 """
 
 from __future__ import annotations
@@ -17,28 +25,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import Bloom, build_bloom
+from .bloom import MOST_BITS, Bloom, build_bloom
 from .common import (
     as_long,
     binary_column,
     column,
     gram_hashes,
+    grams_at,
     hash_words,
     materialize,
     plain_words,
     prepare,
     tidy,
 )
-from .hot_windows import window_spans
 
 #: Words of an anchor's n-gram.
 GRAM = 8
-#: Documents of one anchor from which on its windows are dealt out one by one.
-HOT = 50_000
-#: Rows (anchor occurrences) that a group task looks at together.
-TOGETHER = 8_192
-#: Rows of one anchor that are looked at together before the next of them come.
-MOST_OF_ONE = 32_768
+#: Contexts of one prefix that a task looks at; a prefix with more is made longer.
+GROUP = 1_000
+#: Prefixes to be made longer (8 bytes each) up to which they are broadcast; beyond, joined.
+BROADCAST_KEYS = 100_000
+#: Contexts that a task looks at together, of whole prefixes.
+TOGETHER = 4_096
+
+
+def reach_of(window: int, gram: int = GRAM) -> int:
+    """Places of a window in which its anchor lies: 18 of the 43 n-grams of 50 words."""
+    return max(1, round(0.42 * (window - min(gram, window) + 1)))
 
 
 def anchors(
@@ -46,16 +59,16 @@ def anchors(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of texts that follow one another in words; counts: words by text.
 
-    Returns for each anchor occurrence its hash, text, place, and the first and last
-    window it anchors; places are those in the text.
+    Returns for each anchor occurrence the hash of its prefix, its text, place, and the
+    first and last window it anchors; places are those in the text.
     """
     none = np.empty(0, np.int64)
     gram = min(gram, window)
-    wide = window - gram + 1
-    h = gram_hashes(words, gram)
+    wide = reach_of(window, gram)
     if len(words) < window:
         return np.empty(0, np.uint64), none, none, none, none
-    value, place, size = h, np.arange(len(h)), 1
+    value = gram_hashes(words, gram)
+    place, size = np.arange(len(value)), 1
     while size < wide:  # leftmost least of 1, 2, 4, ... and at last of wide places
         step = min(size, wide - size)
         right = value[step:] < value[: len(value) - step]
@@ -63,7 +76,8 @@ def anchors(
         value = np.where(right, value[step:], value[: len(value) - step])
         size += step
     ends = np.cumsum(counts)
-    start = np.arange(len(value))
+    start = np.arange(len(words) - window + 1)
+    place = place[: len(start)]
     text = np.searchsorted(ends, start, side="right")
     inside = start + window <= ends[text]
     start, text, place = start[inside], text[inside], place[inside]
@@ -75,7 +89,8 @@ def anchors(
     last = np.append(first[1:], len(start)) - 1
     own = text[first]
     begin = ends[own] - counts[own]
-    return h[place[first]], own, place[first] - begin, start[first] - begin, start[last] - begin
+    key = grams_at(words, place[first], window - wide + 1)
+    return key, own, place[first] - begin, start[first] - begin, start[last] - begin
 
 
 def _numbered(documents: DataFrame) -> DataFrame:
@@ -84,114 +99,139 @@ def _numbered(documents: DataFrame) -> DataFrame:
     ).filter("doc_id is not null and text is not null")
 
 
-def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
+def _prefix_rows(docs: DataFrame, window: int) -> DataFrame:
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, counts = hash_words(binary_column(batch, "text"))
-            h, text, *_ = anchors(words, counts, window)
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()
-            once = np.unique(np.stack([as_long(h), ids[text]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], schema=schema)
+            key, text, *_ = anchors(words, counts, window)
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()[text]
+            order = np.lexsort((ids, as_long(key)))
+            key, ids = as_long(key)[order], ids[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(ids[new])], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(scan), "anchor long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(scan), "key long, doc_id long")
 
 
 _SEGMENT = pa.schema(
-    [("anchor", pa.int64()), ("doc_id", pa.int64()), ("tid", pa.int64()), ("place", pa.int64()),
-     ("first", pa.int64()), ("last", pa.int64()), ("words", pa.binary()), ("again", pa.list_(pa.int64()))]
+    [("ctx", pa.binary()), ("key", pa.int64()), ("at", pa.int64()), ("words", pa.binary()), ("doc_id", pa.int64()),
+     ("tid", pa.int64()), ("place", pa.int64())]
 )
+_SEGMENT_SHAPE = "ctx binary, key long, at long, words binary, doc_id long, tid long, place long"
 
 
-def _segments(docs: DataFrame, shared: Bloom, hot: Bloom | None, window: int) -> DataFrame:
-    """The words around each occurrence of a shared anchor that is not hot.
+def context_name(at: int, words: bytes) -> bytes:
+    """A 128-bit name of the words around an anchor and the place of the anchor in them."""
+    return hashlib.blake2b(b"%d " % at + words, digest_size=16).digest()
 
-    Occurrences of one document with the same words around them, as in a text that
-    repeats a few words over and over, share a row; again has their further places.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast((shared, hot))
+
+def _segments(docs: DataFrame, shared: Bloom, window: int) -> DataFrame:
+    """A row for each occurrence of an anchor whose prefix is shared; the words come with
+    the first row of a context in a batch."""
+    sent = docs.sparkSession.sparkContext.broadcast(shared)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, hot = sent.value
         for batch in batches:
             raws = binary_column(batch, "text")
             words, counts = hash_words(raws)
-            h, text, place, first, last = anchors(words, counts, window)
-            follow = shared.may_hold(as_long(h)) & (True if hot is None else ~hot.may_hold(as_long(h)))
-            keep = np.flatnonzero(follow)
-            rows: list[int] = []
-            cut: list[bytes] = []
-            again: list[list[int]] = []
-            at, own, seen = -1, [], {}
-            for k in keep.tolist():
-                if text[k] != at:
-                    at, own, seen = text[k], plain_words(raws[text[k]]), {}
-                around = b" ".join(own[first[k] : last[k] + window])
-                same = seen.setdefault((h[k], place[k] - first[k], around), len(rows))
-                if same < len(rows):
-                    again[same].append(int(first[k]))
-                    continue
-                rows.append(k)
-                cut.append(around)
-                again.append([])
-            keep = np.array(rows, np.int64)
+            key, text, place, first, last = anchors(words, counts, window)
+            keep = np.flatnonzero(sent.value.may_hold(as_long(key)))
+            key, text, place, first, last = (x[keep] for x in (key, text, place, first, last))
+            names: list[bytes] = []
+            cut: list[bytes | None] = []
+            now, own, seen = -1, [], set()
+            for t, a, b, p in zip(text.tolist(), first.tolist(), (last + window).tolist(), place.tolist(), strict=True):
+                if t != now:
+                    now, own = t, plain_words(raws[t])
+                around = b" ".join(own[a:b])
+                name = context_name(p - a, around)
+                names.append(name)
+                cut.append(None if name in seen else around)
+                seen.add(name)
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()
             tids = batch.column(batch.schema.get_field_index("tid")).to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(as_long(h[keep])), pa.array(ids[text[keep]]), pa.array(tids[text[keep]]),
-                 pa.array(place[keep]), pa.array(first[keep]), pa.array(last[keep]), pa.array(cut, pa.binary()),
-                 pa.array(again, pa.list_(pa.int64()))],
-                schema=_SEGMENT,
+                [pa.array(names, pa.binary()), pa.array(as_long(key)), pa.array(place - first), pa.array(cut, pa.binary()),
+                 pa.array(ids[text]), pa.array(tids[text]), pa.array(place)], schema=_SEGMENT
             )
 
-    shape = (
-        "anchor long, doc_id long, tid long, place long, first long, last long, words binary, again array<long>"
-    )
-    return docs.mapInArrow(tidy(scan), shape)
+    return docs.mapInArrow(tidy(scan), _SEGMENT_SHAPE)
 
 
-class Segments:
-    """Anchor occurrences whose groups are looked at together."""
+def _distinct(segments: DataFrame) -> DataFrame:
+    """One row for each context: ctx, key, at, words, low (first doc_id and place), high (last doc_id)."""
+    return segments.groupBy("ctx").agg(
+        F.min("key").alias("key"), F.min("at").alias("at"), F.max("words").alias("words"),
+        F.min(F.struct("doc_id", "place")).alias("low"), F.max("doc_id").alias("high"),
+    )
 
-    def __init__(self, table: pa.Table, window: int) -> None:
-        self.table, self.window = table, window
-        self.anchor, self.doc_id, self.tid, self.place, self.first, self.last = (
-            table[c].to_numpy() for c in ("anchor", "doc_id", "tid", "place", "first", "last")
-        )
-        words, self.counts = hash_words(table["words"].to_pylist())
-        self.ids = np.unique(words, return_inverse=True)[1].astype(np.int64)
-        self.begin = np.cumsum(self.counts) - self.counts
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Row and start (in the document) of every window."""
-        sizes = self.last - self.first + 1
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        inner = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return row, self.first[row] + inner
+def _narrowed(contexts: DataFrame, window: int, wide: int) -> DataFrame:
+    """Contexts by parts of so many offsets: the windows of a part and a longer prefix.
 
+    A part is that of the windows which start a to b words before the anchor; they all hold
+    the words from a before it on, window - b + a of them, and these are the new key.
+    """
+    schema = pa.schema([("parent", pa.binary()), *_SEGMENT])
 
-def _everywhere(start: int, stop: int, shifts: list[int]) -> list[tuple[int, int]]:
-    """A run of places and its shifted copies, those that touch joined."""
-    out = [[start, stop]]
-    for shift in sorted(shifts):
-        if start + shift <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], stop + shift)
-        else:
-            out.append([start + shift, stop + shift])
-    return [(a, b) for a, b in out]
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            rows = zip(*(column(batch, c) for c in ("ctx", "at", "words", "doc_id", "high", "place")), strict=True)
+            for ctx, at, raw, doc, high, place in rows:
+                words = raw.split(b" ")
+                least = at - (len(words) - window)  # offsets of the windows: least to at
+                for q in range(least // wide, at // wide + 1):
+                    a, b = max(least, q * wide), min(at, q * wide + wide - 1)
+                    own = b" ".join(words[at - b : at - a + window])
+                    common = b" ".join(words[at - q * wide : at - (q * wide + wide - 1) + window])
+                    key = int.from_bytes(hashlib.blake2b(b"%d %d " % (wide, q) + common, digest_size=8).digest(), "little", signed=True)
+                    out.append((ctx, context_name(b, own), key, b, own, doc, high, place))
+            columns = list(zip(*out, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    flat = contexts.select("ctx", "at", "words", "low.doc_id", "high", "low.place")
+    # the last document stands in the column tid of a segment here
+    return flat.mapInArrow(tidy(scan), f"parent binary, {_SEGMENT_SHAPE}")
+
+
+class Contexts:
+    """Contexts of whole prefixes, as word numbers one after another, a zero behind each."""
+
+    def __init__(self, at: np.ndarray, words: list[bytes], doc_id: np.ndarray, place: np.ndarray, window: int) -> None:
+        self.window, self.at = window, at
+        number: dict[bytes, int] = {}
+        flat: list[int] = []
+        counts = []
+        for raw in words:
+            own = raw.split(b" ")
+            flat += [number.setdefault(w, len(number) + 1) for w in own]
+            flat.append(0)
+            counts.append(len(own))
+        self.ids, self.counts = np.array(flat, np.int64), np.array(counts, np.int64)
+        self.begin = np.cumsum(self.counts + 1) - self.counts - 1
+        self.doc_id, self.place = doc_id, place
+        self.order = np.lexsort((place, doc_id))
+        self.rank = np.empty(len(at), np.int64)
+        self.rank[self.order] = np.arange(len(at))
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row of every window, and its number in the row."""
+        sizes = self.counts - self.window + 1
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-#: Given segments: for every window (as Segments.windows has them) the smallest doc_id
-#: in which its word sequence starts.
-Finder = Callable[[Segments], np.ndarray]
 
+#: Given contexts: for every window (as Contexts.windows has them) the rank of the first
+#: context that has it.
+Finder = Callable[[Contexts], np.ndarray]
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
-    """Rows sorted by anchor and doc_id, in tables that end with an anchor.
 
-    The table of an anchor with very many rows ends within it; then True comes along.
-    """
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by key in tables that end with a key."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -202,96 +242,126 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]
         if size < TOGETHER:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        keys = table["anchor"].to_numpy()
+        keys = table["key"].to_numpy()
         differ = np.flatnonzero(keys != keys[-1])
-        at = int(differ[-1]) + 1 if len(differ) else 0
-        if at:
-            yield table.slice(0, at), False
+        if len(differ):
+            at = int(differ[-1]) + 1
+            yield table.slice(0, at)
             table = table.slice(at).combine_chunks()
-        if table.num_rows >= MOST_OF_ONE:
-            yield table, True
-            table = table.slice(0, 0)
         held, size = table.to_batches(), table.num_rows
     if held:
-        yield pa.Table.from_batches(held).combine_chunks(), False
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _spans(window: int, finder: Finder) -> Callable:
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("tid", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()),
-         ("first_doc_id", pa.int64())]
-    )
+_RUN = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+
+
+def _solved(window: int, finder: Finder) -> Callable:
+    """Runs of windows by context: start and stop from the anchor on, and the first document
+    that has them with the place of its anchor."""
+    schema = pa.schema([("ctx", pa.binary()), ("runs", pa.list_(_RUN))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.Table | None = None
-        for table, more in _pieces(batches):
-            if carry is not None:
-                if carry["anchor"][0] == table["anchor"][0]:
-                    table = pa.concat_tables([carry, table]).combine_chunks()
-                carry = None
-            own = Segments(table, window)
-            row, start = own.windows()
-            least = finder(own)
-            found = least < own.doc_id[row]
-            if more:  # what has any window not seen before stays for the rows to come
-                fresh = np.zeros(table.num_rows, bool)
-                fresh[row[~found]] = True
-                carry = table.filter(pa.array(fresh))
-                carry = carry if carry.num_rows else None
-            at = np.flatnonzero(found)
-            if not len(at):
-                continue
-            row, start, least = row[at], start[at], least[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (least[1:] != least[:-1])
-            begin = np.flatnonzero(new)
-            end = np.append(begin[1:], len(at)) - 1
-            again = table["again"].to_pylist()
-            out = []
-            for i, j in zip(begin.tolist(), end.tolist(), strict=True):
-                r, a, b = row[i], int(start[i]), int(start[j]) + window
-                for x, y in _everywhere(a, b, [p - int(own.first[r]) for p in again[r]]):
-                    out.append((own.doc_id[r], own.tid[r], x, y, least[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        for table in _pieces(batches):
+            key, high = table["key"].to_numpy(), table["high"].to_numpy()
+            ctx, doc, place = table["ctx"].to_pylist(), table["doc_id"].to_numpy(), table["place"].to_numpy()
+            at = table["at"].to_numpy()
+            alone = np.ones(len(key), bool)
+            alone[1:] &= key[1:] != key[:-1]
+            alone[:-1] &= key[1:] != key[:-1]
+            names: list[bytes] = []
+            runs: list[list[dict]] = []
+            some = np.flatnonzero(alone & (high > doc))
+            for k, raw in zip(some.tolist(), table["words"].take(pa.array(some)).to_pylist(), strict=True):
+                names.append(ctx[k])
+                begin = -int(at[k])
+                runs.append([{"start": begin, "stop": begin + raw.count(b" ") + 1, "doc_id": doc[k], "place": place[k]}])
+            met = np.flatnonzero(~alone)
+            if len(met):
+                own = Contexts(at[met], table["words"].take(pa.array(met)).to_pylist(), doc[met], place[met], window)
+                row, inner = own.windows()
+                first = own.order[finder(own)]
+                keep = np.flatnonzero(own.doc_id[first] < high[met][row])
+                row, inner, first = row[keep], inner[keep], first[keep]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1) | (first[1:] != first[:-1])
+                begin = np.flatnonzero(new)
+                end = np.append(begin[1:], len(row)) - 1
+                starts, stops = inner[begin] - own.at[row[begin]], inner[end] - own.at[row[begin]] + window
+                now = -1
+                for r, a, b, f in zip(row[begin].tolist(), starts.tolist(), stops.tolist(), first[begin].tolist(), strict=True):
+                    if r != now:
+                        now = r
+                        names.append(ctx[met[r]])
+                        runs.append([])
+                    runs[-1].append({"start": a, "stop": b, "doc_id": own.doc_id[f], "place": own.place[f]})
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(runs, pa.list_(_RUN))], schema=schema)
 
     return scan
 
 
-def repeated_spans(
-    documents: DataFrame, window: int, finder: Finder, label: str, hot_from: int | None = None
-) -> DataFrame:
+def repeated_spans(documents: DataFrame, window: int, finder: Finder, label: str, group: int | None = None) -> DataFrame:
     """Per document with any: doc_id, tid (xxhash64 of the text), spans.
 
-    spans: start, stop (word places) and first_doc_id of runs of windows whose word
-    sequence also starts in a document with a smaller doc_id.
+    spans: start, stop (word places), first_doc_id and first_start of runs of windows
+    whose word sequence also starts in a document with a smaller doc_id, at first_start
+    there; it is the first such document and the first place in it.
     """
     prepare(documents.sparkSession)
-    hot_from = HOT if hot_from is None else hot_from
+    group = GROUP if group is None else group
     docs = _numbered(documents)
-    occurrences = _anchor_rows(docs, window).groupBy("anchor")
-    ends = occurrences.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-    shared = materialize(ends.filter("low < high").select("anchor", "n"), f"{label}-anchors")
-    most = shared.agg(F.count("*").alias("n"), F.count_if(F.col("n") >= hot_from).alias("hot")).first()
-    bloom = build_bloom(shared.select("anchor"), most["n"])
-    hot = build_bloom(shared.filter(F.col("n") >= hot_from).select("anchor"), most["hot"]) if most["hot"] else None
-    groups = _segments(docs, bloom, hot, window).repartition("anchor").sortWithinPartitions("anchor", "doc_id")
-    shape = "doc_id long, tid long, start long, stop long, first_doc_id long"
-    spans = groups.mapInArrow(tidy(_spans(window, finder)), shape)
-    if hot is not None:
-        spans = spans.unionByName(window_spans(docs, hot, window, anchors))
-    whole = F.sort_array(F.collect_set(F.struct("start", "stop", "first_doc_id")))
-    return materialize(spans.groupBy("doc_id", "tid").agg(whole.alias("spans")), f"{label}-spans")
-
-
-def covered(spans: list[dict]) -> list[tuple[int, int, int]]:
-    """Disjoint runs (start, stop, smallest first_doc_id) of spans in ascending order."""
+    counted = _prefix_rows(docs, window).groupBy("key")
+    ends = counted.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = materialize(ends.filter("low < high").select("key"), f"{label}-prefixes")
+    n_shared = shared.count()
+    segments = _segments(docs, build_bloom(shared, n_shared), window)
+    if 16 * n_shared > MOST_BITS:  # the filter lets too much through
+        segments = segments.join(shared, "key", "left_semi")
+    segments = materialize(segments.select("ctx", "key", "at", "words", "doc_id", "tid", "place"), f"{label}-segments")
+    contexts = _distinct(segments)
+    places = segments.select("ctx", "doc_id", "tid", "place")
+    spans, wide = [], reach_of(window)
+    while True:
+        contexts = materialize(contexts, f"{label}-contexts")
+        many = materialize(contexts.groupBy("key").count().filter(F.col("count") > group).select("key"), f"{label}-many")
+        n_many = many.count() if wide > 1 else 0
+        few = contexts
+        if n_many:
+            many = F.broadcast(many) if n_many <= BROADCAST_KEYS else many
+            few = contexts.join(many, "key", "left_anti")
+        rows = few.select("ctx", "key", "at", "words", "low.doc_id", "low.place", "high")
+        rows = rows.repartition("key").sortWithinPartitions("key", "ctx")
+        solved = rows.mapInArrow(tidy(_solved(window, finder)), "ctx binary, runs array<struct<start: long, stop: long, doc_id: long, place: long>>")
+        found = places.join(solved, "ctx").select("doc_id", "tid", "place", F.explode("runs").alias("run"))
+        spans.append(found.filter("run.doc_id < doc_id").select(
+            "doc_id", "tid", (F.col("place") + F.col("run.start")).alias("start"), (F.col("place") + F.col("run.stop")).alias("stop"),
+            F.col("run.doc_id").alias("first_doc_id"), (F.col("run.place") + F.col("run.start")).alias("first_start"),
+        ))
+        if not n_many:
+            break
+        wide = max(1, wide // 3)
+        parts = materialize(_narrowed(contexts.join(many, "key", "left_semi"), window, wide), f"{label}-parts")
+        contexts = parts.groupBy("ctx").agg(
+            F.min("key").alias("key"), F.min("at").alias("at"), F.max("words").alias("words"),
+            F.min(F.struct("doc_id", "place")).alias("low"), F.max("tid").alias("high"),
+        )
+        held = parts.select("parent", F.col("ctx").alias("part"))
+        places = places.join(held, places["ctx"] == held["parent"]).select(F.col("part").alias("ctx"), "doc_id", "tid", "place")
+    every = spans[0]
+    for more in spans[1:]:
+        every = every.unionByName(more)
+    whole = F.sort_array(F.collect_set(F.struct("start", "stop", "first_doc_id", "first_start")))
+    return materialize(every.groupBy("doc_id", "tid").agg(whole.alias("spans")), f"{label}-spans")
+
+
+def covered(spans: list[dict]) -> list[tuple[int, int]]:
+    """Disjoint runs (start, stop) of the places that spans in ascending order cover."""
     out: list[list[int]] = []
     for s in spans:
         if out and s["start"] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], s["stop"])
-            out[-1][2] = min(out[-1][2], s["first_doc_id"])
         else:
-            out.append([s["start"], s["stop"], s["first_doc_id"]])
+            out.append([s["start"], s["stop"]])
     return [tuple(x) for x in out]
 
 
@@ -323,7 +393,7 @@ def cleaned(documents: DataFrame, spans: DataFrame) -> DataFrame:
         for raw, own in zip(binary_column(batch, "text"), spans, strict=True):
             words = plain_words(raw)
             left, at = [], 0
-            for a, b, _ in covered(own or []):
+            for a, b in covered(own or []):
                 left += words[at:a]
                 at = b
             left += words[at:]

@@ -1,12 +1,11 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-A suffix is dealt out by a prefix of variable length: the one that ends with its first
-anchor (see repeats). Suffixes that share 50 words share that prefix, so each part can
-be built alone; prefixes that occur in one document only are never dealt out, and a
-part holds a bounded number of segments at a time. In each part the suffix tree is
-built by prefix doubling down to the window's depth (the number of a node at depth 2d
-is the pair of numbers at depth d); its nodes there with leaves in two documents are
-the repeats, and their smallest document keeps its words.
+Suffixes are dealt out by prefixes of variable length (see repeats): counted first, and
+made longer where more than a task should hold begin with one. Each part's subtree is
+built alone: suffixes in order, from ranks that double their depth, the lengths of the
+prefixes that neighbours share, and from these the internal nodes. A node as deep as
+the window with leaves in two documents is a repeat, and its leaf in the smallest
+document keeps its words.
 """
 
 from __future__ import annotations
@@ -15,35 +14,60 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Segments, cleaned, repeated_spans
+from .repeats import Contexts, cleaned, repeated_spans
 
 WINDOW = 50
 
 
-def nodes_at(ids: np.ndarray, depth: int) -> np.ndarray:
-    """For each place the number of its suffix's node at a depth; -1 near the end."""
-    node, reach = ids, 1
-    while reach < depth:
-        step = min(reach, depth - reach)
-        pair = node[: len(node) - step] * (len(ids) + 1) + node[step:]
-        node, reach = np.unique(pair, return_inverse=True)[1], reach + step
-    return node
+class SubTree:
+    """The suffix tree below one prefix, as suffix order and shared lengths.
 
+    ids: word numbers, a zero behind each text; starts: where the suffixes begin; stops:
+    where their texts end; longest: of the suffixes.
+    """
 
-def smallest_documents(own: Segments) -> np.ndarray:
-    """For every window the smallest doc_id below its node at the window's depth."""
-    row, start = own.windows()
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, stops: np.ndarray, longest: int) -> None:
+        steps = max(1, int(longest).bit_length())
+        padded = np.concatenate([ids, np.zeros(2 << steps, np.int64)])
+        levels = [padded]
+        for k in range(steps - 1):  # ranks of the words from a place on: 1, 2, 4, ...
+            rank, far = levels[-1], 1 << k
+            pair = rank[: len(rank) - far] * (len(padded) + 1) + rank[far:]
+            levels.append(np.unique(pair, return_inverse=True)[1].astype(np.int64))
+        rest = max(0, longest - (1 << (steps - 1)))
+        top = levels[-1]
+        self.order = np.argsort(top[starts] * (len(padded) + 1) + top[starts + rest], kind="stable")
+        p, q = starts[self.order[:-1]], starts[self.order[1:]]
+        shared = np.zeros(len(p), np.int64)
+        for k in range(steps - 1, -1, -1):
+            shared += (levels[k][p + shared] == levels[k][q + shared]).astype(np.int64) << k
+        left = (stops - starts)[self.order]
+        #: Words each suffix in order shares with the one before it; the first has none before it.
+        self.shared = np.concatenate([[0], np.minimum(shared, np.minimum(left[:-1], left[1:]))])
+
+    def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The uppermost nodes at a depth or below, as runs of suffixes in order: where each
+        begins, and the node of every suffix. A run of one suffix is a leaf."""
+        begin = np.flatnonzero(self.shared < depth)
+        own = np.empty(len(self.order), np.int64)
+        own[self.order] = np.cumsum(self.shared < depth) - 1
+        return begin, own
+
+
+def first_contexts(own: Contexts) -> np.ndarray:
+    """For every window the least rank among the leaves below its node at the window's depth."""
+    row, inner = own.windows()
     if not len(row):
         return np.empty(0, np.int64)
-    node = nodes_at(own.ids, own.window)[own.begin[row] + start - own.first[row]]
-    least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, node, own.doc_id[row])
-    return least[node]
+    starts, stops = own.begin[row] + inner, (own.begin + own.counts)[row]
+    tree = SubTree(own.ids, starts, stops, int(own.counts.max()))
+    begin, node = tree.nodes(own.window)
+    return np.minimum.reduceat(own.rank[row][tree.order], begin)[node]
 
 
 def find_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document with any: doc_id, tid, spans (start, stop, first_doc_id)."""
-    return repeated_spans(documents, window, smallest_documents, "substring")
+    """Per document with any: doc_id, tid, spans (start, stop, first_doc_id, first_start)."""
+    return repeated_spans(documents, window, first_contexts, "substring")
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -5,7 +5,8 @@ group they are sorted once by what follows them and once by what precedes them;
 comparison of neighbours gives the lengths they share. A match is extended from its
 anchor to the left and to the right: two occurrences agree on o words before and
 window - o words from the anchor exactly when no neighbour in between shares less.
-Extended matches of adjacent anchors join to one maximal repeated passage.
+Matches of adjacent anchors with one source (the same document, as many words apart)
+join to one passage, which stands in its source word by word.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import column, tidy
-from .repeats import GRAM, Segments, cleaned, covered, repeated_spans
+from .repeats import Contexts, cleaned, repeated_spans
 
 WINDOW = 50
 
@@ -34,27 +35,27 @@ def _sorted_contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, np.concatenate([[0], shares])
 
 
-def smallest_documents(own: Segments) -> np.ndarray:
-    """For every window the smallest doc_id that agrees with it around its anchor."""
-    window, n = own.window, len(own.anchor)
-    row, start = own.windows()
+def first_contexts(own: Contexts) -> np.ndarray:
+    """For every window the least rank of the contexts that agree with it around its anchor."""
+    window, n = own.window, len(own.at)
+    row, inner = own.windows()
     if not len(row):
         return np.empty(0, np.int64)
-    at = own.place - own.first
-    padded = np.concatenate([np.zeros(window, np.int64), own.ids + 1, np.zeros(window, np.int64)])
+    at = own.at
+    padded = np.concatenate([np.zeros(window, np.int64), own.ids, np.zeros(window, np.int64)])
     base = own.begin + window
     right_place = at[:, None] + np.arange(window)
-    right = np.where(right_place < own.counts[:, None], padded[base[:, None] + right_place], 0)
+    right = np.where(right_place < own.counts[:, None], padded[base[:, None] + np.minimum(right_place, own.counts[:, None])], 0)
     most = max(1, int(at.max()))
     left_place = at[:, None] - 1 - np.arange(most)
-    left = np.where(left_place >= 0, padded[base[:, None] + left_place], 0)
+    left = np.where(left_place >= 0, padded[base[:, None] + np.maximum(left_place, 0)], 0)
     (rank_r, share_r), (rank_l, share_l) = _sorted_contexts(right), _sorted_contexts(left)
-    out = np.full(len(row), np.iinfo(np.int64).max)
-    offset = own.place[row] - start
+    out = np.empty(len(row), np.int64)
+    offset = at[row] - inner
     by_offset = np.argsort(offset, kind="stable")
-    cuts = np.searchsorted(offset[by_offset], np.arange(window - min(GRAM, window) + 2))
-    for o in range(len(cuts) - 1):
-        here = by_offset[cuts[o] : cuts[o + 1]]
+    cuts = np.searchsorted(offset[by_offset], np.arange(int(offset.min()), int(offset.max()) + 2))
+    for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), int(offset.min())):
+        here = by_offset[a:b]
         if not len(here):
             continue
         rows = row[here]
@@ -62,38 +63,58 @@ def smallest_documents(own: Segments) -> np.ndarray:
         agree_l = np.cumsum(share_l < o)[rank_l[rows]] if o else np.zeros(len(rows), np.int64)
         group = np.unique(agree_l * (n + 1) + agree_r, return_inverse=True)[1]
         least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, own.doc_id[rows])
+        np.minimum.at(least, group, own.rank[rows])
         out[here] = least[group]
     return out
 
 
 def find_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document with any: doc_id, tid, spans (start, stop, first_doc_id)."""
-    return repeated_spans(documents, window, smallest_documents, "suffix")
+    """Per document with any: doc_id, tid, spans (start, stop, first_doc_id, first_start)."""
+    return repeated_spans(documents, window, first_contexts, "suffix")
 
 
-def report(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each maximal repeated passage: doc_id, start, stop, n_words, first_doc_id.
+def passages(spans: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(start, stop, first_doc_id, first_start) of ascending spans, those of one source joined."""
+    out: list[list[int]] = []
+    last: dict[tuple[int, int], list[int]] = {}
+    for s in spans:
+        source = (s["first_doc_id"], s["first_start"] - s["start"])
+        open_ = last.get(source)
+        if open_ is not None and s["start"] <= open_[1]:
+            open_[1] = max(open_[1], s["stop"])
+        else:
+            last[source] = [s["start"], s["stop"], s["first_doc_id"], s["first_start"]]
+            out.append(last[source])
+    return [tuple(x) for x in out]
+
 
-    A passage is a run of words (places start to stop in the document) covered by
-    windows of so many words whose sequence also starts in a document with a smaller
-    doc_id; first_doc_id is the smallest of those. Documents without one have no row;
-    null and empty texts, texts shorter than a window, rows with a null doc_id and
-    empty tables give none. Equal rows of one doc_id count once.
+def report(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row for each repeated passage: doc_id, start, stop, n_words, first_doc_id, first_start.
+
+    The words at places start to stop of the document are those from first_start on in
+    the document first_doc_id. Each window of so many words is traced to the smallest
+    doc_id below its own in which it starts, and to its first place there; a passage is
+    a longest run of windows with one source. Where an even smaller doc_id has part of
+    a passage, that part is a passage of its own, and the two may overlap; passages of
+    different documents side by side stay apart. Repeats inside one document are not
+    looked at. Documents without a passage have no row; null and empty texts, texts
+    shorter than a window, rows with a null doc_id and empty tables give none. Equal
+    rows of one doc_id count once; other columns are not looked at.
     """
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "stop", "n_words", "first_doc_id")])
+    names = ("doc_id", "start", "stop", "n_words", "first_doc_id", "first_start")
+    schema = pa.schema([(c, pa.int64()) for c in names])
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
-                {"doc_id": d, "start": a, "stop": b, "n_words": b - a, "first_doc_id": first}
+                (d, a, b, b - a, first, place)
                 for d, spans in zip(column(batch, "doc_id"), column(batch, "spans"), strict=True)
-                for a, b, first in covered(spans)
+                for a, b, first, place in passages(spans)
             ]
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    shape = "doc_id long, start long, stop long, n_words long, first_doc_id long"
-    return find_repeats(documents, window).mapInArrow(tidy(flat), shape)
+    return find_repeats(documents, window).mapInArrow(tidy(flat), ", ".join(f"{c} long" for c in names))
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:

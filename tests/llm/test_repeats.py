@@ -13,6 +13,8 @@ import pytest
 from sparkloom.llm import repeats, substring_dedup, suffix_dedup
 from sparkloom.llm.common import hash_words
 
+from .conftest import frame, sentence
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -45,20 +47,75 @@ def test_substring_dedup(docs, rows, window):
     assert got == want
 
 
+def sources(rows: list[tuple], window: int) -> set[tuple]:
+    """Passages by brute force: every window's first document and place, runs with one source."""
+    first: dict[tuple, tuple] = {}
+    split = {(r[0], r[1]): WORD.findall(r[1] or "") for r in rows if r[0] is not None}
+    for (doc, _), words in split.items():
+        for a in range(len(words) - window + 1):
+            key = tuple(words[a : a + window])
+            first[key] = min(first.get(key, (doc, a)), (doc, a))
+    out = set()
+    for (doc, _), words in split.items():
+        by: dict[tuple, list[int]] = {}
+        for a in range(len(words) - window + 1):
+            where, place = first[tuple(words[a : a + window])]
+            if where < doc:
+                by.setdefault((where, place - a), []).append(a)
+        for (where, shift), starts in by.items():
+            begin = last = starts[0]
+            for a in [*starts[1:], None]:
+                if a is None or a > last + window:
+                    out.add((doc, begin, last + window, last + window - begin, where, begin + shift))
+                    begin = a
+                last = a
+    return out
+
+
 @pytest.mark.parametrize("window", [50, 12])
 def test_suffix_dedup(docs, rows, window):
+    got = [tuple(r) for r in suffix_dedup.report(docs, window).collect()]
+    assert len(got) == len(set(got)) and set(got) == sources(rows, window)
     found: dict[int, set[int]] = {}
-    for r in suffix_dedup.report(docs, window).collect():
-        assert r["n_words"] == r["stop"] - r["start"] >= window and r["first_doc_id"] < r["doc_id"]
-        found.setdefault(r["doc_id"], set()).update(range(r["start"], r["stop"]))
+    for doc, start, stop, *_ in got:
+        found.setdefault(doc, set()).update(range(start, stop))
     assert found == {d: g for d, _, g in brute(rows, window) if g}
 
 
-@pytest.mark.parametrize("hot_from", [2, 5])
-def test_hot_anchors_take_the_other_way(docs, rows, monkeypatch, hot_from):
-    monkeypatch.setattr(repeats, "HOT", hot_from)
-    got = Counter(tuple(r)[:3] for r in substring_dedup.report(docs, 12).collect())
-    assert got == Counter((d, len(w), len(g)) for d, w, g in brute(rows, 12))
+def test_passages_of_two_sources_stay_apart(spark):
+    rng = random.Random(7)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    rows = [(1, a, "en", "s"), (2, b, "en", "s"), (3, a + " " + b, "en", "s")]
+    got = sorted(tuple(r) for r in suffix_dedup.report(frame(spark, rows)).collect())
+    assert got == [(3, 0, 60, 60, 1, 0), (3, 60, 120, 60, 2, 0)]
+
+
+def test_long_words_that_differ_are_no_repeat(spark):
+    rng = random.Random(8)
+    words = sentence(rng, 61).split()
+    rows = []
+    for doc, letters in ((1, "ab"), (2, "ba")):
+        own = list(words)
+        own[30] = "".join(letters[i.bit_count() & 1] for i in range(1024))
+        rows.append((doc, " ".join(own), "en", "s"))
+    docs = frame(spark, rows)
+    assert sorted(tuple(r)[:3] for r in substring_dedup.report(docs).collect()) == [(1, 61, 0), (2, 61, 0)]
+    assert suffix_dedup.report(docs).count() == 0
+
+
+@pytest.mark.parametrize("group", [1, 3])
+@pytest.mark.parametrize("window", [50, 12])
+def test_prefixes_with_many_contexts_are_made_longer(docs, rows, monkeypatch, group, window):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    got = Counter(tuple(r)[:3] for r in substring_dedup.report(docs, window).collect())
+    assert got == Counter((d, len(w), len(g)) for d, w, g in brute(rows, window))
+    assert {tuple(r) for r in suffix_dedup.report(docs, window).collect()} == sources(rows, window)
+
+
+def test_a_full_filter_is_followed_by_a_join(docs, rows, monkeypatch):
+    monkeypatch.setattr(repeats, "MOST_BITS", 1)
+    got = Counter(tuple(r)[:3] for r in substring_dedup.report(docs).collect())
+    assert got == Counter((d, len(w), len(g)) for d, w, g in brute(rows, 50))
 
 
 def test_kept_texts_agree(docs):
@@ -89,30 +146,40 @@ def test_equal_windows_have_equal_anchors():
         assert covered == sum(max(0, c - window + 1) for c in counts)
 
 
-def test_pieces_of_a_large_group_carry_on(monkeypatch):
-    """A group beyond the bound is looked at in pieces with the same result."""
+def test_subtrees_have_the_shared_lengths():
+    rng = random.Random(2)
+    for _ in range(60):
+        texts = [[rng.randrange(1, 4) for _ in range(rng.randrange(1, 25))] for _ in range(5)]
+        ids = np.array([x for t in texts for x in [*t, 0]])
+        starts, stops, suffixes, at = [], [], [], 0
+        for t in texts:
+            for k in range(len(t)):
+                starts.append(at + k)
+                stops.append(at + len(t))
+                suffixes.append(t[k:])
+            at += len(t) + 1
+        tree = substring_dedup.SubTree(ids, np.array(starts), np.array(stops), max(map(len, texts)))
+        ordered = [suffixes[k] for k in tree.order]
+        assert ordered == sorted(suffixes)
+        for x, y, shared in zip(ordered, ordered[1:], tree.shared[1:], strict=False):
+            assert shared == next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+        depth = rng.randrange(1, 6)
+        _, node = tree.nodes(depth)
+        deep = [k for k, s in enumerate(suffixes) if len(s) >= depth]
+        for i in deep:
+            for j in deep:
+                assert (node[i] == node[j]) == (suffixes[i][:depth] == suffixes[j][:depth])
+
+
+def test_tables_end_with_a_prefix(monkeypatch):
     import pyarrow as pa
 
-    rng = random.Random(2)
-    shared = [f"p{i}" for i in range(30)]
-    texts = [" ".join([f"a{rng.randrange(50)}" for _ in range(20)] + shared + [f"b{rng.randrange(50)}" for _ in range(20)]).encode() for _ in range(60)]
-    words, counts = hash_words(texts)
-    h, text, place, first, last = repeats.anchors(words, counts, 20)
-    cut = [b" ".join(texts[t].split()[a : b + 20]) for t, a, b in zip(text, first, last, strict=True)]
-    table = pa.table({"anchor": h.view(np.int64), "doc_id": text, "tid": text, "place": place, "first": first, "last": last, "words": pa.array(cut, pa.binary()), "again": pa.array([[]] * len(h), pa.list_(pa.int64()))})
-    table = table.sort_by([("anchor", "ascending"), ("doc_id", "ascending")])
-
-    def run() -> set:
-        out = set()
-        for batch in repeats._spans(20, substring_dedup.smallest_documents)(iter(table.to_batches(max_chunksize=7))):
-            for r in batch.to_pylist():
-                out.update((r["doc_id"], p) for p in range(r["start"], r["stop"]))
-        return out
-
-    whole = run()
     monkeypatch.setattr(repeats, "TOGETHER", 5)
-    monkeypatch.setattr(repeats, "MOST_OF_ONE", 10)
-    assert run() == whole and whole
+    keys = sorted(random.Random(3).choices(range(8), k=60))
+    table = pa.table({"key": keys})
+    pieces = [p["key"].to_pylist() for p in repeats._pieces(iter(table.to_batches(max_chunksize=4)))]
+    assert [k for p in pieces for k in p] == keys and len(pieces) > 3
+    assert all(p[-1] != q[0] for p, q in zip(pieces, pieces[1:], strict=False))
 
 
 def test_words_split_like_the_pattern():
