@@ -14,6 +14,7 @@ documents: shard, chunk (its place in the shard), n_ids, doc_ids, lengths, and d
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -21,6 +22,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +84,10 @@ class Encoder:
 
     For byte-level BPE the pieces of the split pattern are encoded one by one, so a
     text of plain characters is split here and only unseen pieces go to the library.
-    Other tokenizers, and texts with characters outside the safe ranges (on which
-    versions of Unicode tables differ), go to the library whole.
+    Other tokenizers, texts with characters outside the safe ranges (on which versions
+    of Unicode tables differ), and texts that hold a special token go to the library
+    whole. As the library has it by default, the string of a special token in a text is
+    that token; with plain_specials it is ordinary text.
     """
 
     #: The safe ranges: ASCII, and letters, digits and signs up to U+024F and in U+2010-2027.
@@ -95,14 +99,14 @@ class Encoder:
         rf" ?[{_LETTERS}]+| ?[{_DIGITS}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+"
     )
     _SPACED = re.compile(rf" [{_LETTERS}]+")
-    _loaded: dict[str, Encoder] = {}
+    _loaded: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str, known: int = 440_000) -> None:
+    def __init__(self, definition: str, known: int = 440_000, plain_specials: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.encode_special_tokens = plain_specials
         self.known, self.table = known, {}
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
@@ -113,12 +117,16 @@ class Encoder:
             and not before.get("add_prefix_space", True)
             and all(t.get("special") for t in spec.get("added_tokens", []))
         )
+        added = [] if plain_specials else [t["content"] for t in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     @classmethod
-    def load(cls, path: str) -> Encoder:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+    def load(cls, definition: str, plain_specials: bool = False) -> Encoder:
+        """definition: the content of a tokenizer file, kept once by a worker."""
+        key = hashlib.sha256(definition.encode()).hexdigest(), plain_specials
+        if key not in cls._loaded:
+            cls._loaded[key] = cls(definition, plain_specials=plain_specials)
+        return cls._loaded[key]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -152,7 +160,7 @@ class Encoder:
         if not self.by_piece:
             return self._whole(texts)
         out: list[bytes | None] = [None] * len(texts)
-        odd = [k for k, t in enumerate(texts) if self._UNSAFE.search(t)]
+        odd = [k for k, t in enumerate(texts) if self._UNSAFE.search(t) or (self.added and self.added.search(t))]
         for k, ids in zip(odd, self._whole([texts[k] for k in odd]), strict=True):
             out[k] = ids
         table, find = self.table, self._PIECE.findall
@@ -179,18 +187,20 @@ _ROW = pa.schema(
 
 
 def write_token_files(
-    documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, kind: int = 8, chunk: int = CHUNK
-) -> None:
+    documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, kind: int = 8, chunk: int = CHUNK,
+    plain_specials: bool = False,
+) -> None:
     """Encode every whole text and write the ids, ascending by doc_id, to path.
 
-    Null texts are empty; each row is a document of its own, ties go by text; a null
+    tokenizer: a file on the driver, whose content is sent to the workers. Null texts are empty; each row is a document of its own, ties go by a hash of the text; a null
     doc_id comes first. An empty table writes an empty directory. Other columns are
     not looked at.
     """
-    prepare(documents.sparkSession)
+    spark = prepare(documents.sparkSession)
+    definition = spark.sparkContext.broadcast(Path(tokenizer).read_text("utf-8"))  # as large at any input
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stop = Encoder.load(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, stop = Encoder.load(definition.value, plain_specials), np.array([end_id], "<u4").tobytes()
         shard, count = TaskContext.get().partitionId(), 0
         ids, held, size = [], [], 0
 
@@ -213,8 +223,9 @@ def write_token_files(
         if held:
             yield flush()
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("own"))
+    # one doc_id, or none, may have very many rows: the hash of the text splits them
+    ordered = docs.repartitionByRange("doc_id", "own").sortWithinPartitions("doc_id", "own", "text")
     rows = ordered.mapInArrow(tidy(encode), _SHAPE)
     rows.write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(path)
 
@@ -286,11 +297,13 @@ def chunk_starts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def report(documents: DataFrame, tokenizer: str, end_id: int = 2, kind: int = 8) -> DataFrame:
+def report(
+    documents: DataFrame, tokenizer: str, end_id: int = 2, kind: int = 8, plain_specials: bool = False
+) -> DataFrame:
     """Per document, from the files read back: doc_id, start, n_tokens, ids_crc32."""
     spark = documents.sparkSession
     path = shared_path(spark, "token-ids")
-    write_token_files(documents, path, tokenizer, end_id, kind)
+    write_token_files(documents, path, tokenizer, end_id, kind, plain_specials=plain_specials)
     read = read_digests(spark, path)
     return read.join(chunk_starts(spark, path), ["shard", "chunk"]).select(
         "doc_id", (F.col("chunk_start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32"

@@ -301,12 +301,38 @@ def test_forward_backward_against_all_paths():
 # -- tokens
 
 
+def test_special_tokens_in_texts(spark):
+    """By default what the library gives for its own strings; as plain text only when asked."""
+    from tokenizers import Tokenizer
+
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a <|endoftext|", "<|endoftext|><|endoftext|> b"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for plain in (False, True):
+        tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+        if plain:
+            tokenizer.encode_special_tokens = True
+        ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert any(50256 in x for x in ids) != plain
+        got = token_output.report(table, queries.tokenizer_path(), plain_specials=plain).orderBy("start").collect()
+        assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids]
+
+
+def test_rows_of_one_doc_id_are_spread(spark, tmp_path):
+    table = spark.range(2000).selectExpr("cast(null as long) as doc_id", "'t' || id as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_output.write_token_files(table, f"file://{tmp_path}/ids", queries.tokenizer_path())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in token_output.read_documents(spark, f"file://{tmp_path}/ids").groupBy("shard").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 1000
+
+
 def test_tokens(docs, rows, no_docs):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())  # as the library has it
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     want, at = [], 0
     for r in order:
         ids = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2]
@@ -322,7 +348,7 @@ def test_files_give_back_the_ids(spark, docs, tmp_path):
     path = f"file://{tmp_path}/ids"
     token_output.write_token_files(docs, path, queries.tokenizer_path(), chunk=500)
     got = Counter((r["doc_id"], bytes(r["ids"])) for r in token_output.read_documents(spark, path).collect())
-    encoder = token_output.Encoder(queries.tokenizer_path())
+    encoder = token_output.Encoder(Path(queries.tokenizer_path()).read_text("utf-8"))
     stop = np.array([2], "<u4").tobytes()
     texts = docs.select("doc_id", "text").collect()
     assert got == Counter((r["doc_id"], encoder.encode([r["text"] or ""])[0] + stop) for r in texts)
@@ -338,7 +364,7 @@ def test_planes_round_trip(kind, n):
 
 
 def test_pieces_are_the_library_s():
-    encoder = token_output.Encoder(queries.tokenizer_path(), known=50)
+    encoder = token_output.Encoder(Path(queries.tokenizer_path()).read_text("utf-8"), known=50)
     rng = random.Random(9)
     letters = "ab 's\n\t12'.,!éñ¿×÷’“ªº·\u00a0\u3000\u0085ǅ½٣"
     for _ in range(200):
