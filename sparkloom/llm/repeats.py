@@ -45,6 +45,8 @@ GRAM = 8
 GROUP = 1_000
 #: Prefixes to be made longer (8 bytes each) up to which they are broadcast; beyond, joined.
 BROADCAST_KEYS = 100_000
+#: Names of contexts that a task remembers so as not to send their words again.
+_SEEN = 200_000
 #: Contexts that a task looks at together, of whole prefixes.
 TOGETHER = 4_096
 
@@ -130,11 +132,14 @@ def context_name(at: int, words: bytes) -> bytes:
 
 def _segments(docs: DataFrame, shared: Bloom, window: int) -> DataFrame:
     """A row for each occurrence of an anchor whose prefix is shared; the words come with
-    the first row of a context in a batch."""
+    the first row of a context that the task remembers."""
     sent = docs.sparkSession.sparkContext.broadcast(shared)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
+            if len(seen) > _SEEN:
+                seen.clear()
             raws = binary_column(batch, "text")
             words, counts = hash_words(raws)
             key, text, place, first, last = anchors(words, counts, window)
@@ -142,7 +147,7 @@ def _segments(docs: DataFrame, shared: Bloom, window: int) -> DataFrame:
             key, text, place, first, last = (x[keep] for x in (key, text, place, first, last))
             names: list[bytes] = []
             cut: list[bytes | None] = []
-            now, own, seen = -1, [], set()
+            now, own = -1, []
             for t, a, b, p in zip(text.tolist(), first.tolist(), (last + window).tolist(), place.tolist(), strict=True):
                 if t != now:
                     now, own = t, plain_words(raws[t])
