@@ -7,8 +7,9 @@ word with forward-backward. A document's language has the largest share of the w
 posterior mass; that share is the score.
 
 The field is fitted on the driver, on a bounded sample: at most ``DOCS`` documents of
-each language, at most ``WINDOWS`` windows of ``WIDTH`` words of each. Prediction reads
-whole texts, in one pass without a shuffle.
+each language, at most ``WINDOWS`` windows of ``WIDTH`` words of each, and at most
+``ALL_WINDOWS`` windows of all languages together, so that with many languages each has
+fewer. Prediction reads whole texts, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,11 +26,16 @@ from pyspark.sql import functions as F
 from .common import column, materialize, prepare, tidy
 
 DOCS, WINDOWS, WIDTH = 150, 8, 32
+#: Windows of all languages; so many languages at most are learned, the first by a hash.
+ALL_WINDOWS = 12_000
+#: Numbers (8 bytes each) that one step of the fit works on.
+STEP = 1 << 21
 #: Chosen documents (ids and languages, some 30 bytes a row) up to which they are
 #: broadcast to the scan of the texts; beyond, which takes very many languages, joined.
 BROADCAST_DOCS = 100_000
-#: Words of one chain at prediction; a text is cut into such chains.
-CHAIN = 64
+#: Words of one chain at prediction, and words before and behind it that run along with it
+#: so that the state at its ends is the text's; those are then dropped.
+CHAIN, MARGIN = 128, 32
 #: Letters of one word; longer runs, as of scripts without spaces, are read as consecutive words of so many.
 LONGEST = 40
 _WORDS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
@@ -85,10 +91,12 @@ def forward_backward(
     post /= post.sum(axis=2, keepdims=True)
     if not pairs:
         return post, None
-    ahead = e[:, 1:] * b[:, 1:]
-    joint = a[:, :-1, :, None] * m * ahead[:, :, None, :]
-    joint /= joint.sum(axis=(2, 3), keepdims=True)
-    return post, (joint * inside[:, 1:, None, None]).sum(axis=(0, 1))
+    moved = np.zeros_like(m)
+    for t in range(1, width):  # step by step: chains x labels x labels would not stay small
+        ahead = e[:, t] * b[:, t]
+        weight = inside[:, t] / np.maximum(((a[:, t - 1] @ m) * ahead).sum(axis=1), 1e-300)
+        moved += (a[:, t - 1] * weight[:, None]).T @ ahead
+    return post, moved * m
 
 
 class Field:
@@ -129,32 +137,46 @@ class Field:
             self._scores = np.concatenate([self._scores, own])
         return self._scores[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
+    def posteriors(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Posteriors of the words of texts one after another; flat: their emission scores.
+
+        Long texts run in chains side by side; what lies over a margin from a chain's end
+        has no say in a label that any float would show.
+        """
+        out = np.zeros(flat.shape)
+        ends = np.cumsum(sizes)
+        begin, low, high = [], [], []
+        for a, n in zip((ends - sizes).tolist(), sizes.tolist(), strict=True):
+            for b in range(0, n, CHAIN):
+                begin.append(a + b)
+                low.append(a + max(0, b - MARGIN))
+                high.append(a + min(n, b + CHAIN + MARGIN))
+        begin, low, high = (np.array(x, np.int64) for x in (begin, low, high))
+        order = np.argsort(high - low, kind="stable")  # like lengths side by side
+        step = max(1, min(4096, STEP // (len(self.labels) * (CHAIN + 2 * MARGIN))))
+        stops = np.append(begin[1:], len(flat))
+        for c in range(0, len(order), step):
+            own = order[c : c + step]
+            n = high[own] - low[own]
+            place = np.minimum(low[own, None] + np.arange(int(n.max())), len(flat) - 1)
+            post, _ = forward_backward(flat[place].astype(np.float64), n, self.start, self.moves)
+            at = low[own, None] + np.arange(int(n.max()))
+            mine = (at >= begin[own, None]) & (at < np.minimum(begin[own] + CHAIN, stops[own])[:, None])
+            out[at[mine]] = post[mine]
+        return out
+
     def shares(self, texts: list[list[str]]) -> np.ndarray:
         """Per text the share of posterior mass by label; rows of zeros without words."""
         k = len(self.labels)
         out = np.zeros((len(texts), k))
         sizes = np.array([len(t) for t in texts], np.int64)
-        total = int(sizes.sum())
-        if not total or not k:
+        if not sizes.sum() or not k:
             return out
-        flat = self.word_scores([w for t in texts for w in t])
-        owner, begin, length = [], [], []
-        at = 0
-        for i, n in enumerate(sizes):
-            for b in range(0, int(n), CHAIN):
-                owner.append(i)
-                begin.append(at + b)
-                length.append(min(CHAIN, int(n) - b))
-            at += int(n)
-        begin, length = np.array(begin), np.array(length)
-        for c in range(0, len(begin), 4096):
-            b, n = begin[c : c + 4096], length[c : c + 4096]
-            width = int(n.max())
-            place = np.minimum(b[:, None] + np.arange(width), total - 1)
-            post, _ = forward_backward(flat[place].astype(np.float64), n, self.start, self.moves)
-            post *= (np.arange(width) < n[:, None])[:, :, None]
-            np.add.at(out, np.array(owner[c : c + 4096]), post.sum(axis=1))
-        return out / np.maximum(sizes, 1)[:, None]
+        post = self.posteriors(self.word_scores([w for t in texts for w in t]), sizes)
+        some = np.flatnonzero(sizes)
+        begin = (np.cumsum(sizes) - sizes)[some]
+        out[some] = np.add.reduceat(post, begin, axis=0) / sizes[some, None]
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
         """(language, score, words); und with score 0 for texts without a letter."""
@@ -170,9 +192,8 @@ class Field:
         words = words_of(text)
         if not words or not self.labels:
             return []
-        scores = self.word_scores(words).astype(np.float64)[None]
-        post, _ = forward_backward(scores, np.array([len(words)]), self.start, self.moves)
-        return [(w, self.labels[int(p.argmax())], float(p.max())) for w, p in zip(words, post[0], strict=True)]
+        post = self.posteriors(self.word_scores(words), np.array([len(words)], np.int64))
+        return [(w, self.labels[int(p.argmax())], float(p.max())) for w, p in zip(words, post, strict=True)]
 
 
 def fit(windows: list[tuple[str, list[str]]], rounds: int = 30, rate: float = 0.5, decay: float = 1e-4) -> Field:
@@ -203,24 +224,24 @@ def fit(windows: list[tuple[str, list[str]]], rounds: int = 30, rate: float = 0.
     for i, (ws, ls) in enumerate(chains):
         words[i, : len(ws)] = [vocabulary[w] for w in ws]
         gold[i, : len(ls)] = ls
-    inside = np.arange(width) < lengths[:, None]
-    truth = np.eye(k)[gold]
-    real_moves = np.einsum("ntx,nty->xy", truth[:, :-1] * inside[:, 1:, None], truth[:, 1:])
-    total = inside.sum()
+    parts = [slice(c, c + step) for step in [max(1, STEP // (k * width))] for c in range(0, n, step)]
+    total = int(lengths.sum())
     seen = [np.full_like(x, 1e-8, dtype=np.float64) for x in (field.weights, field.start, field.moves)]
     for _ in range(rounds):
-        scores = np.add.reduceat(field.weights[flat], begins, axis=0)[words].astype(np.float64)
-        post, moves = forward_backward(scores, lengths, field.start, field.moves, pairs=True)
-        lack = (truth - post) * inside[:, :, None]
-        by_word = np.stack(
-            [np.bincount(words[inside], lack[:, :, j][inside], len(vocabulary)) for j in range(k)], axis=1
-        )
-        steps = (
-            np.stack([np.bincount(flat, np.repeat(by_word[:, j], sizes), len(features) + 1) for j in range(k)], axis=1),
-            (truth[:, 0] - post[:, 0]).sum(axis=0),
-            real_moves - moves,
-        )
-        for x, g, s in zip((field.weights, field.start, field.moves), steps, seen, strict=True):
+        by_word, starts, moves = np.zeros((len(vocabulary), k)), np.zeros(k), np.zeros((k, k))
+        emitted = np.add.reduceat(field.weights[flat], begins, axis=0)
+        for own in parts:
+            inside = np.arange(width) < lengths[own, None]
+            truth = np.eye(k)[gold[own]]
+            post, moved = forward_backward(emitted[words[own]].astype(np.float64), lengths[own], field.start, field.moves, pairs=True)
+            real = np.bincount((gold[own][:, :-1] * k + gold[own][:, 1:])[inside[:, 1:]], minlength=k * k).reshape(k, k)
+            starts += (truth[:, 0] - post[:, 0]).sum(axis=0)
+            moves += real - moved
+            lack, at = (truth - post)[inside], words[own][inside]
+            for j in range(k):
+                by_word[:, j] += np.bincount(at, lack[:, j], len(vocabulary))
+        by_feature = np.stack([np.bincount(flat, np.repeat(by_word[:, j], sizes), len(features) + 1) for j in range(k)], axis=1)
+        for x, g, s in zip((field.weights, field.start, field.moves), (by_feature, starts, moves), seen, strict=True):
             g = g / total - decay * x / len(features)
             s += g * g
             x += (rate * g / np.sqrt(s)).astype(x.dtype)
@@ -234,15 +255,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample_windows(
-    documents: DataFrame, docs: int = DOCS, windows: int = WINDOWS, width: int = WIDTH
+    documents: DataFrame, docs: int = DOCS, windows: int = WINDOWS, width: int = WIDTH, most: int = ALL_WINDOWS
 ) -> list[tuple[str, list[str]]]:
-    """The bounded sample: languages and words of windows spread over sampled texts.
+    """The bounded sample: languages and words of windows spread over sampled texts; at most
+    so many windows in all, of documents that many languages share alike.
 
     Only doc_id and lang are read to choose the documents (the first by a hash in each
     language, found before the shuffle); only chosen texts are cut into windows.
     """
     prepare(documents.sparkSession)
     may = documents.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    langs = may.select("lang").distinct().orderBy(F.xxhash64("lang"), "lang").limit(most + 1)
+    langs = materialize(langs.select(F.col("lang").alias("_known")), "languages")
+    k = langs.count()
+    if k > most:  # one window each is as few as can be
+        known = langs.orderBy(F.xxhash64("_known"), "_known").limit(most)
+        may, k = may.join(F.broadcast(known), F.col("lang") == F.col("_known"), "left_semi"), most
+    docs = min(docs, most // max(1, k))
+    windows = min(windows, max(1, most // max(1, k * docs)))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
         may.select("doc_id", "lang")

@@ -280,6 +280,62 @@ def test_long_runs_are_read_to_their_end(polyglot):
     assert (lang, words) == ("bb", 14) and score > 0.8
 
 
+def test_chains_are_cut_without_a_trace(polyglot):
+    """Labels of a long text are those of one chain over the whole of it."""
+    field = language_id.fit(language_id.sample_windows(polyglot))
+    rng = random.Random(3)
+    words = " ".join(tongue(rng, rng.choice(["abcde", "xyzéw", "klmno", "abxyk"]), rng.randrange(1, 40)) for _ in range(60)).split()
+    assert len(words) > 5 * language_id.CHAIN
+    scores = field.word_scores(words)
+    whole, _ = language_id.forward_backward(scores.astype(np.float64)[None], np.array([len(words)]), field.start, field.moves)
+    assert np.abs(field.posteriors(scores, np.array([len(words)])) - whole[0]).max() < 1e-9
+    short = field.posteriors(np.concatenate([scores[:7], scores]), np.array([7, 0, len(words)]))
+    assert np.abs(short[7:] - whole[0]).max() < 1e-9
+
+
+def test_texts_without_spaces(spark):
+    """Scripts that do not part words; the two of one alphabet differ beyond the 40th letter only."""
+    rng = random.Random(5)
+    common = "".join(chr(0x4E00 + rng.randrange(40)) for _ in range(40))
+    data = []
+    for i in range(120):
+        low = 0x5000 if i % 2 else 0x6000
+        data.append((i, common + "".join(chr(low + rng.randrange(60)) for _ in range(300)), "zz" if i % 2 else "yy"))
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = [r for r in language_id.identify(table).collect() if r["held_out"]]
+    assert len(got) > 20 and all(r["lang_pred"] == data[r["doc_id"]][2] for r in got)
+
+
+def test_fifty_languages_fit_in_bounded_memory(spark):
+    import tracemalloc
+
+    rng = random.Random(6)
+    letters = [[chr(0x400 + rng.randrange(900)) for _ in range(6)] for _ in range(50)]
+    windows = [(f"l{i % 50:02}", tongue(rng, letters[i % 50], 32).split()) for i in range(3000)]
+    tracemalloc.start()
+    field = language_id.fit(windows, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(field.labels) == 50 and peak < 500e6
+    rows = [(i, " ".join(w), lang) for i, (lang, w) in enumerate(windows[:200])]
+    few = language_id.sample_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=120)
+    assert 0 < len(few) <= 120 and len({lang for lang, _ in few}) > 40
+    assert len({lang for lang, _ in language_id.sample_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=7)}) == 7
+
+
+def test_expected_moves_against_all_paths():
+    rng = np.random.default_rng(4)
+    scores, start, moves = rng.normal(size=(1, 4, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
+    want, total = np.zeros((3, 3)), 0.0
+    for path in np.ndindex(3, 3, 3, 3):
+        w = np.exp(start[path[0]] + sum(scores[0, t, y] for t, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:], strict=False)))
+        total += w
+        for a, b in zip(path, path[1:], strict=False):
+            want[a, b] += w
+    _, got = language_id.forward_backward(np.concatenate([scores, scores]), np.array([4, 1]), start, moves, pairs=True)
+    assert got == pytest.approx(want / total)
+
+
 def test_nothing_to_learn(polyglot):
     blank = polyglot.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.identify(blank).collect()} == {"und"}
