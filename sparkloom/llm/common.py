@@ -251,6 +251,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back.
 

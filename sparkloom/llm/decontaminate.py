@@ -1,13 +1,15 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-Every shard (a run of whole documents inside one task) gets a suffix array over
-its words. Each test suffix, i.e. each position of each benchmark item, is binary
-searched in it, which yields its longest verbatim match and all places of its
-window; the words of those places are hit.
-
-Cost: one pass over the documents and no shuffle. The benchmark travels to the
-tasks in blocks whose size is bounded (``BLOCK_BYTES``); a larger benchmark takes
-one pass per block and a merge by row, so nothing unbounded is broadcast.
+Every shard (a run of whole documents inside one task) gets a suffix array over its
+words, of all suffixes that begin with a word of the benchmark; no other can match.
+Each test suffix, i.e. each position of each benchmark item, is binary searched in it
+word by word, which yields its longest verbatim match and all places of its window; the
+words of those places are hit.
+
+Cost: one pass over the documents and no shuffle. The benchmark travels to the tasks in
+blocks whose size is bounded (``BLOCK_BYTES``); a larger benchmark takes one pass per
+block and a merge by row, so nothing unbounded is broadcast. An item is held once, as
+word numbers; its suffixes are places in it.
 """
 
 from __future__ import annotations
@@ -20,89 +22,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, binary_column, column, materialize, prepare, tidy
+from .common import alnum_words, binary_column, column, free_name, materialize, prepare, tidy
 
 #: Text of benchmark items in one broadcast block.
 BLOCK_BYTES = 16 << 20
-#: Words of documents in one shard's suffix array.
-SHARD_WORDS = 200_000
-#: Suffixes that share fewer leading words with every window are left out.
-LEAD = 4
+#: Words of documents in one shard's suffix array; as many as there are test suffixes, up to the second.
+SHARD_WORDS, MOST_SHARD_WORDS = 200_000, 2_000_000
+#: Words of the shortest match that counts as a longest one.
+LEAST = 5
+#: Test suffixes that are searched side by side.
+_TOGETHER = 1 << 16
 
 
 class TestSuffixes:
-    """The benchmark's words as numbers, its windows, and which suffixes can match."""
+    """The benchmark's words as numbers, one item after another, and its suffixes.
+
+    An item with a null id has windows like any other, but no id to be listed by.
+    """
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[int, bytes | None]], window: int) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int) -> None:
         self.window = window
         self.word_ids: dict[bytes, int] = {}
-        rows, owners, starts, lengths, tails = [], [], [], [], []
+        flat: list[np.ndarray] = []
+        places, owners, stops, whole = [], [], [], []
+        at, behind = 0, np.zeros(window, np.int32)
+        self.item_ids: list[int | None] = []
         for item_id, text in items:
-            words = [self.word_ids.setdefault(w, len(self.word_ids) + 1) for w in alnum_words(text)]
-            if not words:
+            number = self.word_ids
+            words = np.array([number.setdefault(w, len(number) + 1) for w in alnum_words(text)], np.int32)
+            if not len(words):
                 continue
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1):
-                rows.append(words[i : i + size] + [0] * (window - size))
-                owners.append(item_id)
-                starts.append(i)
-                lengths.append(size)
-                tails.append(np.array(words[i:], np.int32))
-        matrix = np.array(rows, np.int32).reshape(-1, window)
-        self.matrix, self.lengths = matrix, np.array(lengths, np.int64)
-        self.owners, self.starts, self.tails = owners, starts, tails
-        self.leads = {}
-        for n in sorted({min(LEAD, int(x)) for x in lengths}):
-            own = matrix[np.minimum(self.lengths, LEAD) == n][:, :n]
-            self.leads[n] = np.unique(_lead_keys(own))
+            n, size = len(words), min(window, len(words))
+            flat += [words, behind]
+            places.append(np.arange(at, at + n))
+            stops.append(np.full(n, at + n))
+            owners.append(np.full(n, len(self.item_ids), np.int32))
+            whole.append(np.arange(n) <= n - size)
+            self.item_ids.append(item_id)
+            at += n + window
+        none = np.empty(0, np.int64)
+        self.flat = np.concatenate(flat) if flat else behind
+        self.places, self.stops, self.owners = (np.concatenate(x) if x else none for x in (places, stops, owners))
+        self.is_window = np.concatenate(whole) if whole else none.astype(bool)
+        self.sizes = np.minimum(self.stops - self.places, window)
 
     def __bool__(self) -> bool:
-        return bool(self.owners)
+        return bool(self.item_ids)
 
+    def rows(self, own: slice) -> np.ndarray:
+        """The first words of some suffixes; zeros behind the end of an item."""
+        return self.flat[self.places[own, None] + np.arange(self.window)]
 
-def _lead_keys(words: np.ndarray) -> np.ndarray:
-    key = np.zeros(len(words), np.uint64)
-    for i in range(words.shape[1]):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + words[:, i].astype(np.uint64)
-    return key
+    def shard_words(self) -> int:
+        return min(MOST_SHARD_WORDS, max(SHARD_WORDS, len(self.places)))
 
 
-def _ordered(rows: np.ndarray) -> np.ndarray:
-    """Rows of word numbers as byte strings whose order is the rows' order."""
-    wide = np.ascontiguousarray(rows.astype(">u4"))
-    return wide.view(np.dtype((np.void, 4 * rows.shape[1]))).ravel()
+def _order(flat: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes at some places in the order of their first words, so many at least."""
+    rank, far = flat.astype(np.int64), 1
+    while far < depth:
+        pair = rank[: len(rank) - far] * (int(rank.max(initial=0)) + 1) + rank[far:]
+        found = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        rank, far = np.concatenate([found, np.zeros(far, np.int64)]), 2 * far
+    return at[np.argsort(rank[at], kind="stable")]
 
 
-def _search(suffixes: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Binary search of every query row in the sorted suffix rows, column by column.
-
-    Returns the half-open range of suffixes that start with the query's non-zero words.
-    """
-    low = np.zeros(len(queries), np.int64)
-    high = np.full(len(queries), len(suffixes), np.int64)
-    for c in range(queries.shape[1]):
-        want = queries[:, c]
-        live = np.flatnonzero((want > 0) & (low < high))
+def _within(value: np.ndarray, want: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
+    """Where each wanted value is, or ends, in its own ascending run of the values."""
+    a, b = low.copy(), high.copy()
+    while True:
+        live = np.flatnonzero(a < b)
         if not len(live):
-            break
-        for side in ("left", "right"):
-            a, b = low[live].copy(), high[live].copy()
-            while True:
-                open_ = a < b
-                if not open_.any():
-                    break
-                mid = (a + b) // 2
-                value = suffixes[np.minimum(mid, len(suffixes) - 1), c]
-                right = open_ & ((value < want[live]) if side == "left" else (value <= want[live]))
-                a = np.where(right, mid + 1, a)
-                b = np.where(open_ & ~right, mid, b)
-            if side == "left":
-                first = a
-            else:
-                low[live], high[live] = first, a
-    return low, high
+            return a
+        mid = (a[live] + b[live]) // 2
+        beyond = value[mid] <= want[live] if right else value[mid] < want[live]
+        a[live[beyond]] = mid[beyond] + 1
+        b[live[~beyond]] = mid[~beyond]
 
 
 class Shard:
@@ -112,45 +109,87 @@ class Shard:
         self.tests = tests
         window, get = tests.window, tests.word_ids.get
         self.sizes = np.array([len(d) for d in docs], np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
-        total = int(self.begin[-1])
         # A zero stands for a word no test has; zeros behind each document end its suffixes.
-        flat = np.zeros(total + window * len(docs), np.int32)
-        self.shift = self.begin[:-1] + window * np.arange(len(docs))
+        self.shift = np.cumsum(self.sizes + window) - self.sizes - window
+        flat = np.zeros(int((self.sizes + window).sum()), np.int32)
         for words, at in zip(docs, self.shift, strict=True):
             flat[at : at + len(words)] = [get(w, 0) for w in words]
         self.flat = flat
-        keep = np.zeros(len(flat), bool)
-        for n, keys in tests.leads.items():
-            usable = len(flat) - n + 1
-            if usable <= 0:
-                continue
-            ok = np.ones(usable, bool)
-            for i in range(n):
-                ok &= flat[i : i + usable] > 0
-            at = np.flatnonzero(ok)
-            key = _lead_keys(np.stack([flat[at + i] for i in range(n)], axis=1))
-            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            keep[at[keys[found] == key]] = True
-        at = np.flatnonzero(keep)
+        self.places = _order(flat, np.flatnonzero(flat), window)
         padded = np.concatenate([flat, np.zeros(window, np.int32)])
-        rows = padded[at[:, None] + np.arange(window)]
-        order = np.argsort(_ordered(rows), kind="stable")
-        self.places, self.rows = at[order], rows[order]
+        self.columns = [padded[self.places + c] for c in range(window)]
+        #: By suffix in order: words of its longest match (0 below LEAST), and the test suffix.
+        self.best = np.zeros(len(self.places), np.int64)
+        self.best_of = np.zeros(len(self.places), np.int64)
 
     def matches(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(number of the test suffix, places of its window in the shard)."""
-        if not len(self.places):
-            return
-        low, high = _search(self.rows, self.tests.matrix)
-        for q in np.flatnonzero(low < high):
-            yield int(q), self.places[low[q] : high[q]]
+        """(number of a test suffix with a whole window, places of the window in the shard)."""
+        tests = self.tests
+        for begin in range(0, len(tests.places) if len(self.places) else 0, _TOGETHER):
+            rows = tests.rows(slice(begin, begin + _TOGETHER))
+            live = np.arange(len(rows))
+            low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(self.places), np.int64)
+            depth = np.zeros(len(rows), np.int64)
+            for c, value in enumerate(self.columns):
+                live = live[rows[live, c] > 0]
+                want = rows[live, c]
+                a = _within(value, want, low[live], high[live], right=False)
+                b = _within(value, want, a, high[live], right=True)
+                some = a < b
+                live, a, b = live[some], a[some], b[some]
+                if not len(live):
+                    break
+                low[live], high[live], depth[live] = a, b, c + 1
+                if c + 1 >= LEAST:
+                    self._keep_longest(c + 1, begin + live, a, b)
+            for q in np.flatnonzero(tests.is_window[begin : begin + len(rows)] & (depth == tests.sizes[begin : begin + len(rows)])):
+                yield begin + int(q), self.places[low[q] : high[q]]
+
+    def _keep_longest(self, depth: int, number: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Ranges of one depth are equal or apart; of equal ones the first test suffix counts."""
+        at, first = np.unique(low, return_index=True)
+        size = high[first] - at
+        every = np.repeat(at, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        longer = self.best[every] < depth
+        self.best[every[longer]] = depth
+        self.best_of[every[longer]] = np.repeat(number[first], size)[longer]
+
+    def longest(self) -> dict[int, tuple[int, int, int]]:
+        """By document with a match of LEAST words: (words, test suffix, place), after matches()."""
+        at = np.flatnonzero(self.best)
+        out: dict[int, tuple[int, int, int]] = {}
+        whole = self.best[at] == self.tests.window
+        for k in at[whole]:  # a whole window goes on beyond it
+            q, place = int(self.best_of[k]), int(self.places[k])
+            self.best[k] = self._beyond(q, place)
+        place = self.places[at]
+        doc = self.document_of(place)
+        order = np.lexsort((place, -self.best[at], doc))
+        doc, new = doc[order], np.ones(len(order), bool)
+        new[1:] = doc[1:] != doc[:-1]
+        for d, k in zip(doc[new].tolist(), at[order][new].tolist(), strict=True):
+            out[d] = int(self.best[k]), int(self.best_of[k]), int(self.places[k] - self.shift[d])
+        return out
+
+    def _beyond(self, q: int, place: int) -> int:
+        """Words of the match of test suffix q at a place."""
+        begin, stop, n = int(self.tests.places[q]), int(self.tests.stops[q]), self.tests.window
+        while n < stop - begin:  # in strides, so that a short match of a long item stays cheap
+            step = min(n, stop - begin - n)
+            own, other = self.flat[place + n : place + n + step], self.tests.flat[begin + n : begin + n + step]
+            differ = np.flatnonzero(own != other[: len(own)])
+            if len(differ):
+                return n + int(differ[0])
+            n += len(own)
+            if len(own) < step:
+                break
+        return n
 
     def hit_spans(self) -> dict[int, list[tuple[int, int]]]:
         """Merged spans of hit words by number of the document."""
         spans: dict[int, list] = {}
         for q, places in self.matches():
-            size = int(self.tests.lengths[q])
+            size = int(self.tests.sizes[q])
             for k, place in zip(self.document_of(places), places, strict=True):
                 start = int(place - self.shift[k])
                 spans.setdefault(int(k), []).append((start, start + size))
@@ -159,13 +198,6 @@ class Shard:
     def document_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.shift, places, side="right") - 1
 
-    def longest(self, q: int, place: int) -> int:
-        """Length of the verbatim match of test suffix q at a place."""
-        tail = self.tests.tails[q]
-        own = self.flat[place : place + len(tail)]
-        differ = np.flatnonzero(own != tail[: len(own)])
-        return int(differ[0]) if len(differ) else len(own)
-
 
 def _digest(ids: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
@@ -195,7 +227,7 @@ def _scan(docs: DataFrame, tests: TestSuffixes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tests)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, most = shared.value, shared.value.shard_words()
 
         def flush(held: list[tuple]) -> pa.RecordBatch:
             out: list[dict] = [
@@ -206,17 +238,14 @@ def _scan(docs: DataFrame, tests: TestSuffixes) -> DataFrame:
             if known:
                 shard = Shard(known, [w for _, _, w in held])
                 for q, places in shard.matches():
-                    size = int(known.lengths[q])
+                    size, item_id = int(known.sizes[q]), known.item_ids[known.owners[q]]
                     for k, place in zip(shard.document_of(places), places, strict=True):
                         start = int(place - shard.shift[k])
                         spans[k].append((start, start + size))
-                        items[k].add(str(known.owners[q]))
-                        if (n := shard.longest(q, int(place))) > out[k]["longest"]:
-                            out[k] |= {
-                                "longest": n,
-                                "longest_item": known.owners[q],
-                                "longest_at": start,
-                            }
+                        if item_id is not None:
+                            items[k].add(str(item_id))
+                for k, (n, q, at) in shard.longest().items():
+                    out[k] |= {"longest": n, "longest_item": known.item_ids[known.owners[q]], "longest_at": at}
             for k, row in enumerate(out):
                 row["hits"] = [{"start": a, "stop": b} for a, b in merge_spans(spans[k])]
                 row["items"] = sorted(items[k])
@@ -229,7 +258,7 @@ def _scan(docs: DataFrame, tests: TestSuffixes) -> DataFrame:
                 words = alnum_words(t)
                 held.append((r, d, words))
                 size += len(words)
-                if size >= SHARD_WORDS:
+                if size >= most:
                     yield flush(held)
                     held, size = [], 0
         if held:
@@ -273,12 +302,13 @@ def find_matches(
     """One row per row of documents: the hit word spans, items, and the longest match.
 
     Columns: doc_id, n_words, hits (disjoint spans of word places), items (ids as
-    strings, sorted), longest, longest_item, longest_at (the longest verbatim match of a
-    test suffix that holds a window).
+    strings, sorted), longest, longest_item, longest_at (the longest verbatim match of any
+    test suffix, in words, its item and its first place in the document; 0 and null where
+    none has five words; of several items the one read first).
 
     Null and empty texts have no words and no hits; repeated rows each get a row; an
     empty benchmark hits nothing; other columns are not looked at; items with equal ids
-    count as one.
+    count as one; windows of items with a null id hit words, but count as no item.
     """
     prepare(documents.sparkSession)
     docs = documents.select(F.lit(None).cast("long").alias("row_id"), F.col("doc_id").cast("long"), "text")
@@ -375,14 +405,15 @@ def remove_contaminated(
     blocks = _read_benchmark(benchmark, block_bytes)
     first, second = next(blocks), next(blocks, None)
     if second is not None:
-        keyed = materialize(documents.withColumn("_row", F.monotonically_increasing_id()), "remove")
-        docs = keyed.select(F.col("_row").alias("row_id"), F.col("doc_id").cast("long"), "text")
+        own = free_name(documents, "_row")
+        keyed = materialize(documents.withColumn(own, F.monotonically_increasing_id()), "remove")
+        docs = keyed.select(F.col(own).alias("row_id"), F.col("doc_id").cast("long"), "text")
         bad = _judged(_matches(docs, benchmark, window, block_bytes), share).filter("contaminated")
-        return keyed.join(bad.select(F.col("row_id").alias("_row")), "_row", "left_anti").drop("_row")
+        return keyed.join(bad.select(F.col("row_id").alias(own)), own, "left_anti").drop(own)
     shared = documents.sparkSession.sparkContext.broadcast(TestSuffixes(first, window))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, most = shared.value, shared.value.shard_words()
 
         def flush(held: list[pa.RecordBatch], docs: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
             keep = np.ones(len(docs), bool)
@@ -401,7 +432,7 @@ def remove_contaminated(
             held.append(batch)
             docs += [alnum_words(t) for t in binary_column(batch, "text")]
             size += sum(map(len, docs[len(docs) - batch.num_rows :]))
-            if size >= SHARD_WORDS:
+            if size >= most:
                 yield from flush(held, docs)
                 held, docs, size = [], [], 0
         if held:
