@@ -1,16 +1,18 @@
 """Embedding near-dedup with an inverted multi-index.
 
 Independent codebooks on the two halves of the unit vectors form a product grid of
-cells. A vector visits the cells nearest to it, in the order of the multi-sequence
-traversal over its two lists of half distances, until the target recall is reached;
-what it meets there is verified by cosine in double precision. Equal vectors of one
-label are one node, so copies are not expanded; cells with very many vectors are dealt
-out in parts, each of which sees every visitor.
-
-The codebooks are fitted on a bounded sample (``SAMPLE`` vectors, ``SAMPLE_NUMBERS``
-components); all vectors are indexed. The reach of the traversal is calibrated on the sample: neighbours at exactly
-the threshold are drawn in random directions, and the reach is the quantile of their
-cells' distance bounds at the target recall.
+cells. A vector visits cells nearest first, by the multi-sequence traversal over its two
+lists of half distances, and stops by itself once the cells it has seen hold the target
+share of what can be near it; what it meets there is verified by cosine in double
+precision. Equal vectors of one label are one node, so copies are not expanded; a cell
+with very many vectors is a grid of parts, in which each visitor meets each stored
+vector once.
+
+The codebooks grow with the number of vectors (up to ``MOST_CENTRES`` a half) and are
+fitted on a bounded sample (``SAMPLE`` to ``MOST_SAMPLE`` vectors, ``SAMPLE_NUMBERS``
+components); all vectors are indexed. When a traversal has seen enough is calibrated on
+the sample: neighbours at exactly the threshold are drawn in random directions, and the
+share of them in cells up to a distance bound says how far the target recall reaches.
 """
 
 from __future__ import annotations
@@ -26,12 +28,16 @@ from pyspark.sql import functions as F
 from .common import binary_column, column, materialize, prepare, tidy
 from .components import connected_components
 
-SAMPLE = 20_000
+SAMPLE, MOST_SAMPLE = 20_000, 65_536
+MOST_CENTRES = 4_096
 #: Components of all vectors in the sample and in the calibration (8 bytes each).
 SAMPLE_NUMBERS = 4_000_000
 RECALL = 0.999
-#: Vectors of one cell that one task holds; larger cells are dealt out in parts.
-CELL = 4_096
+#: Stored vectors of a part of a cell, of which a cell has so many a side at most; then parts grow
+#: up to the largest, beyond which there are more of them again.
+CELL, SIDES, LARGEST = 1_024, 16, 16_384
+#: Centres nearest to a vector whose bisectors bound its distance to a cell.
+NEAREST = 16
 #: Cells with parts (some 24 bytes each) up to which their table is broadcast; beyond, joined.
 BROADCAST_CELLS = 100_000
 
@@ -41,13 +47,19 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, rows: int = 2_048) -> np.ndarray:
+    """Number of the centre nearest to each vector, some rows at a time."""
+    parts = [_distances(x[i : i + rows], centres).argmin(axis=1) for i in range(0, len(x), rows)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
 def fit_codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """k-means from a fixed start; empty clusters keep their centre."""
     distinct = np.unique(x, axis=0)
     k = min(k, len(distinct))
     centres = distinct[np.random.default_rng(5).choice(len(distinct), k, replace=False)].copy()
     for _ in range(rounds):
-        own = _distances(x, centres).argmin(axis=1)
+        own = _nearest(x, centres)
         counts = np.bincount(own, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
@@ -56,13 +68,12 @@ def fit_codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 class MultiIndex:
-    """Codebooks of the halves, and how far a traversal goes."""
+    """Codebooks of the halves, and when a traversal has reached its recall."""
 
     def __init__(self, sample: np.ndarray, cosine: float, k: int, recall: float) -> None:
         half = sample.shape[1] // 2
         self.halves = (slice(0, half), slice(half, None))
         self.books = [fit_codebook(sample[:, h], k) for h in self.halves]
-        self.gaps = [np.sqrt(np.maximum(_distances(c, c), 1e-300)) for c in self.books]
         most = 2 - 2 * cosine
         if recall >= 1:
             self.reach = most + 1e-9
@@ -73,59 +84,72 @@ class MultiIndex:
         y -= (y * x).sum(axis=1, keepdims=True) * x
         norm = np.linalg.norm(y, axis=1, keepdims=True)
         y = cosine * x + np.sqrt(1 - cosine * cosine) * y / np.where(norm > 0, norm, 1)
-        own, bounds = self.cells(y), self.bounds(x)
-        rows = np.arange(len(x))
-        apart = bounds[0][rows, own[0]] + bounds[1][rows, own[1]]
-        self.reach = min(most + 1e-9, float(np.quantile(apart, recall)) + 1e-9)
+        apart = []
+        for i in range(0, len(x), 1_024):
+            own, bounds = self.cells(y[i : i + 1_024]), self.bounds(x[i : i + 1_024])
+            rows = np.arange(len(own[0]))
+            apart.append(bounds[0][rows, own[0]] + bounds[1][rows, own[1]])
+        #: The bound of a cell at which cells up to it hold the target share of neighbours.
+        self.reach = min(most + 1e-9, float(np.quantile(np.concatenate(apart), recall)) + 1e-9)
 
     def cells(self, x: np.ndarray) -> list[np.ndarray]:
-        return [_distances(x[:, h], c).argmin(axis=1) for h, c in zip(self.halves, self.books, strict=True)]
+        return [_nearest(x[:, h], c) for h, c in zip(self.halves, self.books, strict=True)]
 
     def bounds(self, x: np.ndarray) -> list[np.ndarray]:
         """By half and centre: the least squared distance to anything in that cell.
 
-        Vectors of a cell lie beyond the bisector of its centre and any other centre.
+        Vectors of a cell lie beyond the bisector of its centre and any other centre; of
+        those the bisectors with the centres nearest to x are looked at.
         """
         out = []
-        for h, c, gap in zip(self.halves, self.books, self.gaps, strict=True):
+        for h, c in zip(self.halves, self.books, strict=True):
             d = _distances(x[:, h], c)
-            best = np.zeros_like(d)
-            for k in range(len(c)):
-                best = np.maximum(best, (d - d[:, k : k + 1]) / (2 * gap[:, k]))
+            few = min(NEAREST, len(c))
+            near = np.argpartition(d, few - 1, axis=1)[:, :few]
+            best, rows = np.zeros_like(d), np.arange(len(x))
+            for k in near.T:
+                gap = np.sqrt(np.maximum(_distances(c[k], c), 1e-300))
+                best = np.maximum(best, (d - d[rows, k][:, None]) / (2 * gap))
             out.append(best * best)
         return out
 
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell of half one, cell of half two) within reach, its own cell included."""
+        """(row, cell of half one, cell of half two), its own cell included: each row's
+        traversal, from the nearest cell on until it has reached the recall."""
         one, two = self.bounds(x)
         own = self.cells(x)
         rows = np.arange(len(x))
         one[rows, own[0]] = two[rows, own[1]] = 0
-        order1, order2 = np.argsort(one, axis=1), np.argsort(two, axis=1)
-        one, two = np.take_along_axis(one, order1, 1), np.take_along_axis(two, order2, 1)
-        found = []
-        for i in range(one.shape[1]):
-            live = np.flatnonzero(one[:, i] <= self.reach)
-            if not len(live):
-                break
-            n = (one[live, i, None] + two[live] <= self.reach).sum(axis=1)
-            row = np.repeat(live, n)
-            j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            found.append((row, order1[row, i], order2[row, j]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def multi_sequence(one: np.ndarray, two: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """Pairs (i, j) of two lists of half distances in ascending order of their sum."""
-    a, b = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
-    heap, seen = [(one[a[0]] + two[b[0]], 0, 0)], {(0, 0)}
+        row: list[int] = []
+        first: list[int] = []
+        second: list[int] = []
+        for r in range(len(x)):
+            for i, j, apart in multi_sequence(one[r], two[r], self.reach):
+                if apart > self.reach:
+                    break
+                row.append(r)
+                first.append(i)
+                second.append(j)
+        return np.array(row, np.int64), np.array(first, np.int64), np.array(second, np.int64)
+
+
+def multi_sequence(one: np.ndarray, two: np.ndarray, most: float = np.inf) -> Iterator[tuple[int, int, float]]:
+    """Pairs (i, j) of two lists of half distances in ascending order of their sum; halves
+    that alone are beyond most are not looked at."""
+    lists = []
+    for d in (one, two):
+        at = np.flatnonzero(d <= most)
+        at = at[np.argsort(d[at], kind="stable")]
+        lists.append((at.tolist(), d[at].tolist()))
+    (a, da), (b, db) = lists
+    heap = [(da[0] + db[0], 0, 0)] if a and b else []
     while heap:
         total, i, j = heapq.heappop(heap)
-        yield int(a[i]), int(b[j]), float(total)
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (one[a[x]] + two[b[y]], x, y))
+        yield a[i], b[j], total
+        if j + 1 < len(b):
+            heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
+        if not j and i + 1 < len(a):  # a row is opened by the row before it, so no pair comes twice
+            heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
 
 
 def _usable(embedding: Column) -> Column:
@@ -199,7 +223,10 @@ def _visit_rows(nodes: DataFrame, index: dict[int, MultiIndex]) -> DataFrame:
 
 
 def _numbers(raw: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(raw, np.float64 if len(raw) == 8 * dim else np.float32).astype(np.float64)
+    """The vector divided by a power of two near its largest component: products stay in range
+    and no digit is lost."""
+    x = np.frombuffer(raw, np.float64 if len(raw) == 8 * dim else np.float32).astype(np.float64)
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max(initial=0))[1]))
 
 
 class CellPart:
@@ -277,10 +304,11 @@ def _verify(cosine: float, together: int = 512) -> Callable:
 
 
 def fit_index(nodes: DataFrame, cosine: float, recall: float, count: int, widest: int) -> dict[int, MultiIndex]:
-    """An index for each dimension in a sample of vectors, taken by hash: at most SAMPLE
+    """An index for each dimension in a sample of vectors, taken by hash: at most MOST_SAMPLE
     of them, and at most SAMPLE_NUMBERS components."""
-    k = 1 << max(2, min(8, round(np.log2(max(1.0, count / 50)) / 2)))
-    rows = nodes.select("dim", "embedding").orderBy(F.xxhash64("node"), "node").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // max(1, widest))))
+    k = min(MOST_CENTRES, 1 << max(2, round(np.log2(max(1.0, count / 50)) / 2)))
+    size = max(1, min(max(SAMPLE, min(16 * k, MOST_SAMPLE)), SAMPLE_NUMBERS // max(1, widest)))
+    rows = nodes.select("dim", "embedding").orderBy(F.xxhash64("label", "embedding"), "node").limit(size)
     by_dim: dict[int, list] = {}
     for row in rows.toLocalIterator():
         by_dim.setdefault(row["dim"], []).append(row["embedding"])
@@ -310,44 +338,49 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.98, recall: float =
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding"
     )
     usable = F.col("label").isNotNull() & _usable(F.col("embedding"))
-    rows = rows.withColumn("node", F.when(usable, F.xxhash64("label", "embedding")))
+    names = F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit("again"), "embedding", "label").alias("h2")
+    rows = rows.select("vec_id", "label", "embedding", *[F.when(usable, h).alias(n) for h, n in zip(names, ("h1", "h2"), strict=True)])
     nodes = materialize(
-        rows.filter("node is not null")
-        .groupBy("node")
+        rows.filter("h1 is not null")
+        .groupBy("h1", "h2")
         .agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"),
              F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-        .withColumn("dim", F.size("embedding")),
+        .withColumn("dim", F.size("embedding"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "vectors",
     )
     size = nodes.agg(F.count("*").alias("n"), F.max("dim").alias("widest")).first()
     index = fit_index(nodes, cosine, recall, size["n"], size["widest"] or 1)
     cell = ["label", "dim", "one", "two"]
+    sides = F.ceil(F.col("count") / CELL)
+    sides = F.when(sides <= SIDES, sides).otherwise(F.greatest(F.lit(SIDES), F.ceil(F.col("count") / LARGEST)))
     parts = _cell_sizes(nodes, index).filter(F.col("count") > CELL)
-    parts = materialize(parts.select(*cell, F.ceil(F.col("count") / CELL).cast("int").alias("parts")), "cells")
+    parts = materialize(parts.select(*cell, sides.cast("int").alias("sides")), "cells")
     placed, n_large = _visit_rows(nodes, index), parts.count()
     if n_large:
         placed = placed.join(F.broadcast(parts) if n_large <= BROADCAST_CELLS else parts, cell, "left")
     else:
-        placed = placed.withColumn("parts", F.lit(1))
-    spread = placed.withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
-    visits = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.lit(False).alias("stored"), p.alias("part")))
-    stays = F.when(F.col("stored"), F.array(F.struct(F.lit(True).alias("stored"), own.alias("part"))))
-    rows_at = F.concat(F.coalesce(stays, F.array().cast("array<struct<stored: boolean, part: int>>")), visits)
+        placed = placed.withColumn("sides", F.lit(1))
+    spread = placed.withColumn("sides", F.coalesce("sides", F.lit(1)))
+    own, side = F.pmod(F.xxhash64("node"), F.col("sides").cast("long")).cast("int"), F.col("sides")
+    every = F.sequence(F.lit(0), F.col("sides") - 1)  # stored: one row of the grid; visitor: one column
+    visits = F.transform(every, lambda s: F.struct(F.lit(False).alias("stored"), (s * side + own).alias("part")))
+    stays = F.transform(every, lambda s: F.struct(F.lit(True).alias("stored"), (own * side + s).alias("part")))
+    rows_at = F.when(F.col("stored"), F.concat(stays, visits)).otherwise(visits)
     dealt = spread.withColumn("at", F.explode(rows_at)).select("node", *cell, "copies", "vector", "at.stored", "at.part")
     dealt = dealt.repartition(*cell, "part").sortWithinPartitions(*cell, "part", F.desc("stored"), "node")
     found = materialize(dealt.mapInArrow(tidy(_verify(cosine)), "node long, links long, other long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
-    named = nodes.select("node", "copies", "least").join(roots, nodes["node"] == roots["id"], "left")
+    named = nodes.select("node", "h1", "h2", "copies", "least").join(roots, nodes["node"] == roots["id"], "left")
     named = named.join(links, "node", "left").select(
-        "node", "least", F.coalesce("root", "node").alias("root"),
+        "h1", "h2", "least", F.coalesce("root", "node").alias("root"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(whole, "root").select("node", "n_links", "component_id")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return rows.join(named, "node", "left").select(
+    named = named.join(whole, "root").select("h1", "h2", "n_links", "component_id")
+    component = F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return rows.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),

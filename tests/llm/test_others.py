@@ -77,6 +77,59 @@ def test_longest_match(spark, docs, rows):
     assert longest[41] == len(rows[41][1].split()) and longest[40] >= 70 and longest[0] == 0
 
 
+def test_longest_match_against_all_places(spark):
+    """Every length from five words on, whatever shards the documents fall in."""
+    rng = random.Random(21)
+    bench = [(i, sentence(rng, rng.choice([3, 9, 40]), 12)) for i in range(6)]
+    data = [(i, sentence(rng, rng.randrange(0, 60), 12)) for i in range(40)] + [(100, bench[2][1] + " " + bench[5][1]), (101, "")]
+    cut = [t.split() for _, t in bench]
+
+    def longest(words):
+        best = 0
+        for item in cut:
+            for i in range(len(item)):
+                for j in range(len(words)):
+                    n = 0
+                    while i + n < len(item) and j + n < len(words) and item[i + n] == words[j + n]:
+                        n += 1
+                    best = max(best, n)
+        return best if best >= decontaminate.LEAST else 0
+
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = decontaminate.find_matches(table, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["longest"] for r in got} == {d: longest(t.split()) for d, t in data}
+    for r in got:
+        if r["longest"]:
+            part = dict(data)[r["doc_id"]].split()[r["longest_at"] : r["longest_at"] + r["longest"]]
+            assert " ".join(part) in dict(bench)[r["longest_item"]]
+        else:
+            assert r["longest_item"] is None
+
+
+def test_a_long_item_is_held_once():
+    import pickle
+
+    rng = random.Random(2)
+    text = sentence(rng, 100_000, 50_000)
+    tests = decontaminate.TestSuffixes([(1, text.encode())], 13)
+    assert len(pickle.dumps(tests)) < 6_000_000
+    words = text.encode().split()
+    shard = decontaminate.Shard(tests, [words[500:900], words[:5000]])
+    assert shard.hit_spans() == {0: [(0, 400)], 1: [(0, 5000)]}
+    assert {k: v[0] for k, v in shard.longest().items()} == {0: 400, 1: 5000}
+
+
+def test_items_without_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumn("_row", F.lit("clash"))
+    bench = spark.createDataFrame([(None, text), (None, "other words")], "item_id long, text string")
+    for block in (decontaminate.BLOCK_BYTES, 10):
+        r = decontaminate.report(docs, bench, block_bytes=block).first()
+        assert (r["n_hit"], r["n_items"], r["contaminated"]) == (20, 0, True)
+        left = decontaminate.remove_contaminated(docs, bench, block_bytes=block)
+        assert left.columns == docs.columns and left.count() == 0
+
+
 def test_empty_benchmark(spark, docs, no_docs, rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(docs, none).filter("contaminated").count() == 0
@@ -127,6 +180,28 @@ def test_embeddings(spark, recall, monkeypatch):
     assert Counter(tuple(r) for r in embedding_dedup.near_duplicates(table, 0.98, recall).collect()) == want
 
 
+def test_cosines_of_very_large_and_small_vectors(spark):
+    data = [(1, [1e200, 0.0]), (2, [1e200, 1e200]), (3, [1e-200, 0.0]), (4, [1e-200, 1e-200]), (5, [3e250, 3e250]), (6, [5e-324, 0.0])]
+    table = spark.createDataFrame([(i, v, 1) for i, v in data], "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r)[:3] for r in embedding_dedup.near_duplicates(table).collect())
+    assert got == [(1, 2, 1), (2, 2, 2), (3, 2, 1), (4, 2, 2), (5, 2, 2), (6, 2, 1)]
+
+
+def test_recall_of_some_thousand_vectors(spark):
+    """Links found by the traversal against all pairs, with a codebook of more than a few cells."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(900, 24))
+    x = np.float32(np.concatenate([base + rng.normal(size=base.shape) * s for s in (0.0, 0.05, 0.1, 0.15)]))
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(table).collect()}
+    assert all(got[i] <= links[i] for i in got) and links.sum() > 1000
+    assert sum(got.values()) >= 0.9 * links.sum()
+    row, one, _ = embedding_dedup.MultiIndex(unit, 0.98, 64, 0.999).visits(unit[:200])
+    assert len(np.unique(np.bincount(row))) > 1 and len(one) < 200 * 64 * 64 / 4  # each stops by itself, early
+
+
 def test_no_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
