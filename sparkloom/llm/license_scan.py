@@ -1,7 +1,7 @@
 """License scans by canonical digest lookup.
 
-A text is normalised: A-Z in lower case, copyright lines dropped, punctuation and white
-space folded to single spaces, equivalent spellings made one. The digest of the whole
+A text is normalised: A-Z in lower case, copyright lines dropped (lines of prose that
+happen to begin with the word are none), punctuation and white space folded to single spaces, equivalent spellings made one. The digest of the whole
 normal text is then hash-joined with the digests of known licences, which are as few as
 the table below; the same lookup is made for lines that can hold a known notice. All of
 it is one pass of built-in functions without a shuffle.
@@ -18,8 +18,11 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (pattern, replacement), applied in this order; they mean the same to Java and RE2.
 STEPS: tuple[tuple[str, str], ...] = (
-    # copyright lines
-    (r"(^|\n)[ \t#*/;>-]*(copyright|\(c\)|©|all rights reserved)[^\n]*", r"\n"),
+    # copyright lines: a sign, a year, or a blank to fill in stands behind the word, so prose that wraps there stays
+    (
+        r"(^|\n)[ \t#*/;>-]*(copyright[ \t:,]*(\(c\)|©|[0-9]{4}|[<\[{]|by )|\(c\)[ \t]*([0-9]{4}|copyright)|©|all rights reserved)[^\n]*",
+        r"\n",
+    ),
     # punctuation, symbols, white space
     ("[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f «»‐-‧‰-⁞]+", " "),
 )

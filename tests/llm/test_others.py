@@ -552,6 +552,72 @@ SOFTWARE."""
     assert got == {i: license_id for i, (license_id, _) in enumerate(texts)}
 
 
+def rewrapped(rng: random.Random, text: str) -> str:
+    """Paragraphs in lines of another width, other case, other marks around words."""
+    out = []
+    for paragraph in re.split(r"\n\s*\n", text):
+        if re.search(r"copyright \(c\)|copyright \[|copyright <|all rights reserved|copyright 2", paragraph.lower()):
+            out.append(paragraph)
+            continue
+        lines, width, line = [], rng.randrange(9, 90), ""
+        for word in paragraph.split():
+            if line and len(line) + len(word) >= width:
+                lines.append(line)
+                line = ""
+            line = f"{line} {word}" if line else word
+        out.append("\n".join([*lines, line]))
+    joined = "\n\n".join(out)
+    return rng.choice([str.lower, str, str])(joined).replace('"', rng.choice(['"', "'", "“"])).replace(",", rng.choice([",", " ,"]))
+
+
+def test_texts_in_any_wrapping(spark):
+    """A line may begin with any word of a licence, "copyright" included."""
+    rng = random.Random(13)
+    folder = Path(license_scan.__file__).parent / "licenses"
+    whole = [*license_scan.TEXTS, *((p.stem, p.read_text("utf-8")) for p in sorted(folder.glob("*.txt")))]
+    texts = []
+    for license_id, text in whole:
+        for head in ("", "Copyright (c) 1999-2024, A. Person <a@b.c>\nAll rights reserved.\n\n", "© 2020 B\n\n", "(c) 2011 C\n\n", "Copyright 2001 D\n\n"):
+            texts += [(license_id, head + rewrapped(rng, text)) for _ in range(3)]
+    for license_id, at in (("BSD-3-Clause", "copyright notice, this"), ("MIT", "COPYRIGHT HOLDERS BE")):
+        texts.append((license_id, dict(license_scan.TEXTS)[license_id].replace(at, "\n" + at)))
+    texts += [(None, dict(license_scan.TEXTS)["MIT"].replace("copyright notice", "notice")), (None, "copyright notice\n" + dict(license_scan.TEXTS)["MIT"])]
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan_licenses(table).collect()}
+    assert [(i, want, got[i]) for i, (want, _) in enumerate(texts) if got[i] != want] == []
+
+
+def normal_by_hand(text: str) -> str:
+    """The normal form word by word, from its description and not from the operator's patterns."""
+    words: list[str] = []
+    for line in lower(text).split("\n"):
+        bare = line.lstrip(" \t#*/;>-")
+        if bare.startswith("copyright"):
+            behind = bare[9:].lstrip(" \t:,")
+            notice = behind[:3] == "(c)" or behind[:1] in ("©", "<", "[", "{") or behind[:3] == "by " or (len(behind) > 3 and all(c in "0123456789" for c in behind[:4]))
+        else:
+            behind = bare[3:].lstrip(" \t") if bare.startswith("(c)") else ""
+            year = len(behind) > 3 and all(c in "0123456789" for c in behind[:4])
+            notice = year or behind.startswith("copyright") or bare.startswith(("©", "all rights reserved"))
+        if not notice:
+            fold = "".join(" " if (ord(c) < 128 and not c.isalnum()) or c in "\u00a0«»" or "‐" <= c <= "‧" or "‰" <= c <= "⁞" else c for c in line)
+            words += fold.split(" ")
+    same = {"organisation": "organization", "whilst": "while", "https": "http"}
+    out = " " + " ".join(w for w in words if w) + " "
+    for a, b in same.items():
+        out = out.replace(f" {a}", f" {b}")
+    return out.replace(" licence", " license").replace(" sublicence", " sublicense").replace(" sub license", " sublicense").replace(" non commercial", " noncommercial").replace(" per cent", " percent").strip()
+
+
+def test_normal_form_against_one_by_hand(spark):
+    rng = random.Random(14)
+    bits = ["Copyright", "copyright notice", "(c)", "2019", "©", "Licence", "sub-licence", "sub license", "All rights reserved.", "non-commercial", "organisation", "whilst", "https://x", "«a»", "per cent", "\n", "\n", " * ", "A-b", "é", "–", "3.", "by me", "[yyyy]"]
+    texts = ["".join(rng.choice(["", " "]) + rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["digest"] for r in license_scan.scan_licenses(table).collect()}
+    assert [t for i, t in enumerate(texts) if got[i] != hashlib.md5(normal_by_hand(t).encode()).hexdigest()] == []
+
+
 def test_every_notice_can_be_looked_up(spark):
     known = spark.createDataFrame(list(license_scan.NOTICES), "license_id string, text string")
     assert known.select(license_scan._spelled(F.col("text")).alias("x")).filter("not x").count() == 0
