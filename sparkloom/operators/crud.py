@@ -7,6 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import with_position
+
+#: Digits of a new row's id.
+ID_DIGITS = 8
+
 
 def next_id(df: DataFrame, key: str) -> DataFrame:
     """One row: next_id, the largest id and 1; 1 for an empty table."""
@@ -17,9 +22,9 @@ def append_with_id(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """df and the rows, numbered on from the largest id; columns they lack are null."""
     start = next_id(df, key)
     others = [c for c in rows.columns if c != key]
-    nth = F.row_number().over(Window.orderBy(*others)) - 1
     kind = dict(df.dtypes)[key]
-    new = rows.crossJoin(start).withColumn(key, (F.col("next_id") + nth).cast(kind)).drop("next_id")
+    placed = with_position(rows, others, "_nth").crossJoin(F.broadcast(start))
+    new = placed.withColumn(key, (F.col("next_id") + F.col("_nth") - 1).cast(kind)).drop("next_id", "_nth")
     return df.unionByName(new, allowMissingColumns=True)
 
 
@@ -49,8 +54,7 @@ def delete_by_id(df: DataFrame, key: str, value: object) -> DataFrame:
 
 def delete_by_position(df: DataFrame, order: list[str], position: int) -> DataFrame:
     """Without the row at a place (from 1) of a total order."""
-    nth = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("_nth", nth).filter(F.col("_nth") != position).drop("_nth")
+    return with_position(df, order, "_nth").filter(F.col("_nth") != position).drop("_nth")
 
 
 def upsert(df: DataFrame, rows: DataFrame, key: str, unique: str | None = None) -> DataFrame:
@@ -69,15 +73,28 @@ def upsert(df: DataFrame, rows: DataFrame, key: str, unique: str | None = None)
 def update_by_position(df: DataFrame, order: list[str], position: int, changes: Mapping[str, Column]) -> DataFrame:
     """The columns of the row at a place (from 1) of a total order set."""
     kinds = dict(df.dtypes)
-    placed = df.withColumn("_nth", F.row_number().over(Window.orderBy(*order)))
+    placed = with_position(df, order, "_nth")
     hit = F.col("_nth") == position
     known = {c: F.when(hit, v.cast(kinds[c])).otherwise(F.col(c)) for c, v in changes.items() if c in kinds}
     return placed.withColumns(known).drop("_nth")
 
 
 def insert_validated(df: DataFrame, rows: DataFrame, key: str, errors: Column) -> tuple[DataFrame, DataFrame]:
-    """(df with the rows that have no errors, each under a new short random id; the others
-    with their errors). Nothing is added when every row is refused."""
+    """(df with the rows that have no errors, each under a new id; the others with their
+    errors). Nothing is added when every row is refused.
+
+    An id is the first ``ID_DIGITS`` hex digits of a digest of the row, the same at every
+    read; an id that is taken, or that two new rows would share, has all 32 digits.
+    """
     judged = rows.withColumn("errors", errors)
-    good = judged.filter(F.size("errors") == 0).drop("errors").withColumn(key, F.substring(F.expr("uuid()"), 1, 8))
-    return df.unionByName(good, allowMissingColumns=True), judged.filter(F.size("errors") > 0)
+    good = judged.filter(F.size("errors") == 0).drop("errors", key)
+    text = F.to_json(F.struct(*good.columns)) if good.columns else F.lit("")
+    again = F.row_number().over(Window.partitionBy("_text").orderBy("_text"))
+    named = good.withColumn("_text", text).withColumn("_id", F.md5(F.concat("_text", F.lit("|"), again.cast("string"))))
+    short = F.substring("_id", 1, ID_DIGITS)
+    named = named.withColumn("_short", short).withColumn("_times", F.count("*").over(Window.partitionBy("_short")))
+    taken = df.select(F.col(key).alias("_taken")).distinct()
+    named = named.join(taken, F.col("_short") == F.col("_taken"), "left")
+    one = (F.col("_times") == 1) & F.col("_taken").isNull()
+    new = named.withColumn(key, F.when(one, F.col("_short")).otherwise(F.col("_id"))).drop("_text", "_id", "_short", "_times", "_taken")
+    return df.unionByName(new, allowMissingColumns=True), judged.filter(F.size("errors") > 0)

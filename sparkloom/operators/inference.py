@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import sigmoid
+from .ordering import running_sums
 
 
 def feature_rows(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
@@ -44,12 +45,13 @@ def roc_points(df: DataFrame, actual: Column, score: Column, digits: int = 6) ->
     by = df.select(actual.alias("y"), score.alias("threshold")).groupBy("threshold").agg(
         F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q")
     )
-    upto = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    tp, fp = F.sum("p").over(upto), F.sum("q").over(upto)
-    return by.select(
-        "threshold", F.round(fp / F.sum("q").over(every), digits).alias("fpr"),
-        F.round(tp / F.sum("p").over(every), digits).alias("tpr"), F.round(tp / (tp + fp), digits).alias("precision"),
+    placed = running_sums(by, ["threshold"], {"p_upto": "p", "q_upto": "q"})
+    every = by.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    rows = placed.crossJoin(F.broadcast(every))
+    tp, fp = (F.col(f"all_{c}") - F.col(f"{c}_upto") + F.col(c) for c in "pq")
+    return rows.select(
+        "threshold", F.round(fp / F.col("all_q"), digits).alias("fpr"),
+        F.round(tp / F.col("all_p"), digits).alias("tpr"), F.round(tp / (tp + fp), digits).alias("precision"),
     )
 
 

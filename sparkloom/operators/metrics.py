@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import corrected_kurtosis, corrected_skewness
+from .ordering import running_sums, with_position
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, digits: int = 6) -> DataFrame:
@@ -57,8 +58,8 @@ def roc_auc(df: DataFrame, actual: Column, score: Column, digits: int = 6) -> Da
     """One row: auc by rank sums; equal scores share their mean rank. Scores are counted
     before they are ranked."""
     by = df.select(actual.alias("y"), score.alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("p"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("rank", before + (F.col("n") + 1) / 2)
+    placed = running_sums(by, ["s"], {"upto": "n"})
+    ranked = placed.withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     out = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return out.select(F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("q"), F.lit(0)), digits).alias("auc"))
 
@@ -105,5 +106,7 @@ def confusion_pairs(df: DataFrame, actual: str, predicted: str, k: int = 10) ->
 def stratified_fold(df: DataFrame, label: str, key: str, folds: int, seed: int = 42) -> DataFrame:
     """df with fold: rows of each label dealt in turn, in the order of a hash."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    nth = F.row_number().over(Window.partitionBy(label).orderBy(order, key)) - 1
-    return df.withColumn("fold", (nth % folds).cast("int"))
+    placed = with_position(df.withColumn("_hash", order), [label, "_hash", key], "_nth")
+    start = placed.groupBy(F.col(label).alias("_label")).agg(F.min("_nth").alias("_start"))
+    joined = placed.join(start, F.col(label).eqNullSafe(F.col("_label")))
+    return joined.withColumn("fold", ((F.col("_nth") - F.col("_start")) % folds).cast("int")).select(*df.columns, "fold")

@@ -9,17 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import bucket, corrected_kurtosis, corrected_skewness, pct
+from .ordering import quantiles
 from .quality import melt
 
 
 def summary(df: DataFrame, name: str, digits: int = 4) -> DataFrame:
     """One row: n, min, max, mean, median, std (sample; 0 for a single value)."""
     c = F.col(name).cast("double")
-    return df.agg(
+    one = df.agg(
         F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.round(F.avg(c), digits).alias("mean"),
-        F.round(F.percentile(c, 0.5), digits).alias("median"),
         F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), digits).alias("std"),
     )
+    middle = quantiles(df, c, {"median": 0.5}).select(F.round("median", digits).alias("median"))
+    return one.crossJoin(F.broadcast(middle)).select("n", "min", "max", "mean", "median", "std")
 
 
 def grid_distribution(df: DataFrame, value: Column, low: int, high: int) -> DataFrame:
@@ -38,8 +40,8 @@ def activity(df: DataFrame, key: str) -> DataFrame:
     per = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").cast("double").alias("n"))
     one = per.agg(
         F.count("*").alias("n_keys"), F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"),
-        F.percentile("n", 0.5).alias("median"), F.percentile("n", 0.01).alias("p01"), F.percentile("n", 0.99).alias("p99"),
     )
+    one = one.crossJoin(F.broadcast(quantiles(per, F.col("n"), {"median": 0.5, "p01": 0.01, "p99": 0.99})))
     ends = per.crossJoin(F.broadcast(one.select("p01", "p99"))).agg(
         F.count_if(F.col("n") >= F.col("p99")).alias("heavy"), F.count_if(F.col("n") <= F.col("p01")).alias("light")
     )
@@ -91,7 +93,7 @@ def correlation_ranking(df: DataFrame, target: str, names: Sequence[str], digits
 def iqr_outliers(df: DataFrame, name: str, digits: int = 6) -> DataFrame:
     """One row: quartiles, fences at 1.5 times their distance, outliers below and above."""
     c = F.col(name).cast("double")
-    q = df.agg(F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.75).alias("q3"))
+    q = quantiles(df, c, {"q1": 0.25, "q3": 0.75})
     q = q.withColumns({"low": F.expr("q1 - 1.5 * (q3 - q1)"), "high": F.expr("q3 + 1.5 * (q3 - q1)")})
     return df.select(c.alias("_v")).crossJoin(F.broadcast(q)).agg(
         *[F.round(F.first(x), digits).alias(x) for x in ("q1", "q3", "low", "high")],
@@ -110,8 +112,7 @@ def histogram(df: DataFrame, name: str, bins: int = 50) -> DataFrame:
 def five_numbers(df: DataFrame, key: str, name: str) -> DataFrame:
     """Per key: minimum, quartiles, maximum."""
     c = F.col(name).cast("double")
-    at = (("min", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("max", 1.0))
-    return df.groupBy(key).agg(*[F.percentile(c, p).alias(n) for n, p in at])
+    return quantiles(df, c, {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}, [key])
 
 
 def exploded_counts(df: DataFrame, values: Column, none: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp
 from ..operators import quality as Q
+from ..operators.ordering import quantiles, with_position
 from .registry import Tables, query
 
 _LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -205,7 +206,9 @@ def clean_rule_log(t: Tables) -> DataFrame:
 def impute_median_mode(t: Tables) -> DataFrame:
     """Missing numbers become the median, missing or blank categories the lowest mode."""
     rows = _events_with_gaps(t).withColumn("kind", F.nullif(F.trim("event_type"), F.lit("")))
-    one = rows.agg(F.percentile("value", 0.5).alias("med"), F.mode("kind", True).alias("mode"))
+    kinds = rows.filter("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
+    mode = kinds.agg(F.min_by("kind", F.struct(-F.col("n"), "kind")).alias("mode"))
+    one = quantiles(rows, F.col("value"), {"med": 0.5}).crossJoin(F.broadcast(mode))
     return rows.crossJoin(F.broadcast(one)).select(
         "event_id", F.round(F.coalesce("value", "med"), 6).alias("value"), F.coalesce("kind", "mode").alias("event_type")
     )
@@ -239,5 +242,6 @@ def distinct_rows(t: Tables) -> DataFrame:
 
 @query("select s_suppkey, (row_number() over (order by s_suppkey) - 1)::int as row_index from supplier")
 def dense_index(t: Tables) -> DataFrame:
-    """Contiguous places over the sorted ids of a small catalogue."""
-    return t.supplier.select("s_suppkey", (F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("row_index"))
+    """Contiguous places over the sorted ids."""
+    placed = with_position(t.supplier.select("s_suppkey"), ["s_suppkey"], "place")
+    return placed.select("s_suppkey", (F.col("place") - 1).cast("int").alias("row_index"))
