@@ -56,8 +56,8 @@ BLOCK_KEYS = 4_000_000
 PIVOTS = 64
 #: Sets of one prefix shingle that one task compares; those of a more frequent one form a block without that.
 HOT_TOKEN = 20_000
-#: Such shingles (8 bytes each) up to which they are broadcast; beyond, joined.
-BROADCAST_TOKENS = 100_000
+#: Sets of such a shingle that are tied to one of them.
+_TIED = 1_000
 #: Set ids a task remembers so as not to emit the same set again.
 _SEEN = 200_000
 #: Sets of candidate pairs after which a task hands on what it has joined so far.
@@ -353,35 +353,95 @@ def by_run(
         yield pa.Table.from_batches(held)
 
 
-def _without_lone(num: int, den: int) -> Callable:
+def _without_lone(num: int, den: int, hot_token: int) -> Callable:
     """Rows sorted by token, n and half: those whose token is in another set of like size.
 
-    If the nearest sizes of a token's sets are too far apart to link, all others are. Only
-    the last row of a batch waits for the next batch, however many rows a token has.
+    If the nearest sizes of a token's sets are too far apart to link, all others are. Rows
+    of a token wait until it is known whether there are more than hot_token; then, and
+    from there on as they come, they are tied together two by two under tokens of their
+    own, with n = -1: so they are spread over all tasks, and no task holds them all.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waits: pa.RecordBatch | None = None
-        met = False  # whether the row that waits has met the one before it
+        last: tuple | None = None  # token, half, n, whether it has met the one before
+        held: list[np.ndarray] = []  # rows of the last token so far: token, half, n
+        tied = 0  # rows of it that are tied already; 0 while they may still be few
+        first = before = 0  # the row that others are tied to, and the one that it is tied to
+
+        def rows(parts: list[np.ndarray]) -> pa.RecordBatch:
+            t = np.concatenate(parts, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1]), pa.array(t[2].astype(np.int32))], names=["token", "half", "n"])
+
+        def tie(part: np.ndarray) -> np.ndarray:
+            nonlocal tied, first, before
+            out = []
+            for token, half in zip(part[0].tolist(), part[1].tolist(), strict=True):
+                if tied % _TIED == 0:
+                    before, first = first, half
+                    other = before
+                else:
+                    other = first
+                if tied:
+                    own = int(mix64(np.array([token ^ half], np.int64).view(np.uint64)).view(np.int64)[0])
+                    out += [(own, other, -1), (own, half, -1)]
+                tied += 1
+            return np.array(out, np.int64).reshape(-1, 3).T
+
+        def take(part: np.ndarray, ends: bool) -> Iterator[np.ndarray]:
+            """Kept rows of one token; ends: no more of it come."""
+            nonlocal tied, held
+            if not tied:
+                held.append(part)
+                if sum(h.shape[1] for h in held) > hot_token:
+                    part, held = np.concatenate(held, axis=1), []
+                    yield tie(part)
+                elif ends:
+                    yield from held
+            else:
+                yield tie(part)
+            if ends:
+                held, tied = [], 0
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch] if waits is None else [waits, batch]).combine_chunks()
-            token, half = table["token"].to_numpy(), table["half"].to_numpy()
-            first = np.ones(len(token), bool)
-            first[1:] = (token[1:] != token[:-1]) | (half[1:] != half[:-1])
-            at = np.flatnonzero(first)
-            token, n = token[at], table["n"].to_numpy()[at].astype(np.int64)
+            token, half, n = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("token", "half", "n"))
+            met = False
+            if last is not None:
+                token, half, n = (np.concatenate([[x], y]) for x, y in zip(last, (token, half, n), strict=False))
+                met = last[3]
+            at = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (half[1:] != half[:-1])]))
+            token, half, n = token[at], half[at], n[at]
             meet = (token[1:] == token[:-1]) & (den * n[:-1] >= num * n[1:])
             keep = np.zeros(len(token), bool)
             keep[1:] |= meet
             keep[:-1] |= meet
             keep[0] |= met
-            waits, met = table.take(pa.array(at[-1:])).to_batches()[0], bool(keep[-1])
-            if keep[:-1].any():
-                yield from table.take(pa.array(at[:-1][keep[:-1]])).to_batches()
-        if waits is not None and met:
-            yield waits
+            last = int(token[-1]), int(half[-1]), int(n[-1]), bool(keep[-1])
+            whole = np.stack([token, half, n])[:, :-1]  # the last row waits
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            out: list[np.ndarray] = []
+            if len(starts) == 1:
+                out += take(whole[:, keep[:-1]], False)
+            else:
+                cut = starts[1]
+                out += take(whole[:, :cut][:, keep[:cut]], True)
+                lows, sizes = starts[1:-1], np.diff(starts[1:])
+                middle = whole[:, cut : starts[-1]][:, keep[cut : starts[-1]]]
+                if len(lows) and sizes.max() > hot_token:
+                    for a, b in zip(lows, starts[2:], strict=True):
+                        out += take(whole[:, a:b][:, keep[a:b]], True)
+                elif len(lows):
+                    out.append(middle)
+                out += take(whole[:, starts[-1] :][:, keep[starts[-1] : -1]], False)
+            out = [p for p in out if p.shape[1]]
+            if out:
+                yield rows(out)
+        if last is not None:
+            end = np.array([[x] for x in last[:3]], np.int64)[:, : int(last[3])]
+            out = [p for p in take(end, True) if p.shape[1]]
+            if out:
+                yield rows(out)
 
     return scan
 
@@ -435,7 +495,11 @@ def _candidates(num: int, den: int) -> Callable:
             members = Members(table["n"].to_numpy(), table["bitmap"].to_pylist(), num, den)
             starts = _runs(token)
             sizes = np.diff(starts)
-            small = np.repeat(sizes <= 8, sizes)
+            tied = table["n"].to_numpy()[starts[:-1]] < 0  # one block, whatever their bitmaps
+            small = np.repeat((sizes <= 8) & ~tied, sizes)
+            for k in np.flatnonzero(tied):
+                for other in range(starts[k] + 1, starts[k + 1]):
+                    forest.union(sid[starts[k]], sid[other])
             for lag in range(1, 8):
                 i = np.flatnonzero((token[lag:] == token[:-lag]) & small[lag:])
                 if not len(i):
@@ -443,7 +507,7 @@ def _candidates(num: int, den: int) -> Callable:
                 i = i[members.near(i, i + lag)]
                 for k in i.tolist():
                     forest.union(sid[k], sid[k + lag])
-            for k in np.flatnonzero(sizes > 8):
+            for k in np.flatnonzero((sizes > 8) & ~tied):
                 for a, b in members.forest(np.arange(starts[k], starts[k + 1])):
                     forest.union(sid[a], sid[b])
             if len(forest.parent) > _HELD:
@@ -527,19 +591,11 @@ def linked_sets(
     sketch = _sketch(found)
     first = _prefixes(docs, sketch, n, num, den)
     parts = first.repartition("token").sortWithinPartitions("token", "n", "half")
-    met = materialize(parts.mapInArrow(tidy(_without_lone(num, den)), "token long, half long, n int"), "met")
+    met = parts.mapInArrow(tidy(_without_lone(num, den, hot_token)), "token long, half long, n int")
     maps = found.filter("sid is not null").groupBy("sid").agg(F.min("half").alias("half"), F.min("bitmap").alias("bitmap"))
     groups = met.join(maps, "half").select("token", "sid", "n", "bitmap")
-    hot = materialize(met.groupBy("token").count().filter(F.col("count") > hot_token).select("token"), "hot-tokens")
-    n_hot = hot.count()
-    if n_hot:
-        hot = F.broadcast(hot) if n_hot <= BROADCAST_TOKENS else hot
-        many, groups = groups.join(hot, "token", "left_semi"), groups.join(hot, "token", "left_anti")
     dealt = groups.repartition("token").sortWithinPartitions("token", "sid")
     edges = dealt.mapInArrow(tidy(_candidates(num, den)), "u binary, v binary")
-    if n_hot:
-        centre = many.groupBy("token").agg(F.min("sid").alias("v"))
-        edges = edges.unionByName(many.join(centre, "token").select(F.col("sid").alias("u"), "v").filter("u <> v"))
     edges = materialize(edges.distinct(), "candidates")
     blocks = materialize(connected_components(edges), "blocks")
     sizes = rows.filter("sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))

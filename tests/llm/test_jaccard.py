@@ -188,8 +188,33 @@ def test_lone_rows_across_batches():
     table = J.pa.table({"token": [r[0] for r in rows], "half": [r[2] for r in rows], "n": J.pa.array([r[1] for r in rows], J.pa.int32())})
     want = None
     for size in (1000, 7, 1):
-        got = [tuple(r.values()) for b in J._without_lone(85, 100)(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        got = [tuple(r.values()) for b in J._without_lone(85, 100, 100)(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
         want = got if want is None else want
         assert got == want
     brute_ = {(t, h, n) for t, n, h in rows if any(t == t2 and h != h2 and 100 * min(n, n2) >= 85 * max(n, n2) for t2, n2, h2 in rows)}
     assert {(t, h, n) for t, h, n in want} == brute_
+
+
+@pytest.mark.parametrize("hot", [1, 3, 6])
+def test_rows_of_hot_tokens_are_tied(hot, monkeypatch):
+    """The sets of a token with more rows are one component, those of others stay as they are."""
+    monkeypatch.setattr(J, "_TIED", 2)
+    rng = random.Random(6)
+    rows = sorted({(t, 100, rng.randrange(50)) for t in range(9) for _ in range(rng.randrange(1, 12))})
+    table = J.pa.table({"token": [r[0] for r in rows], "half": [r[2] for r in rows], "n": J.pa.array([r[1] for r in rows], J.pa.int32())})
+    sizes = {t: len([r for r in rows if r[0] == t]) for t in range(9)}
+    assert max(sizes.values()) > hot
+    for size in (1000, 5, 1):
+        got = [tuple(r.values()) for b in J._without_lone(85, 100, hot)(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert {(t, h) for t, h, n in got if n > 0} == {(t, h) for t, _, h in rows if 1 < sizes[t] <= hot}
+        parent = J.Forest()
+        by: dict[int, list[int]] = {}
+        for t, h, n in got:
+            if n < 0:
+                by.setdefault(t, []).append(h)
+        for own in by.values():
+            for h in own:
+                parent.union(own[0], h)
+        for t in sizes:
+            if sizes[t] > hot:
+                assert len({parent.find(h) for tt, _, h in rows if tt == t}) == 1
