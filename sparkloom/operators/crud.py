@@ -70,6 +70,18 @@ def upsert(df: DataFrame, rows: DataFrame, key: str, unique: str | None = None)
     return df.join(rows.select(key), key, "left_anti").unionByName(rows)
 
 
+def with_derived(df: DataFrame, derived: Mapping[str, Column]) -> DataFrame:
+    """df with columns that follow from others, made in turn."""
+    for name, value in derived.items():
+        df = df.withColumn(name, value)
+    return df
+
+
+def upsert_derived(df: DataFrame, rows: DataFrame, key: str, derived: Mapping[str, Column], unique: str | None = None) -> DataFrame:
+    """upsert, with the derived columns of the new rows made anew from their others."""
+    return upsert(df, with_derived(rows, derived).select(df.columns), key, unique)
+
+
 def update_by_position(df: DataFrame, order: list[str], position: int, changes: Mapping[str, Column]) -> DataFrame:
     """The columns of the row at a place (from 1) of a total order set."""
     kinds = dict(df.dtypes)

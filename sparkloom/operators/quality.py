@@ -55,6 +55,37 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return n.filter("extra > 0")
 
 
+def duplicate_examples(df: DataFrame, keys: Sequence[str], most: int = 5) -> DataFrame:
+    """One row: extra, the rows beyond the first of their key, and examples, the first keys as text."""
+    found = duplicate_keys(df, keys)
+    few = found.orderBy(*keys).limit(most)
+    text = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    listed = few.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, text.alias("_text")))), lambda x: x["_text"]), ", ").alias("examples"))
+    return found.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("extra")).crossJoin(F.broadcast(listed))
+
+
+def orphan_keys(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, most: int = 10) -> DataFrame:
+    """The first keys of the child that the parent does not have; nulls are no keys."""
+    keys = child.select(child_key).filter(F.col(child_key).isNotNull()).distinct()
+    known = parent.select(F.col(parent_key).alias("_p")).distinct()
+    return keys.join(known, F.col(child_key) == F.col("_p"), "left_anti").orderBy(child_key).limit(most)
+
+
+def describe_objects(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Per text column: n, uniques, top (the most frequent, the first of equals), freq."""
+    parts = []
+    for c in names:
+        counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("f"))
+        parts.append(counts.agg(
+            F.lit(c).alias("column_name"), F.coalesce(F.sum("f"), F.lit(0)).alias("n"), F.count("*").alias("uniques"),
+            F.min_by("v", F.struct(-F.col("f"), "v")).alias("top"), F.max("f").alias("freq"),
+        ))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def flag_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df with is_duplicate: true on every row of a key that occurs more than once."""
     return df.withColumn("is_duplicate", F.count("*").over(Window.partitionBy(*keys)) > 1)

@@ -27,6 +27,18 @@ def eligible_users(train: DataFrame, user: str, least: int, most: int, seed: int
     return n.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(user).cast("string"))), user).limit(most)
 
 
+def skip_counts(liked: DataFrame, relevant: DataFrame, every: DataFrame, user: str) -> DataFrame:
+    """One row: users, those without_history (nothing liked), without_relevant (else), and evaluated."""
+    a = liked.select(user).distinct().withColumn("_liked", F.lit(True))
+    b = relevant.select(user).distinct().withColumn("_relevant", F.lit(True))
+    users = every.select(user).distinct().join(a, user, "left").join(b, user, "left")
+    some, any_ = F.col("_liked").isNotNull(), F.col("_relevant").isNotNull()
+    return users.agg(
+        F.count("*").alias("users"), F.count_if(~some).alias("without_history"), F.count_if(some & ~any_).alias("without_relevant"),
+        F.count_if(some & any_).alias("evaluated"),
+    )
+
+
 def ranking_metrics(recs: DataFrame, relevant: DataFrame, user: str, item: str, ks: Sequence[int]) -> DataFrame:
     """Per K the means over users of precision, recall, hit, ap and ndcg.
 

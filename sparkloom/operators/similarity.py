@@ -16,19 +16,31 @@ def scores(queries: DataFrame, items: DataFrame, qkey: str, key: str) -> DataFra
     return met.groupBy(qkey, key).agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
 
 
+def checked_k(k: object) -> int:
+    """k, which has to be a whole number of 1 or more; a truth value is none."""
+    if isinstance(k, bool) or not isinstance(k, int) or k < 1:
+        raise ValueError(f"k has to be a whole number of 1 or more, not {k!r}")
+    return k
+
+
 def top_k(scored: DataFrame, qkey: str, key: str, k: int, digits: int = 6) -> DataFrame:
     """Per query the k best items: rank, score rounded; score first, then the lower id."""
+    k = checked_k(k)
     rounded = scored.withColumn("score", F.round("score", digits))
     rank = F.row_number().over(Window.partitionBy(qkey).orderBy(F.desc("score"), key))
     return rounded.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def similar_items(triples: DataFrame, key: str, seeds: Sequence[int], k: int, allowed: DataFrame | None = None) -> DataFrame:
+def similar_items(
+    triples: DataFrame, key: str, seeds: Sequence[int] | DataFrame, k: int, allowed: DataFrame | None = None
+) -> DataFrame:
     """Per seed its k most similar other items, of the allowed ones if given.
 
-    Items without a common term have score 0 and fill up; a seed without terms has none.
+    seeds: ids, or a table of a few with the key. Items without a common term have score 0
+    and fill up; a seed without terms, or an unknown one, has none.
     """
-    q = triples.filter(F.col(key).isin(*seeds)).withColumnRenamed(key, "seed")
+    chosen = triples.join(F.broadcast(seeds.select(key)), key, "left_semi") if isinstance(seeds, DataFrame) else triples.filter(F.col(key).isin(*seeds))
+    q = chosen.withColumnRenamed(key, "seed")
     pool = triples.join(allowed, key, "left_semi") if allowed is not None else triples
     met = scores(q, pool, "seed", key)
     ids = allowed if allowed is not None else triples.select(key).distinct()
@@ -55,9 +67,27 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def dense_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, digits: int = 5) -> DataFrame:
-    """Per query row (a stated, small set, which is broadcast) its k most similar others."""
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 10_000
+
+
+def dense_top_k(
+    vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, digits: int = 5, block: int = QUERY_BLOCK
+) -> DataFrame:
+    """Per query row of a stated set its k most similar others.
+
+    The queries are counted and broadcast in blocks of about so many, one pass over the
+    vectors for each; the best k of a task go before the shuffle.
+    """
     q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
-    met = vectors.crossJoin(F.broadcast(q)).filter(F.col(key) != F.col("query_id"))
-    scored = met.select("query_id", key, dense_cosine(F.col("_q"), F.col(vector)).alias("score")).filter("score is not null")
-    return top_k(scored, "query_id", key, k, digits)
+    blocks = -(-q.count() // block) or 1
+    parts = []
+    for b in range(blocks):
+        own = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
+        met = vectors.crossJoin(F.broadcast(own)).filter(F.col(key) != F.col("query_id"))
+        scored = met.select("query_id", key, dense_cosine(F.col("_q"), F.col(vector)).alias("score")).filter("score is not null")
+        parts.append(top_k(scored, "query_id", key, k, digits))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

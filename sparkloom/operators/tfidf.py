@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams
@@ -23,6 +23,15 @@ def tfidf(
     Terms in too few or too many documents are left out; of more than max_features the
     most counted stay, ties by term; None keeps every term.
     """
+    known = vocabulary(df, key, tokens, sizes, min_df, max_df, max_features)
+    return weighted(df, key, tokens, known, sizes, sublinear)
+
+
+def vocabulary(
+    df: DataFrame, key: str, tokens: Column, sizes: tuple[int, ...] = (1, 2), min_df: int = 2, max_df: float = 0.9,
+    max_features: int | None = 20_000,
+) -> DataFrame:
+    """(term, idf): what is learned from documents, and all that is needed to weigh others."""
     tf = terms(df, key, tokens, sizes)
     n = df.agg(F.count_distinct(key).alias("n_docs"))
     stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
@@ -30,12 +39,29 @@ def tfidf(
     if max_features is not None:
         kept = kept.orderBy(F.desc("total"), "term").limit(max_features)
     idf = (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf")
+    return kept.select("term", idf)
+
+
+def weighted(df: DataFrame, key: str, tokens: Column, known: DataFrame, sizes: tuple[int, ...] = (1, 2), sublinear: bool = True) -> DataFrame:
+    """(key, term, weight) of documents under a learned vocabulary; other terms are left out."""
+    tf = terms(df, key, tokens, sizes)
     scaled = 1.0 + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
-    raw = tf.join(kept.select("term", idf), "term").select(key, "term", (scaled * F.col("idf")).alias("w"))
+    raw = tf.join(known, "term").select(key, "term", (scaled * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
+def save(known: DataFrame, triples: DataFrame, base: str) -> None:
+    """The learned vocabulary and the weights as Parquet."""
+    known.write.mode("overwrite").parquet(f"{base}/vocabulary")
+    triples.write.mode("overwrite").parquet(f"{base}/triples")
+
+
+def load(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, triples) as saved."""
+    return spark.read.parquet(f"{base}/vocabulary"), spark.read.parquet(f"{base}/triples")
+
+
 def norms(triples: DataFrame, key: str) -> DataFrame:
     """Per item the length of its vector and whether it is unit length."""
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")))

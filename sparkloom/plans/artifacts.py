@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text, split_values
+from ..functions.text import normal_tokens, normalize_text, split_values
 from ..operators import crud as C
 from ..operators import quality as Q
 from ..operators import similarity as SM
 from ..operators import stats as S
 from ..operators.tfidf import content_documents as content
-from ..operators.tfidf import largest_difference, norms
+from ..operators.tfidf import largest_difference, load, norms, save, vocabulary, weighted
 from ..sources.sinks import with_header
 from .registry import Tables, query
 from .retrieval import _TFIDF, _popular, _triples
@@ -52,9 +52,13 @@ def tfidf_checks(t: Tables) -> DataFrame:
 
 @query(f"with {_TFIDF} select count(*)::bigint as entries, 0.0::double as largest from triples")
 def tfidf_reproduces(t: Tables) -> DataFrame:
-    """Features computed twice, over another partitioning, are the same."""
-    triples = _triples(t)
-    again = _triples(t).repartition(7, "term")
+    """Features saved and read back are those that the saved vocabulary gives anew."""
+    parts, base = t.part.select("p_partkey", "p_name", "p_type", "p_brand"), t.scratch("features")
+    tokens = normal_tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
+    known = vocabulary(parts, "p_partkey", tokens)
+    save(known, weighted(parts, "p_partkey", tokens, known), base)
+    known, triples = load(t.spark, base)
+    again = weighted(parts, "p_partkey", tokens, known)
     return largest_difference(triples, again, "p_partkey").withColumn("largest", F.round("largest", 9))
 
 

@@ -74,8 +74,7 @@ def ml_reload(t: Tables) -> DataFrame:
     """A saved and reloaded model gives the same predictions: rows, largest difference."""
     rows = t.part.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
     model = ML.fit(rows, ["p_size"], "p_retailprice", ML.regressors()["linear"])
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
-    again = ML.reloaded(model, f"{base.rstrip('/')}/sparkloom-model")
+    again = ML.reloaded(model, t.scratch("model"))
     return ML.same_predictions(model.transform(rows), again.transform(rows), "p_partkey")
 
 

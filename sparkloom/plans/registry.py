@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,12 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    def scratch(self, label: str) -> str:
+        """A path of its own for what a plan has to write and read back."""
+        conf = self.spark.conf
+        base = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir")
+        return f"{base.rstrip('/')}/sparkloom-{label}-{uuid.uuid4().hex}"
+
     def __getattr__(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
 

@@ -86,9 +86,9 @@ def tfidf_norms(t: Tables) -> DataFrame:
 _SEEDS = "seeds as (select l_partkey as seed from lineitem group by 1 order by count(*) desc, 1 limit 3)"
 
 
-def _popular(t: Tables, k: int) -> list[int]:
-    top = _counts(t).orderBy(F.desc("rating_count"), "p_partkey").limit(k)
-    return [r["p_partkey"] for r in top.collect()]  # the arguments of the search, k ids
+def _popular(t: Tables, k: int) -> DataFrame:
+    """The k most rated items, as a table of k rows."""
+    return _counts(t).orderBy(F.desc("rating_count"), "p_partkey").limit(k).select("p_partkey")
 
 
 @query(f"""with {_TFIDF}, {_SEEDS}, pairs as (select seed, i.p_partkey as id from seeds, part i where i.p_partkey <> seed),
@@ -246,4 +246,4 @@ def popular_sources(t: Tables) -> DataFrame:
     """Rows of sources with at least the mean number of documents."""
     n = S.popularity(t.documents, "source", "n_chars").select("source", F.col("rating_count").alias("source_docs"))
     enough = n.withColumn("_m", F.avg("source_docs").over(Window.partitionBy())).filter("source_docs >= _m").drop("_m")
-    return t.documents.select("doc_id", "lang", "source").join(F.broadcast(enough), "source").drop("source")
+    return t.documents.select("doc_id", "lang", "source").join(enough, "source").drop("source")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +20,49 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_both(df: DataFrame, base: str) -> None:
+    """The same records twice: base.csv with arrays joined, base.json with arrays kept."""
+    write_csv(df, f"{base}.csv")
+    write_json(df, f"{base}.json")
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_checked(df: DataFrame, path: str) -> int:
-    """Write Parquet, read back, and fail unless the number of rows is the same."""
-    df.write.mode("overwrite").parquet(path)
-    wrote, read = df.count(), df.sparkSession.read.parquet(path).count()
-    if wrote != read:
-        raise OSError(f"{path}: wrote {wrote} rows, read {read}")
+    """Write Parquet beside the target, count it there against the rows written, and only
+    then put it in the target's place. When the check fails the old table is untouched."""
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    (new, fs), (target, _), (old, _) = (_files(spark, p) for p in (f"{beside}.new", path, f"{beside}.old"))
+    held = df.persist(StorageLevel.DISK_ONLY)  # computed once for both the count and the write
+    try:
+        wrote = held.count()
+        held.write.parquet(new.toString())
+        read = spark.read.parquet(new.toString()).count()
+        if wrote != read:
+            raise OSError(f"{path}: wrote {wrote} rows, read {read}")
+        if fs.exists(target) and not fs.rename(target, old):
+            raise OSError(f"{path}: cannot be moved aside")
+        if not fs.rename(new, target):
+            fs.rename(old, target)
+            raise OSError(f"{path}: cannot be replaced")
+        fs.delete(old, True)
+    finally:
+        held.unpersist()
+        fs.delete(new, True)
+    spark.catalog.refreshByPath(path)
     return read
 
 
+def backup(spark: SparkSession, path: str, base: str, version: str, keep: int = 5) -> list[str]:
+    """Copy the table at a path to base/version before it is overwritten; nothing where there is none."""
+    own, fs = _files(spark, path)
+    return write_version(spark.read.parquet(path), base, version, keep) if fs.exists(own) else []
+
+
 def write_version(df: DataFrame, base: str, version: str, keep: int = 5) -> list[str]:
     """Write base/version and delete all but the newest versions (by name)."""
     spark = df.sparkSession
@@ -43,6 +80,16 @@ def append_history(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def clear_history(spark: SparkSession, path: str) -> None:
+    own, fs = _files(spark, path)
+    fs.delete(own, True)
+
+
+def cap_history(spark: SparkSession, path: str, by: list[str], cap: int = 10_000) -> int:
+    """Keep the newest cap rows of a stored history."""
+    return write_checked(newest(spark.read.parquet(path), by, cap, cap), path)
+
+
 def newest(history: DataFrame, by: list[str], limit: int = 50, cap: int = 10_000) -> DataFrame:
     """The newest rows of a history of which only the newest cap rows count."""
     order = [F.desc(c) for c in by]

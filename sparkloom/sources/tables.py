@@ -65,6 +65,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return require_columns(df, COLUMNS.get(name, ()), name)
 
 
+def reads_as(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether files are text in an encoding. UTF-8 is checked strictly, over all lines;
+    encodings of one byte a character read anything."""
+    if encoding.upper().replace("-", "") != "UTF8":
+        return True
+    return not spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
+
+
 def load_csv(
     spark: SparkSession,
     path: str,
@@ -73,32 +81,36 @@ def load_csv(
     sep: str = ",",
     null: str = "",
     encodings: Sequence[str] = ("UTF-8",),
+    check: bool = True,
 ) -> DataFrame:
     """Typed CSV with a header. Fails on absent files, bad cells, no rows, missing columns.
 
-    Header names are stripped, a byte order mark is dropped, and the encodings are tried
-    in turn until one reads.
+    Header names are stripped, a byte order mark is dropped, and the first of the
+    encodings in which the files are text is used. With check, every cell is read once
+    here, so that a bad one shows now and not in a later query.
     """
     options = {"header": True, "sep": sep, "nullValue": null, "mode": "FAILFAST", "enforceSchema": False}
-    error: Exception | None = None
-    for encoding in encodings:
-        try:
-            header = spark.read.options(header=True, sep=sep, encoding=encoding).csv(path).columns
-            names = [c.lstrip("﻿").strip() for c in header]
-            kinds = {f.name: f.dataType for f in schema.fields}
-            missing = [n for n in (*required, *kinds) if n not in names]
-            if missing:
-                raise SchemaError(f"{path}: missing columns {', '.join(dict.fromkeys(missing))}")
-            shape = T.StructType([T.StructField(h, kinds.get(n, T.StringType())) for h, n in zip(header, names, strict=True)])
-            df = spark.read.schema(shape).options(**options, encoding=encoding).csv(path).toDF(*names)
-            if not df.limit(1).collect():  # all columns of a row, so that bad cells show
-                raise SchemaError(f"{path}: no rows")
-            return df
-        except AnalysisException as e:
-            raise MissingFileError(f"nothing to read at {path}") from e
-        except (PySparkException, Py4JJavaError) as e:
-            error = e
-    raise MalformedFileError(f"{path}: {str(error)[:200]}") from error
+    try:
+        encoding = next((e for e in encodings if reads_as(spark, path, e)), None)
+        if encoding is None:
+            raise MalformedFileError(f"{path}: in none of the encodings {', '.join(encodings)}")
+        header = spark.read.options(header=True, sep=sep, encoding=encoding).csv(path).columns
+        names = [c.lstrip("\ufeff").strip() for c in header]
+        kinds = {f.name: f.dataType for f in schema.fields}
+        missing = [n for n in (*required, *kinds) if n not in names]
+        if missing:
+            raise SchemaError(f"{path}: missing columns {', '.join(dict.fromkeys(missing))}")
+        shape = T.StructType([T.StructField(h, kinds.get(n, T.StringType())) for h, n in zip(header, names, strict=True)])
+        df = spark.read.schema(shape).options(**options, encoding=encoding).csv(path).toDF(*names)
+        if not df.limit(1).collect():
+            raise SchemaError(f"{path}: no rows")
+        if check:
+            df.write.format("noop").mode("overwrite").save()
+        return df
+    except AnalysisException as e:
+        raise MissingFileError(f"nothing to read at {path}") from e
+    except (PySparkException, Py4JJavaError) as e:
+        raise MalformedFileError(f"{path}: {str(e)[:200]}") from e
 
 
 def load_text_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -117,6 +129,17 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of raw files."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of raw files, streamed in small chunks however long they are."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, rows = fs.listFiles(root, True), []
+    while found.hasNext():
+        file = found.next()
+        stream = fs.open(file.getPath())
+        try:
+            digest = jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+        rows.append((file.getPath().toString(), file.getLen(), digest))
+    return spark.createDataFrame(rows, "path string, length long, sha256 string")

@@ -18,34 +18,34 @@ def one(spark, expression, value):
 @pytest.mark.parametrize(
     "function,value,expected",
     [
-        (X.clean_helpdesk, "a   b\t\tc\n", "a b c"),
+        (X.clean_helpdesk, " one \t two\n\nthree", "one two three"),
         (X.clean_helpdesk, None, ""),
         (X.clean_helpdesk, "0", "0"),
-        (X.clean_helpdesk, "  How Do I Reset My Company Password??? ", "how do i reset my company password"),
-        (X.tokenize, "how do i reset my password", ["how", "do", "i", "reset", "my", "password"]),
+        (X.clean_helpdesk, " Where Can WE Park Bicycles?! ", "where can we park bicycles"),
+        (X.tokenize, "where is the lunch menu", ["where", "is", "the", "lunch", "menu"]),
         (X.tokenize, "habit's don't", ["habit", "is", "do", "not"]),
         (X.tokenize, None, []),
-        (lambda c: X.remove_stopwords(X.tokenize(c)), "how do i reset my password", ["reset", "password"]),
-        (lambda c: X.extract_entities(c, VOCABULARY), "My laptop cannot connect to Wi-Fi.", ["laptop", "wifi"]),
+        (lambda c: X.remove_stopwords(X.tokenize(c)), "where is the lunch menu", ["lunch", "menu"]),
+        (lambda c: X.extract_entities(c, VOCABULARY), "No wi-fi on this computer!", ["laptop", "wifi"]),
         (lambda c: X.extract_entities(c, VOCABULARY), "apply", []),
-        (X.release_year, "Alpha (2001)", 2001),
-        (X.release_year, "Alpha (x)", None),
-        (X.strip_release_year, "The Matrix (1999) ", "The Matrix"),
-        (X.normal_tokens, "Sci-Fi  café!", ["sci-fi", "café"]),
-        (X.split_values, "Action|Comedy", ["Action", "Comedy"]),
+        (X.release_year, "Northern Lights (1987)", 1987),
+        (X.release_year, "Northern Lights (soon)", None),
+        (X.strip_release_year, "Northern Lights (1987) ", "Northern Lights"),
+        (X.normal_tokens, "Well-known  crêpes?", ["well-known", "crêpes"]),
+        (X.split_values, "Sea|Sky", ["Sea", "Sky"]),
         (X.split_values, " ", ["(none)"]),
         (X.normalize_intent, " LAPTOP issue ", "laptop_problems"),
         (X.normalize_entity, "password_reset", "password"),
         (X.normalize_entity, "unknown thing", "unknown_thing"),
-        (X.clean_news_train, "<p>Breaking NEWS! Read http://example.com today\nemail me at foo@bar.com 12345 #MAGA!!!</p>", "breaking news read today email me at maga"),
-        (X.clean_news_serve, "Read http://example.com is it TODAY!! x@y.z", "read today"),
+        (X.clean_news_train, "<b>Ferry LATE again.</b> See https://harbour.test/x now\nor write desk@harbour.test 2024 #fog!", "ferry late again see now or write fog"),
+        (X.clean_news_serve, "Ferry http://harbour.test is it LATE?? a@b.c", "ferry late"),
         (X.typographic, " it’s “so”–so ", "it's \"so\"-so"),
         (lambda c: X.ngrams(X.normal_tokens(c), 2), "a b c", ["a b", "b c"]),
         (lambda c: X.ngrams(X.normal_tokens(c), 3), "a b", []),
         (X.is_blank, " \t\n", True),
         (X.strip, " x ", "x"),
-        (lambda c: F.year(X.parse_date(c)), "December 31, 2017", 2017),
-        (lambda c: F.year(X.parse_date(c)), "19-Feb-98", 1998),
+        (lambda c: F.year(X.parse_date(c)), "March 4, 2011", 2011),
+        (lambda c: F.year(X.parse_date(c)), "07-Oct-99", 1999),
         (lambda c: X.parse_date(c), "no date", None),
     ],
 )
