@@ -36,6 +36,7 @@ from .common import (
     as_long,
     binary_column,
     column,
+    free_name,
     gram_hashes,
     hash_words,
     materialize,
@@ -646,7 +647,7 @@ def jaccard_components(
     table gives no rows. A null doc_id is no smallest one unless all are null.
     """
     prepare(documents.sparkSession)
-    rows, links = linked_sets(documents, n, num, den, block_keys)
+    rows, links = linked_sets(documents.select("doc_id", "text"), n, num, den, block_keys)
     roots = connected_components(links)
     least = rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, least["sid"] == roots["id"], "left")
@@ -670,8 +671,9 @@ def keep_one_per_component(
     text one stays. Texts without shingles stay.
     """
     prepare(documents.sparkSession)
+    mine = free_name(documents, "_own")
     own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    rows, links = linked_sets(documents.withColumn("_own", own), n, num, den)
+    rows, links = linked_sets(documents.select("doc_id", "text", own.alias("_own")), n, num, den)
     rows = rows.filter("sid is not null")
     roots = connected_components(links)
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", F.col("own").alias("h"))
@@ -685,8 +687,10 @@ def keep_one_per_component(
     spare = spare.select(F.col("own").alias("_gone"))
     listed = materialize(gone.withColumn("_all", F.lit(True)).unionByName(spare.withColumn("_all", F.lit(False))), "gone")
     bloom = build_bloom(listed.select("_gone"), listed.count())
-    stay, may_go = split_by(documents.withColumn("_own", own), bloom, "_own")
-    met = may_go.join(listed, may_go["_own"] == listed["_gone"], "left")
-    kept = met.filter("_all is null").select(stay.columns)
-    one = met.filter("not _all").select(stay.columns).dropDuplicates(["_own"])
-    return stay.unionByName(kept).unionByName(one).drop("_own")
+    stay, may_go = split_by(documents.withColumn(mine, own), bloom, mine)
+    key, whole = free_name(may_go, "_gone"), free_name(may_go, "_all")
+    listed = listed.select(F.col("_gone").alias(key), F.col("_all").alias(whole))
+    met = may_go.join(listed, may_go[mine] == listed[key], "left")
+    kept = met.filter(F.col(whole).isNull()).select(stay.columns)
+    one = met.filter(~F.col(whole)).select(stay.columns).dropDuplicates([mine])
+    return stay.unionByName(kept).unionByName(one).drop(mine)

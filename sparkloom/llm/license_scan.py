@@ -217,7 +217,8 @@ def scan_licenses(documents: DataFrame, known: tuple[tuple[str, str], ...] | Non
     table = known_digests(spark, KNOWN + usual_forms() if known is None else known).select(F.col("digest").alias("_known"), "license_id")
     lookup = F.map_from_entries(F.array(*[F.struct(F.lit(r["_known"]), F.lit(r["license_id"])) for r in table.collect()]))
     lines = F.filter(F.split("text", "\n"), lambda x: _spelled(x))
-    found = F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, F.md5(normal_text(x)))), lambda x: x.isNotNull())
+    folds = F.transform(lines, _folded)  # on its own, so that no line is folded more than once
+    found = F.filter(F.transform(folds, lambda x: F.try_element_at(lookup, F.md5(_one_spelling(x)))), lambda x: x.isNotNull())
     folded = documents.select("doc_id", _folded(F.col("text")).alias("_folded"), F.when(_spelled(F.col("text")), found).alias("_found"))
     digests = folded.select("doc_id", F.md5(_one_spelling(F.col("_folded"))).alias("digest"), "_found")
     joined = digests.join(F.broadcast(table), digests["digest"] == table["_known"], "left")

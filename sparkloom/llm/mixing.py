@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 #: Weights of the sources in code point order, null last; repeated.
 WEIGHTS = (3, 1, 2)
@@ -60,10 +60,11 @@ def source_targets(
     by_level = Window.orderBy(
         F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()
     ).rowsBetween(Window.unboundedPreceding, -1)
-    cap = F.col("source_size") * most
+    cap = F.col("size") * most
     before = (
         sums.withColumn("weight", weight.cast("long"))
-        .withColumn("total", F.sum("source_size").over(everything))
+        .withColumn("size", F.col("source_size").cast("decimal(24,0)"))  # products of sizes and weights outgrow a long
+        .withColumn("total", F.sum("size").over(everything))
         .withColumn("all_weight", F.sum("weight").over(everything))
         .withColumn("used", F.coalesce(F.sum(cap).over(by_level), F.lit(0)))
         .withColumn("free", F.col("all_weight") - F.coalesce(F.sum("weight").over(by_level), F.lit(0)))
@@ -84,27 +85,25 @@ def source_targets(
     )
 
 
-def _planned(documents: DataFrame, seed: int, **plan) -> DataFrame:
-    """documents with one more column, _mix: size, source_size, target, copies."""
+def _planned(documents: DataFrame, seed: int, name: str, **plan) -> DataFrame:
+    """documents with one more column of that name: size, source_size, target, copies."""
     targets = materialize(source_targets(documents, **plan), "targets")
-    own = targets.select(
-        F.col("source").alias("_mix_source"),
-        F.struct("source_size", "target", "rate").alias("_mix_of"),
-    )
+    source, of = free_name(documents, "_mix_source"), free_name(documents, "_mix_of")
+    own = targets.select(F.col("source").alias(source), F.struct("source_size", "target", "rate").alias(of))
     if targets.count() <= BROADCAST_SOURCES:
         own = F.broadcast(own)
-    joined = documents.join(own, documents["source"].eqNullSafe(own["_mix_source"]))
-    rate = F.col("_mix_of.rate")
+    joined = documents.join(own, documents["source"].eqNullSafe(own[source]))
+    rate = F.col(f"{of}.rate")
     extra = (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
     return joined.withColumn(
-        "_mix",
+        name,
         F.struct(
             word_count(F.col("text")).alias("size"),
-            F.col("_mix_of.source_size").alias("source_size"),
-            F.col("_mix_of.target").alias("target"),
+            F.col(f"{of}.source_size").alias("source_size"),
+            F.col(f"{of}.target").alias("target"),
             (F.floor(rate) + extra).alias("copies"),
         ),
-    ).drop("_mix_source", "_mix_of")
+    ).drop(source, of)
 
 
 def report(documents: DataFrame, seed: int = 0, **plan) -> DataFrame:
@@ -114,7 +113,7 @@ def report(documents: DataFrame, seed: int = 0, **plan) -> DataFrame:
     Null and empty texts have size 0; repeated rows of one doc_id are taken alike; an
     empty table gives no rows; other columns are not looked at.
     """
-    planned = _planned(documents.select("doc_id", "text", "source"), seed, **plan)
+    planned = _planned(documents.select("doc_id", "text", "source"), seed, "_mix", **plan)
     return planned.select(
         "doc_id",
         "_mix.size",
@@ -127,7 +126,8 @@ def report(documents: DataFrame, seed: int = 0, **plan) -> DataFrame:
 
 def mix(documents: DataFrame, seed: int = 0, **plan) -> DataFrame:
     """The mix itself: every row as often as it is taken, with its own columns."""
-    planned = _planned(documents, seed, **plan)
-    times = planned.filter(F.col("_mix.copies") > 0)
-    times = times.withColumn("_mix", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix.copies"))))
-    return times.drop("_mix")
+    name = free_name(documents, "_mix")
+    planned = _planned(documents, seed, name, **plan)
+    times = planned.filter(F.col(f"{name}.copies") > 0)
+    times = times.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{name}.copies"))))
+    return times.drop(name)

@@ -70,8 +70,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = [(ADDED_CONVERSATION, 0, "user", ADDED_TEXT), (ADDED_CONVERSATION, 1, "assistant", ADDED_TEXT)]
-    return chat.report(chats.unionByName(spark.createDataFrame(rows, chats.schema)))
+    added = spark.sql(
+        "select cast(:conv as bigint) as conv_id, turn, role, :text as text from values (0L, 'user'), (1L, 'assistant') as v(turn, role)",
+        args={"conv": ADDED_CONVERSATION, "text": ADDED_TEXT},
+    )
+    return chat.report(chats.unionByName(added))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

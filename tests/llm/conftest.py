@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 
 #: Further columns whose names operators might use themselves.
-CLASHING = ("row_id", "n", "sid", "tid", "spans", "node", "size", "target", "rate", "part", "block", "u", "v", "links", "held_out")
+CLASHING = ("row_id", "n", "sid", "tid", "spans", "node", "size", "target", "rate", "part", "block", "u", "v", "links", "held_out",
+            "_own", "_gone", "_all", "_row", "_mix", "_mix_of", "_mix_source", "ctx", "key", "parent", "low", "high")
 
 
 def sentence(rng: random.Random, n: int, words: int = 400) -> str:
