@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +16,12 @@ QUERIES: dict[str, Plan] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # not stopped
+        own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
 class Tables:
     """Tables of one folder by name."""
 
@@ -22,10 +29,12 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def scratch(self, label: str) -> str:
-        """A path of its own for what a plan has to write and read back."""
+        """A path of its own for what a plan has to write and read back; it goes when the program ends."""
         conf = self.spark.conf
         base = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir")
-        return f"{base.rstrip('/')}/sparkloom-{label}-{uuid.uuid4().hex}"
+        path = f"{base.rstrip('/')}/sparkloom-{label}-{uuid.uuid4().hex}"
+        atexit.register(_delete, self.spark, path)
+        return path
 
     def __getattr__(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
