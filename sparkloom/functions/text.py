@@ -187,7 +187,12 @@ def extract_entities(text: Column, vocabulary: dict[str, tuple[str, ...]]) -> Co
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Contiguous n-grams joined by spaces; none when there are too few tokens."""
+    """Contiguous n-grams joined by spaces; none when there are too few tokens.
+
+    tokens should be a plain column, since it is read again at every place.
+    """
+    if n == 1:
+        return tokens
     from_ = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
     grams = F.transform(from_, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))

@@ -9,9 +9,14 @@ from ..functions.text import ngrams
 
 
 def terms(df: DataFrame, key: str, tokens: Column, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(key, term, tf) of the n-grams of all sizes."""
-    grams = F.concat(*[ngrams(tokens, n) for n in sizes])
-    return df.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf) of the n-grams of all sizes.
+
+    The tokens are a column of their own: inside the n-grams' lambda they would be made
+    again for every place.
+    """
+    rows = df.select(key, tokens.alias("_tokens"))
+    grams = F.concat(*[ngrams(F.col("_tokens"), n) for n in sizes])
+    return rows.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(
