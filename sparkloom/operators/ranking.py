@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,18 +50,65 @@ def ranking_metrics(recs: DataFrame, relevant: DataFrame, user: str, item: str,
     pos = F.row_number().over(Window.partitionBy(user).orderBy("rank", item))
     ranked = first.withColumn("pos", pos).filter(F.col("pos") <= max(ks))
     hits = ranked.join(relevant.select(user, item).withColumn("hit", F.lit(1)), [user, item], "left")
-    so_far = Window.partitionBy(user).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    hits = hits.withColumn("hit", F.coalesce("hit", F.lit(0))).withColumn("cum", F.sum("hit").over(so_far))
+    shown = [F.count_if(F.col("pos") <= k).alias(f"n{k}") for k in ks]
+    found = _hits(hits.filter("hit = 1"), user, ks)
+    sizes = relevant.groupBy(user).agg(F.count("*").alias("g"))
+    per = ranked.groupBy(user).agg(*shown).join(found, user, "left").join(sizes, user, "full_outer")
+    return _means(per, ks)
+
+
+def shared_list_metrics(
+    listed: DataFrame, judged: DataFrame, relevant: Column, user: str, item: str, ks: Sequence[int]
+) -> DataFrame:
+    """ranking_metrics where every user is shown the same list, in one pass over the judged rows.
+
+    listed: item, rank; at most max(ks) rows of it are used, and broadcast. judged: distinct
+    user, item, of all users who are shown it; relevant tells which rows count. The table is
+    grouped by user once, without a shuffle where it is already partitioned so, and a user
+    carries at most max(ks) places.
+    """
+    first = listed.groupBy(item).agg(F.min("rank").alias("rank"))
+    top = first.orderBy("rank", item).limit(max(ks))
+    top = top.withColumn("pos", F.row_number().over(Window.partitionBy().orderBy("rank", item))).select(item, "pos")
+    shown = top.agg(*[F.count_if(F.col("pos") <= k).alias(f"n{k}") for k in ks])
+    rows = judged.select(user, item, F.coalesce(relevant, F.lit(False)).alias("_good"))
+    met = rows.join(F.broadcast(top), item, "left").groupBy(user).agg(
+        F.count_if("_good").alias("g"), F.sort_array(F.collect_set(F.when(F.col("_good"), F.col("pos")))).alias("_at")
+    )
+    per = [user, "g"]
+    for k in ks:
+        at = _upto("_at", k)
+        precisions = F.transform(at, lambda p, i: (i + 1) / p)
+        gains = F.transform(at, lambda p: 1 / F.log2(p + 1.0))
+        per += [F.size(at).alias(f"h{k}"), _sum(precisions).alias(f"a{k}"), _sum(gains).alias(f"d{k}")]
+    return _means(met.select(*per).crossJoin(F.broadcast(shown)), ks)
+
+
+def _upto(values: str, k: int) -> Column:
+    return F.filter(values, lambda v: v <= k)
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def _hits(met: DataFrame, user: str, ks: Sequence[int]) -> DataFrame:
+    """Per user and K, from the places of hits: how many, the sum of precisions there, the discounted sum."""
+    upto = Window.partitionBy(user).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("cum", F.count("*").over(upto))
     aggs = []
     for k in ks:
         at = F.col("pos") <= k
         aggs += [
-            F.count_if(at).alias(f"n{k}"), F.coalesce(F.sum(F.when(at, F.col("hit"))), F.lit(0)).alias(f"h{k}"),
-            F.coalesce(F.sum(F.when(at, F.col("hit") * F.col("cum") / F.col("pos"))), F.lit(0.0)).alias(f"a{k}"),
-            F.coalesce(F.sum(F.when(at, F.col("hit") / F.log2(F.col("pos") + 1.0))), F.lit(0.0)).alias(f"d{k}"),
+            F.count_if(at).alias(f"h{k}"), F.sum(F.when(at, F.col("cum") / F.col("pos"))).alias(f"a{k}"),
+            F.sum(F.when(at, 1 / F.log2(F.col("pos") + 1.0))).alias(f"d{k}"),
         ]
-    sizes = relevant.groupBy(user).agg(F.count("*").alias("g"))
-    per = hits.groupBy(user).agg(*aggs).join(sizes, user, "full_outer").na.fill(0)
+    return met.groupBy(user).agg(*aggs)
+
+
+def _means(per: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """Means over users from n, h, a and d of each K and g, the number of relevant items; null is 0."""
+    per = per.na.fill(0)
     rows = []
     for k in ks:
         n, h, a, d = (F.col(f"{x}{k}") for x in "nhad")

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import bucket, corrected_kurtosis, corrected_skewness, pct
+from ..functions.numeric import bucket, corrected_kurtosis, corrected_skewness, pct, round_scaled
 from .ordering import quantiles
 from .quality import melt
 
@@ -58,7 +58,7 @@ def popularity(df: DataFrame, key: str, value: str) -> DataFrame:
 def value_share(df: DataFrame, key: str, digits: int = 4) -> DataFrame:
     """Per value: n and its share of all rows that have one."""
     n = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), digits))
+    return n.withColumn("share", round_scaled(F.col("n") / F.sum("n").over(Window.partitionBy()), digits))
 
 
 def moments(df: DataFrame, names: Sequence[str], digits: int = 6) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_scaled
 from ..functions.text import STOPWORDS, collapse, ngrams
 
 
@@ -19,7 +20,7 @@ def text_stats(df: DataFrame, key: str, name: str) -> DataFrame:
     mean = F.when(F.size(words) > 0, letters / F.size(words)).otherwise(0.0)
     return rows.select(
         key, F.size(words).alias("word_count"), F.length("t").alias("char_count"),
-        F.size(sentences).alias("sentence_count"), F.round(mean, 2).alias("avg_word_length"),
+        F.size(sentences).alias("sentence_count"), round_scaled(mean, 2).alias("avg_word_length"),
     )
 
 

@@ -235,9 +235,7 @@ def ranking_metrics(t: Tables) -> DataFrame:
     n = split.filter("not is_test").groupBy("l_partkey").agg(F.count("*").alias("n"))
     top = n.orderBy(F.desc("n"), "l_partkey").limit(20)
     top = top.select("l_partkey", F.row_number().over(Window.orderBy(F.desc("n"), "l_partkey")).alias("rank"))
-    recs = split.select("o_custkey").distinct().crossJoin(F.broadcast(top))
-    relevant = split.filter("is_test and q >= 25").select("o_custkey", "l_partkey")
-    return R.ranking_metrics(recs, relevant, "o_custkey", "l_partkey", (5, 10, 20))
+    return R.shared_list_metrics(top, split, F.expr("is_test and q >= 25"), "o_custkey", "l_partkey", (5, 10, 20))
 
 
 @query("""select d.doc_id, d.lang, s.n::bigint as source_docs from documents d join (select source, count(*) as n from documents group by 1) s using (source)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators.ranking import eligible_users, ranking_metrics, temporal_split
+from sparkloom.operators.ranking import eligible_users, ranking_metrics, shared_list_metrics, temporal_split
 
 #: recommendations, relevant items, K, expected by metric
 CASES = [
@@ -38,6 +38,16 @@ def test_no_recommendations(spark):
     assert (got["users"], got["precision"], got["recall"]) == (1, 0.0, 0.0)
 
 
+def test_shared_list_is_the_same_as_a_list_for_each_user(spark):
+    listed = spark.createDataFrame([(5, 1), (2, 2), (5, 3), (9, 4), (7, 5)], "item int, rank int")
+    rows = [(1, 2, True), (1, 9, True), (1, 4, True), (1, 5, None), (2, 8, True), (2, 2, False), (3, 7, True), (4, 5, False)]
+    judged = spark.createDataFrame(rows, "user int, item int, good boolean")
+    shown = judged.select("user").distinct().crossJoin(listed)
+    want = ranking_metrics(shown, judged.filter("good"), "user", "item", [1, 2, 3]).orderBy("k").collect()
+    assert shared_list_metrics(listed, judged, F.col("good"), "user", "item", [1, 2, 3]).orderBy("k").collect() == want
+    assert [(r["users"], r["hit"]) for r in want] == [(4, 0.0), (4, 0.25), (4, 0.25)]
+
+
 HISTORY = {
     10: ([4, 5, 9, 1, 2, 3], range(1000, 1006)), 11: ([7, 8, 9, 4, 5, 6], range(2000, 2006)), 12: ([1, 8], range(3000, 3002)),
     13: ([1, 4, 7, 8, 9, 6], range(4000, 4006)), 14: ([2, 3, 5], range(5000, 5003)), 15: ([7], [6000]),
