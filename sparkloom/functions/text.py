@@ -152,6 +152,25 @@ def remove_stopwords(tokens: Column, keep: tuple[str, ...] = (), least: int = 1)
     return F.filter(tokens, lambda w: ~F.array_contains(stop, w) & (F.length(w) >= least))
 
 
+#: Endings of English plurals, what takes their place, and the shortest word they are taken from; the first that fits counts.
+LEMMA_ENDINGS = (
+    ("(ss|us|is|ous)$", None, 1), ("(ch|sh|ss|x|zz)es$", "$1", 5), ("ies$", "y", 5), ("([^aeious])s$", "$1", 4), ("([aeo])s$", "$1", 4),
+)
+
+
+def lemma(word: Column) -> Column:
+    """A lower-cased word without its plural ending, by LEMMA_ENDINGS; other words are their own lemma.
+
+    There is no dictionary: irregular plurals and verb forms stay as they are.
+    """
+    out = None
+    for ending, to, least in LEMMA_ENDINGS:
+        fits = word.rlike(ending) & (F.length(word) >= least)
+        value = word if to is None else F.regexp_replace(word, ending, to)
+        out = F.when(fits, value) if out is None else out.when(fits, value)
+    return out.otherwise(word)
+
+
 def snake(label: Column) -> Column:
     """A label in lower snake case; null becomes empty."""
     out = F.lower(strip(F.coalesce(label, F.lit(""))))

@@ -162,15 +162,39 @@ def ml_regressors(t: Tables) -> DataFrame:
     return ML.regressor_bakeoff(train, test, ["p_size", "n_name", "digit"], "p_retailprice")
 
 
-@query()
-def ml_coefficients(t: Tables) -> DataFrame:
-    """Coefficients and intercept of the linear model of extended price."""
+def _coefficients(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
     features = ["l_quantity", "l_discount", "l_tax"]
     model = ML.fit(rows, features, "l_extendedprice", ML.regressors()["linear"])
     return ML.coefficients(model, features, t.spark)
 
 
+@query()
+def ml_coefficients(t: Tables) -> DataFrame:
+    """Coefficients and intercept of the linear model of extended price."""
+    return _coefficients(t)
+
+
+_PAIRS = ", ".join(f"covar_samp({a}, {b}) as {n}" for n, a, b in (
+    ("a", "l_quantity", "l_quantity"), ("b", "l_quantity", "l_discount"), ("c", "l_quantity", "l_tax"), ("d", "l_discount", "l_discount"),
+    ("e", "l_discount", "l_tax"), ("f", "l_tax", "l_tax"), ("u", "l_extendedprice", "l_quantity"), ("v", "l_extendedprice", "l_discount"),
+    ("w", "l_extendedprice", "l_tax")))
+
+
+@query(f"""with g as (select {_PAIRS}, avg(l_quantity) as m1, avg(l_discount) as m2, avg(l_tax) as m3, avg(l_extendedprice) as my from lineitem),
+  x as (select *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) as det from g),
+  s as (select (u * (d * f - e * e) - b * (v * f - e * w) + c * (v * e - d * w)) / det as b1, (a * (v * f - e * w) - u * (b * f - e * c) + c * (b * w - v * c)) / det as b2,
+    (a * (d * w - v * e) - b * (b * w - v * c) + u * (b * e - d * c)) / det as b3, m1, m2, m3, my from x)
+  select round(b1, 4) as quantity, round(b2, 3) as discount, round(b3, 3) as tax, round(my - b1 * m1 - b2 * m2 - b3 * m3, 3) as intercept from s""")
+def regression_multiple(t: Tables) -> DataFrame:
+    """The linear model of several features in one row; its SQL solves the normal equations by determinants."""
+    fitted = _coefficients(t).groupBy().pivot("feature", ["l_quantity", "l_discount", "l_tax", "(intercept)"]).agg(F.first("coefficient"))
+    return fitted.select(
+        F.round("l_quantity", 4).alias("quantity"), F.round("l_discount", 3).alias("discount"), F.round("l_tax", 3).alias("tax"),
+        F.round("`(intercept)`", 3).alias("intercept"),
+    )
+
+
 def _doc_features(t: Tables) -> DataFrame:
     spaces = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
     docs = t.documents.select("doc_id", F.length("text").cast("double").alias("chars"), spaces.cast("double").alias("spaces"),

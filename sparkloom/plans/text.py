@@ -103,6 +103,22 @@ def stopword_filter(t: Tables) -> DataFrame:
     )
 
 
+def _lemma_sql(w: str) -> str:
+    """Written apart from the endings of the function, by suffixes and lengths."""
+    plain = f"right({w}, 2) in ('ss', 'us', 'is')"
+    es = f"(right({w}, 4) in ('ches', 'shes', 'sses', 'zzes') or right({w}, 3) = 'xes')"
+    return f"""case when {plain} then {w} when length({w}) >= 5 and {es} then left({w}, -2) when length({w}) >= 5 and right({w}, 3) = 'ies' then left({w}, -3) || 'y'
+    when length({w}) >= 4 and right({w}, 1) = 's' then left({w}, -1) else {w} end"""
+
+
+@query(f"""with w as (select conv_id, turn, {_TOKENS} as ws from conversations)
+  select conv_id, turn, array_to_string(list_transform(ws, lambda w: {_lemma_sql('w')}), ' ') as lemmas from w""")
+def lemmatise(t: Tables) -> DataFrame:
+    """Tokens without their plural endings."""
+    rows = t.conversations.select("conv_id", "turn", X.tokenize(_spoken()).alias("ws"))
+    return rows.select("conv_id", "turn", F.array_join(F.transform("ws", X.lemma), " ").alias("lemmas"))
+
+
 @query(r"select doc_id, md5(array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), ' ')) as normal_md5 from documents")
 def normalize_tokens(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(X.normalize_text(F.col("text"))).alias("normal_md5"))

@@ -51,3 +51,12 @@ def one(spark, expression, value):
 )
 def test_functions(spark, function, value, expected):
     assert one(spark, function, value) == expected
+
+
+@pytest.mark.parametrize(
+    "word,expected",
+    [("cats", "cat"), ("cities", "city"), ("boxes", "box"), ("churches", "church"), ("glasses", "glass"), ("glass", "glass"), ("bus", "bus"), ("analysis", "analysis"),
+     ("is", "is"), ("ideas", "idea"), ("taxis", "taxis"), ("ran", "ran"), ("", ""), ("as", "as"), (None, None)],
+)
+def test_lemma(spark, word, expected):
+    assert one(spark, X.lemma, word) == expected
