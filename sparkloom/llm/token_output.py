@@ -22,6 +22,8 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import compress, count, islice, repeat
+from operator import not_
 from pathlib import Path
 
 import numpy as np
@@ -164,18 +166,27 @@ class Encoder:
         for k, ids in zip(odd, self._whole([texts[k] for k in odd]), strict=True):
             out[k] = ids
         table, find = self.table, self._PIECE.findall
-        split = {k: find(t) for k, t in enumerate(texts) if out[k] is None}
+        open_: list[tuple[int, list[bytes], list[int], list[str]]] = []
         unseen: set[str] = set()
-        for pieces in split.values():
-            unseen.update(pieces)
-        new = list(unseen.difference(table))
-        full = len(table) + len(new) > self.known
-        table.update(self._pieces(new))
-        for k, pieces in split.items():
-            out[k] = b"".join(map(table.__getitem__, pieces))
-        if full:  # what came last is least likely to come again
-            for p in new:
-                del table[p]
+        for k, t in enumerate(texts):
+            if out[k] is not None:
+                continue
+            pieces = find(t)
+            got = list(map(table.get, pieces, repeat(b"")))  # no piece is without ids
+            if all(got):
+                out[k] = b"".join(got)
+                continue
+            gaps = list(compress(count(), map(not_, got)))
+            missing = [pieces[i] for i in gaps]
+            unseen.update(missing)
+            open_.append((k, got, gaps, missing))
+        new = self._pieces(list(unseen))
+        for k, got, gaps, missing in open_:
+            for i, p in zip(gaps, missing, strict=True):
+                got[i] = new[p]
+            out[k] = b"".join(got)
+        # what comes once the table is full is least likely to come again
+        table.update(islice(new.items(), max(0, self.known - len(table))))
         return out
 
 
