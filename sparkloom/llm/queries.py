@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    centroids,
     chat,
     decontaminate,
+    divergence,
     embedding_dedup,
     jaccard_join,
     language_id,
     license_scan,
+    line_dedup,
     mixing,
     substring_dedup,
     suffix_dedup,
@@ -85,6 +88,19 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.report(_read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(_read(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return line_dedup.report(docs, line_dedup.file_batches(docs), least_docs=10, least_chars=1)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(_read(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -98,6 +114,9 @@ QUERIES = {
         op8_chat_formatting,
         op9_language_id,
         op10_token_output,
+        op11_centroid_clustering,
+        op12_line_dedup,
+        op13_source_divergence,
     )
 }
 
@@ -169,8 +188,73 @@ select conv_id, count(*)::bigint as n_turns,
 from judged group by conv_id
 """
 
+_LINES_SQL = r"""
+with texts as (
+  select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents
+), lines as (
+  select r, doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from texts
+), keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines
+), many as (
+  select key from keyed where length(key) >= 1 group by key having count(distinct r) >= 10
+), judged as (
+  select k.*, m.key is not null as gone from keyed k left join many m on k.key = m.key
+)
+select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, count_if(gone)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from judged group by r
+"""
+
+_DIVERGENCE_SQL = r"""
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as folded
+  from documents
+), terms as (
+  select r, lang, source, unnest(regexp_extract_all(folded, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs
+), kept as (
+  select lang, term, count(*)::hugeint as total from terms group by lang, term having count(distinct r) >= 3
+), langs as (
+  select lang, count(*)::hugeint as v, sum(total)::hugeint as size from kept group by lang
+), counts as (
+  select t.lang, source, t.term, count(*)::hugeint as n
+  from terms t join kept k on t.lang = k.lang and t.term = k.term group by t.lang, source, t.term
+), sizes as (
+  select lang, source, sum(n)::hugeint as size from counts group by lang, source
+), groups as (
+  select distinct lang, source from docs
+), dense as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (coalesce(s.size, 0) + l.v) as p,
+         1 + (1000000000 * (k.total + 1)) // (l.size + l.v) as q
+  from groups g join kept k on g.lang = k.lang join langs l on g.lang = l.lang
+  left join sizes s on s.lang = g.lang and s.source = g.source
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), sums as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from dense a join dense b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+  group by a.lang, a.source, b.source
+), pairs as (
+  select a.lang, a.source, b.source as item, coalesce(s.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+), tops as (
+  select lang, source, term as item, ((p - q) * (p - q) // q)::bigint as value from dense where n > 0 and p > q
+)
+select lang, source, 'pair' as part, item, value,
+       (row_number() over (partition by lang, source order by value desc, item))::int as rank from pairs
+union all
+select lang, source, 'term', item, value,
+       (row_number() over (partition by lang, source order by value desc, item))::int as rank from tops
+qualify rank <= 200
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_scan.oracle_sql(),
     "op6_source_mixing": _MIXING_SQL,
     "op8_chat_formatting": _CHAT_SQL,
+    "op11_centroid_clustering": centroids.oracle_sql(k=8, rounds=10, seed=3),
+    "op12_line_dedup": _LINES_SQL,
+    "op13_source_divergence": _DIVERGENCE_SQL,
 }
