@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Ranges are found in two steps of so many cuts each.
 SIDE = 32
+#: Groups of magnitude to a doubling, and even parts of one such group.
+STEPS, PARTS = 1_024, 1 << 20
 
 
 def with_range(df: DataFrame, order: Sequence[str], name: str, side: int = SIDE) -> DataFrame:
@@ -54,34 +56,88 @@ def with_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return running_sums(df, order, {name: F.lit(1).cast("long")})
 
 
-def quantiles(df: DataFrame, value: Column, at: Mapping[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """Exact interpolated quantiles of a numeric column as doubles, by key if there are any:
-    the keys and a column for each name. Nulls are left out; no values give nulls (no row by key).
+def _magnitude(v: Column) -> Column:
+    """An integer that never falls as the double grows: STEPS for each doubling, NaN last."""
+    size = F.least(F.greatest(F.log2(F.abs(v)), F.lit(-1100.0)), F.lit(1100.0))
+    step = F.floor((size + 1101) * STEPS).cast("int")
+    return F.when(F.isnan(v), F.lit(1 << 30)).when(v == 0, F.lit(0)).when(v > 0, step).otherwise(-step)
+
+
+def _same(left: DataFrame, right: DataFrame, on: Sequence[str], small: bool) -> DataFrame:
+    """Inner join in which nulls of the keys are equal; the columns of on come once."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{i}") for i, c in enumerate(on)], *[c for c in right.columns if c not in on])
+    equal = F.lit(True)
+    for i, c in enumerate(on):
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_r_{i}"))
+    joined = left.join(F.broadcast(renamed) if small else renamed, equal)
+    return joined.select(*left.columns, *[c for c in renamed.columns if not c.startswith("_r_")])
+
+
+def _holding(groups: DataFrame, path: Sequence[str], by: str) -> DataFrame:
+    """Of groups (path, by, _lo, _hi, _n, _before, _ranks) those that hold ranks, with only these
+    and with what lies before the group."""
+    upto = F.sum("_n").over(Window.partitionBy(*path).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    placed = groups.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
+    own = F.filter("_ranks", lambda r: (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_upto")))
+    return placed.withColumn("_ranks", own).filter(F.size("_ranks") > 0).select(*path, by, "_lo", "_hi", "_before", "_ranks")
 
-    Values are counted before they are put in order.
+
+def column_quantiles(df: DataFrame, values: Mapping[str, Column], at: Mapping[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact interpolated quantiles of several numeric columns as doubles, by key if there are
+    any: the keys and a column "<value>_<name>" for each value and name. Nulls are left out;
+    a column without values has nulls (no row for keys that have none at all).
+
+    By selection, in two scans whatever the columns, keys and ranks: counts by magnitude say
+    which group holds a rank; the values of those groups alone are counted, first in
+    ``PARTS`` even parts, then in the part that holds the rank. A group of one value is done
+    at once. Nothing sorts more than the values of one such part, some 4 million at most.
     """
-    numbers = df.select(*keys, value.cast("double").alias("_v")).filter("_v is not null")
-    counted = numbers.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    placed = running_sums(counted, [*keys, "_v"], {"_upto": "_n"})
-    if keys:
-        ends = placed.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.min(F.col("_upto") - F.col("_n")).alias("_start"))
-        renamed = ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_all", "_start")
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        rows = placed.join(renamed, same)
-    else:
-        rows = placed.crossJoin(F.broadcast(counted.agg(F.sum("_n").alias("_all")))).withColumn("_start", F.lit(0))
-    place = {n: (F.col("_all") - 1) * F.lit(float(p)) for n, p in at.items()}
-    upto = F.col("_upto") - F.col("_start")
-    found = rows.groupBy(*keys).agg(
-        F.first("_all").alias("_all"),
-        *[F.min(F.when(upto > F.floor(p), F.col("_v"))).alias(f"_lo_{n}") for n, p in place.items()],
-        *[F.min(F.when(upto > F.ceil(p), F.col("_v"))).alias(f"_hi_{n}") for n, p in place.items()],
-    )
-    def between(n: str) -> Column:
-        p, low, high = place[n], F.col(f"_lo_{n}"), F.col(f"_hi_{n}")
+    names, cols = list(values), list(at)
+    each = [F.struct(F.lit(i).alias("_c"), values[n].cast("double").alias("_v")) for i, n in enumerate(names)]
+    rows = df.select(*keys, F.inline(F.array(*each))) if len(each) > 1 else df.select(*keys, F.lit(0).alias("_c"), each[0]["_v"].alias("_v"))
+    rows = rows.filter("_v is not null").withColumn("_a", _magnitude(F.col("_v")))
+    one, two, three = [[*keys, "_c"], [*keys, "_c", "_a"], [*keys, "_c", "_a", "_b"]]
+    small = not keys  # then at most two rows for each value and name
+
+    counts = rows.groupBy(*two).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    place = [(F.sum("_n").over(Window.partitionBy(*one)) - 1) * F.lit(float(at[n])) for n in cols]
+    ranks = [F.struct(F.lit(2 * j + k).alias("i"), end(p).cast("long").alias("rank"), p.alias("place")) for j, p in enumerate(place) for k, end in enumerate((F.floor, F.ceil))]
+    first = _holding(counts.withColumns({"_ranks": F.array(*ranks), "_before": F.lit(0).cast("long")}), one, "_a")
+    wide = first.filter("_lo < _hi")
+
+    ends = wide.select(*two, "_lo", "_hi")
+    if small:
+        inside = _same(rows, ends, two, True)
+    else:  # counted before they move
+        inside = _same(rows.groupBy(*two, "_v").agg(F.count("*").alias("_m")), ends, two, False)
+    part = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS).cast("int").alias("_b")
+    many = F.count("*") if small else F.sum("_m")
+    counted = inside.groupBy(*two, part, "_v").agg(many.alias("_n"))
+    counts = counted.groupBy(*three).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_n"))
+    second = _holding(_same(counts, wide.select(*two, "_before", "_ranks"), two, small), two, "_b")
+    narrow = second.filter("_lo < _hi").select(*three, "_before", "_ranks")
+
+    last = _same(counted, narrow, three, small).withColumns({"_lo": F.col("_v"), "_hi": F.col("_v")})
+    third = _holding(last, three, "_v")
+    found = first.filter("_lo = _hi").select(*one, "_lo", "_ranks")
+    found = found.unionByName(second.filter("_lo = _hi").select(*one, "_lo", "_ranks")).unionByName(third.select(*one, "_lo", "_ranks"))
+    found = found.select(*one, F.col("_lo").alias("_v"), F.inline("_ranks"))
+    ends = {}
+    for c in range(len(names)):
+        for j in range(len(cols)):
+            for what, i, x in (("lo", 2 * j, "_v"), ("hi", 2 * j + 1, "_v"), ("at", 2 * j, "place")):
+                ends[f"_{what}_{c}_{j}"] = F.max(F.when((F.col("_c") == c) & (F.col("i") == i), F.col(x)))
+    one_row = found.groupBy(*keys).agg(*[v.alias(n) for n, v in ends.items()])
+
+    def between(c: int, j: int) -> Column:
+        low, high, p = (F.col(f"_{what}_{c}_{j}") for what in ("lo", "hi", "at"))
         exact = F.floor(p) == F.ceil(p)
         return F.when(exact | (low == high), low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
 
-    return found.select(*keys, *[between(n).alias(n) for n in at])
+    return one_row.select(*keys, *[between(c, j).alias(f"{n}_{m}") for c, n in enumerate(names) for j, m in enumerate(cols)])
+
+
+def quantiles(df: DataFrame, value: Column, at: Mapping[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """column_quantiles() of one column: the keys and a column for each name."""
+    found = column_quantiles(df, {"_q": value}, at, keys)
+    return found.select(*keys, *[F.col(f"_q_{n}").alias(n) for n in at])

@@ -36,16 +36,28 @@ def grid_distribution(df: DataFrame, value: Column, low: int, high: int) -> Data
 
 def activity(df: DataFrame, key: str) -> DataFrame:
     """One row on how often keys occur: keys, min, max, mean, median, p01, p99, and how
-    many keys lie at or beyond those two. Null keys are left out."""
-    per = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").cast("double").alias("n"))
-    one = per.agg(
-        F.count("*").alias("n_keys"), F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"),
+    many keys lie at or beyond those two. Null keys are left out.
+
+    Keys are counted by how often they occur first: n rows have fewer than sqrt(2 * n) different
+    counts, so what is put in order is small at any size.
+    """
+    per = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    freq = per.groupBy("n").agg(F.count("*").alias("m")).withColumn("_all", F.sum("m").over(Window.partitionBy()))
+    placed = freq.withColumn("_upto", F.sum("m").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    at = {"median": 0.5, "p01": 0.01, "p99": 0.99}
+    place = {name: (F.col("_all") - 1) * F.lit(p) for name, p in at.items()}
+    ends = [F.min(F.when(F.col("_upto") > end(p), F.col("n").cast("double"))).alias(f"_{what}_{name}") for name, p in place.items() for what, end in (("lo", F.floor), ("hi", F.ceil))]
+    one = placed.agg(
+        F.coalesce(F.sum("m"), F.lit(0)).alias("n_keys"), F.min("n").cast("double").alias("min"), F.max("n").cast("double").alias("max"),
+        F.round(F.sum(F.col("n") * F.col("m")) / F.sum("m"), 4).alias("mean"), F.max("_all").alias("_all"), *ends,
     )
-    one = one.crossJoin(F.broadcast(quantiles(per, F.col("n"), {"median": 0.5, "p01": 0.01, "p99": 0.99})))
-    ends = per.crossJoin(F.broadcast(one.select("p01", "p99"))).agg(
-        F.count_if(F.col("n") >= F.col("p99")).alias("heavy"), F.count_if(F.col("n") <= F.col("p01")).alias("light")
-    )
-    return one.withColumn("mean", F.round("mean", 4)).crossJoin(ends)
+    between = {name: F.when(F.floor(p) == F.ceil(p), F.col(f"_lo_{name}")).otherwise((F.ceil(p) - p) * F.col(f"_lo_{name}") + (p - F.floor(p)) * F.col(f"_hi_{name}")).alias(name) for name, p in place.items()}
+    one = one.select("n_keys", "min", "max", "mean", *between.values())
+    ends = freq.crossJoin(F.broadcast(one.select("p01", "p99"))).agg(
+        F.coalesce(F.sum(F.when(F.col("n") >= F.col("p99"), F.col("m"))), F.lit(0)).alias("heavy"),
+        F.coalesce(F.sum(F.when(F.col("n") <= F.col("p01"), F.col("m"))), F.lit(0)).alias("light"),
+    )
+    return one.crossJoin(F.broadcast(ends))
 
 
 def popularity(df: DataFrame, key: str, value: str) -> DataFrame:

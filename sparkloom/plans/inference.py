@@ -11,7 +11,7 @@ from ..operators import inference as I
 from ..operators import models as ML
 from ..operators.quality import melt
 from ..operators.tfidf import tfidf
-from ..operators.ordering import quantiles
+from ..operators.ordering import column_quantiles
 from .registry import Tables, query
 
 _RAW = "r as (select event_id, case when event_id % 6 = 0 then 'x' when event_id % 6 = 1 then null else value::varchar end as a, user_id::varchar as b from events)"
@@ -87,15 +87,15 @@ _NUMBERS = ("o_totalprice", "o_custkey")
     for c in _NUMBERS
 ))
 def describe_numeric(t: Tables) -> DataFrame:
-    """Moments in one pass; quantiles are exact, from counted values."""
-    aggs, parts, one = [], [], t.orders.agg(F.lit(1).alias("_one"))
+    """Moments in one pass; the quantiles of all columns by one selection."""
+    aggs, parts = [], []
     for c in _NUMBERS:
         d = F.col(c).cast("double")
         values = {"n": F.count(d), "mean": F.round(F.avg(d), 4), "std": F.round(F.stddev_samp(d), 4), "min": F.min(d), "max": F.max(d)}
         aggs += [v.alias(f"{c}_{n}") for n, v in values.items()]
-        one = one.crossJoin(F.broadcast(quantiles(t.orders, d, {f"{c}_q{i}": i / 4 for i in (1, 2, 3)})))  # one row
         q = [F.col(f"{c}_q{i}") for i in (1, 2, 3)]
         parts.append((c, [F.col(f"{c}_n"), F.col(f"{c}_mean"), F.col(f"{c}_std"), F.col(f"{c}_min"), *q, F.col(f"{c}_max")]))
+    one = column_quantiles(t.orders, {c: F.col(c) for c in _NUMBERS}, {f"q{i}": i / 4 for i in (1, 2, 3)})  # one row
     return melt(t.orders.agg(*aggs).crossJoin(F.broadcast(one)), parts, ["column_name", "n", "mean", "std", "min", "q1", "median", "q3", "max"])
 
 

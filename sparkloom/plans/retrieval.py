@@ -11,6 +11,7 @@ from ..operators import search as OS
 from ..operators import similarity as SM
 from ..operators import stats as S
 from ..operators.tfidf import norms, tfidf
+from ..operators.topk import build_index, top_k_by_bounds
 from .registry import Tables, query
 
 
@@ -137,7 +138,7 @@ def similar_profile(t: Tables) -> DataFrame:
 _CONV = r"""d as (select conv_id, turn, role, conv_id * 1000 + turn as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*') as w from conversations where text is not null),
   g as (select id, unnest(w) as term from d),
   tf as (select id, term, count(*) as tf from g group by 1, 2), st as (select term, count(*) as df, sum(tf) as total from tf group by 1),
-  kept as (select term, ln((1.0::double + n) / (1.0::double + df)) + 1.0 as idf from st, (select count(distinct id) as n from d) where df >= 2 and df <= n * 0.9 order by total desc, term limit 20000),
+  kept as (select term, ln((1.0::double + n) / (1.0::double + df)) + 1.0 as idf from st, (select count(distinct id) as n from d) where df >= 2 and df <= n * 0.9),
   raw as (select id, term, (1.0 + ln(tf::double)) * idf as w from tf join kept using (term)),
   triples as (select id, term, w / sqrt(sum(w * w) over (partition by id)) as weight from raw),
   q as (select id as q, conv_id, term, weight from triples join d using (id) where role = 'user' and conv_id % 100 = 0),
@@ -152,38 +153,44 @@ def _questions(t: Tables) -> DataFrame:
     return asked.select(q).distinct().withColumn("g", F.expr("floor(q / 1000) % 5"))
 
 
-def _question_scores(t: Tables) -> DataFrame:
-    """Cosine of the questions of every hundredth conversation with all answers."""
+def _answers_by_bounds(t: Tables, grouped: bool) -> DataFrame:
+    """The best answer of every question of the stated set by exact cosine, of its own group if grouped."""
     c = t.conversations.filter("text is not null").select("conv_id", "role", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     triples = tfidf(c, "id", normal_tokens(F.col("text")), sizes=(1,), max_features=None)
-    named = triples.join(c.select("id", "conv_id", "role"), "id")
-    asked = named.filter("role = 'user' and conv_id % 100 = 0").select(F.col("id").alias("q"), "term", "weight")
-    answers = named.filter("role = 'assistant'").select(F.col("id").alias("a"), "term", "weight")
-    scored = SM.scores(asked, answers, "q", "a")
-    return scored.select("q", "a", F.round("score", 6).alias("score"))
+    group = F.expr("conv_id % 5") if grouped else F.lit(0)
+    named = triples.join(c.select("id", group.alias("g"), F.expr("role = 'user' and conv_id % 100 = 0").alias("asks"), F.expr("role = 'assistant'").alias("says")), "id")
+    folder = t.scratch("answers")
+    named.filter("asks or says").write.parquet(f"{folder}/named")
+    named = t.spark.read.parquet(f"{folder}/named")
+    index = build_index(named.filter("says").select(F.col("id").alias("a"), "g", "term", "weight"), "a", folder, "g")
+    asked = named.filter("asks").select(F.col("id").alias("q"), "g", "term", "weight")
+    return top_k_by_bounds(asked, index, "q", 1, folder, "g").select("q", "a", "score")
 
 
-@query(f"with {_CONV} select q as question_id, max(score) as relevance, max(score) < 0.40 as out_of_domain from sc group by 1")
+_ASKED = "asked as (select distinct conv_id * 1000 + turn as q, conv_id % 5 as grp from conversations where role = 'user' and conv_id % 100 = 0 and turn is not null)"
+
+
+@query(f"""with {_CONV}, {_ASKED}, best as (select q, max(score) as best from sc group by 1)
+  select asked.q as question_id, coalesce(best, 0.0) as relevance, coalesce(best, 0.0) < 0.40 as out_of_domain from asked left join best using (q)""")
 def query_relevance(t: Tables) -> DataFrame:
     """Questions that share no term with any answer have relevance 0."""
-    best = _question_scores(t).groupBy("q").agg(F.max("score").alias("best"))
-    relevance = F.coalesce("best", F.lit(0.0))
+    best = _answers_by_bounds(t, False)
+    relevance = F.coalesce("score", F.lit(0.0))
     return _questions(t).join(best, "q", "left").select(F.col("q").alias("question_id"), relevance.alias("relevance"), (relevance < 0.40).alias("out_of_domain"))
 
 
-@query(f"with {_CONV} select q as question_id, a as answer_id, score from (select q, a, score, row_number() over (partition by q order by score desc, a) as r from sc where qc % 5 = ac % 5) where r = 1")
+@query(f"""with {_CONV}, {_ASKED}, best as (select q, a, score from (select q, a, score, row_number() over (partition by q order by score desc, a) as r from sc where qc % 5 = ac % 5) where r = 1),
+  firsts as (select conv_id % 5 as grp, min(conv_id * 1000 + turn) as first from conversations where role = 'assistant' and text is not null group by 1)
+  select asked.q as question_id, coalesce(a, first) as answer_id, coalesce(score, 0.0) as score from asked left join firsts using (grp) left join best using (q)""")
 def best_answer(t: Tables) -> DataFrame:
     """The best answer of the question's own group of conversations.
 
     Where no term is shared it is the group's first answer, with score 0; null in a group without answers.
     """
-    scored = _question_scores(t).filter("floor(q / 1000) % 5 = floor(a / 1000) % 5")
-    best = F.max_by(F.struct("a", "score"), F.struct("score", -F.col("a")))
-    scored = scored.groupBy("q").agg(best.alias("b"))
     answers = t.conversations.filter("role = 'assistant' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("a"))
     first = answers.groupBy(F.expr("floor(a / 1000) % 5").alias("g")).agg(F.min("a").alias("first"))
-    every = _questions(t).join(F.broadcast(first), "g", "left").join(scored, "q", "left")
-    return every.select(F.col("q").alias("question_id"), F.coalesce("b.a", "first").alias("answer_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+    every = _questions(t).join(F.broadcast(first), "g", "left").join(_answers_by_bounds(t, True), "q", "left")
+    return every.select(F.col("q").alias("question_id"), F.coalesce("a", "first").alias("answer_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 @query("""with q as (select vec_id as query_id, embedding::double[] as e from embeddings where vec_id % 100 = 0),
@@ -238,6 +245,57 @@ def ranking_metrics(t: Tables) -> DataFrame:
     return R.shared_list_metrics(top, split, F.expr("is_test and q >= 25"), "o_custkey", "l_partkey", (5, 10, 20))
 
 
+_CONTENT = f"""{_TFIDF}, {_SPLIT},
+  users as (select o_custkey from sp where not is_test group by 1 having count(*) >= 5 order by md5('42:' || o_custkey), 1 limit 1500),
+  mine as (select sp.* from sp join users using (o_custkey)),
+  rel as (select o_custkey, l_partkey from mine where is_test and q >= 25),
+  liked as (select o_custkey, l_partkey from mine where not is_test and q >= 25 and o_custkey in (select o_custkey from rel)),
+  prof as (select o_custkey, term, sum(weight) as w from liked join triples on id = l_partkey group by 1, 2),
+  unit as (select o_custkey, term, w / sqrt(sum(w * w) over (partition by o_custkey)) as w from prof),
+  sc as (select o_custkey, id as l_partkey, round(sum(w * weight), 6) as score from unit join triples using (term) group by 1, 2),
+  seen as (select o_custkey, l_partkey from mine where not is_test),
+  rec as (select o_custkey, l_partkey, row_number() over (partition by o_custkey order by score desc, l_partkey) as pos from sc anti join seen using (o_custkey, l_partkey) qualify pos <= 20)"""
+
+
+@query(f"""with {_CONTENT}, k as (select unnest([5, 10, 20])::int as k), sizes as (select o_custkey, count(*) as g from rel group by 1),
+  h as (select rec.o_custkey, pos, (rel.l_partkey is not null)::int as hit from rec left join rel using (o_custkey, l_partkey)),
+  c as (select *, sum(hit) over (partition by o_custkey order by pos) as cum from h),
+  m as (select k, c.o_custkey, any_value(g) as g, count(*) as n, sum(hit) as hits, sum(hit * cum / pos) as a, sum(hit / log2(pos + 1.0)) as d from k join c on pos <= k join sizes on sizes.o_custkey = c.o_custkey group by 1, 2),
+  v as (select k, hits / n as precision, hits / g as recall, (hits > 0)::int::double as hit, a / least(g, k) as ap, d / list_sum(list_transform(range(1, least(g, k) + 1), lambda i: 1 / log2(i + 1.0))) as ndcg from m)
+  select k, count(*)::bigint as users, round(avg(precision), 6) as precision, round(avg(recall), 6) as recall, round(avg(hit), 6) as hit, round(avg(ap), 6) as ap, round(avg(ndcg), 6) as ndcg from v group by 1""")
+def content_evaluation(t: Tables) -> DataFrame:
+    """Content-based recommendations of the evaluated users judged on what they did last.
+
+    The profile of a user is the mean vector of what they liked in training; all that they
+    met in training is left out. Users without liked history or relevant test items are skipped.
+    """
+    return R.ranking_metrics(*_content_lists(t), "o_custkey", "l_partkey", (5, 10, 20))
+
+
+@query(f"with {_CONTENT} select o_custkey, l_partkey, (select score from sc where sc.o_custkey = rec.o_custkey and sc.l_partkey = rec.l_partkey) as score, pos::int as rank from rec")
+def content_recommendations(t: Tables) -> DataFrame:
+    """The twenty best unseen parts of every evaluated user."""
+    return _content_lists(t)[0]
+
+
+def _content_lists(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(recommendations, relevant test items) of the evaluated users."""
+    folder = t.scratch("content")
+    R.temporal_split(_interactions(t), "o_custkey", "ts", "l_partkey").write.parquet(f"{folder}/split")
+    split = t.spark.read.parquet(f"{folder}/split")
+    users = R.eligible_users(split.filter("not is_test"), "o_custkey", 5, 1500).select("o_custkey")
+    mine = split.join(users, "o_custkey", "left_semi")
+    relevant = mine.filter("is_test and q >= 25").select("o_custkey", "l_partkey")
+    liked = mine.filter("not is_test and q >= 25").select("o_custkey", "l_partkey").join(relevant, "o_custkey", "left_semi")
+    index = build_index(_triples(t).withColumnRenamed("p_partkey", "l_partkey"), "l_partkey", folder)
+    profiles = SM.profiles(t.spark.read.parquet(f"{folder}/triples"), liked, "o_custkey", "l_partkey")
+    profiles.write.parquet(f"{folder}/profiles")
+    profiles = t.spark.read.parquet(f"{folder}/profiles")
+    seen = mine.filter("not is_test").select("o_custkey", "l_partkey")
+    recs = top_k_by_bounds(profiles, index, "o_custkey", 20, folder, exclude=seen)
+    return recs, relevant.join(profiles.select("o_custkey").distinct(), "o_custkey", "left_semi")
+
+
 @query("""select d.doc_id, d.lang, s.n::bigint as source_docs from documents d join (select source, count(*) as n from documents group by 1) s using (source)
   where s.n >= (select avg(n) from (select count(*) as n from documents group by source))""")
 def popular_sources(t: Tables) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_values
 from ..operators import stats as S
-from ..operators.ordering import quantiles
+from ..operators.ordering import column_quantiles
 from .registry import Tables, query
 
 
@@ -117,15 +117,13 @@ def ordered_tag_concat(t: Tables) -> DataFrame:
   round(avg(user_id), 2) as user_mean, round(quantile_cont(user_id::double, 0.5), 2) as user_median, round(stddev_samp(user_id), 2) as user_std
   from events where event_type is not null group by 1""")
 def group_multi_agg(t: Tables) -> DataFrame:
-    rows, aggs, middles = t.events.filter("event_type is not null"), [], []
-    for c, n in (("value", "value"), ("user_id", "user")):
-        d = F.col(c).cast("double")
+    rows, aggs = t.events.filter("event_type is not null"), []
+    numbers = {"value": F.col("value").cast("double"), "user": F.col("user_id").cast("double")}
+    for n, d in numbers.items():
         aggs += [F.round(F.avg(d), 2).alias(f"{n}_mean"), F.round(F.stddev_samp(d), 2).alias(f"{n}_std")]
-        middles.append(quantiles(rows, d, {f"{n}_median": 0.5}, ["event_type"]))
-    out = rows.groupBy("event_type").agg(*aggs)
-    for m in middles:
-        out = out.join(m, "event_type", "left")
-    return out.withColumns({m: F.round(m, 2) for m in ("value_median", "user_median")})
+    middles = column_quantiles(rows, numbers, {"median": 0.5}, ["event_type"])
+    out = rows.groupBy("event_type").agg(*aggs).join(middles, "event_type", "left")
+    return out.withColumns({f"{n}_median": F.round(f"{n}_median", 2) for n in numbers})
 
 
 @query("select o_orderpriority, count(*)::bigint as n, round(count(*)::double / sum(count(*)) over (), 4) as share from orders where o_orderpriority is not null group by 1")
