@@ -36,7 +36,7 @@ _SLICE = 1 << 16
 #: Where counters stop; thresholds above it count as it in the sketch.
 CEILING = 255
 #: Terms a task holds before it hands on what it has counted.
-HELD = 200_000
+HELD = 600_000
 #: Bytes of a text that are split at once.
 _PIECE = 1 << 20
 #: Ranks of the term part.
@@ -146,16 +146,13 @@ def candidate_counts(rows: DataFrame, sketch: TermSketch, least_docs: int) -> Da
 
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source), counts in occurs.items():
-                found = list(counts)
-                may = shared.value.may_reach(lang, found, least_docs).tolist()
-                found = [t for t, ok in zip(found, may, strict=True) if ok]
-                docs = within[lang, source]
-                if found:
-                    text = [[lang] * len(found), [source] * len(found), found]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(x, pa.binary()).cast(pa.string()) for x in text),
-                         pa.array([counts[t] for t in found], pa.int64()), pa.array([docs[t] for t in found], pa.int64())], schema=schema
-                    )
+                found, docs = list(counts), within[lang, source]
+                may = pa.array(shared.value.may_reach(lang, found, least_docs))
+                term = pa.array(found, pa.binary()).filter(may).cast(pa.string())
+                many = [np.fromiter(x, np.int64, len(found)) for x in (counts.values(), map(docs.__getitem__, found))]
+                if len(term):
+                    group = [pa.repeat(pa.scalar(x.decode(), pa.string()), len(term)) for x in (lang, source)]
+                    yield pa.RecordBatch.from_arrays([*group, term, *(pa.array(x).filter(may) for x in many)], schema=schema)
             occurs.clear()
             within.clear()
 
@@ -176,8 +173,10 @@ def candidate_counts(rows: DataFrame, sketch: TermSketch, least_docs: int) -> Da
 
 def _p(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(UNIT * (count + 1) / (total + kept)); null where nothing is kept."""
-    many = (count + 1).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    return F.call_function("div", many, F.nullif(total + kept, F.lit(0)).cast("decimal(20,0)")) + 1
+    size = F.nullif(total + kept, F.lit(0))
+    wide = (count + 1).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
+    small = F.call_function("div", (count + 1) * UNIT, size)  # the product fits a long
+    return F.when(count < 9 * UNIT, small).otherwise(F.call_function("div", wide, size.cast("decimal(20,0)"))) + 1
 
 
 def _f(p: Column, q: Column) -> Column:
@@ -190,7 +189,9 @@ def kept_terms(docs: DataFrame, least_docs: int = 3) -> tuple[DataFrame, DataFra
     prepare(docs.sparkSession)
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.col("text").cast("string").alias("text"))
     sketch = build_sketch(rows, sketch_width(docs.count()))
-    counts = candidate_counts(rows, sketch, least_docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # the tasks have summed already: one exchange by term serves the sums and the window
+    found = candidate_counts(rows, sketch, least_docs).repartition("lang", "term")
+    counts = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")
     whole = counts.select(
         "lang", "source", "term", "n", F.sum("n").over(term).alias("total"), F.sum("docs").over(term).alias("all_docs"),
