@@ -15,8 +15,9 @@
    that belong to its component already are left out too.
 5. A block beyond ``BLOCK_KEYS`` is dealt out in parts, each with the same few pivots of
    the block. Near copies link with pivots, so nearly all of them end in one component.
-   What does not meets every part in a second round, in which sets of one component
-   count as linked; a pair of which neither is left over is in that component already.
+   What does not is dealt into groups that meet one another and the groups of that
+   component, two groups to a part, in a second round; sets of one component count as
+   linked there, and a pair of which neither is left over is in that component already.
 
 The result holds exactly the components of all pairs with Jaccard >= num / den.
 """
@@ -28,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import build_bloom, split_by
@@ -615,24 +616,42 @@ def linked_sets(
     parts = F.when(F.col("w") > block_keys, F.ceil(F.col("w") / F.lit(block_keys)) + 1).otherwise(1)
     placed = members.join(weight.select("root", parts.cast("long").alias("k")), "root")
     own = F.pmod(F.xxhash64("sid"), F.col("k"))
-    placed = materialize(placed.select("sid", F.col("root").alias("block"), own.alias("part"), "k"), "placed")
+    placed = materialize(placed.select("sid", F.col("root").alias("block"), own.alias("part"), "k", "n"), "placed")
     alone = F.col("sid").alias("comp")
     large = placed.filter("k > 1")
     if not large.limit(1).count():
         return rows, joined(placed.select("sid", "block", "part", alone))
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("part")
-    nth = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("sid", F.lit(1)), "sid"))
-    pivots = large.withColumn("_nth", nth).filter(F.col("_nth") <= PIVOTS).select("sid", "block", everywhere)
+    classes = large.groupBy("block", "k", F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(PIVOTS)).alias("class"))
+    pivots = classes.agg(F.min("sid").alias("sid")).select("sid", "block", everywhere)
     first_round = placed.select("sid", "block", "part").unionByName(pivots).distinct()
     links = joined(first_round.select("sid", "block", "part", alone))
     named = large.join(connected_components(links), large["sid"] == F.col("id"), "left")
-    named = named.select("sid", "block", "part", "k", F.coalesce("root", "sid").alias("comp"))
-    named = materialize(named, "named")
-    sizes = named.groupBy("block", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("block").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    left_over = named.join(main, "block").filter("comp <> main").select("sid", "block", everywhere, "comp")
-    second_round = named.select("sid", "block", "part", "comp").unionByName(left_over).distinct()
-    return rows, links.unionByName(joined(second_round))
+    named = materialize(named.select("sid", "block", "n", F.coalesce("root", "sid").alias("comp")), "named")
+    sizes = named.groupBy("block", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("w"))
+    main = sizes.groupBy("block").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max_by("w", F.struct("n", "comp")).alias("main_w"), F.sum("w").alias("w"))
+    return rows, links.unionByName(joined(left_over_parts(named.join(main, "block"), block_keys)))
+
+
+def left_over_parts(named: DataFrame, block_keys: int) -> DataFrame:
+    """(sid, block, part, comp) of the second round: every pair of sets of which one at least is
+    left over meets in a part, and a part holds half of block_keys shingles on average.
+
+    named: sid, block, n, comp, with main, the block's main component, main_w, its shingles, and
+    w, those of the block. The sets left over and the others are dealt into groups of a quarter
+    of block_keys; a part is two groups of the left over, or one of each kind.
+    """
+    fill = max(1, block_keys // 4)
+    over = named.filter("main_w < w").withColumns(
+        {"l": F.ceil((F.col("w") - F.col("main_w")) / fill), "m": F.ceil(F.col("main_w") / fill), "left": F.col("comp") != F.col("main")}
+    )
+    own = F.pmod(F.xxhash64("sid", F.lit(2)), F.when(F.col("left"), F.col("l")).otherwise(F.col("m")))
+    over = over.withColumn("own", own)
+    among = F.transform(F.sequence(F.lit(0).cast("long"), F.col("l") - 1), lambda i: F.least(i, F.col("own")) * F.col("l") + F.greatest(i, F.col("own")))
+    beside = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: F.col("l") * F.col("l") + F.col("own") * F.col("m") + j)
+    waits = F.transform(F.sequence(F.lit(0).cast("long"), F.col("l") - 1), lambda i: F.col("l") * F.col("l") + i * F.col("m") + F.col("own"))
+    parts = F.when(F.col("left"), F.concat(among, beside)).otherwise(waits)
+    return over.select("sid", "block", F.explode(parts).alias("part"), "comp")
 
 
 def jaccard_components(

@@ -218,3 +218,19 @@ def test_rows_of_hot_tokens_are_tied(hot, monkeypatch):
         for t in sizes:
             if sizes[t] > hot:
                 assert len({parent.find(h) for tt, _, h in rows if tt == t}) == 1
+
+
+def test_no_part_holds_a_block_of_sets_that_do_not_link(spark, monkeypatch):
+    """400 sets of frequent words, few of them linked: one block, of which no part holds more than its bound."""
+    monkeypatch.setattr(J, "HOT_TOKEN", 10)
+    rng = random.Random(9)
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(40)], 12)) for _ in range(400)]
+    texts += [" ".join(t.split()[:-1]) for t in texts[:5]]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    placed = []
+    keep = J.left_over_parts
+    monkeypatch.setattr(J, "left_over_parts", lambda named, keys: placed.append(keep(named, keys)) or placed[-1])
+    got = sorted((tuple(r) for r in J.jaccard_components(frame(spark, rows), 1, 85, 100, block_keys=1_000).collect()), key=repr)
+    assert got == brute(rows, 1, 85, 100)
+    parts = placed[0].groupBy("block", "part").count().collect()
+    assert len(parts) > 40 and max(r["count"] for r in parts) * 12 <= 1_000
