@@ -1,6 +1,6 @@
 """Exact top-K over an inverted index whose posting blocks hold their largest weight.
 
-Items are put into small blocks with others that lead with the same term. For each block
+Items are put into small blocks with others that have the same heaviest terms. For each block
 and term the index holds the largest weight, so one small join bounds the score of any
 item of a block from above. The blocks with the largest bounds are scored first; the
 K-th score found there is a floor, and of all other blocks only those whose bound
@@ -15,10 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import with_position
 from .similarity import checked_k, top_k
 
-#: Items of a block, about.
-BLOCK = 32
+#: Items of a block, and terms by which items are put in order.
+BLOCK, LEAD = 8, 8
 
 
 @dataclass(frozen=True)
@@ -34,22 +35,17 @@ def build_index(triples: DataFrame, key: str, folder: str, part: str | None = No
     """Index of (key, term, weight) triples with weights of 0 or more, written to a folder.
 
     part: a column of triples, the same for all terms of an item; searches stay within one
-    value of it, and blocks do not span two. Items that lead with a frequent term are dealt
-    out over blocks of that term by a hash, the others by a hash of the term they lead with.
+    value of it, and blocks do not span two. Items are put in order by their heaviest terms,
+    so neighbours share these and the bounds of their blocks are tight.
     """
     spark = triples.sparkSession
     own = F.col(part).cast("string") if part else F.lit("")
     rows = triples.select(key, F.coalesce(own, F.lit("")).alias("part"), "term", "weight")
     rows.write.mode("overwrite").parquet(f"{folder}/triples")
     rows = spark.read.parquet(f"{folder}/triples")
-    lead = rows.groupBy("part", key).agg(F.max_by("term", F.struct("weight", "term")).alias("lead"))
-    many = lead.groupBy("part", "lead").agg(F.count("*").alias("n"))
-    rare = many.filter(F.col("n") < block).groupBy("part").agg(F.sum("n").alias("rare"))
-    sizes = many.join(rare, "part", "left")
-    hashed = F.pmod(F.xxhash64("lead"), F.ceil(F.col("rare") / block))
-    spread = F.pmod(F.xxhash64(F.col(key)), F.ceil(F.col("n") / block))
-    name = F.when(F.col("n") < block, F.concat(F.lit("r"), hashed.cast("string"))).otherwise(F.concat(F.lit("t"), spread.cast("string"), F.lit(":"), F.col("lead")))
-    placed = lead.join(sizes, ["part", "lead"]).select("part", key, name.alias("block"))
+    lead = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("weight", "term")), asc=False), lambda x: x["term"]), 1, LEAD)
+    paths = rows.groupBy("part", key).agg(F.concat_ws("\u0001", lead).alias("path"))
+    placed = with_position(paths, ["part", "path", key], "place").select("part", key, F.floor(F.col("place") / block).alias("block"))
     rows.join(placed, ["part", key]).select("part", "block", "term", key, "weight").write.mode("overwrite").parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
     tops = postings.groupBy("part", "block", "term").agg(F.max("weight").alias("top"), F.count("*").alias("n"))
