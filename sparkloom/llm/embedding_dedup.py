@@ -186,12 +186,20 @@ def _cell_sizes(nodes: DataFrame, index: dict[int, MultiIndex]) -> DataFrame:
     return cells.groupBy("label", "dim", "one", "two").count()
 
 
+def cell_code(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """One number for a cell."""
+    return one.astype(np.int64) << 32 | two.astype(np.int64)
+
+
 def _visit_rows(nodes: DataFrame, index: dict[int, MultiIndex]) -> DataFrame:
-    """Rows of nodes at the cells they visit; in their own they are also stored."""
+    """Rows of nodes at the cells they visit; in their own they are also stored.
+
+    home: the node's own cell. seen: where it is stored, all cells it visits, ascending.
+    """
     shared = nodes.sparkSession.sparkContext.broadcast(index)
     schema = pa.schema(
         [("node", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("one", pa.int32()), ("two", pa.int32()),
-         ("stored", pa.bool_()), ("copies", pa.int64()), ("vector", pa.binary())]
+         ("stored", pa.bool_()), ("copies", pa.int64()), ("vector", pa.binary()), ("home", pa.int64()), ("seen", pa.binary())]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,19 +214,23 @@ def _visit_rows(nodes: DataFrame, index: dict[int, MultiIndex]) -> DataFrame:
                 at = shared.value.get(int(dim))
                 if at is None:  # a dimension the sample had none of: one cell
                     row = np.arange(len(x))
-                    one = two = np.zeros(len(x), np.int64)
+                    one = two = home = np.zeros(len(x), np.int64)
                     stored = np.ones(len(x), bool)
                 else:
                     row, one, two = at.visits(unit)
-                    c1, c2 = at.cells(unit)
-                    stored = (one == c1[row]) & (two == c2[row])
+                    home = cell_code(*at.cells(unit))
+                    stored = cell_code(one, two) == home[row]
+                ends = np.searchsorted(row, np.arange(len(x) + 1))
+                visited = cell_code(one, two)
+                seen = [np.sort(visited[ends[r] : ends[r + 1]]).tobytes() if s else None for r, s in zip(row.tolist(), stored.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[row]), pa.array(label[row].astype(np.int64)), pa.array(np.full(len(row), dim, np.int32)),
                      pa.array(one.astype(np.int32)), pa.array(two.astype(np.int32)), pa.array(stored),
-                     pa.array(copies[row]), pa.array([raw[r] for r in row], pa.binary())], schema=schema
+                     pa.array(copies[row]), pa.array([raw[r] for r in row], pa.binary()), pa.array(home[row].astype(np.int64)),
+                     pa.array(seen, pa.binary())], schema=schema
                 )
 
-    shape = "node long, label long, dim int, one int, two int, stored boolean, copies long, vector binary"
+    shape = "node long, label long, dim int, one int, two int, stored boolean, copies long, vector binary, home long, seen binary"
     return nodes.mapInArrow(tidy(scan), shape)
 
 
@@ -232,23 +244,27 @@ def _numbers(raw: bytes, dim: int) -> np.ndarray:
 class CellPart:
     """Stored vectors of one part of a cell; what visitors link with."""
 
-    def __init__(self, cosine: float, dim: int) -> None:
-        self.cosine, self.dim = cosine, dim
+    def __init__(self, cosine: float, dim: int, code: int) -> None:
+        self.cosine, self.dim, self.code = cosine, dim, code
         self.names: list[int] = []
         self.copies: list[int] = []
         self.vectors: list[bytes] = []
+        self.seen: list[np.ndarray] = []
         self.ready = False
 
-    def store(self, node: int, copies: int, vector: bytes) -> None:
+    def store(self, node: int, copies: int, vector: bytes, seen: bytes) -> None:
         self.names.append(node)
         self.copies.append(copies)
         self.vectors.append(vector)
+        self.seen.append(np.frombuffer(seen, np.int64))
 
-    def visit(self, visitors: list[tuple[int, bytes]]) -> list[tuple[int, int, int]]:
-        """(visitor, copies it links with, one of them); more rows join components.
+    def visit(self, visitors: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, int]]:
+        """visitors: node, copies, vector, own cell. Gives (node, copies it links with, one of them).
 
-        The further rows of a visitor count nothing: they are edges to one member of
-        each further component of the stored vectors it links with.
+        A stored vector that does not visit the cell of a visitor it links with has the
+        link counted here as well, since its own visits do not meet it. Rows that count
+        nothing are edges to one member of each further component of the stored vectors
+        a visitor links with.
         """
         if not self.names or not visitors:
             return []
@@ -258,10 +274,11 @@ class CellPart:
             self.node, self.weight = np.array(self.names), np.array(self.copies)
             self.comp = np.arange(len(self.x))
             self.vectors, self.ready = [], True
-        q = np.stack([_numbers(v, self.dim) for _, v in visitors])
+        q = np.stack([_numbers(v, self.dim) for _, _, v, _ in visitors])
         near = q @ self.x.T >= self.cosine * np.linalg.norm(q, axis=1)[:, None] * self.norm
         out = []
-        for (node, _), row in zip(visitors, near, strict=True):
+        back: dict[int, list[int]] = {}
+        for (node, copies, _, home), row in zip(visitors, near, strict=True):
             at = np.flatnonzero(row)
             at = at[self.node[at] != node]
             if not len(at):
@@ -271,7 +288,13 @@ class CellPart:
             if len(roots) > 1:
                 out += [(node, 0, int(self.node[at[k]])) for k in first[1:]]
                 self.comp[np.isin(self.comp, roots)] = roots[0]
-        return out
+            if home != self.code:
+                for k in at.tolist():
+                    place = np.searchsorted(self.seen[k], home)
+                    if place == len(self.seen[k]) or self.seen[k][place] != home:
+                        found = back.setdefault(k, [0, node])
+                        found[0] += copies
+        return out + [(int(self.node[k]), copies, node) for k, (copies, node) in back.items()]
 
 
 def _verify(cosine: float, together: int = 512) -> Callable:
@@ -284,20 +307,20 @@ def _verify(cosine: float, together: int = 512) -> Callable:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, part, visitors = None, CellPart(cosine, 0), []
+        now, part, visitors = None, CellPart(cosine, 0, 0), []
         for batch in batches:
             keys = zip(*(column(batch, c) for c in cell), strict=True)
-            own = (column(batch, c) for c in ("stored", "node", "copies"))
-            for key, stored, node, copies, vector in zip(keys, *own, binary_column(batch, "vector"), strict=True):
+            own = (column(batch, c) for c in ("stored", "node", "copies", "home", "seen"))
+            for key, stored, node, copies, home, seen, vector in zip(keys, *own, binary_column(batch, "vector"), strict=True):
                 if key != now or len(visitors) >= together:
                     yield rows_of(part.visit(visitors))
                     visitors = []
                 if key != now:
-                    now, part = key, CellPart(cosine, key[1])
+                    now, part = key, CellPart(cosine, key[1], key[2] << 32 | key[3])
                 if stored:
-                    part.store(node, copies, vector)
+                    part.store(node, copies, vector, seen)
                 else:
-                    visitors.append((node, vector))
+                    visitors.append((node, copies, vector, home))
         yield rows_of(part.visit(visitors))
 
     return scan
@@ -325,17 +348,17 @@ def fit_index(nodes: DataFrame, cosine: float, recall: float, count: int, widest
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.98, recall: float = RECALL) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
-    Vectors are compared when their labels are equal and not null and they have as many
-    components; vectors that are null, empty, zero, or hold null or non-finite
+    Vectors are compared when their labels (of any type, known by a 64-bit hash) are equal
+    and not null and they have as many components; vectors that are null, empty, zero, or hold null or non-finite
     components link with nothing. n_links counts the other rows linked directly (found
-    with cosine >= the threshold, none below); component_id is the smallest vec_id
+    from either end with cosine >= the threshold, none below); component_id is the smallest vec_id
     reachable by links, itself included; kept says whether that is the row's own.
     Repeated rows count as vectors of their own; other columns are not looked at; an
     empty table gives no rows.
     """
     prepare(embeddings.sparkSession)
     rows = embeddings.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding"
+        F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("label").isNotNull(), F.xxhash64("label")).alias("label"), "embedding"
     )
     usable = F.col("label").isNotNull() & _usable(F.col("embedding"))
     names = F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit("again"), "embedding", "label").alias("h2")
@@ -367,7 +390,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.98, recall: float =
     visits = F.transform(every, lambda s: F.struct(F.lit(False).alias("stored"), (s * side + own).alias("part")))
     stays = F.transform(every, lambda s: F.struct(F.lit(True).alias("stored"), (own * side + s).alias("part")))
     rows_at = F.when(F.col("stored"), F.concat(stays, visits)).otherwise(visits)
-    dealt = spread.withColumn("at", F.explode(rows_at)).select("node", *cell, "copies", "vector", "at.stored", "at.part")
+    dealt = spread.withColumn("at", F.explode(rows_at)).select(
+        "node", *cell, "copies", "vector", "home", F.when(F.col("at.stored"), F.col("seen")).alias("seen"), "at.stored", "at.part"
+    )
     dealt = dealt.repartition(*cell, "part").sortWithinPartitions(*cell, "part", F.desc("stored"), "node")
     found = materialize(dealt.mapInArrow(tidy(_verify(cosine)), "node long, links long, other long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

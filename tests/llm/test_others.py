@@ -206,6 +206,40 @@ def test_no_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_links_count_at_both_ends(spark):
+    """Pairs of near vectors under a traversal that stops early: what one end finds counts for both."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = 0.982 * x + np.sqrt(1 - 0.982**2) * y
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(x)] + [(1_000 + i, v.tolist(), "a") for i, v in enumerate(y)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(table, 0.98, 0.9).collect()}
+    assert all(got[i][0] == got[1_000 + i][0] for i in range(700))
+    assert 600 < sum(got[i][0] for i in range(700)) < 700
+    assert all((got[1_000 + i][1] == i) == (got[i][0] > 0) for i in range(700))
+    index = embedding_dedup.fit_index(table.select(F.lit(16).alias("dim"), "embedding", F.xxhash64("label").alias("label"), F.col("vec_id").alias("node")), 0.98, 0.9, len(rows), 16)[16]
+
+    def cells(v):
+        return [set(zip(*(a[r == k].tolist() for a in (one, two)), strict=True)) for r, one, two in [index.visits(v)] for k in range(len(v))]
+
+    seen = [cells(v) for v in (x, y)]
+    home = [list(zip(*(c.tolist() for c in index.cells(v)), strict=True)) for v in (x, y)]
+    one_sided = [i for i in range(700) if (home[1][i] in seen[0][i]) != (home[0][i] in seen[1][i])]
+    assert len(one_sided) > 5 and all(got[i][0] == 1 for i in one_sided)
+
+
+def test_labels_compare_as_they_are(spark):
+    v = [0.5, 1.0, 2.0]
+    numbers = spark.createDataFrame([(1, v, 1.2), (2, v, 1.7), (3, v, 1.2)], "vec_id long, embedding array<double>, label double")
+    assert {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(numbers).collect()} == {1: 1, 2: 0, 3: 1}
+    names = spark.createDataFrame([(1, v, "cat"), (2, v, "dog"), (3, v, "cat"), (4, v, None)], "vec_id long, embedding array<double>, label string")
+    assert {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_duplicates(names).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
 def test_multi_sequence_is_in_order():
     rng = np.random.default_rng(0)
     one, two = rng.random(7), rng.random(5)
