@@ -13,6 +13,7 @@ from ..operators import models as ML
 from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import similarity as SM
+from ..operators import textml as TX
 from ..operators.ordering import with_position
 from ..operators.tfidf import vocabulary
 from .artifacts import content_documents
@@ -213,28 +214,58 @@ def _texts(t: Tables) -> DataFrame:
 
 @query()
 def ml_text_selection(t: Tables) -> DataFrame:
-    """A grid of text classifiers of the language by stratified cross validation, the best first."""
+    """The whole grid of text classifiers of the language by stratified cross validation, the best first."""
     folds = M.stratified_fold(_texts(t), "lang", "doc_id", 3)
-    grid = {n: c for n, c in ML.text_grid().items() if "n=1" in n}
-    return ML.select_text_model(folds, "text", "lang", grid)
+    return TX.select_text_model(folds, "text", "lang", t.scratch("folds"))
 
 
 @query()
 def ml_text_refit(t: Tables) -> DataFrame:
-    """The best of two text classifiers, fitted again on all training rows, on held-out ones."""
+    """The best of the grid on the training rows, fitted again on all of them, on held-out ones."""
     train, test = ML.hash_split(_texts(t), F.col("doc_id"))
-    grid = {n: c for n, c in ML.text_grid().items() if n in ("logistic n=1 reg=0.01", "naive_bayes n=1 smoothing=1")}
-    selected = ML.select_text_model(M.stratified_fold(train, "lang", "doc_id", 2), "text", "lang", grid)
-    name, model = ML.refit_best(train, "text", "lang", selected, grid)
-    return M.multiclass_metrics(ML.text_scored(model, test), "lang", "said").withColumn("model", F.lit(name))
+    selected = TX.select_text_model(M.stratified_fold(train, "lang", "doc_id", 2), "text", "lang", t.scratch("refit"))
+    best = selected.first()["model"]  # one row
+    model, names = TX.fit_text(train, "text", "lang", *TX.grid()[best])
+    return M.multiclass_metrics(TX.said(model, names, test), "lang", "said").withColumn("model", F.lit(best))
+
+
+@query()
+def ml_text_classifiers(t: Tables) -> DataFrame:
+    """Four kinds of classifier of the language on the same TF-IDF, by f1 on held-out documents."""
+    train, test = ML.hash_split(_texts(t), F.col("doc_id"))
+    return TX.compare_classifiers(train, test, "text", "lang")
+
+
+@query()
+def ml_text_margins(t: Tables) -> DataFrame:
+    """What a support vector machine for each language says of held-out documents, with margin and confidence."""
+    train, test = ML.hash_split(_texts(t), F.col("doc_id"))
+    model, names = TX.fit_text(train, "text", "lang", 1, TX.classifiers()["linear_svm"])
+    return TX.margins(model, names, test).drop("text")
+
+
+@query()
+def ml_top_terms(t: Tables) -> DataFrame:
+    """The ten heaviest terms of each language in the machine for it."""
+    model, names = TX.fit_text(_texts(t), "text", "lang", 1, TX.classifiers()["linear_svm"])
+    return TX.top_terms(model, names, t.documents, 10)
 
 
 @query()
 def ml_calibrated(t: Tables) -> DataFrame:
-    """Margins of a support vector machine as probabilities, in tenths: n, mean probability, share of label 1."""
-    chars = F.length("text").cast("double")
-    docs = t.documents.filter("text is not null").select("doc_id", chars.alias("chars"), F.size(F.split("text", " ")).cast("double").alias("spaces"))
-    rows = docs.join(t.labels.select("doc_id", "quality"), "doc_id")
-    scored = ML.probabilities(ML.calibrated(rows, ["chars", "spaces"], "quality"), rows)
-    tenth = F.least(F.floor(F.col("probability") * 10), F.lit(9)).cast("int").alias("tenth")
-    return scored.groupBy(tenth).agg(F.count("*").alias("n"), F.round(F.avg("probability"), 4).alias("mean_probability"), F.round(F.avg("quality"), 4).alias("share"))
+    """Cross-fitted probabilities of quality from a machine on TF-IDF, in tenths: n, mean probability, share of label 1."""
+    docs = t.documents.filter("text is not null").select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id")
+    rows = M.stratified_fold(docs, "quality", "doc_id", 3)
+    path = t.scratch("calibrated")
+    TX.TfIdf(inputCol="text", sizes=[1]).fit(rows).transform(rows).select("doc_id", "quality", "fold", "features").write.parquet(path)
+    rows = t.spark.read.parquet(path)
+    return TX.reliability(TX.calibrate(rows, "quality").probabilities(rows), "quality")
+
+
+@query(f"with {_TFIDF} select id as p_partkey, term, round(weight, 6) as weight from triples")
+def tfidf_stage(t: Tables) -> DataFrame:
+    """The weights of the pipeline stage, learned, saved and read back."""
+    rows = t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    path = t.scratch("stage")
+    TX.TfIdf(inputCol="text").fit(rows).save(path)
+    return TX.triples(TX.TfIdfModel.load(path), rows, "p_partkey").withColumn("weight", F.round("weight", 6))
