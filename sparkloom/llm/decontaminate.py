@@ -42,13 +42,13 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int) -> None:
         self.window = window
         self.word_ids: dict[bytes, int] = {}
         flat: list[np.ndarray] = []
         places, owners, stops, whole = [], [], [], []
         at, behind = 0, np.zeros(window, np.int32)
-        self.item_ids: list[int | None] = []
+        self.item_ids: list[str | None] = []
         for item_id, text in items:
             number = self.word_ids
             words = np.array([number.setdefault(w, len(number) + 1) for w in alnum_words(text)], np.int32)
@@ -204,10 +204,10 @@ def _digest(ids: list[str]) -> str:
 
 
 def _read_benchmark(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """Items in blocks of bounded size, streamed to the driver partition by partition."""
+    """Items in the order of their ids as strings, in blocks of bounded size, streamed to the driver partition by partition."""
     block, size = [], 0
-    rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text"))
-    for row in rows.toLocalIterator():
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    for row in rows.orderBy("item_id", "text").toLocalIterator():
         text = bytes(row["text"]) if row["text"] is not None else None
         if block and size + len(text or b"") > block_bytes:
             yield block
@@ -219,7 +219,7 @@ def _read_benchmark(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tup
 
 _OUT = (
     "row_id long, doc_id long, n_words long, hits array<struct<start: long, stop: long>>, "
-    "items array<string>, longest long, longest_item long, longest_at long"
+    "items array<string>, longest long, longest_item string, longest_at long"
 )
 
 
@@ -243,7 +243,7 @@ def _scan(docs: DataFrame, tests: TestSuffixes) -> DataFrame:
                         start = int(place - shard.shift[k])
                         spans[k].append((start, start + size))
                         if item_id is not None:
-                            items[k].add(str(item_id))
+                            items[k].add(item_id)
                 for k, (n, q, at) in shard.longest().items():
                     out[k] |= {"longest": n, "longest_item": known.item_ids[known.owners[q]], "longest_at": at}
             for k, row in enumerate(out):
@@ -276,7 +276,7 @@ _SCHEMA = pa.schema(
         ("hits", pa.list_(_SPAN)),
         ("items", pa.list_(pa.string())),
         ("longest", pa.int64()),
-        ("longest_item", pa.int64()),
+        ("longest_item", pa.string()),
         ("longest_at", pa.int64()),
     ]
 )
@@ -304,7 +304,8 @@ def find_matches(
     Columns: doc_id, n_words, hits (disjoint spans of word places), items (ids as
     strings, sorted), longest, longest_item, longest_at (the longest verbatim match of any
     test suffix, in words, its item and its first place in the document; 0 and null where
-    none has five words; of several items the one read first).
+    none has five words; of several items the one whose id is the first as a string).
+    Ids may be of any type that casts to a string and back; longest_item has theirs.
 
     Null and empty texts have no words and no hits; repeated rows each get a row; an
     empty benchmark hits nothing; other columns are not looked at; items with equal ids
@@ -312,7 +313,8 @@ def find_matches(
     """
     prepare(documents.sparkSession)
     docs = documents.select(F.lit(None).cast("long").alias("row_id"), F.col("doc_id").cast("long"), "text")
-    return _matches(docs, benchmark, window, block_bytes).drop("row_id")
+    item = F.col("longest_item").cast(benchmark.schema["item_id"].dataType)
+    return _matches(docs, benchmark, window, block_bytes).drop("row_id").withColumn("longest_item", item)
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
@@ -329,7 +331,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: in
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    best = F.max_by(F.struct("longest", "longest_item", "longest_at"), "longest")
+    best = F.min_by(F.struct("longest", "longest_item", "longest_at"), F.struct((-F.col("longest")).alias("l"), "longest_item", "longest_at"))
     merged = union.groupBy("row_id").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),

@@ -71,6 +71,17 @@ def test_decontamination(spark, docs, rows, block):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({k[0]: n for k, n in Counter({(w[0],): c for w, c in want.items() if not w[5]}).items()}) or kept.count() == sum(c for w, c in want.items() if not w[5])
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 40])
+def test_ids_that_are_strings_and_ties(spark, docs, rows, block):
+    bench = [(f"q{9 - i}", text) for i, text in items(rows)] + [(None, "never heard")]
+    table = spark.createDataFrame(bench, "item_id string, text string")
+    got = decontaminate.report(docs, table, block_bytes=block).drop("longest_match")
+    assert Counter(tuple(r) for r in got.collect()) == judged(rows, bench, 13)
+    twice = spark.createDataFrame([("b", rows[41][1]), ("a", rows[41][1]), ("c", rows[41][1])], "item_id string, text string").repartition(3)
+    longest = {r["doc_id"]: r["longest_item"] for r in decontaminate.find_matches(docs, twice, block_bytes=block).collect()}
+    assert longest[41] == "a" and longest[0] is None
+
+
 def test_longest_match(spark, docs, rows):
     table = spark.createDataFrame([(1, rows[41][1])], "item_id long, text string")
     longest = {r["doc_id"]: r["longest"] for r in decontaminate.find_matches(docs, table).collect()}
