@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import substrings as SS
 from ..operators import text as OT
 from .registry import Tables, query
 
@@ -234,3 +235,27 @@ def opening_words(t: Tables) -> DataFrame:
     n = t.documents.groupBy("lang", opening.alias("text_words")).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "text_words"))
     return n.withColumn("r", rank).filter("r <= 5").drop("r")
+
+
+_NEEDLES = ("ring", "small r", "x", "ol", "STEEL", "zzz", "a")
+
+
+@query(f"""select lower(n) as needle, p_partkey, p_name from part, (select unnest({list(_NEEDLES)}) as n) where contains(lower(p_name), lower(n))""")
+def gram_search(t: Tables) -> DataFrame:
+    """Parts by several needles over an index of grams, of one and two characters too."""
+    parts, folder = t.part.select("p_partkey", "p_name"), t.scratch("grams")
+    SS.write_gram_index(parts, "p_partkey", "p_name", folder)
+    needles = t.spark.createDataFrame([(n,) for n in _NEEDLES], "needle string")
+    return SS.search_all(parts, "p_partkey", "p_name", folder, needles)
+
+
+@query("""with kw as (select distinct w as keyword from (select unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as w from benchmark)),
+  t as (select conv_id * 1000 + turn as id, lower(text) as x from conversations where text is not null)
+  select keyword, count(*)::bigint as n_texts from kw join t on contains(x, keyword) group by 1""")
+def keyword_table_join(t: Tables) -> DataFrame:
+    """Every long word of the benchmark as a keyword, with the turns of conversations it stands in."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)
+    keywords = t.benchmark.select(F.explode(found).alias("keyword"))
+    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    met = SS.keyword_matches(turns, "id", "text", keywords)
+    return met.select("keyword", "id").distinct().groupBy("keyword").agg(F.count("*").alias("n_texts"))
