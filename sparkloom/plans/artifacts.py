@@ -12,7 +12,9 @@ from ..operators import similarity as SM
 from ..operators import stats as S
 from ..operators.tfidf import content_documents as content
 from ..operators.tfidf import largest_difference, load, norms, save, vocabulary, weighted
+from ..sources import versions
 from ..sources.sinks import with_header
+from ..streaming.carried import carry_on, means
 from .registry import Tables, query
 from .retrieval import _TFIDF, _popular, _triples
 
@@ -90,3 +92,30 @@ def json_with_header(t: Tables) -> DataFrame:
 def update_by_position(t: Tables) -> DataFrame:
     rows = t.supplier.select("s_suppkey", "s_name")
     return C.update_by_position(rows, ["s_name", "s_suppkey"], 4, {"s_name": F.lit("Renamed"), "nothing": F.lit(1)})
+
+
+@query("""select 1 as version, count(*)::bigint as n, round(sum(c_acctbal), 2) as balance from customer
+  union all select 2, count(*)::bigint, round(sum(case when c_acctbal < 0 then 0 else c_acctbal end), 2) from customer where c_mktsegment is not null
+  union all select 3, count(*)::bigint, round(sum(c_acctbal), 2) from customer""")
+def replaced_by_pointer(t: Tables) -> DataFrame:
+    """A table, what replaced it, and the first one restored, as readers found them."""
+    base = t.scratch("versions")
+    versions.replace(t.customer, base)
+    better = versions.current(t.spark, base).filter("c_mktsegment is not null").withColumn("c_acctbal", F.greatest("c_acctbal", F.lit(0.0)))
+    versions.replace(better, base)
+    versions.restore(t.spark, base, 1)
+    parts = [versions.current(t.spark, base, n).select(F.lit(n).alias("version"), "c_acctbal") for n in (1, 2, 3)]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("version").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("select event_type, count(*)::bigint as rating_count, round(avg(value), 6) as mean_rating from events group by 1")
+def carried_counts(t: Tables) -> DataFrame:
+    """Counts and means of events that arrive in four files, merged batch by batch into a stored table."""
+    base = t.scratch("carried")
+    t.events.select("event_type", "value", "event_id").repartition(4, "event_id").write.parquet(f"{base}/in")
+    kinds = t.spark.read.parquet(f"{base}/in").schema
+    for _ in range(2):  # the second run finds nothing new
+        stream = t.spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        carry_on(stream, f"{base}/out", "event_type", "value", f"{base}/checkpoint").awaitTermination()
+    return means(versions.current(t.spark, f"{base}/out"), "event_type").withColumn("mean_rating", F.round("mean_rating", 6))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,14 @@ def _delete(spark: SparkSession, path: str) -> None:
         own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
+@cache
+def _own_folder() -> str:
+    """A folder of this program, for masters whose executors are all on this machine."""
+    own = tempfile.mkdtemp(prefix="sparkloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
+
+
 class Tables:
     """Tables of one folder by name."""
 
@@ -30,8 +41,11 @@ class Tables:
 
     def scratch(self, label: str) -> str:
         """A path of its own for what a plan has to write and read back; it goes when the program ends."""
-        conf = self.spark.conf
-        base = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir")
+        base = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
+            base = _own_folder()
         path = f"{base.rstrip('/')}/sparkloom-{label}-{uuid.uuid4().hex}"
         atexit.register(_delete, self.spark, path)
         return path

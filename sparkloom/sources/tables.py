@@ -128,18 +128,36 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+#: Bytes of the longest file that a task digests whole; longer ones are streamed.
+WHOLE_FILE = 1 << 30
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of raw files, streamed in small chunks however long they are."""
+    """(path, length, sha256) of all raw files below a path.
+
+    Files are read and digested in tasks, side by side. Only empty files, those beyond ``WHOLE_FILE`` and those
+    with hidden names (a leading _ or ., which Spark's readers pass over) are streamed in small
+    chunks by the driver.
+    """
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found, rows = fs.listFiles(root, True), []
+    found, rows, whole = fs.listFiles(root, True), [], 0
+    above = len(root.toUri().getPath().rstrip("/"))
     while found.hasNext():
         file = found.next()
+        inside = file.getPath().toUri().getPath()[above:].split("/")
+        if 0 < file.getLen() <= WHOLE_FILE and not any(part[:1] in ("_", ".") for part in inside if part):
+            whole += 1
+            continue
         stream = fs.open(file.getPath())
         try:
             digest = jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
         finally:
             stream.close()
         rows.append((file.getPath().toString(), file.getLen(), digest))
-    return spark.createDataFrame(rows, "path string, length long, sha256 string")
+    streamed = spark.createDataFrame(rows, "path string, length long, sha256 string")
+    if not whole:
+        return streamed
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return raw.filter(F.col("length") <= WHOLE_FILE).select("path", "length", F.sha2("content", 256).alias("sha256")).unionByName(streamed)
