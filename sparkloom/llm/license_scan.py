@@ -3,12 +3,16 @@
 A text is normalised: A-Z in lower case, copyright lines dropped (lines of prose that
 happen to begin with the word are none), punctuation and white space folded to single spaces, equivalent spellings made one. The digest of the whole
 normal text is then hash-joined with the digests of known licences, which are as few as
-the table below; the same lookup is made for lines that can hold a known notice. All of
+the table below; the same lookup is made for lines that hold one of a few pieces, which are
+taken from the known normal forms so that no line that can match lacks them all. All of
 it is one pass of built-in functions without a shuffle.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -191,17 +195,42 @@ def normal_text(text: Column) -> Column:
     return _one_spelling(_folded(text))
 
 
-def _spelled(text: Column) -> Column:
-    """Whether a text can hold a notice: what normalising leaves as it is must be there."""
+def anchors(normal_forms: Iterable[str]) -> tuple[str, ...] | None:
+    """A few pieces of which every text with one of these normal forms holds one in lower case.
+
+    A word of a normal form stands in the text as it is, but for those that a spelling may have
+    made; of "license" and what it is part of, all spellings hold "licen". None where a form
+    has no such word.
+    """
+    made = {w for _, to in SPELLINGS for w in re.sub(r"[$][0-9]", " ", to).split()}
+    open_ = [{"licen" if "licens" in w else w for w in form.split() if "licens" in w or not any(m in w for m in made)} for form in normal_forms]
+    chosen: list[str] = []
+    while open_:
+        count = Counter(w for words in open_ for w in words)
+        if not all(open_):
+            return None
+        best = min(count, key=lambda w: (-count[w], -len(w), w))
+        chosen.append(best)
+        open_ = [words for words in open_ if best not in words]
+    return tuple(chosen)
+
+
+def _spelled(text: Column, pieces: tuple[str, ...] | None = ("licen", "public")) -> Column:
+    """Whether a text holds one of the pieces in lower case; always true where pieces is None."""
+    if pieces is None:
+        return F.lit(True)
     low = F.translate(text, _UPPER, _LOWER)
-    return low.contains("licen") | low.contains("public")
+    found = F.lit(False)
+    for piece in pieces:
+        found = found | low.contains(piece)
+    return found
 
 
 def known_digests(spark, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """license_id and digest of the normal form, one row for each digest."""
     rows = spark.createDataFrame(list(known), "license_id string, text string")
-    digests = rows.select("license_id", F.md5(normal_text(F.col("text"))).alias("digest"))
-    return digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    forms = rows.select("license_id", normal_text(F.col("text")).alias("form"))
+    return forms.groupBy(F.md5("form").alias("digest")).agg(F.min("license_id").alias("license_id"), F.min("form").alias("form"))
 
 
 def scan_licenses(documents: DataFrame, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
@@ -214,12 +243,15 @@ def scan_licenses(documents: DataFrame, known: tuple[tuple[str, str], ...] | Non
     and its usual forms where none is given), so their digests are broadcast.
     """
     spark = documents.sparkSession
-    table = known_digests(spark, KNOWN + usual_forms() if known is None else known).select(F.col("digest").alias("_known"), "license_id")
-    lookup = F.map_from_entries(F.array(*[F.struct(F.lit(r["_known"]), F.lit(r["license_id"])) for r in table.collect()]))
-    lines = F.filter(F.split("text", "\n"), lambda x: _spelled(x))
+    rows = known_digests(spark, KNOWN + usual_forms() if known is None else known).collect()  # as many as there are known texts
+    pieces = anchors(r["form"] for r in rows)
+    table = spark.createDataFrame([(r["digest"], r["license_id"]) for r in rows], "_known string, license_id string")
+    entries = [F.struct(F.lit(r["digest"]), F.lit(r["license_id"])) for r in rows]
+    lookup = F.map_from_entries(F.array(*entries)) if entries else F.create_map().cast("map<string,string>")
+    lines = F.filter(F.split("text", "\n"), lambda x: _spelled(x, pieces))
     folds = F.transform(lines, _folded)  # on its own, so that no line is folded more than once
     found = F.filter(F.transform(folds, lambda x: F.try_element_at(lookup, F.md5(_one_spelling(x)))), lambda x: x.isNotNull())
-    folded = documents.select("doc_id", _folded(F.col("text")).alias("_folded"), F.when(_spelled(F.col("text")), found).alias("_found"))
+    folded = documents.select("doc_id", _folded(F.col("text")).alias("_folded"), F.when(_spelled(F.col("text"), pieces), found).alias("_found"))
     digests = folded.select("doc_id", F.md5(_one_spelling(F.col("_folded"))).alias("digest"), "_found")
     joined = digests.join(F.broadcast(table), digests["digest"] == table["_known"], "left")
     none = F.array().cast("array<string>")
@@ -256,11 +288,8 @@ with known as (
   ) group by digest
 ), lines as (
   select doc_id, unnest(string_split(text, chr(10))) as line from documents
-), spelled as (
-  select doc_id, line from lines
-  where contains(translate(line, '{_UPPER}', '{_LOWER}'), 'licen') or contains(translate(line, '{_UPPER}', '{_LOWER}'), 'public')
 ), noticed as (
-  select s.doc_id, k.license_id from (select doc_id, md5({normal_sql('line')}) as digest from spelled) s
+  select s.doc_id, k.license_id from (select doc_id, md5({normal_sql('line')}) as digest from lines) s
   join known k on s.digest = k.digest
 ), notices as (
   select doc_id, string_agg(distinct license_id, ',' order by license_id) as notices, count(*)::bigint as n_notices

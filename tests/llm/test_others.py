@@ -728,3 +728,21 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path))
     got = Counter(r["doc_id"] for r in final.collect())
     assert got == kept["source_mixing"]
+
+
+def test_notices_without_usual_words_are_found(spark):
+    """Known texts are looked up whatever words they hold, also where a spelling makes them."""
+    known = (("A", "Use it for good, never for evil."), ("B", "Whilst you live, organisation matters"), ("C", "Version 2"), ("D", "Share alike under this licence."))
+    texts = ["x\n  USE it for good -- never for EVIL!\ny", "while you live organization matters", "a\nv2\nver 2\nv3", "share alike under this LICENSE", "nothing", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_id"], r["notices"], r["n_notices"]) for r in license_scan.scan_licenses(docs, known).collect()}
+    assert got == {0: (None, "A", 1), 1: ("B", "B", 1), 2: (None, "C", 2), 3: ("D", "D", 1), 4: (None, "", 0), 5: (None, "", 0)}
+    assert license_scan.scan_licenses(docs, ()).filter("license_id is not null or n_notices > 0").count() == 0
+
+
+def test_pieces_stand_in_every_known_text(spark):
+    known = license_scan.KNOWN + license_scan.usual_forms()
+    forms = [r["form"] for r in license_scan.known_digests(spark, known).collect()]
+    pieces = license_scan.anchors(forms)
+    assert pieces and len(pieces) < 12 and all(any(p in text.lower() for p in pieces) for _, text in known)
+    assert license_scan.anchors(["version 2", "while organization"]) is None and license_scan.anchors([]) == ()
