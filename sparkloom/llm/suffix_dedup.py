@@ -16,9 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import column, tidy
-from .repeats import Contexts, cleaned, repeated_spans
+from .common import binary_column, column, gram_hashes, hash_words, materialize, plain_words, tidy
+from .repeats import Contexts, cleaned, covered, repeated_spans
 
 WINDOW = 50
 
@@ -68,9 +69,88 @@ def first_contexts(own: Contexts) -> np.ndarray:
     return out
 
 
-def find_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document with any: doc_id, tid, spans (start, stop, first_doc_id, first_start)."""
-    return repeated_spans(documents, window, first_contexts, "suffix")
+#: Words of the short runs that are looked at before whole windows of a document are.
+_SHORT = 8
+
+
+def inside_runs(words: list[bytes], hashes: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """(start, stop, first): the windows of a document that start earlier in it, where they start
+    first, those as many words apart joined. Suffixes are sorted by what they begin with."""
+    short = min(_SHORT, window)
+    if len(words) <= window:
+        return []
+    grams = np.sort(gram_hashes(hashes, short))
+    if np.count_nonzero(grams[1:] == grams[:-1]) < window - short + 1:
+        return []
+    grams = gram_hashes(hashes, window)
+    order = np.argsort(grams, kind="stable")
+    new = np.concatenate([[True], grams[order][1:] != grams[order][:-1]])
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    at = np.flatnonzero(first < np.arange(len(first)))
+    if not len(at):
+        return []
+    begins = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (first[at[1:]] != first[at[:-1]] + 1)])
+    begin = np.flatnonzero(begins)
+    end = np.append(begin[1:], len(at)) - 1
+    found = zip(at[begin].tolist(), (at[end] + window).tolist(), first[at[begin]].tolist(), strict=True)
+    return [(a, b, f) for a, b, f in found if words[a:b] == words[f : f + b - a]]
+
+
+def _inside(documents: DataFrame, window: int) -> DataFrame:
+    """Per document with repeats of its own: doc_id, tid, spans as those of repeated_spans()."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
+    span = pa.struct([(c, pa.int64()) for c in ("start", "stop", "first_doc_id", "first_start")])
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("spans", pa.list_(span))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = binary_column(batch, "text")
+            hashes, counts = hash_words(texts)
+            out, at = [], 0
+            for d, tid, raw, n in zip(column(batch, "doc_id"), column(batch, "tid"), texts, counts.tolist(), strict=True):
+                own, at = hashes[at : at + n], at + n
+                if n > window and (runs := inside_runs(plain_words(raw), own, window)):
+                    out.append({"doc_id": d, "tid": tid, "spans": [{"start": a, "stop": b, "first_doc_id": d, "first_start": f} for a, b, f in runs]})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    shape = "doc_id long, tid long, spans array<struct<start: long, stop: long, first_doc_id: long, first_start: long>>"
+    return docs.filter("doc_id is not null").mapInArrow(tidy(scan), shape)
+
+
+def find_repeats(documents: DataFrame, window: int = WINDOW, inside: bool = False) -> DataFrame:
+    """Per document with any: doc_id, tid, spans (start, stop, first_doc_id, first_start).
+
+    With inside also repeats inside a document, whose first_doc_id is its own.
+    """
+    across = repeated_spans(documents, window, first_contexts, "suffix")
+    if not inside:
+        return across
+    both = across.unionByName(_inside(documents, window)).groupBy("doc_id", "tid")
+    spans = F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans"))))
+    return materialize(both.agg(spans.alias("spans")), "suffix-repeats")
+
+
+def without_traced(spans: list[dict], doc_id: int, window: int) -> list[dict]:
+    """Ascending spans in which those inside the document lack the windows that another document explains."""
+    across = [s for s in spans if s["first_doc_id"] != doc_id]
+    if len(across) == len(spans):
+        return spans
+    taken = covered([{"start": s["start"], "stop": s["stop"] - window + 1} for s in across])
+    out = list(across)
+    for s in spans:
+        if s["first_doc_id"] != doc_id:
+            continue
+        at, last = s["start"], s["stop"] - window + 1
+        for a, b in [*taken, (last, last)]:
+            if b <= at and a < last:
+                continue
+            if at < (end := min(a, last)):
+                out.append({"start": at, "stop": end + window - 1, "first_doc_id": doc_id, "first_start": s["first_start"] + at - s["start"]})
+            at = max(at, b)
+            if at >= last:
+                break
+    return sorted(out, key=lambda s: (s["start"], s["stop"], s["first_doc_id"], s["first_start"]))
 
 
 def passages(spans: list[dict]) -> list[tuple[int, int, int, int]]:
@@ -88,7 +168,7 @@ def passages(spans: list[dict]) -> list[tuple[int, int, int, int]]:
     return [tuple(x) for x in out]
 
 
-def report(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+def report(documents: DataFrame, window: int = WINDOW, inside: bool = False) -> DataFrame:
     """One row for each repeated passage: doc_id, start, stop, n_words, first_doc_id, first_start.
 
     The words at places start to stop of the document are those from first_start on in
@@ -96,8 +176,9 @@ def report(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     doc_id below its own in which it starts, and to its first place there; a passage is
     a longest run of windows with one source. Where an even smaller doc_id has part of
     a passage, that part is a passage of its own, and the two may overlap; passages of
-    different documents side by side stay apart. Repeats inside one document are not
-    looked at. Documents without a passage have no row; null and empty texts, texts
+    different documents side by side stay apart. With inside, a window that no smaller
+    doc_id has, but that starts earlier in its own document, is traced to its first place
+    there, so first_doc_id is doc_id for repeats inside a document. Documents without a passage have no row; null and empty texts, texts
     shorter than a window, rows with a null doc_id and empty tables give none. Equal
     rows of one doc_id count once; other columns are not looked at.
     """
@@ -109,14 +190,14 @@ def report(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             out = [
                 (d, a, b, b - a, first, place)
                 for d, spans in zip(column(batch, "doc_id"), column(batch, "spans"), strict=True)
-                for a, b, first, place in passages(spans)
+                for a, b, first, place in passages(without_traced(spans, d, window))
             ]
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    return find_repeats(documents, window).mapInArrow(tidy(flat), ", ".join(f"{c} long" for c in names))
+    return find_repeats(documents, window, inside).mapInArrow(tidy(flat), ", ".join(f"{c} long" for c in names))
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_text; every passage but its first goes."""
-    return cleaned(documents, find_repeats(documents, window))
+def remove_repeats(documents: DataFrame, window: int = WINDOW, inside: bool = False) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_text; every passage but its first goes, with inside also within a document."""
+    return cleaned(documents, find_repeats(documents, window, inside))

@@ -186,3 +186,53 @@ def test_words_split_like_the_pattern():
     text = "a\x1cb c\x0bd\u00a0e  f\t\u2003g\n"
     words, counts = hash_words([text.encode(), None, b""])
     assert counts.tolist() == [len(WORD.findall(text)), 0, 0] and len(words) == counts[0]
+
+
+def all_sources(rows: list[tuple], window: int) -> set[tuple]:
+    """sources() with the windows that start earlier in their own document and in no smaller one."""
+    first: dict[tuple, tuple] = {}
+    split = {(r[0], r[1]): WORD.findall(r[1] or "") for r in rows if r[0] is not None}
+    for (doc, _), words in split.items():
+        for a in range(len(words) - window + 1):
+            key = tuple(words[a : a + window])
+            first[key] = min(first.get(key, (doc, a)), (doc, a))
+    out = set()
+    for (doc, _), words in split.items():
+        last: dict[tuple, list[int]] = {}
+        for a in range(len(words) - window + 1):
+            where, place = first[tuple(words[a : a + window])]
+            if (where, place) == (doc, a):
+                continue
+            open_ = last.get((where, place - a))
+            if open_ is not None and a <= open_[1]:
+                open_[1] = a + window
+            else:
+                last[where, place - a] = open_ = [a, a + window]
+            out.add((doc, where, place - a, open_[0]))
+        # the runs as they ended
+        for (where, shift), _ in last.items():
+            starts = sorted(x[3] for x in out if len(x) == 4 and x[:3] == (doc, where, shift))
+            for b in starts:
+                a = b
+                while a + 1 <= len(words) - window and any(first[tuple(words[c : c + window])] == (where, c + shift) for c in range(a + 1, min(a + window, len(words) - window) + 1)):
+                    a = next(c for c in range(a + 1, a + window + 1) if first[tuple(words[c : c + window])] == (where, c + shift))
+                out.add((doc, b, a + window, a + window - b, where, b + shift))
+    return {x for x in out if len(x) == 6}
+
+
+@pytest.mark.parametrize("window", [50, 12])
+def test_repeats_inside_a_document(spark, window):
+    rng = random.Random(12)
+    one, two = sentence(rng, 80), sentence(rng, 70)
+    rows = [
+        (1, f"{one} {sentence(rng, 9)} {one}", "en", "s"), (2, f"{sentence(rng, 20)} {one} x {two} y {two} z", "en", "s"), (3, "a b " * 90, "en", "s"),
+        (4, sentence(rng, 200), "en", "s"), (5, f"{two} {two} {two}", "en", "s"), (6, None, "en", "s"), (7, "", "en", "s"),
+        (8, f"{one} end {sentence(rng, 4)} {one} end", "en", "s"), (None, f"{one} {one}", "en", "s"),
+    ]
+    docs = frame(spark, rows)
+    got = {tuple(r) for r in suffix_dedup.report(docs, window, inside=True).collect()}
+    assert got == all_sources(rows, window)
+    assert {r for r in got if r[0] != r[4]} == sources(rows, window)
+    assert any(r[0] == r[4] == 1 and r[3] == 80 for r in got)
+    kept = {r["doc_id"]: r["kept_text"].decode().split() for r in suffix_dedup.remove_repeats(docs, window, inside=True).collect()}
+    assert len(kept[1]) == 89 and kept[4] == rows[3][1].split()
