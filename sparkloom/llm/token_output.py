@@ -81,6 +81,16 @@ def unpack(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, "<u4")
 
 
+def _byte_names() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: visible characters of Latin-1 as they are, the others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+_BYTE_NAMES = _byte_names()
+
+
 class Encoder:
     """Encodes with the tokenizers library; pieces of known texts come from a table.
 
@@ -100,16 +110,16 @@ class Encoder:
     _PIECE = re.compile(
         rf" ?[{_LETTERS}]+| ?[{_DIGITS}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+"
     )
-    _SPACED = re.compile(rf" [{_LETTERS}]+")
     _loaded: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, definition: str, known: int = 440_000, plain_specials: bool = False) -> None:
+    def __init__(self, definition: str, known: int = 800_000, plain_specials: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = plain_specials
         self.known, self.table = known, {}
+        self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
         self.by_piece = (
@@ -135,27 +145,10 @@ class Encoder:
         return [array("I", x.ids).tobytes() for x in found]
 
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids by piece. Pieces of a space and letters can stand side by side in one text."""
-        matches = self._SPACED.fullmatch
-        spaced = [p for p in pieces if matches(p)]
-        out = {}
-        for i in range(0, len(spaced), 256):
-            own = spaced[i : i + 256]
-            found = self.tokenizer.encode("".join(own), add_special_tokens=False)
-            words = np.array(found.word_ids, np.int64)
-            ids = np.array(found.ids, "<u4")
-            cuts = np.flatnonzero(words[1:] != words[:-1]) + 1
-            if len(cuts) + 1 != len(own):
-                out.update(zip(own, self._whole(own), strict=True))
-                continue
-            raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
-            begin = 0
-            for p, end in zip(own, ends, strict=True):
-                out[p] = raw[begin:end]
-                begin = end
-        rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, self._whole(rest), strict=True))
-        return out
+        """Ids by piece, from the library's model alone: a piece is what its pre-tokenizer would hand to it."""
+        tokens = self.model.tokenize
+        names = ((p, p.encode().decode("latin-1").translate(_BYTE_NAMES)) for p in pieces)
+        return {p: array("I", [x.id for x in tokens(name)]).tobytes() for p, name in names}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, by text."""
