@@ -183,3 +183,35 @@ def rule_log(judged: DataFrame, rules: Sequence[str]) -> DataFrame:
         .crossJoin(total)
         .select("step", "rule", removed.alias("removed"), (F.col("total") - F.sum(removed).over(upto)).alias("retained"))
     )
+
+
+def dataset_gate(df: DataFrame, text: str, label: str, canonical: Sequence[str], least_rows: int, least_per_class: int, most_ratio: float) -> DataFrame:
+    """Whether labelled texts are fit to learn from: check_name, level, observed, passed.
+
+    Errors are too few rows, blank texts, blank labels, labels that are not canonical and canonical
+    labels with too few rows; a largest class beyond most_ratio times the smallest is a warning.
+    The last row says whether no error was found. Classes of the canonical labels, a handful, are
+    all that is put together.
+    """
+    said = F.trim(F.coalesce(label, F.lit("")))
+    rows = df.select(said.alias("_said"), (F.trim(F.coalesce(text, F.lit(""))) == "").alias("_blank"))
+    per = rows.groupBy("_said").agg(F.count("*").alias("n"), F.count_if("_blank").alias("blank"))
+    known = F.col("_said").isin(*canonical)
+    wanted = df.sparkSession.createDataFrame([(c,) for c in canonical], "_want string")
+    sized = wanted.join(per, F.col("_want") == F.col("_said"), "left").agg(
+        F.count_if(F.coalesce("n", F.lit(0)) < least_per_class).alias("small"), (F.max("n") / F.min("n")).alias("ratio")
+    )
+    one = per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("blank"), F.lit(0)).alias("blank"),
+        F.coalesce(F.sum(F.when(F.col("_said") == "", F.col("n"))), F.lit(0)).alias("unlabelled"),
+        F.coalesce(F.sum(F.when(~known & (F.col("_said") != ""), F.col("n"))), F.lit(0)).alias("unknown"),
+    ).crossJoin(sized)
+    found = (
+        ("rows", "error", "rows", F.col("rows") >= least_rows), ("blank_texts", "error", "blank", F.col("blank") == 0),
+        ("blank_labels", "error", "unlabelled", F.col("unlabelled") == 0), ("unknown_labels", "error", "unknown", F.col("unknown") == 0),
+        ("small_classes", "error", "small", F.col("small") == 0), ("imbalance", "warning", "ratio", F.coalesce(F.col("ratio") <= most_ratio, F.lit(False))),
+    )
+    checks = [F.struct(F.lit(n).alias("check_name"), F.lit(k).alias("level"), F.round(F.col(c).cast("double"), 6).alias("observed"), ok.alias("passed")) for n, k, c, ok in found]
+    bad = sum((F.when(~ok, 1).otherwise(0) for _, k, _, ok in found if k == "error"), F.lit(0))
+    last = F.struct(F.lit("is_valid").alias("check_name"), F.lit("result").alias("level"), bad.cast("double").alias("observed"), (bad == 0).alias("passed"))
+    return one.select(F.inline(F.array(*checks, last)))

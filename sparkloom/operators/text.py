@@ -64,3 +64,10 @@ def corpus_stats(df: DataFrame, name: str) -> DataFrame:
         F.count("*").alias("raw_vocabulary"), F.count_if(~F.array_contains(stop, F.col("w"))).alias("kept_vocabulary")
     )
     return lengths.crossJoin(sizes)
+
+
+def value_frequencies(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Per column and value (null is ''): kind, value, n and its share of the column. One scan."""
+    each = F.array(*[F.struct(F.lit(c).alias("kind"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in names])
+    n = df.select(F.inline(each)).groupBy("kind", "value").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("kind")), 6))

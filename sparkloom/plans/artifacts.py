@@ -16,7 +16,7 @@ from ..sources import versions
 from ..sources.sinks import with_header
 from ..streaming.carried import carry_on, means
 from .registry import Tables, query
-from .retrieval import _TFIDF, _popular, _triples
+from .retrieval import _SEEDS, _TFIDF, _popular, _triples
 
 
 @query("""with p as (select user_id as p_partkey, lower(trim(event_type)) || '-' || (event_id % 4) as tag, count(*) as n from events where event_type is not null group by 1, 2),
@@ -64,7 +64,15 @@ def tfidf_reproduces(t: Tables) -> DataFrame:
     return largest_difference(triples, again, "p_partkey").withColumn("largest", F.round("largest", 9))
 
 
-@query("select * from (values ('ranks_contiguous', true), ('no_self', true), ('scores_in_range', true), ('scores_descend', true), ('items_once', true), ('items_known', true)) v(check_name, passed)")
+@query(f"""with {_TFIDF}, {_SEEDS}, pairs as (select seed, i.p_partkey as id from seeds, part i where i.p_partkey <> seed),
+  met as (select q.id as seed, t.id, sum(q.weight * t.weight) as s from triples q join triples t using (term) where q.id in (select seed from seeds) group by 1, 2),
+  sc as (select p.seed, p.id, round(coalesce(s, 0), 6) as score from pairs p left join met using (seed, id)),
+  rk as (select *, row_number() over (partition by seed order by score desc, id)::int as rank from sc),
+  w as (select *, lag(score) over (partition by seed order by rank) as before, row_number() over (partition by seed order by rank) as place,
+    count(*) over (partition by seed, id) as times, id in (select p_partkey from part) as known from rk where rank <= 10)
+  select 'ranks_contiguous' as check_name, count_if(rank <> place) = 0 as passed from w union all select 'no_self', count_if(seed = id) = 0 from w
+  union all select 'scores_in_range', count_if(score not between 0 and 1 + 1e-9) = 0 from w union all select 'scores_descend', count_if(score > before) = 0 from w
+  union all select 'items_once', max(times) = 1 from w union all select 'items_known', count_if(not known) = 0 from w""")
 def recommendation_checks(t: Tables) -> DataFrame:
     """What has to hold of the recommendations of the three most rated items."""
     recs = SM.similar_items(_triples(t), "p_partkey", _popular(t, 3), 10)

@@ -245,3 +245,19 @@ def dense_index(t: Tables) -> DataFrame:
     """Contiguous places over the sorted ids."""
     placed = with_position(t.supplier.select("s_suppkey"), ["s_suppkey"], "place")
     return placed.select("s_suppkey", (F.col("place") - 1).cast("int").alias("row_index"))
+
+
+_LANGS = ("de", "en", "es", "fr", "xx")
+
+
+@query(f"""with r as (select trim(coalesce(lang, '')) as said, trim(coalesce(text, ''), ' ') = '' as blank from documents),
+  c as (select w, (select count(*) from r where said = w) as n from (select unnest({list(_LANGS)}) as w)),
+  o as (select count(*) as n, count_if(blank) as blank, count_if(said = '') as unlabelled, count_if(said <> '' and said not in {_LANGS}) as unknown from r),
+  s as (select count_if(n < 150) as small, max(n)::double / min(nullif(n, 0)) as ratio from c),
+  k as (select 'rows' as check_name, 'error' as level, n::double as observed, n >= 500 as passed from o union all select 'blank_texts', 'error', blank, blank = 0 from o
+    union all select 'blank_labels', 'error', unlabelled, unlabelled = 0 from o union all select 'unknown_labels', 'error', unknown, unknown = 0 from o
+    union all select 'small_classes', 'error', small, small = 0 from s union all select 'imbalance', 'warning', round(ratio, 6), coalesce(ratio <= 3, false) from s)
+  select * from k union all select 'is_valid', 'result', count_if(level = 'error' and not passed)::double, count_if(level = 'error' and not passed) = 0 from k""")
+def dataset_gate(t: Tables) -> DataFrame:
+    """Whether the documents are fit to learn languages from."""
+    return Q.dataset_gate(t.documents, "text", "lang", _LANGS, 500, 150, 3.0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import substrings as SS
 from ..operators import text as OT
-from .registry import Tables, query
+from .registry import ORACLE_SQL, Tables, query
 
 _S = r"[ \t\n\x0B\f\r]"
 _NS = r"[^ \t\n\x0B\f\r]"
@@ -259,3 +259,10 @@ def keyword_table_join(t: Tables) -> DataFrame:
     turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     met = SS.keyword_matches(turns, "id", "text", keywords)
     return met.select("keyword", "id").distinct().groupBy("keyword").agg(F.count("*").alias("n_texts"))
+
+
+@query(f"""with f as (select 'intent' as kind, intent as value from ({ORACLE_SQL["intent_normalise"]}) union all select 'entity', entity from ({ORACLE_SQL["intent_normalise"]}))
+  select kind, coalesce(value, '') as value, count(*)::bigint as n, round(count(*)::double / sum(count(*)) over (partition by kind), 6) as share from f group by 1, 2""")
+def label_frequencies(t: Tables) -> DataFrame:
+    """How often each intent and each entity occurs, and its share of its kind."""
+    return OT.value_frequencies(intent_normalise(t.spark, t.sf_dir), ("intent", "entity"))
