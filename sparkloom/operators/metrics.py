@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import corrected_kurtosis, corrected_skewness
-from .ordering import running_sums, with_position
+from .ordering import magnitude, with_position
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, digits: int = 6) -> DataFrame:
@@ -55,12 +55,16 @@ def binary_metrics(df: DataFrame, actual: Column, predicted: Column, digits: int
 
 
 def roc_auc(df: DataFrame, actual: Column, score: Column, digits: int = 6) -> DataFrame:
-    """One row: auc by rank sums; equal scores share their mean rank. Scores are counted
-    before they are ranked."""
+    """One row: auc by rank sums; equal scores share their mean rank. Scores are counted, ranked
+    within ranges of magnitude side by side, and ranges are put in order by their sums; one scan."""
     by = df.select(actual.alias("y"), score.alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("p"))
-    placed = running_sums(by, ["s"], {"upto": "n"})
-    ranked = placed.withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
-    out = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
+    ranged = by.withColumn("_range", F.coalesce(magnitude(F.col("s").cast("double")), F.lit(-(1 << 30))))
+    within = F.sum("n").over(Window.partitionBy("_range").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranged.withColumn("rank", within - F.col("n") + (F.col("n") + 1) / 2)
+    sums = ranked.groupBy("_range").agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sums.withColumn("r", F.col("r") + before * F.col("p"))
+    out = placed.agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return out.select(F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("q"), F.lit(0)), digits).alias("auc"))
 
 

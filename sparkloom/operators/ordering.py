@@ -56,7 +56,7 @@ def with_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return running_sums(df, order, {name: F.lit(1).cast("long")})
 
 
-def _magnitude(v: Column) -> Column:
+def magnitude(v: Column) -> Column:
     """An integer that never falls as the double grows: STEPS for each doubling, NaN last."""
     size = F.least(F.greatest(F.log2(F.abs(v)), F.lit(-1100.0)), F.lit(1100.0))
     step = F.floor((size + 1101) * STEPS).cast("int")
@@ -95,7 +95,7 @@ def column_quantiles(df: DataFrame, values: Mapping[str, Column], at: Mapping[st
     names, cols = list(values), list(at)
     each = [F.struct(F.lit(i).alias("_c"), values[n].cast("double").alias("_v")) for i, n in enumerate(names)]
     rows = df.select(*keys, F.inline(F.array(*each))) if len(each) > 1 else df.select(*keys, F.lit(0).alias("_c"), each[0]["_v"].alias("_v"))
-    rows = rows.filter("_v is not null").withColumn("_a", _magnitude(F.col("_v")))
+    rows = rows.filter("_v is not null").withColumn("_a", magnitude(F.col("_v")))
     one, two, three = [[*keys, "_c"], [*keys, "_c", "_a"], [*keys, "_c", "_a", "_b"]]
     small = not keys  # then at most two rows for each value and name
 
