@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import with_position
+from .ordering import row_at, with_position
 
 #: Digits of a new row's id.
 ID_DIGITS = 8
@@ -52,9 +52,19 @@ def delete_by_id(df: DataFrame, key: str, value: object) -> DataFrame:
     return df.filter(~F.col(key).eqNullSafe(F.lit(value)))
 
 
+def _at(df: DataFrame, order: list[str], position: int) -> tuple[DataFrame, Column]:
+    """(one row with the order's columns at a place under other names, whether a row is that one)."""
+    found = row_at(df, order, position).select(*[F.col(c).alias(f"_at_{i}") for i, c in enumerate(order)])
+    same = F.lit(True)
+    for i, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"_at_{i}"))
+    return found, same
+
+
 def delete_by_position(df: DataFrame, order: list[str], position: int) -> DataFrame:
-    """Without the row at a place (from 1) of a total order."""
-    return with_position(df, order, "_nth").filter(F.col("_nth") != position).drop("_nth")
+    """Without the row at a place (from 1) of a total order. The table itself is not moved."""
+    found, same = _at(df, order, position)
+    return df.join(F.broadcast(found), same, "left_anti")
 
 
 def upsert(df: DataFrame, rows: DataFrame, key: str, unique: str | None = None) -> DataFrame:
@@ -83,12 +93,27 @@ def upsert_derived(df: DataFrame, rows: DataFrame, key: str, derived: Mapping[st
 
 
 def update_by_position(df: DataFrame, order: list[str], position: int, changes: Mapping[str, Column]) -> DataFrame:
-    """The columns of the row at a place (from 1) of a total order set."""
+    """The columns of the row at a place (from 1) of a total order set. The table itself is not moved."""
+    return update_validated(df, order, position, changes, F.array().cast("array<string>"))[0]
+
+
+def update_validated(df: DataFrame, order: list[str], position: int, changes: Mapping[str, Column], errors: Column) -> tuple[DataFrame, DataFrame]:
+    """(df with the columns of the row at a place set; the row as it would be, with its errors).
+
+    errors: an array over the columns of df, judged on the changed row as a whole. Where it is
+    not empty nothing changes; else the second table is empty. Unknown columns are ignored.
+    """
     kinds = dict(df.dtypes)
-    placed = with_position(df, order, "_nth")
-    hit = F.col("_nth") == position
-    known = {c: F.when(hit, v.cast(kinds[c])).otherwise(F.col(c)) for c, v in changes.items() if c in kinds}
-    return placed.withColumns(known).drop("_nth")
+    found, same = _at(df, order, position)
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    placed = df.join(F.broadcast(found.withColumn("_hit", F.lit(True))), same, "left")
+    old = F.struct(*df.columns).alias("_old")
+    new = {c: F.when(hit, v.cast(kinds[c])).otherwise(F.col(c)) for c, v in changes.items() if c in kinds}
+    judged = placed.select(*df.columns, "_hit", old).withColumns(new)
+    judged = judged.withColumn("errors", F.when(hit, errors).otherwise(F.array().cast("array<string>")))
+    bad = F.size("errors") > 0
+    table = judged.select(*[F.when(bad, F.col("_old")[c]).otherwise(F.col(c)).alias(c) for c in df.columns])
+    return table, judged.filter(bad).select(*df.columns, "errors")
 
 
 def insert_validated(df: DataFrame, rows: DataFrame, key: str, errors: Column) -> tuple[DataFrame, DataFrame]:

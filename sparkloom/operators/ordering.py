@@ -56,6 +56,20 @@ def with_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return running_sums(df, order, {name: F.lit(1).cast("long")})
 
 
+def row_at(df: DataFrame, order: Sequence[str], position: int) -> DataFrame:
+    """The order's columns of the row at a place (from 1) of a total order; no row beyond the end.
+
+    Ranges are counted, and only the one that holds the place is sorted.
+    """
+    tagged = with_range(df.select(*order), order, "_range")
+    upto = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    counts = tagged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", upto - F.col("_n"))  # side * side rows at most
+    held = counts.filter((F.col("_before") < position) & (F.col("_before") + F.col("_n") >= position)).select(F.col("_range").alias("_held"), "_before")
+    inside = tagged.join(F.broadcast(held), F.col("_range") == F.col("_held"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return inside.withColumn("_place", place).filter(F.col("_place") == position).select(*order)
+
+
 def magnitude(v: Column) -> Column:
     """An integer that never falls as the double grows: STEPS for each doubling, NaN last."""
     size = F.least(F.greatest(F.log2(F.abs(v)), F.lit(-1100.0)), F.lit(1100.0))

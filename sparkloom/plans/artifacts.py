@@ -102,6 +102,18 @@ def update_by_position(t: Tables) -> DataFrame:
     return C.update_by_position(rows, ["s_name", "s_suppkey"], 4, {"s_name": F.lit("Renamed"), "nothing": F.lit(1)})
 
 
+@query("""select s_suppkey, s_name, case when n = 6 then 12.5 else s_acctbal end as s_acctbal, cast(null as varchar) as errors from (select *, row_number() over (order by s_name, s_suppkey) as n from supplier)
+  union all select s_suppkey, '', -10000.0, 'balance below the limit, name missing' from (select *, row_number() over (order by s_name, s_suppkey) as n from supplier) where n = 4""")
+def update_revalidated(t: Tables) -> DataFrame:
+    """A change by place that is refused with its errors, and one that is made."""
+    errors = F.filter(F.array(F.when(F.col("s_acctbal") < -999.99, "balance below the limit"), F.when(F.trim("s_name") == "", "name missing")), lambda e: e.isNotNull())
+    rows, order = t.supplier.select("s_suppkey", "s_name", "s_acctbal"), ["s_name", "s_suppkey"]
+    rows, refused = C.update_validated(rows, order, 4, {"s_acctbal": F.lit(-10_000.0), "s_name": F.lit("")}, errors)
+    rows, none = C.update_validated(rows, order, 6, {"s_acctbal": F.lit(12.5)}, errors)
+    said = refused.unionByName(none).withColumn("errors", F.array_join("errors", ", "))
+    return rows.withColumn("errors", F.lit(None).cast("string")).unionByName(said)
+
+
 @query("""select 1 as version, count(*)::bigint as n, round(sum(c_acctbal), 2) as balance from customer
   union all select 2, count(*)::bigint, round(sum(case when c_acctbal < 0 then 0 else c_acctbal end), 2) from customer where c_mktsegment is not null
   union all select 3, count(*)::bigint, round(sum(c_acctbal), 2) from customer""")
