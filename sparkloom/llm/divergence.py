@@ -36,7 +36,7 @@ _SLICE = 1 << 16
 #: Where counters stop; thresholds above it count as it in the sketch.
 CEILING = 255
 #: Terms a task holds before it hands on what it has counted.
-HELD = 600_000
+HELD = 900_000
 #: Bytes of a text that are split at once.
 _PIECE = 1 << 20
 #: Ranks of the term part.
