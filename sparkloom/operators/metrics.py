@@ -112,5 +112,5 @@ def stratified_fold(df: DataFrame, label: str, key: str, folds: int, seed: int =
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     placed = with_position(df.withColumn("_hash", order), [label, "_hash", key], "_nth")
     start = placed.groupBy(F.col(label).alias("_label")).agg(F.min("_nth").alias("_start"))
-    joined = placed.join(start, F.col(label).eqNullSafe(F.col("_label")))
+    joined = placed.join(F.broadcast(start), F.col(label).eqNullSafe(F.col("_label")))
     return joined.withColumn("fold", ((F.col("_nth") - F.col("_start")) % folds).cast("int")).select(*df.columns, "fold")

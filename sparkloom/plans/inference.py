@@ -11,7 +11,7 @@ from ..operators import inference as I
 from ..operators import models as ML
 from ..operators.quality import melt
 from ..operators.tfidf import tfidf
-from ..operators.ordering import column_quantiles
+from ..operators.ordering import column_quantiles, dealt_in_order
 from .registry import Tables, query
 
 _RAW = "r as (select event_id, case when event_id % 6 = 0 then 'x' when event_id % 6 = 1 then null else value::varchar end as a, user_id::varchar as b from events)"
@@ -65,7 +65,7 @@ def top_weights(t: Tables) -> DataFrame:
 def ml_importances(t: Tables) -> DataFrame:
     """What a forest of the retail price looks at."""
     rows = t.part.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), (F.col("p_partkey") % 10).cast("double").alias("digit"), "p_retailprice")
-    model = ML.fit(rows, ["p_size", "digit"], "p_retailprice", ML.regressors()["random_forest"])
+    model = ML.fit(dealt_in_order(rows, "p_partkey"), ["p_size", "digit"], "p_retailprice", ML.regressors()["random_forest"])
     return ML.importances(model, ["p_size", "digit"], t.spark)
 
 

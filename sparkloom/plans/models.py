@@ -10,6 +10,7 @@ from ..functions.numeric import sigmoid
 from ..operators import crud as C
 from ..operators import metrics as M
 from ..operators import models as ML
+from ..operators.ordering import dealt_in_order
 from ..sources.sinks import as_json, newest
 from .registry import Tables, query
 
@@ -151,8 +152,9 @@ def one_hot_scale(t: Tables) -> DataFrame:
 
 
 def _part_features(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.length("p_name").cast("double").alias("n_name"),
+    rows = t.part.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.length("p_name").cast("double").alias("n_name"),
                          (F.col("p_partkey") % 10).cast("double").alias("digit"), "p_retailprice")
+    return dealt_in_order(rows, "p_partkey")
 
 
 @query()
@@ -212,7 +214,9 @@ def ml_classifiers(t: Tables) -> DataFrame:
 @query()
 def ml_cv(t: Tables) -> DataFrame:
     """Stratified cross validation of two candidates."""
-    rows = M.stratified_fold(_doc_features(t), "quality", "doc_id", 3)
+    path = t.scratch("cv")  # the texts are read once, not for every fold and candidate
+    M.stratified_fold(_doc_features(t), "quality", "doc_id", 3).write.parquet(path)
+    rows = t.spark.read.parquet(path)
     every = ML.classifiers()
     return ML.cross_validate(rows, ["chars", "spaces", "stops"], "quality", {k: every[k] for k in ("logistic", "naive_bayes")})
 
