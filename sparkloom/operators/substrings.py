@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Length of the longest gram of the index.
-GRAM = 3
+from .ordering import parts_needed
+
+#: Length of the longest gram of the index, the parts of the index that a task makes, and the most needles that are broadcast.
+GRAM, TASK_PARTS, FEW = 3, 16, 10_000
 
 
 def _characters(text: Column) -> Column:
@@ -24,21 +26,30 @@ def _windows(characters: Column, size: int | Column) -> Column:
     return F.transform(every, lambda i: F.array_join(F.slice(characters, i, size if isinstance(size, Column) else F.lit(size)), ""))
 
 
-def grams(text: Column) -> Column:
-    """Distinct grams of one to three characters of a lower-cased text."""
-    three = _windows(_characters(text), GRAM)
-
-    def first(n: int) -> Column:
-        return F.transform(three, lambda g: F.substring(g, 1, n))
+def grams(characters: Column) -> Column:
+    """Distinct grams of one to three characters of a text, by the array of its characters.
 
-    return F.array_distinct(F.concat(three, *[first(n) for n in range(1, GRAM)]))
+    That should be a plain column, since it is read again at every place.
+    """
+    three = _windows(characters, GRAM)
+    two = F.transform(three, lambda g: F.substring(g, 1, 2))
+    return F.array_distinct(F.concat(three, two, characters))
 
 
 def write_gram_index(df: DataFrame, key: str, text: str, folder: str) -> None:
-    """(gram, key) of every gram of every text, in files ordered by gram: a search reads the row
-    groups of its grams only. Null texts have none."""
-    rows = df.filter(F.col(text).isNotNull()).select(key, F.explode(grams(F.lower(text))).alias("gram"))
-    rows.repartitionByRange("gram", key).sortWithinPartitions("gram", key).write.mode("overwrite").parquet(folder)
+    """(part, gram, keys): the keys of the texts of a part that hold a gram. Null texts have none.
+
+    Rows are dealt out to parts by key, and a part is indexed where it lies, so that no gram
+    is shuffled and a frequent one has a row in every part. Files are ordered by gram: a
+    search reads the row groups of its grams only.
+    """
+    texts = df.filter(F.col(text).isNotNull()).select(key, F.lower(text).alias("_text"))
+    tasks = parts_needed(texts)
+    part = F.pmod(F.xxhash64(key), F.lit(tasks * TASK_PARTS)).alias("part")
+    rows = texts.select(part, key, "_text").repartition(tasks, "part").select("part", key, _characters(F.col("_text")).alias("_chars"))
+    found = rows.select("part", key, F.explode(grams(F.col("_chars"))).alias("gram"))
+    lists = found.groupBy("part", "gram").agg(F.collect_list(key).alias("keys"))
+    lists.sortWithinPartitions("gram", "part").write.mode("overwrite").parquet(folder)
 
 
 def _wanted(needle: Column) -> Column:
@@ -59,15 +70,19 @@ def search(df: DataFrame, key: str, text: str, folder: str, needle: str) -> Data
 def search_all(df: DataFrame, key: str, text: str, folder: str, needles: DataFrame) -> DataFrame:
     """(needle, columns of df) of every text that contains a needle of a table in any case.
 
-    key: names a row of df. Postings of the needles' grams are intersected by counting; what
+    key: names a row of df. In each part the lists of the needle's grams are intersected; what
     holds them all is verified. Empty needles find nothing.
     """
     spark = df.sparkSession
     asked = needles.select(F.lower("needle").alias("needle")).filter("needle <> ''").distinct()
     wanted = asked.select("needle", F.size(_wanted(F.col("needle"))).alias("_need"), F.explode(_wanted(F.col("needle"))).alias("gram"))
-    postings = spark.read.parquet(folder)
-    met = postings.join(wanted, "gram").groupBy("needle", key, "_need").agg(F.count("*").alias("_n")).filter("_n = _need")
-    rows = df.join(met.select("needle", key), key)
+    if asked.count() <= FEW:  # so that a frequent gram does not take its lists to one task
+        wanted = F.broadcast(wanted)
+    lists = spark.read.parquet(folder).join(wanted, "gram").groupBy("part", "needle", "_need").agg(F.collect_list("keys").alias("_lists"))
+    whole = lists.filter(F.size("_lists") == F.col("_need"))
+    common = F.aggregate(F.slice("_lists", 2, F.size("_lists")), F.array_distinct(F.get("_lists", 0)), F.array_intersect)
+    met = whole.select("needle", F.explode(common).alias(key))
+    rows = df.join(met, key)
     return rows.filter(F.contains(F.lower(text), F.col("needle"))).select("needle", *df.columns)
 
 
