@@ -10,7 +10,7 @@ from ..functions.text import STOPWORDS, normal_tokens, remove_stopwords
 from ..operators import inference as I
 from ..operators import models as ML
 from ..operators.quality import melt
-from ..operators.tfidf import tfidf
+from ..operators.tfidf import compared
 from ..operators.ordering import column_quantiles, dealt_in_order
 from .registry import Tables, query
 
@@ -139,13 +139,8 @@ _CONFIGS = (("plain", False, 1, 1.0, False), ("sublinear", False, 1, 1.0, True),
 def tfidf_configs(t: Tables) -> DataFrame:
     """Four settings of TF-IDF side by side."""
     docs = t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
-    out = None
-    for name, stop, low, high, sub in _CONFIGS:
-        tokens = normal_tokens(F.col("t"))
-        triples = tfidf(docs, "p_partkey", remove_stopwords(tokens) if stop else tokens, (1,), low, high, None, sub)
-        one = triples.agg(F.lit(name).alias("config"), F.count("*").alias("entries"), F.count_distinct("term").alias("terms"), F.round(F.sum("weight"), 3).alias("total"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    settings = [(name, STOPWORDS if stop else (), low, high, sub) for name, stop, low, high, sub in _CONFIGS]
+    return compared(docs, "p_partkey", normal_tokens(F.col("t")), settings, t.scratch("configs"))
 
 
 @query("select doc_id from documents order by md5('42:' || doc_id), doc_id limit 100")
