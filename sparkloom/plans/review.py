@@ -248,7 +248,7 @@ def ml_text_margins(t: Tables) -> DataFrame:
 @query()
 def ml_top_terms(t: Tables) -> DataFrame:
     """The ten heaviest terms of each language in the machine for it."""
-    model, names = TX.fit_text(_texts(t), "text", "lang", 1, TX.classifiers()["linear_svm"])
+    model, names = TX.fit_text(_texts(t), "text", "lang", 1, TX.classifiers()["linear_svm"], t.scratch("top"))
     return TX.top_terms(model, names, t.documents, 10)
 
 
